@@ -59,9 +59,10 @@ def global_row_number(df: DataFrame, order_cols, name: str = "rn",
 
 
 def global_running_sums(df: DataFrame, order_cols, sum_cols: list[str], suffix: str = "_cum",
-                        num_partitions: int | None = None) -> DataFrame:
+                        num_partitions: int | None = None, totals: bool = False) -> DataFrame:
     """Running totals of ``sum_cols`` over ``order_cols`` (rows unbounded
-    preceding .. current row) for the whole table.
+    preceding .. current row) for the whole table; with ``totals`` also the
+    grand total of each column (``<col>_total``).
 
     Range-partitions on the order, sums each partition (one row per
     partition, broadcast), and runs the within-partition window keyed by the
@@ -73,15 +74,37 @@ def global_running_sums(df: DataFrame, order_cols, sum_cols: list[str], suffix:
     ranged = (df.repartitionByRange(n, *cols)
                 .withColumn("_cs_pid", F.spark_partition_id())
                 .checkpoint(eager=True))
-    totals = ranged.groupBy("_cs_pid").agg(*[F.sum(c).alias(f"_cs_t_{c}") for c in sum_cols])
+    part_sums = ranged.groupBy("_cs_pid").agg(*[F.sum(c).alias(f"_cs_t_{c}") for c in sum_cols])
     prev = Window.orderBy("_cs_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_cs_pid", *[
-        F.coalesce(F.sum(f"_cs_t_{c}").over(prev), F.lit(0)).alias(f"_cs_o_{c}") for c in sum_cols])
+    offsets = part_sums.select("_cs_pid", *[
+        F.coalesce(F.sum(f"_cs_t_{c}").over(prev), F.lit(0)).alias(f"_cs_o_{c}") for c in sum_cols], *[
+        F.sum(f"_cs_t_{c}").over(Window.partitionBy()).alias(c + "_total") for c in sum_cols])
     within = Window.partitionBy("_cs_pid").orderBy(*cols).rowsBetween(Window.unboundedPreceding, 0)
     out = ranged.join(F.broadcast(offsets), "_cs_pid")
     for c in sum_cols:
         out = out.withColumn(c + suffix, F.col(f"_cs_o_{c}") + F.sum(c).over(within))
-    return out.drop("_cs_pid", *[f"_cs_o_{c}" for c in sum_cols])
+    drop = ["_cs_pid", *[f"_cs_o_{c}" for c in sum_cols]]
+    if not totals:
+        drop += [c + "_total" for c in sum_cols]
+    return out.drop(*drop)
+
+
+def running_sums_by(df: DataFrame, key: str, order_cols, sum_cols: list[str], suffix: str = "_cum",
+                    num_partitions: int | None = None) -> DataFrame:
+    """Running totals of ``sum_cols`` within each ``key`` group.
+
+    A ``partitionBy(key)`` window would put a hot key in one task. Instead
+    the running sums run over the global order (key, order_cols) and each
+    key's start offset -- the exclusive prefix of per-key totals, itself a
+    global running sum over one row per key -- is subtracted."""
+    cum = global_running_sums(df, [key, *order_cols], sum_cols, suffix, num_partitions)
+    totals = df.groupBy(key).agg(*[F.sum(c).alias(c) for c in sum_cols])
+    prefix = global_running_sums(totals, [key], sum_cols, "_incl", num_partitions)
+    starts = prefix.select(key, *[(F.col(c + "_incl") - F.col(c)).alias(f"_cs_s_{c}") for c in sum_cols])
+    out = cum.join(starts, key)
+    for c in sum_cols:
+        out = out.withColumn(c + suffix, F.col(c + suffix) - F.col(f"_cs_s_{c}"))
+    return out.drop(*[f"_cs_s_{c}" for c in sum_cols])
 
 
 def quantile_bin(rank: Column, n: Column, bins: int) -> Column:
