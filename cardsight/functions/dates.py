@@ -60,29 +60,44 @@ class FormatVote:
         return self.chosen is None
 
 
-def vote_format(df: DataFrame, column: str, formats=TS_FORMATS,
-                stop_share: float = FORMAT_STOP_SHARE) -> FormatVote:
-    """Count unparsed rows for every candidate in one aggregation, then
-    pick as the sequential rule does: formats are tried in order, a strictly
-    better one replaces the best so far, and the search stops at the first
-    format with at most ``stop_share`` failures. When every format fails on
-    every row the generic parser is used."""
-    raw = collapse_ws(column)
+def vote_formats(df: DataFrame, spec: dict[str, list[str]],
+                 stop_share: float = FORMAT_STOP_SHARE, extra_aggs: dict | None = None) -> dict[str, FormatVote]:
+    """A17 for several columns in one aggregation pass: count unparsed rows
+    for every candidate format of every column, then pick per column as the
+    sequential rule does -- formats are tried in order, a strictly better one
+    replaces the best so far, and the search stops at the first format with
+    at most ``stop_share`` failures. When every format fails on every row the
+    generic parser is used. ``extra_aggs`` (name -> aggregate column) ride
+    along in the same pass; their values are returned under ``"_extra"``."""
     aggs = [F.count(F.lit(1)).alias("_rows")]
-    aggs += [F.count_if(parse_with(raw, f).isNull()).alias(f"_f{i}") for i, f in enumerate(formats)]
+    aggs += [agg.alias(f"_x_{name}") for name, agg in (extra_aggs or {}).items()]
+    for j, (column, formats) in enumerate(spec.items()):
+        raw = collapse_ws(column)
+        aggs += [F.count_if(parse_with(raw, f).isNull()).alias(f"_c{j}_f{i}") for i, f in enumerate(formats)]
     row = df.agg(*aggs).first()
     rows = int(row["_rows"])
-    failures = {f: int(row[f"_f{i}"]) for i, f in enumerate(formats)}
-    best, best_na = None, rows + 1
-    for f in formats:
-        na = failures[f]
-        if na < best_na:
-            best, best_na = f, na
-        if na <= stop_share * rows:
-            break
-    if best_na == rows:
-        best = None
-    return FormatVote(column, best, failures, rows)
+    votes = {}
+    for j, (column, formats) in enumerate(spec.items()):
+        failures = {f: int(row[f"_c{j}_f{i}"]) for i, f in enumerate(formats)}
+        best, best_na = None, rows + 1
+        for f in formats:
+            na = failures[f]
+            if na < best_na:
+                best, best_na = f, na
+            if na <= stop_share * rows:
+                break
+        if best_na == rows:
+            best = None
+        votes[column] = FormatVote(column, best, failures, rows)
+    if extra_aggs:
+        votes["_extra"] = {name: row[f"_x_{name}"] for name in extra_aggs}
+    return votes
+
+
+def vote_format(df: DataFrame, column: str, formats=TS_FORMATS,
+                stop_share: float = FORMAT_STOP_SHARE) -> FormatVote:
+    """A17 for one column (see ``vote_formats``)."""
+    return vote_formats(df, {column: list(formats)}, stop_share)[column]
 
 
 def parse_column(df: DataFrame, column: str, formats=TS_FORMATS, mode: str = "column",
@@ -104,13 +119,28 @@ def parse_column(df: DataFrame, column: str, formats=TS_FORMATS, mode: str = "co
     return df.withColumn(target, expr)
 
 
-def parse_times(df: DataFrame, mode: str = "column") -> DataFrame:
-    """X2 + X3 on a raw feed: ``trans_date_trans_time`` and ``dob`` text."""
-    out = df
-    if "trans_date_trans_time" in df.columns:
-        out = parse_column(out, "trans_date_trans_time", TS_FORMATS, mode)
+def time_columns(df: DataFrame) -> dict[str, list[str]]:
+    """The raw text time columns present and their candidate formats."""
+    spec = {}
+    if "trans_date_trans_time" in df.columns and dict(df.dtypes)["trans_date_trans_time"] == "string":
+        spec["trans_date_trans_time"] = list(TS_FORMATS)
     if "dob" in df.columns and dict(df.dtypes)["dob"] == "string":
-        out = parse_column(out, "dob", DOB_FORMATS, mode)
+        spec["dob"] = list(DOB_FORMATS)
+    return spec
+
+
+def parse_times(df: DataFrame, mode: str = "column", votes: dict[str, FormatVote] | None = None) -> DataFrame:
+    """X2 + X3 on a raw feed: ``trans_date_trans_time`` and ``dob`` text.
+    In column mode both formats are voted in one pass unless ``votes`` are
+    given (e.g. from a fit on the same feed)."""
+    spec = time_columns(df)
+    if not spec:
+        return df
+    if mode == "column" and votes is None:
+        votes = vote_formats(df, spec)
+    out = df
+    for column, formats in spec.items():
+        out = parse_column(out, column, formats, mode, vote=(votes or {}).get(column))
     return out
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from cardsight.constants import HIGH_CARD_COLS, SAMPLER_DROP_COLS, TE_MIN_SAMPLES_LEAF, TE_SMOOTHING
 from cardsight.functions import dates
 from cardsight.operators.filters import require_parsed
-from cardsight.operators.rank import global_row_number, global_running_sums
+from cardsight.operators.rank import global_row_number
 
 LABEL = "is_fraud"
 # Lookups with at most this many rows are broadcast; larger ones are
@@ -29,10 +29,10 @@ MAX_ONE_HOT = 1000
 # ---------------------------------------------------------------- lookups
 
 def join_lookup(df: DataFrame, lookup: DataFrame, key: str, how: str = "left",
-                max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+                max_broadcast_rows: int = BROADCAST_MAX_ROWS, size: int | None = None) -> DataFrame:
     """Left join to a lookup table; broadcast only after checking its row
-    count, otherwise a shuffle join."""
-    n = lookup.count()
+    count (``size`` when already known), otherwise a shuffle join."""
+    n = lookup.count() if size is None else size
     side = F.broadcast(lookup) if n <= max_broadcast_rows else lookup
     return df.join(side, key, how)
 
@@ -43,10 +43,10 @@ def rate_table(df: DataFrame, key: str, label: str = LABEL, name: str | None = N
 
 
 def with_rate(df: DataFrame, rates: DataFrame, key: str, rate_col: str, default: float,
-              out: str | None = None) -> DataFrame:
+              out: str | None = None, size: int | None = None) -> DataFrame:
     """Key -> rate, with the global rate for keys never seen."""
     out = out or rate_col
-    joined = join_lookup(df, rates.select(key, F.col(rate_col).alias("_rate")), key)
+    joined = join_lookup(df, rates.select(key, F.col(rate_col).alias("_rate")), key, size=size)
     return joined.withColumn(out, F.coalesce(F.col("_rate"), F.lit(default))).drop("_rate")
 
 
@@ -60,20 +60,21 @@ def inverse_lookup(rates: DataFrame, key: str, rate_col: str) -> DataFrame:
 
 def fit_target_encoder(df: DataFrame, key: str = "merchant", label: str = LABEL,
                        min_samples_leaf: int = TE_MIN_SAMPLES_LEAF,
-                       smoothing: float = TE_SMOOTHING) -> tuple[DataFrame, float]:
+                       smoothing: float = TE_SMOOTHING, prior: float | None = None) -> tuple[DataFrame, float]:
     """Per key n and mean label; the encoding blends the mean with the
     prior by ``l = 1 / (1 + exp(-(n - min_samples_leaf) / smoothing))``."""
     stats = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg(label).alias("mean"))
-    prior = float(df.agg(F.avg(label)).first()[0])
+    if prior is None:
+        prior = float(df.agg(F.avg(label)).first()[0])
     lam = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("n") - F.lit(min_samples_leaf)) / F.lit(float(smoothing))))
     enc = stats.withColumn("encoding", F.lit(prior) * (F.lit(1.0) - lam) + F.col("mean") * lam)
     return enc, prior
 
 
 def apply_target_encoder(df: DataFrame, encoding: DataFrame, prior: float, key: str = "merchant",
-                         out: str = "merchant_te") -> DataFrame:
+                         out: str = "merchant_te", size: int | None = None) -> DataFrame:
     """Unknown and missing keys get the prior."""
-    joined = join_lookup(df, encoding.select(key, F.col("encoding").alias("_enc")), key)
+    joined = join_lookup(df, encoding.select(key, F.col("encoding").alias("_enc")), key, size=size)
     return joined.withColumn(out, F.coalesce(F.col("_enc"), F.lit(prior))).drop("_enc")
 
 
@@ -101,23 +102,39 @@ def decode(df: DataFrame, codes: DataFrame, column: str, code: str | None = None
 
 # ---------------------------------------------------------------- statistics
 
-def exact_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
+def exact_medians(df: DataFrame, columns: list[str],
+                  counts: dict[str, int] | None = None) -> dict[str, float | None]:
     """Exact medians of several columns in one distributed sort: values are
     unpivoted to (feature, value), numbered in (feature, value) order by the
     range-partitioned row number, and the middle one or two rows of each
-    feature are averaged. Only ``2 x len(columns)`` values reach the driver."""
+    feature are averaged. Only ``2 x len(columns)`` values reach the driver.
+    ``counts`` (non-null values per column) saves a pass when known."""
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns
     ])).alias("p")).select("p.*").filter(F.col("value").isNotNull())
-    counts = long.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
+    if counts is None:
+        row = df.agg(*[F.count(c).alias(c) for c in columns]).first()
+        counts = {c: int(row[c]) for c in columns}
+    # Where each feature's ranks start in (feature, value) order: one
+    # number per feature, computed here from the counts.
+    start, acc = {}, 0
+    for c in sorted(columns):
+        start[c] = acc
+        acc += counts[c]
     ranked = global_row_number(long, ["feature", "value"], name="rn")
-    # exclusive prefix of the counts: where each feature's ranks start
-    prefix = global_running_sums(counts, ["feature"], ["n"], "_incl").select(
-        "feature", "n", (F.col("n_incl") - F.col("n")).alias("start"))
-    mid = (ranked.join(F.broadcast(prefix), "feature")
-           .withColumn("r", F.col("rn") - F.col("start"))
-           .filter((F.col("r") == F.floor((F.col("n") + 1) / 2)) | (F.col("r") == F.ceil((F.col("n") + 1) / 2)))
-           .groupBy("feature").agg(F.avg("value").alias("median")))
+    wanted = []
+    for c in columns:
+        n = counts[c]
+        if n == 0:
+            continue
+        lo, hi = (n + 1) // 2, (n + 2) // 2
+        wanted.append((F.col("feature") == c) & F.col("rn").isin(start[c] + lo, start[c] + hi))
+    if not wanted:
+        return {c: None for c in columns}
+    cond = wanted[0]
+    for w in wanted[1:]:
+        cond = cond | w
+    mid = ranked.filter(cond).groupBy("feature").agg(F.avg("value").alias("median"))
     found = {r["feature"]: r["median"] for r in mid.collect()}
     return {c: found.get(c) for c in columns}
 
@@ -128,13 +145,30 @@ def approx_medians(df: DataFrame, columns: list[str], accuracy: int = 10000) ->
 
 
 def modes(df: DataFrame, columns: list[str]) -> dict[str, str | None]:
-    """Most frequent value per column (ties: smallest value), each as a
-    grouped count and a top-1, so no task holds a value map."""
+    """Most frequent value per column (ties: smallest value)."""
+    return {c: value_counts(df, [c])[c][0] for c in columns}
+
+
+def value_counts(df: DataFrame, columns: list[str], limit: int = MAX_ONE_HOT) -> dict[str, tuple]:
+    """(mode, sorted levels) of low-cardinality text columns from one grouped
+    count over the unpivoted columns; more than ``limit`` levels is an
+    error (one-hot columns are bounded)."""
+    if not columns:
+        return {}
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in columns
+    ])).alias("p")).select("p.*").filter(F.col("value").isNotNull())
+    counted = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    rows = counted.limit(limit * len(columns) + 1).collect()
+    if len(rows) > limit * len(columns):
+        raise ValueError(f"too many levels in {columns} for one-hot columns")
     out = {}
     for c in columns:
-        top = (df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-               .orderBy(F.desc("n"), F.asc(c)).limit(1).collect())
-        out[c] = top[0][c] if top else None
+        mine = [(r["value"], r["n"]) for r in rows if r["feature"] == c]
+        if len(mine) > limit:
+            raise ValueError(f"{c} has more than {limit} levels")
+        mode = min(mine, key=lambda t: (-t[1], t[0]))[0] if mine else None
+        out[c] = (mode, sorted(v for v, _ in mine))
     return out
 
 
@@ -154,7 +188,8 @@ class FeatureModel:
     stds: dict[str, float]
     cat_modes: dict[str, str]
     cat_levels: dict[str, list[str]]
-    extra: dict = field(default_factory=dict)
+    votes: dict = field(default_factory=dict)
+    sizes: dict = field(default_factory=dict)
 
     @property
     def feature_names(self) -> list[str]:
@@ -164,17 +199,10 @@ class FeatureModel:
         return names
 
 
-def _distinct_sorted(df: DataFrame, column: str) -> list[str]:
-    values = df.select(column).filter(F.col(column).isNotNull()).distinct()
-    n = values.count()
-    if n > MAX_ONE_HOT:
-        raise ValueError(f"{column} has {n} distinct values; too many for one-hot columns")
-    return sorted(r[0] for r in values.collect())
-
-
 def engineered(df: DataFrame, te_table: DataFrame, prior: float, interaction_categories: list[str],
                parse: bool = True, mode: str = "column", drop_cols=HIGH_CARD_COLS,
-               keep: tuple[str, ...] = ("trans_num", "state")) -> DataFrame:
+               keep: tuple[str, ...] = ("trans_num", "state"), votes: dict | None = None,
+               te_size: int | None = None) -> DataFrame:
     """The hand-made part of M1 before imputation/scaling: parsed times
     (A17, X2, X3), rows without times dropped (F10), age and time parts
     (X5, X6), merchant encoding (J2), log amount and distance (X9, X10),
@@ -182,7 +210,7 @@ def engineered(df: DataFrame, te_table: DataFrame, prior: float, interaction_cat
     (P1). ``keep`` columns travel along as keys, not features."""
     out = df
     if parse:
-        out = dates.parse_times(out, mode=mode)
+        out = dates.parse_times(out, mode=mode, votes=votes)
     ts = "trans_date_trans_time" if "trans_date_trans_time" in out.columns else "trans_ts"
     out = require_parsed(out, [ts, "dob"], check_empty=False)
     out = (out.withColumn("age", dates.age_years(ts, "dob"))
@@ -191,7 +219,7 @@ def engineered(df: DataFrame, te_table: DataFrame, prior: float, interaction_cat
               .withColumn("txn_month", dates.month_of(ts))
               .drop(ts, "dob"))
     if "merchant" in out.columns:
-        out = apply_target_encoder(out, te_table, prior).drop("merchant")
+        out = apply_target_encoder(out, te_table, prior, size=te_size).drop("merchant")
     if all(c in out.columns for c in ["amt", "merch_lat", "merch_long", "lat", "long"]):
         out = (out.withColumn("amt_log", F.log1p("amt"))
                   .withColumn("distance", F.sqrt(F.pow(F.col("merch_lat") - F.col("lat"), 2)
@@ -223,25 +251,57 @@ def split_types(df: DataFrame, exclude=(LABEL,)) -> tuple[list[str], list[str]]:
 
 def fit_features(raw: DataFrame, parse: bool = True, mode: str = "column", exact: bool = True,
                  drop_first=SAMPLER_DROP_COLS) -> FeatureModel:
-    """Fit M1 on a raw training frame (unbalanced, with labels)."""
+    """Fit M1 on a raw training frame (unbalanced, with labels).
+
+    Passes over the data: one for the merchant encoding, the state rates and
+    the interaction categories together with the format vote; the
+    engineered frame is then persisted (memory and disk; lost blocks are
+    recomputed from lineage) for one statistics pass, one distributed sort
+    for exact medians, and one grouped count for modes and levels."""
+    from pyspark import StorageLevel
     raw = raw.drop(*[c for c in drop_first if c in raw.columns and c != "trans_num"], "fraud_score")
-    te_table, prior = fit_target_encoder(raw)
+    # One pass: format votes, the prior, and (approximate) lookup sizes --
+    # the sizes only decide broadcast or shuffle joins.
+    extra = {"prior": F.avg(LABEL)}
+    for k in ("merchant", "state"):
+        if k in raw.columns:
+            extra[k] = F.approx_count_distinct(k)
+    spec = dates.time_columns(raw) if parse and mode == "column" else {}
+    votes = dates.vote_formats(raw, spec, extra_aggs=extra)
+    ex = votes.pop("_extra")
+    prior = float(ex["prior"])
+    sizes = {"te": int(ex.get("merchant") or 0) * 2 + 1, "state": int(ex.get("state") or 0) * 2 + 1}
+    te_table, _ = fit_target_encoder(raw, prior=prior)
     state_rates = rate_table(raw, "state", name="state_rate") if "state" in raw.columns else None
-    global_rate = prior
-    cats = _distinct_sorted(raw, "category") if "category" in raw.columns else []
-    eng = engineered(raw, te_table, prior, cats, parse=parse, mode=mode)
-    num_cols, cat_cols = split_types(eng)
-    medians = exact_medians(eng, num_cols) if exact else approx_medians(eng, num_cols)
-    imputed = eng.select(*[F.coalesce(F.col(c).cast("double"), F.lit(medians[c])).alias(c) for c in num_cols])
-    row = imputed.agg(*[F.avg(c).alias(f"m_{c}") for c in num_cols],
-                      *[F.stddev_pop(c).alias(f"s_{c}") for c in num_cols]).first()
-    means = {c: row[f"m_{c}"] for c in num_cols}
-    stds = {c: row[f"s_{c}"] for c in num_cols}
-    cat_modes = modes(eng, cat_cols)
-    levels = {c: _distinct_sorted(eng.withColumn(c, F.coalesce(F.col(c), F.lit(cat_modes[c]))), c)
-              for c in cat_cols}
-    return FeatureModel(te_table, prior, state_rates, global_rate, cats, num_cols, cat_cols,
-                        medians, means, stds, cat_modes, levels)
+    cats = value_counts(raw, ["category"])["category"][1] if "category" in raw.columns else []
+    if not (parse and mode == "column"):
+        votes = None
+    eng = engineered(raw, te_table, prior, cats, parse=parse, mode=mode, votes=votes, te_size=sizes["te"])
+    eng = eng.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        num_cols, cat_cols = split_types(eng)
+        row = eng.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(f"n_{c}") for c in num_cols],
+                      *[F.avg(F.col(c).cast("double")).alias(f"m_{c}") for c in num_cols],
+                      *[F.stddev_pop(F.col(c).cast("double")).alias(f"s_{c}") for c in num_cols]).first()
+        counts = {c: int(row[f"n_{c}"]) for c in num_cols}
+        medians = exact_medians(eng, num_cols, counts) if exact else approx_medians(eng, num_cols)
+        means = {c: row[f"m_{c}"] for c in num_cols}
+        stds = {c: row[f"s_{c}"] for c in num_cols}
+        with_nulls = [c for c in num_cols if counts[c] < row["_n"]]
+        if with_nulls:  # scaler statistics are taken after median imputation
+            imputed = eng.select(*[F.coalesce(F.col(c).cast("double"), F.lit(medians[c])).alias(c)
+                                   for c in with_nulls])
+            r2 = imputed.agg(*[F.avg(c).alias(f"m_{c}") for c in with_nulls],
+                             *[F.stddev_pop(c).alias(f"s_{c}") for c in with_nulls]).first()
+            means.update({c: r2[f"m_{c}"] for c in with_nulls})
+            stds.update({c: r2[f"s_{c}"] for c in with_nulls})
+        vc = value_counts(eng, cat_cols)
+        cat_modes = {c: vc[c][0] for c in cat_cols}
+        levels = {c: vc[c][1] for c in cat_cols}
+    finally:
+        eng.unpersist()
+    return FeatureModel(te_table, prior, state_rates, prior, cats, num_cols, cat_cols,
+                        medians, means, stds, cat_modes, levels, votes=votes or {}, sizes=sizes)
 
 
 def scale(col: str, model: FeatureModel) -> Column:
@@ -266,12 +326,16 @@ def one_hot(col: str, levels: list[str], fill: str | None, prefix: str = "cat__"
 
 
 def transform(df: DataFrame, model: FeatureModel, parse: bool = True, mode: str = "column",
-              with_label: bool = True, state_risk: bool = True) -> DataFrame:
+              with_label: bool = True, state_risk: bool = True, reuse_votes: bool = False) -> DataFrame:
     """M1 (+ J1, P2): raw rows -> named feature columns ``num__*`` and
     ``cat__*``; ``trans_num`` and ``state`` kept as keys, the label kept when
     present. Columns the model expects but the input lacks are added as
-    null and imputed; unexpected columns are dropped."""
-    eng = engineered(df, model.te_table, model.prior, model.interaction_categories, parse=parse, mode=mode)
+    null and imputed; unexpected columns are dropped. Formats are voted on
+    the frame being transformed unless ``reuse_votes`` (same feed as the
+    fit)."""
+    votes = model.votes if reuse_votes else None
+    eng = engineered(df, model.te_table, model.prior, model.interaction_categories, parse=parse, mode=mode,
+                     votes=votes, te_size=model.sizes.get("te"))
     for c in model.num_cols + model.cat_cols:
         if c not in eng.columns:
             eng = eng.withColumn(c, F.lit(None).cast("double" if c in model.num_cols else "string"))
@@ -282,7 +346,8 @@ def transform(df: DataFrame, model: FeatureModel, parse: bool = True, mode: str
     label = [F.col(LABEL)] if with_label and LABEL in eng.columns else []
     out = eng.select(*keys, *cols, *label)
     if state_risk and model.state_rates is not None and "state" in out.columns:
-        out = with_rate(out, model.state_rates, "state", "state_rate", model.global_rate, out="state_risk")
+        out = with_rate(out, model.state_rates, "state", "state_rate", model.global_rate, out="state_risk",
+                        size=model.sizes.get("state"))
     return out
 
 
