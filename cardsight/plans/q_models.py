@@ -1 +1,168 @@
-"""Registered queries."""
+"""Sampling, per-state models, ensemble, federated averaging (U1-U5, M2-M7,
+A18, A19). Model queries are random or iterative: checked by rows and by
+invariants in the tests; their deterministic parts have oracle SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cardsight.operators import features as fe
+from cardsight.operators import models as ml
+from cardsight.operators import sampling
+from cardsight.plans.catalog import register
+from cardsight.plans.common import r6, txn
+from cardsight.plans.oracle_views import with_txn
+from cardsight.session import checkpoint_dir
+from cardsight.sources import tables
+
+SPLIT = "2000-01-01 00:00:00"
+_MEMO: dict = {}
+
+
+def _split_text(spark, sf_dir):
+    """Raw text feed split into training (before 2000) and held-out rows;
+    the split flag is computed from the source time before it becomes text."""
+    base = txn(spark, sf_dir).withColumn("_train", F.col("trans_ts") < F.lit(SPLIT).cast("timestamp_ntz"))
+    raw = tables.txn_text_view(base, spoil_mod=50)
+    return raw.filter("_train").drop("_train"), raw.filter(~F.col("_train")).drop("_train")
+
+
+def _trained(spark, sf_dir):
+    """Feature model and state models fitted on the training split (kept
+    for the session: the driver holds fitted models, not data)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _MEMO:
+        checkpoint_dir(spark)
+        train_raw, test_raw = _split_text(spark, sf_dir)
+        fm = fe.fit_features(train_raw)
+        # Feature tables are written once (checkpoint folder) and reused by
+        # the model fits, the ensemble and the federated rounds.
+        train = fe.transform(train_raw, fm, reuse_votes=True).checkpoint(eager=True)
+        test = fe.transform(test_raw, fm).checkpoint(eager=True)
+        models = ml.train_state_models(train, parallelism=8)
+        _MEMO[key] = (fm, train, models, test)
+    return _MEMO[key]
+
+
+# ---------------------------------------------------------------- U2-U5
+
+REBALANCE_SQL = """
+, c AS (SELECT count(*) FILTER (WHERE is_fraud = 0) AS big, count(*) FILTER (WHERE is_fraud = 1) AS small FROM txn),
+g AS (SELECT greatest(CAST(floor({over} * big) AS BIGINT), small) AS grown, big FROM c)
+SELECT 1 AS is_fraud, grown AS n FROM g
+UNION ALL SELECT 0, least(big, CAST(floor(grown / {under}) AS BIGINT)) FROM g"""
+
+
+@register("u02_u03_rebalance_counts", with_txn(REBALANCE_SQL.format(over=0.5, under=1.0)))
+def u02_u03_rebalance_counts(spark, sf_dir):
+    """U2 (to 0.5) then U3 (to 1.0): both classes end at int(0.5 * majority)."""
+    bal = sampling.rebalance(txn(spark, sf_dir), 0.5, 1.0)
+    return bal.groupBy("is_fraud").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("u02_oversample_full", with_txn(REBALANCE_SQL.format(over=1.0, under=1.0)))
+def u02_oversample_full(spark, sf_dir):
+    """U2 to 1.0 then U3 to 1.0 (the second step changes nothing)."""
+    bal = sampling.rebalance(txn(spark, sf_dir), 1.0, 1.0)
+    return bal.groupBy("is_fraud").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("u02_oversampled_are_minority", with_txn("""
+SELECT count(*) FILTER (WHERE is_fraud = 1) AS n_fraud_rows, count(*) FILTER (WHERE is_fraud = 0) AS n_other
+FROM txn WHERE is_fraud = 1"""))
+def u02_oversampled_are_minority(spark, sf_dir):
+    """Every drawn row is an existing minority row: distinct ids of the
+    over-sampled minority equal the original minority."""
+    bal = sampling.oversample(txn(spark, sf_dir), 1.0)
+    ids = bal.filter(F.col("is_fraud") == 1).select("trans_num", "is_fraud").dropDuplicates(["trans_num"])
+    return ids.agg(F.count_if(F.col("is_fraud") == 1).alias("n_fraud_rows"),
+                   F.count_if(F.col("is_fraud") == 0).alias("n_other"))
+
+
+@register("u04_tuning_sample_counts", with_txn("""
+SELECT state, least(count(*), 10000) AS n FROM txn GROUP BY state"""))
+def u04_tuning_sample_counts(spark, sf_dir):
+    """U4: at most 10,000 rows per state (seeded)."""
+    s = sampling.per_group_sample(txn(spark, sf_dir), "state", 10000)
+    return s.groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("a18_ensemble_weights", with_txn("""
+SELECT state, round(n / sum(n) OVER (), 6) AS weight FROM (
+  SELECT state, least(count(*), 10000) AS n FROM txn
+  WHERE trans_ts < TIMESTAMP '2000-01-01 00:00:00' AND CAST(split_part(trans_num, '-', 1) AS BIGINT) % 50 <> 0
+  GROUP BY state HAVING count(*) FILTER (WHERE is_fraud = 1) BETWEEN 1 AND count(*) - 1)"""))
+def a18_ensemble_weights(spark, sf_dir):
+    """Ensemble weight of each trained state model = its
+    training rows over all trained models' rows."""
+    _, _, models, _ = _trained(spark, sf_dir)
+    w = ml.state_row_weights(models)
+    return spark.createDataFrame(sorted(w.items()), "state string, weight double").select(
+        "state", r6(F.col("weight")).alias("weight"))
+
+
+@register("u05_fold_sizes")
+def u05_fold_sizes(spark, sf_dir):
+    """Fold column from a seeded hash; rows per fold."""
+    return sampling.with_folds(txn(spark, sf_dir), 5).groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- M2-M7, A19
+
+@register("m06_majority_baseline", with_txn("""
+SELECT majority, round(n / total, 6) AS accuracy FROM (
+  SELECT is_fraud AS majority, count(*) AS n, sum(count(*)) OVER () AS total FROM txn GROUP BY is_fraud)
+ORDER BY n DESC, majority LIMIT 1"""))
+def m06_majority_baseline(spark, sf_dir):
+    out = ml.majority_baseline(txn(spark, sf_dir))
+    return out.select("majority", r6(F.col("accuracy")).alias("accuracy"))
+
+
+@register("m02_state_models")
+def m02_state_models(spark, sf_dir):
+    """M2: one balanced forest per state on its (at most 10,000-row)
+    training sample; one-class states skipped."""
+    _, _, models, _ = _trained(spark, sf_dir)
+    return spark.createDataFrame([(m.state, m.n_rows, m.n_pos, m.trained) for m in models],
+                                 "state string, n_rows long, n_pos long, trained boolean")
+
+
+@register("m04_ensemble_scores")
+def m04_ensemble_scores(spark, sf_dir):
+    """M4 + A18 + P8 on the held-out rows: weighted sum of the state models'
+    fraud probabilities, decision at 0.64."""
+    _, _, models, test = _trained(spark, sf_dir)
+    scored = ml.decide(ml.ensemble_scores(test, models))
+    return scored.select("trans_num", "state", "is_fraud", "probability", "pred")
+
+
+@register("m05_batch_detect")
+def m05_batch_detect(spark, sf_dir):
+    """M5: raw text batch -> features -> state risk -> alignment ->
+    ensemble -> decision, then the per-outcome counts with the quality of
+    the decision (A21 on the held-out batch)."""
+    from cardsight.operators import evaluate as ev
+    fm, _, models, _ = _trained(spark, sf_dir)
+    _, test_raw = _split_text(spark, sf_dir)
+    feats = fe.transform(test_raw, fm)
+    expected = ["trans_num", "state", *fm.feature_names, "state_risk", "is_fraud"]
+    scored = ml.decide(ml.ensemble_scores(fe.align(feats, expected), models))
+    return ev.threshold_metrics(scored, "is_fraud", "pred")
+
+
+@register("a19_feature_importance")
+def a19_feature_importance(spark, sf_dir):
+    """Mean importance per feature over the state models, top 20."""
+    from cardsight.operators import evaluate as ev
+    fm, train, models, _ = _trained(spark, sf_dir)
+    rows = ml.feature_importances(models, ml.feature_columns(train))
+    imp = spark.createDataFrame(rows, "model string, feature string, importance double")
+    return ev.mean_importance(imp, 20)
+
+
+@register("m07_federated_logistic")
+def m07_federated_logistic(spark, sf_dir):
+    """M7: federated averaging of state-wise logistic coefficients, 10
+    rounds, half the states per round."""
+    _, train, _, _ = _trained(spark, sf_dir)
+    return ml.federated_logistic(train, rounds=10, fraction=0.5)
