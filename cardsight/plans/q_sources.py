@@ -1 +1,222 @@
-"""Registered queries."""
+"""Sources, sinks, streaming, projections and display (S1, S2, S4-S8, T1,
+P1, P2, P4, P5, P7, P9, X17, X18)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cardsight.constants import HIGH_CARD_COLS
+from cardsight.functions import display
+from cardsight.operators import features as fe
+from cardsight.operators import filters as flt
+from cardsight.plans.catalog import register
+from cardsight.plans.common import cases, r2, r6, txn
+from cardsight.plans.oracle_views import with_cases, with_txn
+from cardsight.sources import files, tables
+
+# ---------------------------------------------------------------- S1, S2, S4-S8
+
+
+@register("s01_csv_scan", with_txn("""
+SELECT count(*) AS n, round(sum(amt), 2) AS total_amount, count(DISTINCT trans_num) AS n_keys,
+       count(*) FILTER (WHERE CAST(split_part(trans_num, '-', 1) AS BIGINT) % 50 = 0) AS n_bad_times
+FROM txn"""))
+def s01_csv_scan(spark, sf_dir):
+    """The raw feed written as CSV (by Spark, from the tables), read
+    back with the fixed schema."""
+    feed_rows = tables.txn_text_view(txn(spark, sf_dir), 50).select(*files.TXN_TEXT_SCHEMA.fieldNames())
+    path = files.write_csv(feed_rows, files.scratch_path(spark, "feed-csv"))
+    feed = files.read_csv(spark, path)
+    return feed.agg(F.count(F.lit(1)).alias("n"), r2(F.sum("amt")).alias("total_amount"),
+                    F.count_distinct("trans_num").alias("n_keys"),
+                    F.count_if(F.col("trans_date_trans_time") == "bad").alias("n_bad_times"))
+
+
+@register("s02_scan_pushdown", """
+SELECT l_orderkey, l_extendedprice FROM lineitem
+WHERE l_shipdate >= TIMESTAMP '2001-06-01 00:00:00' AND l_discount >= 0.09""")
+def s02_scan_pushdown(spark, sf_dir):
+    """Parquet scan; the filter and the two-column projection reach the
+    reader (PushedFilters / ReadSchema in the plan)."""
+    li = tables.read_table(spark, sf_dir, "lineitem")
+    return li.filter((F.col("l_shipdate") >= F.lit("2001-06-01 00:00:00").cast("timestamp_ntz"))
+                     & (F.col("l_discount") >= 0.09)).select("l_orderkey", "l_extendedprice")
+
+
+@register("s04_parquet_round_trip", with_txn("""
+SELECT count(*) AS n, CAST(sum(is_fraud) AS BIGINT) AS n_fraud, round(sum(fraud_score), 6) AS score_sum FROM txn"""))
+def s04_parquet_round_trip(spark, sf_dir):
+    """Snappy Parquet sink, read back."""
+    path = files.write_parquet(txn(spark, sf_dir), files.scratch_path(spark, "txn-parquet"))
+    back = spark.read.parquet(path)
+    return back.agg(F.count(F.lit(1)).alias("n"), F.sum("is_fraud").cast("bigint").alias("n_fraud"),
+                    r6(F.sum("fraud_score")).alias("score_sum"))
+
+
+@register("s05_state_partitions", with_txn("""
+SELECT state, count(*) AS n_rows FROM txn GROUP BY state"""))
+def s05_state_partitions(spark, sf_dir):
+    """One folder per state, with its row count."""
+    path = files.write_by_state(txn(spark, sf_dir), files.scratch_path(spark, "by-state"))
+    return files.partition_counts(spark, path)
+
+
+@register("s07_partition_discovery", with_txn("SELECT DISTINCT state FROM txn"))
+def s07_partition_discovery(spark, sf_dir):
+    """Sorted states present in the partitioned table."""
+    path = files.write_by_state(txn(spark, sf_dir).select("state", "trans_num"), files.scratch_path(spark, "states"))
+    return files.partition_values(spark, path)
+
+
+@register("s06_csv_export", with_txn("""
+SELECT trans_num, merchant, round(amt, 2) AS amt, is_fraud FROM txn WHERE is_fraud = 1
+ORDER BY trans_num LIMIT 1000"""))
+def s06_csv_export(spark, sf_dir):
+    """Export of the fraud bucket (first 1,000 in id order) to CSV."""
+    fraud = tables.bucket(txn(spark, sf_dir), "fraud").select("trans_num", "merchant", "amt", "is_fraud")
+    back = files.export_csv(fraud, files.scratch_path(spark, "export"), limit=1000)
+    return back.select("trans_num", "merchant", r2(F.col("amt")).alias("amt"), "is_fraud")
+
+
+@register("s08_lookup_round_trip", with_txn("""
+, te AS (SELECT merchant, count(*) AS n, avg(is_fraud) AS mean FROM txn GROUP BY merchant),
+p AS (SELECT avg(is_fraud) AS prior FROM txn)
+SELECT merchant, round(p.prior * (1 - 1 / (1 + exp(-(n - 20) / 10.0))) + mean * (1 / (1 + exp(-(n - 20) / 10.0))), 6)
+       AS encoding FROM te, p"""))
+def s08_lookup_round_trip(spark, sf_dir):
+    """Fitted lookups (merchant encoding, state rates) saved as Parquet
+    and loaded back."""
+    t = txn(spark, sf_dir)
+    enc, _ = fe.fit_target_encoder(t)
+    paths = files.save_lookups(files.scratch_path(spark, "artifact"), merchant_te=enc,
+                               state_rate=fe.rate_table(t, "state", name="state_rate"))
+    loaded = files.load_lookups(spark, paths)
+    return loaded["merchant_te"].select("merchant", r6(F.col("encoding")).alias("encoding"))
+
+
+# ---------------------------------------------------------------- T1
+
+@register("t01_stream_scoring", with_txn("""
+SELECT 'all' AS tbl, count(*) AS n_rows FROM txn
+UNION ALL SELECT 'new', count(*) FROM txn
+UNION ALL SELECT 'fraud', count(*) FROM txn WHERE fraud_score >= 0.64
+UNION ALL SELECT 'cases', count(*) FROM txn WHERE fraud_score >= 0.64
+UNION ALL SELECT 'case_ids', count(DISTINCT trans_num) FROM txn WHERE fraud_score >= 0.64"""))
+def t01_stream_scoring(spark, sf_dir):
+    """Transactions arrive as files (one per ship year, written by
+    Spark from the tables); a file stream scores each micro-batch, routes it
+    to all / new / fraud and opens cases. Returns the table sizes after the
+    stream has consumed everything (Trigger.AvailableNow)."""
+    from cardsight.streaming.scoring import start_scoring_stream
+    t = txn(spark, sf_dir).select("trans_num", "trans_ts", "cc_num", "merchant", "category", "amt", "state",
+                                  "fraud_score").withColumn("arrived_at", F.col("trans_ts"))
+    src = files.scratch_path(spark, "arrivals")
+    t.withColumn("year", F.year("trans_ts")).write.partitionBy("year").parquet(src)
+    out = files.scratch_path(spark, "routed")
+    schema = spark.read.parquet(src).schema
+
+    def scorer(batch):
+        # The stored score stands in for the model's probability here; the
+        # model ensemble (M4) plugs in the same way.
+        return batch.drop("year")
+
+    q = start_scoring_stream(spark, src, schema, scorer, out, files.scratch_path(spark, "stream-ckpt"),
+                             max_files_per_trigger=2)
+    q.awaitTermination()
+    parts = [spark.read.parquet(f"{out}/{name}").agg(F.count(F.lit(1)).alias("n_rows"))
+             .select(F.lit(name).alias("tbl"), "n_rows") for name in ["all", "new", "fraud", "cases"]]
+    ids = spark.read.parquet(f"{out}/cases").agg(F.count_distinct("case_id").alias("n_rows")) \
+               .select(F.lit("case_ids").alias("tbl"), "n_rows")
+    res = parts[0]
+    for p in parts[1:] + [ids]:
+        res = res.unionByName(p)
+    return res
+
+
+# ---------------------------------------------------------------- P1, P2, P4, P5, P7, P9
+
+DROPPED = [c for c in HIGH_CARD_COLS]
+
+
+@register("p01_drop_identifying", with_txn(
+    "SELECT * EXCLUDE (cc_num, city, job, trans_num) FROM txn"))
+def p01_drop_identifying(spark, sf_dir):
+    """P1 (tolerant): identifying / high-cardinality columns dropped when
+    present."""
+    t = txn(spark, sf_dir)
+    return t.drop(*[c for c in DROPPED if c in t.columns])
+
+
+@register("p02_align_columns", with_txn("""
+SELECT trans_num, amt, CAST(NULL AS DOUBLE) AS merchant_te, state FROM txn"""))
+def p02_align_columns(spark, sf_dir):
+    """Expected columns in order, missing ones null, extra ones gone."""
+    t = txn(spark, sf_dir)
+    return fe.align(t, ["trans_num", "amt", "merchant_te", "state"])
+
+
+@register("p04_alias_names", with_txn("""
+SELECT trans_num AS txn_id, cc_num AS card_id, amt AS amount, trans_ts AS trans_time FROM txn"""))
+def p04_alias_names(spark, sf_dir):
+    """Field names to their aliases."""
+    t = txn(spark, sf_dir)
+    return t.withColumnsRenamed({"trans_num": "txn_id", "cc_num": "card_id", "amt": "amount",
+                                 "trans_ts": "trans_time"}).select("txn_id", "card_id", "amount", "trans_time")
+
+
+@register("p05_defaults", with_txn("""
+SELECT CASE WHEN cc_num % 4 = 0 THEN 0 ELSE is_fraud END AS is_fraud, 'open' AS status,
+       TIMESTAMP '2001-12-01 00:00:00' AS created_at, count(*) AS n
+FROM txn GROUP BY 1, 2, 3"""))
+def p05_defaults(spark, sf_dir):
+    """P5: absent label -> 0, absent status -> open, absent time -> as_of."""
+    t = txn(spark, sf_dir)
+    incoming = t.withColumn("is_fraud", F.when(F.col("cc_num") % 4 == 0, F.lit(None)).otherwise(F.col("is_fraud")))
+    filled = (incoming.withColumn("is_fraud", F.coalesce(F.col("is_fraud"), F.lit(0)))
+              .withColumn("status", F.lit(None).cast("string"))
+              .withColumn("created_at", F.lit(None).cast("timestamp_ntz"))
+              .withColumn("status", F.coalesce(F.col("status"), F.lit("open")))
+              .withColumn("created_at", F.coalesce(F.col("created_at"),
+                                                   F.lit("2001-12-01 00:00:00").cast("timestamp_ntz"))))
+    return filled.groupBy("is_fraud", "status", "created_at").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("p07_float32", with_txn("""
+SELECT trans_num, CAST(amt AS FLOAT) AS amt FROM txn"""))
+def p07_float32(spark, sf_dir):
+    """Numeric columns down-cast to 32-bit floats."""
+    t = txn(spark, sf_dir).select("trans_num", "amt")
+    return fe.downcast(t.withColumnRenamed("amt", "num__amt")).withColumnRenamed("num__amt", "amt")
+
+
+@register("p09_id_normalise", with_txn("""
+, u AS (SELECT trans_num, sha256(trans_num) AS h FROM txn)
+SELECT trans_num, substr(h, 1, 32) AS id FROM u"""))
+def p09_id_normalise(spark, sf_dir):
+    """UUID-shaped ids (upper case, dashed) normalised to 32 lower hex
+    digits; other ids kept."""
+    t = txn(spark, sf_dir)
+    h = F.sha2(F.col("trans_num"), 256)
+    dashed = F.upper(F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4),
+                                 F.substring(h, 17, 4), F.substring(h, 21, 12)))
+    return t.select("trans_num", flt.normalise_id(dashed).alias("id"))
+
+
+# ---------------------------------------------------------------- X17, X18
+
+@register("x17_case_text", with_cases("""
+SELECT case_id, array_to_string(txn_ids, ', ') AS txn_text,
+       upper(substr(status, 1, 1)) || substr(status, 2) AS status_text FROM cases"""))
+def x17_case_text(spark, sf_dir):
+    """Id arrays as text and prettified labels."""
+    c = cases(spark, sf_dir)
+    return c.select("case_id", display.join_ids("txn_ids").alias("txn_text"),
+                    display.pretty_name("status").alias("status_text"))
+
+
+@register("x18_money_text", with_txn("""
+SELECT trans_num, format('{:,.2f}', amt) AS amount_text FROM txn"""))
+def x18_money_text(spark, sf_dir):
+    """Amounts with two decimals and thousands separators."""
+    t = txn(spark, sf_dir)
+    return t.select("trans_num", display.money("amt").alias("amount_text"))
