@@ -315,3 +315,21 @@ def m01_feature_summary(spark, sf_dir):
     return long.groupBy("feature").agg(r6(F.min("z")).alias("min_value"), r6(F.max("z")).alias("max_value"),
                                        r6(F.avg(F.col("z") * F.col("z"))).alias("mean_square"),
                                        F.count(F.lit(1)).alias("n"))
+
+
+@register("x14_hour_category_interaction", with_txn("""
+, s AS (SELECT avg(hour(trans_ts)) AS m, stddev_samp(hour(trans_ts)) AS sd FROM txn),
+z AS (SELECT category, (hour(trans_ts) - s.m) / CASE WHEN s.sd = 0 THEN 1 ELSE s.sd END AS zh FROM txn, s)
+SELECT 'hour_x_category_' || c.v AS feature, round(sum(CASE WHEN z.category = c.v THEN zh ELSE 0 END), 4) AS total,
+       round(max(CASE WHEN z.category = c.v THEN zh ELSE 0 END), 6) AS max_value
+FROM z CROSS JOIN (SELECT DISTINCT category AS v FROM txn) c GROUP BY 1"""))
+def x14_hour_category_interaction(spark, sf_dir):
+    """X14 as intended: hour standardised with the sample deviation, times
+    each category indicator."""
+    t = txn(spark, sf_dir).withColumn("txn_hour", F.hour("trans_ts"))
+    levels = fe.value_counts(t, ["category"])["category"][1]
+    out = fe.scaled_hour_interactions(t, levels)
+    cols = [c for c in out.columns if c.startswith("hour_x_category_")]
+    long = out.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("z"))
+                                          for c in cols])).alias("p")).select("p.*")
+    return long.groupBy("feature").agg(F.round(F.sum("z"), 4).alias("total"), r6(F.max("z")).alias("max_value"))

@@ -220,3 +220,51 @@ def x18_money_text(spark, sf_dir):
     """Amounts with two decimals and thousands separators."""
     t = txn(spark, sf_dir)
     return t.select("trans_num", display.money("amt").alias("amount_text"))
+
+
+@register("p03_two_fields", with_cases("SELECT trans_ts, is_fraud FROM cases"))
+def p03_two_fields(spark, sf_dir):
+    """Include projection (the case series reads two fields only)."""
+    return cases(spark, sf_dir).select("trans_ts", "is_fraud")
+
+
+@register("x19_stable_ids", with_txn("""
+SELECT count(DISTINCT substr(sha256(concat_ws('|', trans_num, CAST(cc_num AS VARCHAR))), 1, 32)) AS n_ids,
+       count(*) AS n FROM txn"""))
+def x19_stable_ids(spark, sf_dir):
+    """Repeatable 32-hex ids for new transactions (the random variant,
+    ``display.random_id``, is not repeatable and so not checked)."""
+    t = txn(spark, sf_dir).select(display.stable_id("trans_num", "cc_num").alias("id"))
+    return t.agg(F.count_distinct("id").alias("n_ids"), F.count(F.lit(1)).alias("n"))
+
+
+@register("f11_invalid_status", with_cases("""
+SELECT case_id, status FROM (
+  SELECT case_id, CASE WHEN case_id % 1000 = 0 THEN 'escalated' ELSE status END AS status FROM cases)
+WHERE status NOT IN ('open', 'investigating', 'closed') OR status IS NULL"""))
+def f11_invalid_status(spark, sf_dir):
+    """F11 on data: cases whose status is outside the allowed set (a few
+    statuses are rewritten to an unknown value to exercise the check)."""
+    from cardsight.constants import CASE_STATUSES
+    c = cases(spark, sf_dir).withColumn(
+        "status", F.when(F.col("case_id") % 1000 == 0, F.lit("escalated")).otherwise(F.col("status")))
+    return flt.invalid_rows(c, "status", CASE_STATUSES).select("case_id", "status")
+
+
+@register("f14_nonzero_shares", with_cases("""
+, r AS (SELECT count(*) FILTER (WHERE is_fraud = 1) AS f, count(*) FILTER (WHERE is_fraud = 0) AS nf FROM cases
+        WHERE state = 'NATION_3' AND is_fraud = 1)
+SELECT name, value FROM (
+  SELECT 'fraud' AS name, round(CASE WHEN f + nf = 0 THEN 0.0 ELSE f / (f + nf) * 100 END, 6) AS value FROM r
+  UNION ALL SELECT 'non_fraud', round(CASE WHEN f + nf = 0 THEN 0.0 ELSE nf / (f + nf) * 100 END, 6) FROM r)
+WHERE value > 0"""))
+def f14_nonzero_shares(spark, sf_dir):
+    """pie slices of the success rate with zero shares dropped (here
+    a state's confirmed cases: the non-fraud share is zero)."""
+    from cardsight.operators import reports as rep
+    c = cases(spark, sf_dir).filter((F.col("state") == "NATION_3") & (F.col("is_fraud") == 1))
+    rate = rep.success_rate(c)
+    slices = rate.select(F.explode(F.array(
+        F.struct(F.lit("fraud").alias("name"), r6(F.col("fraud_percentage")).alias("value")),
+        F.struct(F.lit("non_fraud").alias("name"), r6(F.col("non_fraud_percentage")).alias("value")))).alias("s"))
+    return flt.drop_zero(slices.select("s.*"), "value")
