@@ -92,7 +92,7 @@ def a11_category_shares(spark, sf_dir):
 
 DASH_SQL = f"""
 SELECT * FROM (SELECT * FROM ({FILTER_SQL}) ORDER BY trans_ts DESC, trans_num LIMIT 1000)
-WHERE contains(lower(merchant), lower('Supplier#00000000'))
+WHERE contains(lower(merchant), lower('supplier#00000002'))
   AND contains(lower(state), lower('nation_1'))
   AND amt >= 5000.0
   AND trans_ts >= TIMESTAMP '1997-01-01 00:00:00' AND trans_ts <= TIMESTAMP '1999-03-31 00:00:00'
@@ -100,7 +100,7 @@ WHERE contains(lower(merchant), lower('Supplier#00000000'))
 
 
 def dashboard_rows(spark, sf_dir):
-    return rep.dashboard_pass(analysis_rows(spark, sf_dir, limit=1000), merchant="Supplier#00000000",
+    return rep.dashboard_pass(analysis_rows(spark, sf_dir, limit=1000), merchant="supplier#00000002",
                               state="nation_1", min_amount=5000.0, start_date="1997-01-01", end_date="1999-03-31")
 
 
