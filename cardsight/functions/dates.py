@@ -29,11 +29,41 @@ def _two_digit_year(fmt: str) -> bool:
     return "yy" in stripped
 
 
+def shape_regex(fmt: str) -> str:
+    """A regular expression every text accepted by ``fmt`` must match:
+    ``M d H h`` are 1-2 digits, doubled letters 2 digits, ``yy`` exactly 2,
+    ``yyyy`` 4 or more, ``a`` two letters; other characters are literal.
+    Used as a cheap guard so the parser only sees plausible texts (a failed
+    parse is far costlier than a regex test); it never rejects a text the
+    format accepts."""
+    import re
+    out, i = ["^"], 0
+    while i < len(fmt):
+        ch = fmt[i]
+        j = i
+        while j < len(fmt) and fmt[j] == ch:
+            j += 1
+        run = j - i
+        if ch == "y":
+            out.append(r"\d{2}" if run == 2 else r"\d{4,}")
+        elif ch in "MdHhms":
+            out.append(r"\d{1,2}" if run == 1 else r"\d{%d}" % run)
+        elif ch == "a":
+            out.append("[A-Za-z]{2}")
+        else:
+            out.append(re.escape(ch) * run)
+        i = j
+    out.append("$")
+    return "".join(out)
+
+
 def parse_with(col, fmt: str) -> Column:
     """Text -> TIMESTAMP_NTZ with one format, null when it does not
     parse. For a two-digit-year format, years past the pivot move back a
     century (so ``1/1/90`` is 1990 and ``1/1/55`` stays 2055)."""
-    ts = F.try_to_timestamp(_c(col), F.lit(fmt)).cast("timestamp_ntz")
+    text = _c(col)
+    ts = F.when(text.rlike(shape_regex(fmt)),
+                F.try_to_timestamp(text, F.lit(fmt))).cast("timestamp_ntz")
     if _two_digit_year(fmt):
         ts = F.when(F.year(ts) > F.lit(TWO_DIGIT_YEAR_PIVOT),
                     F.timestamp_add("YEAR", F.lit(-100), ts)).otherwise(ts)

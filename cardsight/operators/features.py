@@ -271,8 +271,15 @@ def fit_features(raw: DataFrame, parse: bool = True, mode: str = "column", exact
     ex = votes.pop("_extra")
     prior = float(ex["prior"])
     sizes = {"te": int(ex.get("merchant") or 0) * 2 + 1, "state": int(ex.get("state") or 0) * 2 + 1}
+    # The fitted lookups are small (one row per merchant / state): written
+    # once to the checkpoint folder instead of re-aggregating the raw feed
+    # every time fit, transform or scoring joins them.
+    from cardsight.session import checkpoint_dir
+    checkpoint_dir(raw.sparkSession)
     te_table, _ = fit_target_encoder(raw, prior=prior)
-    state_rates = rate_table(raw, "state", name="state_rate") if "state" in raw.columns else None
+    te_table = te_table.checkpoint(eager=True)
+    state_rates = rate_table(raw, "state", name="state_rate").checkpoint(eager=True) \
+        if "state" in raw.columns else None
     cats = value_counts(raw, ["category"])["category"][1] if "category" in raw.columns else []
     if not (parse and mode == "column"):
         votes = None
