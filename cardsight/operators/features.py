@@ -190,6 +190,7 @@ class FeatureModel:
     cat_levels: dict[str, list[str]]
     votes: dict = field(default_factory=dict)
     sizes: dict = field(default_factory=dict)
+    engineered: DataFrame | None = None
 
     @property
     def feature_names(self) -> list[str]:
@@ -250,7 +251,7 @@ def split_types(df: DataFrame, exclude=(LABEL,)) -> tuple[list[str], list[str]]:
 
 
 def fit_features(raw: DataFrame, parse: bool = True, mode: str = "column", exact: bool = True,
-                 drop_first=SAMPLER_DROP_COLS) -> FeatureModel:
+                 drop_first=SAMPLER_DROP_COLS, keep_engineered: bool = False) -> FeatureModel:
     """Fit M1 on a raw training frame (unbalanced, with labels).
 
     Passes over the data: one for the merchant encoding, the state rates and
@@ -284,7 +285,12 @@ def fit_features(raw: DataFrame, parse: bool = True, mode: str = "column", exact
     if not (parse and mode == "column"):
         votes = None
     eng = engineered(raw, te_table, prior, cats, parse=parse, mode=mode, votes=votes, te_size=sizes["te"])
-    eng = eng.persist(StorageLevel.MEMORY_AND_DISK)
+    if keep_engineered:
+        # Written once to the shared checkpoint folder: the statistics below
+        # and ``fit_transform`` read it instead of parsing the feed again.
+        eng = eng.checkpoint(eager=True)
+    else:
+        eng = eng.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         num_cols, cat_cols = split_types(eng)
         row = eng.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(f"n_{c}") for c in num_cols],
@@ -306,9 +312,13 @@ def fit_features(raw: DataFrame, parse: bool = True, mode: str = "column", exact
         cat_modes = {c: vc[c][0] for c in cat_cols}
         levels = {c: vc[c][1] for c in cat_cols}
     finally:
-        eng.unpersist()
-    return FeatureModel(te_table, prior, state_rates, prior, cats, num_cols, cat_cols,
-                        medians, means, stds, cat_modes, levels, votes=votes or {}, sizes=sizes)
+        if not keep_engineered:
+            eng.unpersist()
+    model = FeatureModel(te_table, prior, state_rates, prior, cats, num_cols, cat_cols,
+                         medians, means, stds, cat_modes, levels, votes=votes or {}, sizes=sizes)
+    if keep_engineered:
+        model.engineered = eng
+    return model
 
 
 def scale(col: str, model: FeatureModel) -> Column:
@@ -343,6 +353,12 @@ def transform(df: DataFrame, model: FeatureModel, parse: bool = True, mode: str
     votes = model.votes if reuse_votes else None
     eng = engineered(df, model.te_table, model.prior, model.interaction_categories, parse=parse, mode=mode,
                      votes=votes, te_size=model.sizes.get("te"))
+    return finish(eng, model, with_label, state_risk)
+
+
+def finish(eng: DataFrame, model: FeatureModel, with_label: bool = True, state_risk: bool = True) -> DataFrame:
+    """Imputation, scaling, one-hot columns and the state risk on an
+    engineered frame."""
     for c in model.num_cols + model.cat_cols:
         if c not in eng.columns:
             eng = eng.withColumn(c, F.lit(None).cast("double" if c in model.num_cols else "string"))
@@ -358,6 +374,14 @@ def transform(df: DataFrame, model: FeatureModel, parse: bool = True, mode: str
     return out
 
 
+def fit_transform(raw: DataFrame, parse: bool = True, mode: str = "column",
+                  exact: bool = True) -> tuple[FeatureModel, DataFrame]:
+    """M1 in training mode: fit, and the training rows' features from the
+    same (checkpointed) engineered frame."""
+    model = fit_features(raw, parse=parse, mode=mode, exact=exact, keep_engineered=True)
+    return model, finish(model.engineered, model)
+
+
 def align(df: DataFrame, expected: list[str], fill_type: str = "double") -> DataFrame:
     """Expected columns in order; missing ones null, extra ones dropped."""
     present = set(df.columns)

@@ -16,6 +16,17 @@ from cardsight.session import checkpoint_dir
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition id << 33 | row index
 
 
+def _materialise(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the shared folder. The frame is persisted
+    first so the checkpoint write reads the computed partitions instead of
+    recomputing them; the cache is dropped once the files exist."""
+    cached = df.persist()
+    try:
+        return cached.checkpoint(eager=True)
+    finally:
+        cached.unpersist()
+
+
 def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
     if num_partitions:
         return num_partitions
@@ -41,7 +52,7 @@ def global_row_number(df: DataFrame, order_cols, name: str = "rn",
     numbered = (df.repartitionByRange(n, *cols)
                   .sortWithinPartitions(*cols)
                   .withColumn("_cs_mid", F.monotonically_increasing_id()))
-    numbered = numbered.checkpoint(eager=True)
+    numbered = _materialise(numbered)
     part = F.shiftright(F.col("_cs_mid"), _LOCAL_BITS)
     local = F.col("_cs_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
     numbered = numbered.withColumn("_cs_pid", part).withColumn("_cs_local", local)
@@ -71,9 +82,7 @@ def global_running_sums(df: DataFrame, order_cols, sum_cols: list[str], suffix:
     checkpoint_dir(df.sparkSession)
     cols = _sort_cols(order_cols)
     n = _num_partitions(df, num_partitions)
-    ranged = (df.repartitionByRange(n, *cols)
-                .withColumn("_cs_pid", F.spark_partition_id())
-                .checkpoint(eager=True))
+    ranged = _materialise(df.repartitionByRange(n, *cols).withColumn("_cs_pid", F.spark_partition_id()))
     part_sums = ranged.groupBy("_cs_pid").agg(*[F.sum(c).alias(f"_cs_t_{c}") for c in sum_cols])
     prev = Window.orderBy("_cs_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = part_sums.select("_cs_pid", *[

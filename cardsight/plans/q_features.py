@@ -306,8 +306,7 @@ def m01_feature_summary(spark, sf_dir):
     """M1 end to end on a raw feed with text times: fit, transform, then per
     output column min, max, mean square and row count."""
     raw = _text(spark, sf_dir, 50)
-    model = fe.fit_features(raw)
-    out = fe.transform(raw, model, reuse_votes=True)
+    _, out = fe.fit_transform(raw)
     cols = [c for c in out.columns if c.startswith(("num__", "cat__")) or c == "state_risk"]
     long = out.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("z")) for c in cols])).alias("p")) \

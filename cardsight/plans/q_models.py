@@ -34,10 +34,10 @@ def _trained(spark, sf_dir):
     if key not in _MEMO:
         checkpoint_dir(spark)
         train_raw, test_raw = _split_text(spark, sf_dir)
-        fm = fe.fit_features(train_raw)
         # Feature tables are written once (checkpoint folder) and reused by
         # the model fits, the ensemble and the federated rounds.
-        train = fe.transform(train_raw, fm, reuse_votes=True).checkpoint(eager=True)
+        fm, train = fe.fit_transform(train_raw)
+        train = train.checkpoint(eager=True)
         test = fe.transform(test_raw, fm).checkpoint(eager=True)
         models = ml.train_state_models(train, parallelism=8)
         _MEMO[key] = (fm, train, models, test)
