@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardsight.operators.rank import global_row_number
@@ -72,11 +72,17 @@ def insert_if_absent(table: DataFrame, rows: DataFrame, key: str | list[str]) ->
 
 def latest_decisions(decisions: DataFrame, order_col: str | None = "decided_at") -> DataFrame:
     """One decision per transaction id, the latest one wins (ties by
-    status, verdict for determinism)."""
+    status, verdict). An aggregation (``min_by`` on a sort key), so a
+    transaction with very many decisions is combined map-side, not held in
+    one window task."""
     if order_col is None or order_col not in decisions.columns:
-        return decisions.dropDuplicates(["txn_id"])
-    w = Window.partitionBy("txn_id").orderBy(F.desc(order_col), F.asc("status"), F.asc("verdict"))
-    return decisions.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") == 1).drop("_rk")
+        return decisions.groupBy("txn_id").agg(F.min(F.struct("status", "verdict")).alias("_d")) \
+                        .select("txn_id", "_d.status", "_d.verdict")
+    order_key = F.struct((-F.unix_micros(F.col(order_col).cast("timestamp"))).alias("t"),
+                         F.col("status").alias("s"), F.col("verdict").alias("v"))
+    best = decisions.groupBy("txn_id").agg(
+        F.min_by(F.struct(*[F.col(c) for c in decisions.columns if c != "txn_id"]), order_key).alias("_d"))
+    return best.select("txn_id", "_d.*")
 
 
 def case_decisions(cases: DataFrame, decisions: DataFrame) -> DataFrame:

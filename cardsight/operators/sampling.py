@@ -82,14 +82,40 @@ def rebalance(df: DataFrame, over: float = OVERSAMPLE_RATIO, under: float = UNDE
     return undersample(grown, under, key, seed, label, after)
 
 
+def _unit(key: str, seed: int, salt: int):
+    """A seeded hash of the key mapped monotonically to [0, 1)."""
+    return (_hash(key, seed, salt).cast("double") + F.lit(9.223372036854776e18)) / F.lit(1.8446744073709552e19)
+
+
 def per_group_sample(df: DataFrame, group: str = "state", n: int = TUNING_SAMPLE_ROWS, key: str = "trans_num",
                      seed: int = TUNING_SEED) -> DataFrame:
-    """U4: at most ``n`` rows per group, chosen by seeded hash. The
-    ``row_number() <= n`` filter runs as a window group limit: each map task
-    forwards at most ``n`` rows per group, so a hot group costs
-    ``n x partitions`` rows in its final task, not the group's size."""
-    w = Window.partitionBy(group).orderBy(_hash(key, seed, 3), F.col(key))
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+    """U4: the first ``n`` rows of every group in seeded-hash order (all rows
+    of smaller groups).
+
+    A plain ``row_number()`` window per group would sort a hot group in one
+    task. Instead: per-group counts (one row per group) give each group a
+    cutoff on the uniform hash so that about ``n + 10 sqrt(n) + 100`` rows
+    pass; only those candidates are ranked, so every window task holds about
+    ``n`` rows whatever the group size. A group with too few candidates (a
+    vanishing chance) is retried with a wider cutoff, so the result is
+    exact."""
+    from cardsight.operators.features import join_lookup
+    u = _unit(key, seed, 3)
+    counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("_g_n"))
+    want = float(n) + 10.0 * float(n) ** 0.5 + 100.0
+    base = df.withColumn("_u", u)
+    widen = 1.0
+    while True:
+        cut = counts.withColumn("_cut", F.least(F.lit(1.0), F.lit(want * widen) / F.col("_g_n")))
+        cand = join_lookup(base, cut, group, how="inner").filter(F.col("_u") < F.col("_cut"))
+        short = (cand.groupBy(group).agg(F.count(F.lit(1)).alias("_c"), F.first("_g_n").alias("_g_n"))
+                 .filter(F.col("_c") < F.least(F.col("_g_n"), F.lit(n))).limit(1).take(1))
+        if not short:
+            break
+        widen *= 4.0
+    w = Window.partitionBy(group).orderBy("_u", key)
+    return (cand.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
+            .drop("_rn", "_u", "_cut", "_g_n"))
 
 
 def with_folds(df: DataFrame, k: int, key: str = "trans_num", seed: int = TUNING_SEED,
