@@ -166,3 +166,12 @@ def m07_federated_logistic(spark, sf_dir):
     rounds, half the states per round."""
     _, train, _, _ = _trained(spark, sf_dir)
     return ml.federated_logistic(train, rounds=10, fraction=0.5)
+
+
+@register("m03_tuning")
+def m03_tuning(spark, sf_dir):
+    """M3: per-state grid search (5 hash folds, precision of the fraud
+    class) on each state's at most 10,000-row training sample."""
+    _, train, _, _ = _trained(spark, sf_dir)
+    rows = ml.tune_per_state(train, parallelism=8)
+    return spark.createDataFrame(rows, "state string, best_params string, best_metric double, n_rows long")
