@@ -190,10 +190,11 @@ def class_balance(df: DataFrame, key: str = "state", label: str = LABEL) -> Data
 
 
 def state_weights(df: DataFrame, key: str = "state") -> DataFrame:
-    """Per-key row count normalised to sum to 1 (window over one row per
-    key)."""
+    """Per-key row count normalised to sum to 1. The total is one
+    scalar aggregate, so any number of keys stays distributed."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
-    return counts.withColumn("weight", F.col("n_rows") / F.sum("n_rows").over(Window.partitionBy()))
+    total = df.agg(F.count(F.lit(1))).first()[0] or 0
+    return counts.withColumn("weight", F.col("n_rows") / F.lit(float(total) if total else None))
 
 
 # ---------------------------------------------------------------- listings
