@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from cardsight.constants import HIGH_CARD_COLS, SAMPLER_DROP_COLS, TE_MIN_SAMPLES_LEAF, TE_SMOOTHING
 from cardsight.functions import dates
 from cardsight.operators.filters import require_parsed
-from cardsight.operators.rank import global_row_number
+from cardsight.operators.rank import global_row_number, global_running_sums
 
 LABEL = "is_fraud"
 # Lookups with at most this many rows are broadcast; larger ones are
@@ -104,10 +104,12 @@ def decode(df: DataFrame, codes: DataFrame, column: str, code: str | None = None
 
 def exact_medians(df: DataFrame, columns: list[str],
                   counts: dict[str, int] | None = None) -> dict[str, float | None]:
-    """Exact medians of several columns in one distributed sort: values are
-    unpivoted to (feature, value), numbered in (feature, value) order by the
-    range-partitioned row number, and the middle one or two rows of each
-    feature are averaged. Only ``2 x len(columns)`` values reach the driver.
+    """Exact medians of several columns without sorting every value:
+    (feature, value) pairs are counted first (partial aggregation collapses
+    repeated values -- hours, ages, the many zeros of interaction columns),
+    then a range-partitioned running sum over the distinct values gives each
+    value's rank interval, and the one or two values covering the middle
+    ranks are averaged. Only ``2 x len(columns)`` values reach the driver.
     ``counts`` (non-null values per column) saves a pass when known."""
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns
@@ -121,22 +123,29 @@ def exact_medians(df: DataFrame, columns: list[str],
     for c in sorted(columns):
         start[c] = acc
         acc += counts[c]
-    ranked = global_row_number(long, ["feature", "value"], name="rn")
+    valued = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c"))
+    cum = global_running_sums(valued, ["feature", "value"], ["c"])
     wanted = []
     for c in columns:
         n = counts[c]
         if n == 0:
             continue
-        lo, hi = (n + 1) // 2, (n + 2) // 2
-        wanted.append((F.col("feature") == c) & F.col("rn").isin(start[c] + lo, start[c] + hi))
+        for r in {start[c] + (n + 1) // 2, start[c] + (n + 2) // 2}:
+            # the value whose rank run (c_cum - c, c_cum] holds global rank r
+            wanted.append((F.col("feature") == c) & (F.col("c_cum") - F.col("c") < r) & (F.col("c_cum") >= r))
     if not wanted:
         return {c: None for c in columns}
     cond = wanted[0]
     for w in wanted[1:]:
         cond = cond | w
-    mid = ranked.filter(cond).groupBy("feature").agg(F.avg("value").alias("median"))
-    found = {r["feature"]: r["median"] for r in mid.collect()}
-    return {c: found.get(c) for c in columns}
+    hits: dict[str, list[float]] = {}
+    for r in cum.filter(cond).select("feature", "value").collect():
+        hits.setdefault(r["feature"], []).append(r["value"])
+    out = {}
+    for c in columns:
+        vals = sorted(hits.get(c, []))
+        out[c] = None if not vals else (vals[0] + vals[-1]) / 2.0
+    return out
 
 
 def approx_medians(df: DataFrame, columns: list[str], accuracy: int = 10000) -> dict[str, float | None]:
