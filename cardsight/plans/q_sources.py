@@ -268,3 +268,20 @@ def f14_nonzero_shares(spark, sf_dir):
         F.struct(F.lit("fraud").alias("name"), r6(F.col("fraud_percentage")).alias("value")),
         F.struct(F.lit("non_fraud").alias("name"), r6(F.col("non_fraud_percentage")).alias("value")))).alias("s"))
     return flt.drop_zero(slices.select("s.*"), "value")
+
+
+@register("f12_completeness", with_txn("""
+, incoming AS (SELECT trans_num, CASE WHEN cc_num % 13 = 0 THEN '' ELSE merchant END AS merchant,
+                      CASE WHEN cc_num % 17 = 0 THEN 0.0 ELSE amt END AS amt, category FROM txn)
+SELECT CASE WHEN merchant IS NULL OR merchant = '' OR amt IS NULL OR amt = 0 OR category IS NULL OR category = ''
+            THEN 'rejected' ELSE 'accepted' END AS outcome, count(*) AS n
+FROM incoming GROUP BY 1"""))
+def f12_completeness(spark, sf_dir):
+    """an incoming row with an empty text or a zero amount is
+    rejected (blank merchants and zero amounts injected into the feed)."""
+    t = txn(spark, sf_dir).select(
+        "trans_num", F.when(F.col("cc_num") % 13 == 0, F.lit("")).otherwise(F.col("merchant")).alias("merchant"),
+        F.when(F.col("cc_num") % 17 == 0, F.lit(0.0)).otherwise(F.col("amt")).alias("amt"), "category")
+    ok, bad = flt.split_complete(t, ["merchant", "amt", "category"])
+    return ok.agg(F.count(F.lit(1)).alias("n")).select(F.lit("accepted").alias("outcome"), "n").unionByName(
+        bad.agg(F.count(F.lit(1)).alias("n")).select(F.lit("rejected").alias("outcome"), "n"))
