@@ -263,11 +263,12 @@ def fit_features(raw: DataFrame, parse: bool = True, mode: str = "column", exact
                  drop_first=SAMPLER_DROP_COLS, keep_engineered: bool = False) -> FeatureModel:
     """Fit M1 on a raw training frame (unbalanced, with labels).
 
-    Passes over the data: one for the merchant encoding, the state rates and
-    the interaction categories together with the format vote; the
-    engineered frame is then persisted (memory and disk; lost blocks are
-    recomputed from lineage) for one statistics pass, one distributed sort
-    for exact medians, and one grouped count for modes and levels."""
+    Passes over the raw feed: one aggregation for the format votes, the
+    prior and the lookup sizes; one grouped pass for all lookups (merchant
+    encoder statistics, state rates, category levels); one to build the
+    engineered frame, which is then checkpointed (``keep_engineered``) or
+    persisted for one statistics pass, the exact medians and one grouped
+    count for modes and levels."""
     from pyspark import StorageLevel
     raw = raw.drop(*[c for c in drop_first if c in raw.columns and c != "trans_num"], "fraud_score")
     # One pass: format votes, the prior, and (approximate) lookup sizes --
@@ -281,16 +282,39 @@ def fit_features(raw: DataFrame, parse: bool = True, mode: str = "column", exact
     ex = votes.pop("_extra")
     prior = float(ex["prior"])
     sizes = {"te": int(ex.get("merchant") or 0) * 2 + 1, "state": int(ex.get("state") or 0) * 2 + 1}
-    # The fitted lookups are small (one row per merchant / state): written
-    # once to the checkpoint folder instead of re-aggregating the raw feed
-    # every time fit, transform or scoring joins them.
+    # The fitted lookups -- merchant encoder statistics, state rates and the
+    # category levels -- come from ONE grouped pass over (lookup, key) pairs,
+    # written once to the checkpoint folder (one row per merchant / state /
+    # category) instead of re-aggregating the raw feed for each of them.
     from cardsight.session import checkpoint_dir
     checkpoint_dir(raw.sparkSession)
-    te_table, _ = fit_target_encoder(raw, prior=prior)
-    te_table = te_table.checkpoint(eager=True)
-    state_rates = rate_table(raw, "state", name="state_rate").checkpoint(eager=True) \
-        if "state" in raw.columns else None
-    cats = value_counts(raw, ["category"])["category"][1] if "category" in raw.columns else []
+    keyed = [k for k in ("merchant", "state", "category") if k in raw.columns]
+    lookups = None
+    if keyed:
+        pairs = raw.select(F.col(LABEL), F.explode(F.array(*[
+            F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("key")) for k in keyed])).alias("p")) \
+            .select("p.kind", "p.key", LABEL)
+        lookups = (pairs.groupBy("kind", "key")
+                   .agg(F.count(F.lit(1)).alias("n"), F.avg(LABEL).alias("mean"))
+                   .checkpoint(eager=True))
+
+    def _lookup(kind: str) -> DataFrame:
+        return lookups.filter((F.col("kind") == kind) & F.col("key").isNotNull()).withColumnRenamed("key", kind)
+
+    if "merchant" in keyed:
+        lam = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("n") - F.lit(TE_MIN_SAMPLES_LEAF)) / F.lit(float(TE_SMOOTHING))))
+        te_table = _lookup("merchant").select(
+            "merchant", "n", "mean", (F.lit(prior) * (F.lit(1.0) - lam) + F.col("mean") * lam).alias("encoding"))
+    else:
+        te_table, _ = fit_target_encoder(raw, prior=prior)
+    state_rates = _lookup("state").select("state", F.col("mean").alias("state_rate")) if "state" in keyed else None
+    if "category" in keyed:
+        cat_rows = _lookup("category").select("category").limit(MAX_ONE_HOT + 1).collect()
+        if len(cat_rows) > MAX_ONE_HOT:
+            raise ValueError("category has too many levels for one-hot columns")
+        cats = sorted(r["category"] for r in cat_rows)
+    else:
+        cats = []
     if not (parse and mode == "column"):
         votes = None
     eng = engineered(raw, te_table, prior, cats, parse=parse, mode=mode, votes=votes, te_size=sizes["te"])

@@ -308,12 +308,18 @@ def m01_feature_summary(spark, sf_dir):
     raw = _text(spark, sf_dir, 50)
     _, out = fe.fit_transform(raw)
     cols = [c for c in out.columns if c.startswith(("num__", "cat__")) or c == "state_risk"]
-    long = out.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("z")) for c in cols])).alias("p")) \
-        .select("p.*")
-    return long.groupBy("feature").agg(r6(F.min("z")).alias("min_value"), r6(F.max("z")).alias("max_value"),
-                                       r6(F.avg(F.col("z") * F.col("z"))).alias("mean_square"),
-                                       F.count(F.lit(1)).alias("n"))
+    # One wide aggregation over the feature table (three statistics per
+    # column), then the single result row is unpivoted: no per-value explode.
+    aggs = []
+    for i, c in enumerate(cols):
+        z = F.col(c).cast("double")
+        aggs += [F.min(z).alias(f"a{i}"), F.max(z).alias(f"b{i}"), F.avg(z * z).alias(f"q{i}")]
+    wide = out.agg(F.count(F.lit(1)).alias("n"), *aggs)
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"a{i}").alias("lo"), F.col(f"b{i}").alias("hi"),
+                               F.col(f"q{i}").alias("sq")) for i, c in enumerate(cols)])
+    long = wide.select("n", F.explode(cells).alias("p")).select("n", "p.*")
+    return long.select("feature", r6(F.col("lo")).alias("min_value"), r6(F.col("hi")).alias("max_value"),
+                       r6(F.col("sq")).alias("mean_square"), "n")
 
 
 @register("x14_hour_category_interaction", with_txn("""
