@@ -9,7 +9,7 @@ from cardsight.session import apply_sql_conf
 from cardsight.sources import tables
 
 # Query parameters used on the test data (chosen to select a real subset).
-MERCHANT_PATTERN = "supplier#0000000[1-5]"
+MERCHANT_PATTERN = "supplier#0+[1-5]"
 MIN_AMOUNT = 1000.0
 MAX_AMOUNT = 60000.0
 START_DATE = "1996-01-01"
