@@ -79,3 +79,22 @@ def test_case_ids_are_dense(spark):
     r = c.agg(F.min("case_id").alias("lo"), F.max("case_id").alias("hi"),
               F.count_distinct("case_id").alias("d")).first()
     assert (r.lo, r.hi, r.d) == (1, n, n)
+
+
+def test_per_group_sample_equals_brute_force_window(spark):
+    t = txn(spark, SF_SMALL).select("trans_num", "state")
+    n = 7
+    mine = sampling.per_group_sample(t, "state", n).select("trans_num")
+    w = Window.partitionBy("state").orderBy(sampling._unit("trans_num", 42, 3), "trans_num")
+    ref = t.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n).select("trans_num")
+    assert mine.count() == ref.count()
+    assert mine.exceptAll(ref).count() == 0 and ref.exceptAll(mine).count() == 0
+
+
+def test_latest_decision_aggregation_matches_window(spark):
+    rows = [("a", "investigating", "status", 1), ("a", "closed", "confirm", 3), ("b", "closed", "not_fraud", 2),
+            ("b", "open", "status", 2), ("c", "closed", "confirm", 5)]
+    d = spark.createDataFrame(rows, "txn_id string, status string, verdict string, t int") \
+             .withColumn("decided_at", F.timestamp_seconds(F.col("t")).cast("timestamp_ntz")).drop("t")
+    got = {r.txn_id: (r.status, r.verdict) for r in cmd.latest_decisions(d).collect()}
+    assert got == {"a": ("closed", "confirm"), "b": ("closed", "not_fraud"), "c": ("closed", "confirm")}
