@@ -5,15 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardsight.llm import packing, quality, sharding, tokens
+from cardsight.llm import mixing, packing, pii, quality, secrets, sharding, tokens
 from cardsight.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
+# The key of the pseudonyms over the test tables; a deployment passes its own secret to the operator.
+PSEUDONYM_KEY = b"cardsight-test-tables"
+
 
 def register(name: str, sql: str | None = None):
     def deco(fn):
@@ -24,6 +27,13 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+@register("op1_secret_scan")
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents; a source is an owner, its texts in one language a repository."""
+    return secrets.scan(read_table(spark, sf_dir, "documents"), owner="source",
+                        repo=F.concat_ws("/", "source", "lang"))
+
+
 @register("op2_packing")
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in windows of 4096 ids, with a digest of each piece's ids."""
@@ -32,6 +42,31 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "offset")
 
 
+@register("op5_pii")
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with personal numbers, dates and addresses replaced, and how many of each kind."""
+    return pii.pseudonymize(read_table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY, counts=True)
+
+
+def document_levels() -> dict[str, Column]:
+    """The tree over documents: five sources make a domain; then language, then source."""
+    number = F.regexp_extract("source", "([0-9]+)$", 1).cast("int")
+    return {"domain": F.concat(F.lit("domain"), F.floor(number / 5).cast("string")), "lang": F.col("lang"),
+            "source": F.col("source")}
+
+
+# Target weights by path; nodes not named here have weight 1.
+MIX_WEIGHTS = {("domain0",): 2.0, ("domain1",): 1.0, ("domain0", "en"): 2.0, ("domain1", "en"): 2.0,
+               ("domain2", "en"): 2.0, ("domain3", "en"): 2.0}
+
+
+@register("op6_mixing")
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents mixed to the target weights: 80 % of the corpus's tokens, in at most two epochs."""
+    mixed = mixing.mix(read_table(spark, sf_dir, "documents"), document_levels(), 0.8, MIX_WEIGHTS, max_epochs=2)
+    return mixed.select("row.doc_id", "domain", "lang", "source", "epoch", "n_tokens")
+
+
 @register("op8_sharding")
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 8 shards by the hash tree, and where each goes with a ninth."""
