@@ -105,6 +105,10 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"], s["end"])), ",")
 
 
+def _of_kind(spans: str, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def scan(docs: DataFrame, owner: str | Column = "source", repo: str | Column = "source") -> DataFrame:
     """One row per row of ``docs``: counts and digest of the base spans, all spans, and the verdicts' counts."""
     found = cut(candidates(docs, owner, repo).withColumn("row", F.monotonically_increasing_id()))
@@ -121,6 +125,6 @@ def scan(docs: DataFrame, owner: str | Column = "source", repo: str | Column = "
         found.where(F.size("base") + F.size("wide") == 0)
         .select("doc_id", "base", F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("all"),
                 F.lit(0).cast("long").alias("n_example"), F.lit(0).cast("long").alias("n_live")))
-    each = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
+    each = [_of_kind("base", k).alias(f"n_{KINDS[k]}") for k in range(3)]
     return rows.select("doc_id", *each, F.sha2(_written(F.col("base")), 256).alias("base_sha256"),
                        _written(F.col("all")).alias("spans"), "n_example", "n_live")
