@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardsight.llm import mixing, packing, pii, quality, secrets, sharding, tokens
+from cardsight.llm import mixing, ngram_join, packing, pii, quality, secrets, sharding, tokens
 from cardsight.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +43,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "offset")
 
 
+@register("op3_ngram_jaccard_join")
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of all documents under links of their 3-word shingle sets at 90 of 100."""
+    return ngram_join.classes(read_table(spark, sf_dir, "documents"), n=3, threshold=Fraction(90, 100))
+
+
 @register("op5_pii")
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with personal numbers, dates and addresses replaced, and how many of each kind."""
