@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardsight.llm import mixing, ngram_join, packing, pii, quality, secrets, sharding, tokens
+from cardsight.llm import mixing, ngram_join, packing, pii, quality, secrets, sharding, substrings, tokens
 from cardsight.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,12 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(read_table(spark, sf_dir, "documents"), n=3, threshold=Fraction(90, 100))
 
 
+@register("op4_suffix_array_dedup")
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of all documents without the 50-byte strings that smaller ids hold."""
+    return substrings.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 @register("op5_pii")
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with personal numbers, dates and addresses replaced, and how many of each kind."""
