@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardsight.llm import mixing, ngram_join, packing, pii, quality, secrets, sharding, substrings, tokens
+from cardsight.llm import (mixing, near_vectors, ngram_join, packing, pii, quality, secrets, sharding, substrings,
+                           tokens)
 from cardsight.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +81,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("row.doc_id", "domain", "lang", "source", "epoch", "n_tokens")
 
 
+@register("op7_embedding_near_dedup")
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings of one label at cosine 0.98."""
+    return near_vectors.near_duplicates(read_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 @register("op8_sharding")
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 8 shards by the hash tree, and where each goes with a ninth."""
