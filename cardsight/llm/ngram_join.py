@@ -369,3 +369,22 @@ def classes(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(90, 100)
     rest = profiles.where("doc_id is null or n_shingles = 0").select(
         "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return some.unionByName(rest)
+
+
+def keep_one(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(80, 100)) -> DataFrame:
+    """The documents without all but the least id of each class, with all their columns.
+
+    Rows that repeat an id and its text are one document. Rows with a null id stay.
+    """
+    found = cut(classes(docs, n, threshold))
+    dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
+    again = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    kept = join_small(rows, cut(dropped), ["doc_id"], "left_anti")
+    again = cut(again)
+    if again.limit(1).count():
+        text = F.sha2(F.coalesce("row.text", F.lit("")).cast("binary"), 256)
+        once = (join_small(kept, again, ["doc_id"], "left_semi").groupBy("doc_id", text.alias("text"))
+                .agg(F.first("row").alias("row")).select("row", "doc_id"))
+        kept = join_small(kept, again, ["doc_id"], "left_anti").unionByName(once)
+    return kept.select("row.*")
