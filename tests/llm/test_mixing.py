@@ -6,7 +6,8 @@ from cardsight.llm import mixing
 
 from llm_corpora import make_docs
 
-LEVELS = {"domain": F.col("n_chars") % 3, "lang": F.col("lang"), "source": F.col("source")}
+def levels():
+    return {"domain": F.col("n_chars") % 3, "lang": F.col("lang"), "source": F.col("source")}
 
 
 def fill(budget, capacities, weights):
@@ -57,7 +58,7 @@ def test_budgets_and_prefixes(spark):
     weights = {("0",): 3.0, ("0", "fr"): 0.0, ("1", "en"): 2.0, ("2", "none", "src1"): 5.0}
     for fraction, epochs in ((0.5, 1), (0.9, 1), (1.4, 2), (5.0, 2), (0.0, 1)):
         want = budgets(leaves, fraction * total, weights, epochs)
-        got = mixing.mix(docs, LEVELS, fraction, weights, epochs).select("row.doc_id", "domain", "lang", "source", "epoch",
+        got = mixing.mix(docs, levels(), fraction, weights, epochs).select("row.doc_id", "domain", "lang", "source", "epoch",
                                                                          "n_tokens").collect()
         taken, times = {}, {}
         for r in got:
@@ -69,22 +70,22 @@ def test_budgets_and_prefixes(spark):
             if leaves[leaf]:  # a prefix: the budget is reached, and not before the last document (or equal ones)
                 have, share = sum(taken.get(leaf, [])), int(share + 1e-6)
                 assert share <= have < share + 3 * 40 and (have == 0) == (share == 0), (leaf, share, have)
-        again = mixing.mix(docs.repartition(5), LEVELS, fraction, weights, epochs)
+        again = mixing.mix(docs.repartition(5), levels(), fraction, weights, epochs)
         assert sorted((r["doc_id"], r["epoch"]) for r in again.select("row.doc_id", "epoch").collect()) == \
             sorted((r["doc_id"], r["epoch"]) for r in got)
 
 
 def test_hash_ranges_do_not_change_the_choice(spark, monkeypatch):
     _, docs = _corpus(spark)
-    one = sorted(r[0] for r in mixing.mix(docs, LEVELS, 0.5).select("row.doc_id").collect())
+    one = sorted(r[0] for r in mixing.mix(docs, levels(), 0.5).select("row.doc_id").collect())
     monkeypatch.setattr(mixing, "RANGE_ROWS", 3)
-    assert sorted(r[0] for r in mixing.mix(docs, LEVELS, 0.5).select("row.doc_id").collect()) == one
+    assert sorted(r[0] for r in mixing.mix(docs, levels(), 0.5).select("row.doc_id").collect()) == one
 
 
 def test_rows_come_back_whole(spark):
     docs = make_docs(spark, ["a b", "a b", None, ""], ids=[1, 1, None, 3])
-    mixed = mixing.mix(docs, LEVELS, 1.0).select("row.*")
+    mixed = mixing.mix(docs, levels(), 1.0).select("row.*")
     assert mixed.schema.names == docs.schema.names
     # Whole supply: everything with tokens is taken, the equal rows together.
     assert [r["doc_id"] for r in mixed.where("text = 'a b'").collect()] == [1, 1]
-    assert mixing.mix(docs.limit(0), LEVELS, 1.0).collect() == []
+    assert mixing.mix(docs.limit(0), levels(), 1.0).collect() == []
