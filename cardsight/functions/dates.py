@@ -70,12 +70,24 @@ def parse_with(col, fmt: str) -> Column:
     return ts
 
 
+_FULL_DATE = r"^\d{4}-\d{2}-\d{2}([ T].+)?$"
+
+
 def parse_service_time(col) -> Column:
-    """``yyyy-MM-dd HH:mm:ss`` first, else any ISO-8601 form; null when
-    neither parses."""
+    """``yyyy-MM-dd HH:mm:ss`` first, else another ISO-8601 form with a
+    whole date; null when neither parses."""
+    text = _c(col).cast("string")
+    return F.when(text.rlike(_FULL_DATE), F.coalesce(
+        F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz"), text.try_cast("timestamp_ntz")))
+
+
+def parse_feature_time(col) -> Column:
+    """The feature builder's fallback when no listed format fits: a time with an
+    offset is moved to UTC."""
     text = _c(col).cast("string")
-    return F.coalesce(F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz"),
-                      text.try_cast("timestamp_ntz"))
+    has_offset = text.rlike(r"([zZ]|[+-]\d{2}:?\d{2})$") & text.rlike(_FULL_DATE)
+    return F.when(has_offset, F.to_utc_timestamp(text.try_cast("timestamp"), F.current_timezone()).cast("timestamp_ntz")) \
+        .otherwise(text.try_cast("timestamp_ntz"))
 
 
 @dataclass
@@ -93,30 +105,25 @@ class FormatVote:
 def vote_formats(df: DataFrame, spec: dict[str, list[str]],
                  stop_share: float = FORMAT_STOP_SHARE, extra_aggs: dict | None = None) -> dict[str, FormatVote]:
     """A17 for several columns in one aggregation pass: count unparsed rows
-    for every candidate format of every column, then pick per column as the
-    sequential rule does -- formats are tried in order, a strictly better one
-    replaces the best so far, and the search stops at the first format with
-    at most ``stop_share`` failures. When every format fails on every row the
-    generic parser is used. ``extra_aggs`` (name -> aggregate column) ride
+    for every candidate format of every column, then pick per column the first
+    format with at most ``stop_share`` failures, else the one with the fewest
+    (the first of these). When it fails on every row the generic parser is used. ``extra_aggs`` (name -> aggregate column) ride
     along in the same pass; their values are returned under ``"_extra"``."""
     aggs = [F.count(F.lit(1)).alias("_rows")]
     aggs += [agg.alias(f"_x_{name}") for name, agg in (extra_aggs or {}).items()]
+    # The white space is collapsed once per column, behind its own projection.
+    df = df.withColumns({f"_v{j}": collapse_ws(column) for j, column in enumerate(spec)})
     for j, (column, formats) in enumerate(spec.items()):
-        raw = collapse_ws(column)
+        raw = F.col(f"_v{j}")
         aggs += [F.count_if(parse_with(raw, f).isNull()).alias(f"_c{j}_f{i}") for i, f in enumerate(formats)]
     row = df.agg(*aggs).first()
     rows = int(row["_rows"])
     votes = {}
     for j, (column, formats) in enumerate(spec.items()):
         failures = {f: int(row[f"_c{j}_f{i}"]) for i, f in enumerate(formats)}
-        best, best_na = None, rows + 1
-        for f in formats:
-            na = failures[f]
-            if na < best_na:
-                best, best_na = f, na
-            if na <= stop_share * rows:
-                break
-        if best_na == rows:
+        within = [f for f in formats if failures[f] <= stop_share * rows]
+        best = within[0] if within else min(formats, key=failures.__getitem__)
+        if failures[best] == rows:
             best = None
         votes[column] = FormatVote(column, best, failures, rows)
     if extra_aggs:
@@ -145,7 +152,7 @@ def parse_column(df: DataFrame, column: str, formats=TS_FORMATS, mode: str = "co
     if mode != "column":
         raise ValueError(f"unknown mode {mode!r}")
     vote = vote or vote_format(df, column, formats)
-    expr = parse_service_time(raw) if vote.fallback else parse_with(raw, vote.chosen)
+    expr = parse_feature_time(raw) if vote.fallback else parse_with(raw, vote.chosen)
     return df.withColumn(target, expr)
 
 

@@ -20,21 +20,14 @@ from cardsight.operators.filters import require_parsed
 from cardsight.operators.rank import global_row_number, global_running_sums
 
 LABEL = "is_fraud"
-# Lookups with at most this many rows are broadcast; larger ones are
-# shuffle-joined (the size is counted before deciding).
-BROADCAST_MAX_ROWS = 2_000_000
-MAX_ONE_HOT = 1000
 
 
 # ---------------------------------------------------------------- lookups
 
-def join_lookup(df: DataFrame, lookup: DataFrame, key: str, how: str = "left",
-                max_broadcast_rows: int = BROADCAST_MAX_ROWS, size: int | None = None) -> DataFrame:
-    """Left join to a lookup table; broadcast only after checking its row
-    count (``size`` when already known), otherwise a shuffle join."""
-    n = lookup.count() if size is None else size
-    side = F.broadcast(lookup) if n <= max_broadcast_rows else lookup
-    return df.join(side, key, how)
+def join_lookup(df: DataFrame, lookup: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """Join to a lookup table. Whether it is broadcast is Spark's choice, made
+    from the bytes it measures."""
+    return df.join(lookup, key, how)
 
 
 def rate_table(df: DataFrame, key: str, label: str = LABEL, name: str | None = None) -> DataFrame:
@@ -43,10 +36,10 @@ def rate_table(df: DataFrame, key: str, label: str = LABEL, name: str | None = N
 
 
 def with_rate(df: DataFrame, rates: DataFrame, key: str, rate_col: str, default: float,
-              out: str | None = None, size: int | None = None) -> DataFrame:
+              out: str | None = None) -> DataFrame:
     """Key -> rate, with the global rate for keys never seen."""
     out = out or rate_col
-    joined = join_lookup(df, rates.select(key, F.col(rate_col).alias("_rate")), key, size=size)
+    joined = join_lookup(df, rates.select(key, F.col(rate_col).alias("_rate")), key)
     return joined.withColumn(out, F.coalesce(F.col("_rate"), F.lit(default))).drop("_rate")
 
 
@@ -72,9 +65,9 @@ def fit_target_encoder(df: DataFrame, key: str = "merchant", label: str = LABEL,
 
 
 def apply_target_encoder(df: DataFrame, encoding: DataFrame, prior: float, key: str = "merchant",
-                         out: str = "merchant_te", size: int | None = None) -> DataFrame:
+                         out: str = "merchant_te") -> DataFrame:
     """Unknown and missing keys get the prior."""
-    joined = join_lookup(df, encoding.select(key, F.col("encoding").alias("_enc")), key, size=size)
+    joined = join_lookup(df, encoding.select(key, F.col("encoding").alias("_enc")), key)
     return joined.withColumn(out, F.coalesce(F.col("_enc"), F.lit(prior))).drop("_enc")
 
 
@@ -153,29 +146,18 @@ def approx_medians(df: DataFrame, columns: list[str], accuracy: int = 10000) ->
     return {c: row[c] for c in columns}
 
 
-def modes(df: DataFrame, columns: list[str]) -> dict[str, str | None]:
-    """Most frequent value per column (ties: smallest value)."""
-    return {c: value_counts(df, [c])[c][0] for c in columns}
-
-
-def value_counts(df: DataFrame, columns: list[str], limit: int = MAX_ONE_HOT) -> dict[str, tuple]:
-    """(mode, sorted levels) of low-cardinality text columns from one grouped
-    count over the unpivoted columns; more than ``limit`` levels is an
-    error (one-hot columns are bounded)."""
+def value_counts(df: DataFrame, columns: list[str]) -> dict[str, tuple]:
+    """(mode, sorted levels) of category columns from one grouped count over the
+    unpivoted columns. As many levels come back as the one-hot columns need."""
     if not columns:
         return {}
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in columns
     ])).alias("p")).select("p.*").filter(F.col("value").isNotNull())
-    counted = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    rows = counted.limit(limit * len(columns) + 1).collect()
-    if len(rows) > limit * len(columns):
-        raise ValueError(f"too many levels in {columns} for one-hot columns")
+    rows = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")).collect()
     out = {}
     for c in columns:
         mine = [(r["value"], r["n"]) for r in rows if r["feature"] == c]
-        if len(mine) > limit:
-            raise ValueError(f"{c} has more than {limit} levels")
         mode = min(mine, key=lambda t: (-t[1], t[0]))[0] if mine else None
         out[c] = (mode, sorted(v for v, _ in mine))
     return out
@@ -198,7 +180,6 @@ class FeatureModel:
     cat_modes: dict[str, str]
     cat_levels: dict[str, list[str]]
     votes: dict = field(default_factory=dict)
-    sizes: dict = field(default_factory=dict)
     engineered: DataFrame | None = None
 
     @property
@@ -211,8 +192,7 @@ class FeatureModel:
 
 def engineered(df: DataFrame, te_table: DataFrame, prior: float, interaction_categories: list[str],
                parse: bool = True, mode: str = "column", drop_cols=HIGH_CARD_COLS,
-               keep: tuple[str, ...] = ("trans_num", "state"), votes: dict | None = None,
-               te_size: int | None = None) -> DataFrame:
+               keep: tuple[str, ...] = ("trans_num", "state"), votes: dict | None = None) -> DataFrame:
     """The hand-made part of M1 before imputation/scaling: parsed times
     (A17, X2, X3), rows without times dropped (F10), age and time parts
     (X5, X6), merchant encoding (J2), log amount and distance (X9, X10),
@@ -229,7 +209,7 @@ def engineered(df: DataFrame, te_table: DataFrame, prior: float, interaction_cat
               .withColumn("txn_month", dates.month_of(ts))
               .drop(ts, "dob"))
     if "merchant" in out.columns:
-        out = apply_target_encoder(out, te_table, prior, size=te_size).drop("merchant")
+        out = apply_target_encoder(out, te_table, prior).drop("merchant")
     if all(c in out.columns for c in ["amt", "merch_lat", "merch_long", "lat", "long"]):
         out = (out.withColumn("amt_log", F.log1p("amt"))
                   .withColumn("distance", F.sqrt(F.pow(F.col("merch_lat") - F.col("lat"), 2)
@@ -263,25 +243,20 @@ def fit_features(raw: DataFrame, parse: bool = True, mode: str = "column", exact
                  drop_first=SAMPLER_DROP_COLS, keep_engineered: bool = False) -> FeatureModel:
     """Fit M1 on a raw training frame (unbalanced, with labels).
 
-    Passes over the raw feed: one aggregation for the format votes, the
-    prior and the lookup sizes; one grouped pass for all lookups (merchant
+    Passes over the raw feed: one aggregation for the format votes and the
+    prior; one grouped pass for all lookups (merchant
     encoder statistics, state rates, category levels); one to build the
     engineered frame, which is then checkpointed (``keep_engineered``) or
     persisted for one statistics pass, the exact medians and one grouped
     count for modes and levels."""
     from pyspark import StorageLevel
     raw = raw.drop(*[c for c in drop_first if c in raw.columns and c != "trans_num"], "fraud_score")
-    # One pass: format votes, the prior, and (approximate) lookup sizes --
-    # the sizes only decide broadcast or shuffle joins.
+    # One pass: format votes and the prior.
     extra = {"prior": F.avg(LABEL)}
-    for k in ("merchant", "state"):
-        if k in raw.columns:
-            extra[k] = F.approx_count_distinct(k)
     spec = dates.time_columns(raw) if parse and mode == "column" else {}
     votes = dates.vote_formats(raw, spec, extra_aggs=extra)
     ex = votes.pop("_extra")
     prior = float(ex["prior"])
-    sizes = {"te": int(ex.get("merchant") or 0) * 2 + 1, "state": int(ex.get("state") or 0) * 2 + 1}
     # The fitted lookups -- merchant encoder statistics, state rates and the
     # category levels -- come from ONE grouped pass over (lookup, key) pairs,
     # written once to the checkpoint folder (one row per merchant / state /
@@ -309,15 +284,13 @@ def fit_features(raw: DataFrame, parse: bool = True, mode: str = "column", exact
         te_table, _ = fit_target_encoder(raw, prior=prior)
     state_rates = _lookup("state").select("state", F.col("mean").alias("state_rate")) if "state" in keyed else None
     if "category" in keyed:
-        cat_rows = _lookup("category").select("category").limit(MAX_ONE_HOT + 1).collect()
-        if len(cat_rows) > MAX_ONE_HOT:
-            raise ValueError("category has too many levels for one-hot columns")
+        cat_rows = _lookup("category").select("category").collect()
         cats = sorted(r["category"] for r in cat_rows)
     else:
         cats = []
     if not (parse and mode == "column"):
         votes = None
-    eng = engineered(raw, te_table, prior, cats, parse=parse, mode=mode, votes=votes, te_size=sizes["te"])
+    eng = engineered(raw, te_table, prior, cats, parse=parse, mode=mode, votes=votes)
     if keep_engineered:
         # Written once to the shared checkpoint folder: the statistics below
         # and ``fit_transform`` read it instead of parsing the feed again.
@@ -348,7 +321,7 @@ def fit_features(raw: DataFrame, parse: bool = True, mode: str = "column", exact
         if not keep_engineered:
             eng.unpersist()
     model = FeatureModel(te_table, prior, state_rates, prior, cats, num_cols, cat_cols,
-                         medians, means, stds, cat_modes, levels, votes=votes or {}, sizes=sizes)
+                         medians, means, stds, cat_modes, levels, votes=votes or {})
     if keep_engineered:
         model.engineered = eng
     return model
@@ -385,7 +358,7 @@ def transform(df: DataFrame, model: FeatureModel, parse: bool = True, mode: str
     fit)."""
     votes = model.votes if reuse_votes else None
     eng = engineered(df, model.te_table, model.prior, model.interaction_categories, parse=parse, mode=mode,
-                     votes=votes, te_size=model.sizes.get("te"))
+                     votes=votes)
     return finish(eng, model, with_label, state_risk)
 
 
@@ -402,8 +375,7 @@ def finish(eng: DataFrame, model: FeatureModel, with_label: bool = True, state_r
     label = [F.col(LABEL)] if with_label and LABEL in eng.columns else []
     out = eng.select(*keys, *cols, *label)
     if state_risk and model.state_rates is not None and "state" in out.columns:
-        out = with_rate(out, model.state_rates, "state", "state_rate", model.global_rate, out="state_risk",
-                        size=model.sizes.get("state"))
+        out = with_rate(out, model.state_rates, "state", "state_rate", model.global_rate, out="state_risk")
     return out
 
 

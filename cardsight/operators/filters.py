@@ -6,6 +6,7 @@ as pushed filters."""
 from __future__ import annotations
 
 import datetime as _dt
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -115,31 +116,45 @@ def normalise_id(column: Column) -> Column:
     (32 hex digits); binary ids become lower hex; other text is kept."""
     text = column.cast("string")
     uuid_like = text.rlike("^[0-9A-Fa-f]{8}-?[0-9A-Fa-f]{4}-?[0-9A-Fa-f]{4}-?[0-9A-Fa-f]{4}-?[0-9A-Fa-f]{12}$")
-    return F.when(uuid_like, F.lower(F.regexp_replace(text, "-", ""))).otherwise(text)
+    return (F.when(F.typeof(column) == "binary", F.lower(F.hex(column)))
+            .when(uuid_like, F.lower(F.regexp_replace(text, "-", ""))).otherwise(text))
 
 
 def id_in(df: DataFrame, ids: Iterable[str], column: str = "trans_num") -> DataFrame:
-    """membership in a (small, argument-sized) id list, after id
-    normalisation on both sides. For a large id set use a semi join."""
-    wanted = sorted({i for i in ids})
-    norm_wanted = sorted({_norm_text_id(i) for i in wanted})
-    return df.filter(normalise_id(F.col(column)).isin(norm_wanted))
+    """membership in a (small, argument-sized) id list.
+
+    The arguments are written in every form in which an id may be stored, so
+    the column itself stays bare and the list reaches the file scan. For a large
+    id set, or ids of mixed letter case, use a semi join on ``normalise_id``."""
+    if dict(df.dtypes)[column] == "binary":
+        hexed = [h for i in ids if re.fullmatch("(?:[0-9a-f]{2})+", h := _norm_text_id(i).lower())]
+        return df.filter(F.col(column).isin([F.unhex(F.lit(h)) for h in hexed])) if hexed else df.filter(F.lit(False))
+    return df.filter(F.col(column).isin(sorted({form for i in ids for form in _stored_forms(i)})))
+
+
+_UUID = re.compile("[0-9A-Fa-f]{8}-?[0-9A-Fa-f]{4}-?[0-9A-Fa-f]{4}-?[0-9A-Fa-f]{4}-?[0-9A-Fa-f]{12}")
 
 
 def _norm_text_id(value: str) -> str:
-    import re
-    if re.fullmatch(r"[0-9A-Fa-f]{8}-?[0-9A-Fa-f]{4}-?[0-9A-Fa-f]{4}-?[0-9A-Fa-f]{4}-?[0-9A-Fa-f]{12}", value):
-        return value.replace("-", "").lower()
-    return value
+    return value.replace("-", "").lower() if _UUID.fullmatch(value) else value
+
+
+def _stored_forms(value: str) -> set[str]:
+    if not _UUID.fullmatch(value):
+        return {value}
+    bare = _norm_text_id(value)
+    dashed = "-".join([bare[:8], bare[8:12], bare[12:16], bare[16:20], bare[20:]])
+    return {value, bare, bare.upper(), dashed, dashed.upper()}
 
 
 def require_parsed(df: DataFrame, columns: Iterable[str], check_empty: bool = True) -> DataFrame:
     """drop rows lacking any of ``columns``; error when none are left.
 
     The emptiness check is a one-row probe (``limit(1)``), not a count."""
-    out = df.dropna(subset=list(columns))
+    columns = list(columns)
+    out = df.dropna(subset=columns)
     if check_empty and not out.limit(1).take(1):
-        raise ValueError("All rows dropped after timestamp parsing.")
+        raise ValueError(f"no row has a value in all of {sorted(columns)}")
     return out
 
 

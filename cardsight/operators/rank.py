@@ -16,21 +16,9 @@ from cardsight.session import checkpoint_dir
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition id << 33 | row index
 
 
-def _materialise(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder. The frame is persisted
-    first so the checkpoint write reads the computed partitions instead of
-    recomputing them; the cache is dropped once the files exist."""
-    cached = df.persist()
-    try:
-        return cached.checkpoint(eager=True)
-    finally:
-        cached.unpersist()
-
-
-def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
-    if num_partitions:
-        return num_partitions
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _ranged(df: DataFrame, cols: list[Column], num_partitions: int | None) -> DataFrame:
+    """Range partitions on the order; their number is Spark's (and AQE's) unless given."""
+    return df.repartitionByRange(num_partitions, *cols) if num_partitions else df.repartitionByRange(*cols)
 
 
 def _sort_cols(order_cols) -> list[Column]:
@@ -48,11 +36,8 @@ def global_row_number(df: DataFrame, order_cols, name: str = "rn",
     """
     checkpoint_dir(df.sparkSession)
     cols = _sort_cols(order_cols)
-    n = _num_partitions(df, num_partitions)
-    numbered = (df.repartitionByRange(n, *cols)
-                  .sortWithinPartitions(*cols)
-                  .withColumn("_cs_mid", F.monotonically_increasing_id()))
-    numbered = _materialise(numbered)
+    numbered = (_ranged(df, cols, num_partitions).sortWithinPartitions(*cols)
+                .withColumn("_cs_mid", F.monotonically_increasing_id()).checkpoint(eager=True))
     part = F.shiftright(F.col("_cs_mid"), _LOCAL_BITS)
     local = F.col("_cs_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
     numbered = numbered.withColumn("_cs_pid", part).withColumn("_cs_local", local)
@@ -75,24 +60,26 @@ def global_running_sums(df: DataFrame, order_cols, sum_cols: list[str], suffix:
     preceding .. current row) for the whole table; with ``totals`` also the
     grand total of each column (``<col>_total``).
 
-    Range-partitions on the order, sums each partition (one row per
-    partition, broadcast), and runs the within-partition window keyed by the
-    partition id, so no task holds more than one range partition.
+    Range-partitions on the order and checkpoints that with each row's place
+    (partition id and row number). Blocks of ``2^12`` rows are then summed, the block
+    sums (one row per block) are turned into offsets, and each block runs its
+    own window: a task holds blocks, never a whole range.
     """
     checkpoint_dir(df.sparkSession)
     cols = _sort_cols(order_cols)
-    n = _num_partitions(df, num_partitions)
-    ranged = _materialise(df.repartitionByRange(n, *cols).withColumn("_cs_pid", F.spark_partition_id()))
-    part_sums = ranged.groupBy("_cs_pid").agg(*[F.sum(c).alias(f"_cs_t_{c}") for c in sum_cols])
-    prev = Window.orderBy("_cs_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = part_sums.select("_cs_pid", *[
+    placed = (_ranged(df, cols, num_partitions).sortWithinPartitions(*cols)
+              .withColumn("_cs_mid", F.monotonically_increasing_id())
+              .withColumn("_cs_blk", F.shiftright("_cs_mid", 12)).checkpoint(eager=True))
+    sums = placed.groupBy("_cs_blk").agg(*[F.sum(c).alias(f"_cs_t_{c}") for c in sum_cols])
+    prev = Window.orderBy("_cs_blk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("_cs_blk", *[
         F.coalesce(F.sum(f"_cs_t_{c}").over(prev), F.lit(0)).alias(f"_cs_o_{c}") for c in sum_cols], *[
         F.sum(f"_cs_t_{c}").over(Window.partitionBy()).alias(c + "_total") for c in sum_cols])
-    within = Window.partitionBy("_cs_pid").orderBy(*cols).rowsBetween(Window.unboundedPreceding, 0)
-    out = ranged.join(F.broadcast(offsets), "_cs_pid")
+    within = Window.partitionBy("_cs_blk").orderBy("_cs_mid").rowsBetween(Window.unboundedPreceding, 0)
+    out = placed.join(offsets, "_cs_blk")
     for c in sum_cols:
         out = out.withColumn(c + suffix, F.col(f"_cs_o_{c}") + F.sum(c).over(within))
-    drop = ["_cs_pid", *[f"_cs_o_{c}" for c in sum_cols]]
+    drop = ["_cs_blk", "_cs_mid", *[f"_cs_o_{c}" for c in sum_cols]]
     if not totals:
         drop += [c + "_total" for c in sum_cols]
     return out.drop(*drop)
@@ -104,16 +91,16 @@ def running_sums_by(df: DataFrame, key: str, order_cols, sum_cols: list[str], su
 
     A ``partitionBy(key)`` window would put a hot key in one task. Instead
     the running sums run over the global order (key, order_cols) and each
-    key's start offset -- the exclusive prefix of per-key totals, itself a
-    global running sum over one row per key -- is subtracted."""
-    cum = global_running_sums(df, [key, *order_cols], sum_cols, suffix, num_partitions)
-    totals = df.groupBy(key).agg(*[F.sum(c).alias(c) for c in sum_cols])
-    prefix = global_running_sums(totals, [key], sum_cols, "_incl", num_partitions)
-    starts = prefix.select(key, *[(F.col(c + "_incl") - F.col(c)).alias(f"_cs_s_{c}") for c in sum_cols])
-    out = cum.join(starts, key)
+    key's start offset -- the exclusive prefix of per-key totals (one row per
+    key) -- is subtracted. Rows without a key are a group of their own."""
+    cum = global_running_sums(df, [F.col(key).asc_nulls_first(), *order_cols], sum_cols, suffix, num_partitions)
+    totals = df.groupBy(F.col(key).alias("_cs_key")).agg(*[F.sum(c).alias(c) for c in sum_cols])
+    before = Window.orderBy(F.col("_cs_key").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("_cs_key", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_cs_s_{c}") for c in sum_cols])
+    out = cum.join(starts, cum[key].eqNullSafe(starts["_cs_key"]))
     for c in sum_cols:
         out = out.withColumn(c + suffix, F.col(c + suffix) - F.col(f"_cs_s_{c}"))
-    return out.drop(*[f"_cs_s_{c}" for c in sum_cols])
+    return out.drop("_cs_key", *[f"_cs_s_{c}" for c in sum_cols])
 
 
 def quantile_bin(rank: Column, n: Column, bins: int) -> Column:

@@ -15,7 +15,7 @@ from cardsight.constants import (ANALYSIS_LIMIT, CASE_PAGE_SIZE, FACTOR_CAT_COLS
                                  QUANTILE_BINS, TOP_CATEGORIES, TXN_PAGE_SIZE)
 from cardsight.functions.dates import parse_service_time
 from cardsight.operators import filters as flt
-from cardsight.operators.rank import global_row_number, quantile_bin
+from cardsight.operators.rank import global_row_number, global_running_sums, quantile_bin
 
 LABEL = "is_fraud"
 
@@ -78,13 +78,26 @@ def deciles(df: DataFrame, column: str, tie_col: str = "trans_num", bins: int =
     """Rank rows by (``column``, ``tie_col``), cut the ranks into
     ``bins`` equal-frequency bins, fraud rate and size per bin.
 
-    The rank is computed with the range-partitioned global row number; the
-    row count comes from the same materialisation's partition counts."""
+    Rows are counted per value, and running sums over the values give each
+    value its range of ranks. A value whose ranks lie in one bin goes there
+    with its counts; only rows of the values that a bin edge cuts (``bins - 1``
+    at most) are ranked one by one."""
     base = df.select(column, tie_col, label).filter(F.col(column).isNotNull())
-    ranked = global_row_number(base, [column, tie_col], name="_r", total_name="_n")
-    binned = ranked.withColumn("bin", quantile_bin(F.col("_r"), F.col("_n"), bins))
-    return (binned.groupBy("bin")
-            .agg(F.avg(label).alias("fraud_rate"), F.count(F.lit(1)).alias("n_cases"))
+    values = base.groupBy(column).agg(F.count(F.lit(1)).alias("_c"), F.sum(label).alias("_s"),
+                                      F.count(label).alias("_k"))
+    ranked = global_running_sums(values, [column], ["_c"], totals=True)
+    n = F.col("_c_total")
+    ranked = (ranked.withColumn("_lo", quantile_bin(F.col("_c_cum") - F.col("_c") + 1, n, bins))
+              .withColumn("_hi", quantile_bin(F.col("_c_cum"), n, bins)))
+    whole = ranked.filter("_lo = _hi").select(F.col("_lo").alias("bin"), "_c", "_s", "_k")
+    cut = ranked.filter("_lo < _hi").select(column, (F.col("_c_cum") - F.col("_c")).alias("_before"), n.alias("_n"))
+    rows = global_row_number(base.join(cut, column), [column, tie_col], name="_r")
+    first = rows.groupBy(column).agg(F.min("_r").alias("_first")).withColumnRenamed(column, "_v")
+    rows = rows.join(first, rows[column] == first["_v"])
+    part = (rows.withColumn("bin", quantile_bin(F.col("_before") + F.col("_r") - F.col("_first") + 1, F.col("_n"), bins))
+            .groupBy("bin").agg(F.count(F.lit(1)).alias("_c"), F.sum(label).alias("_s"), F.count(label).alias("_k")))
+    return (whole.unionByName(part).groupBy("bin")
+            .agg((F.sum("_s") / F.sum("_k")).alias("fraud_rate"), F.sum("_c").alias("n_cases"))
             .withColumn("feature", F.lit(column)))
 
 
@@ -172,11 +185,6 @@ def page_count(total: DataFrame, page_size: int) -> DataFrame:
                         .cast("bigint").alias("pages"))
 
 
-def page_offset(page: int, page_size: int) -> int:
-    """Offset of a 1-based page."""
-    return (max(page, 1) - 1) * page_size
-
-
 # ---------------------------------------------------------------- state balance
 
 def class_balance(df: DataFrame, key: str = "state", label: str = LABEL) -> DataFrame:
@@ -190,11 +198,10 @@ def class_balance(df: DataFrame, key: str = "state", label: str = LABEL) -> Data
 
 
 def state_weights(df: DataFrame, key: str = "state") -> DataFrame:
-    """Per-key row count normalised to sum to 1. The total is one
-    scalar aggregate, so any number of keys stays distributed."""
+    """Per-key row count normalised to sum to 1. The total is the sum of
+    the counts (one row per key)."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
-    total = df.agg(F.count(F.lit(1))).first()[0] or 0
-    return counts.withColumn("weight", F.col("n_rows") / F.lit(float(total) if total else None))
+    return counts.withColumn("weight", F.col("n_rows") / F.sum("n_rows").over(Window.partitionBy()).cast("double"))
 
 
 # ---------------------------------------------------------------- listings
@@ -226,12 +233,11 @@ def fraud_analysis(fraud: DataFrame, merchant: str | None = None, category: str
                    max_amount: float | None = None, start_date: str | None = None,
                    end_date: str | None = None, limit: int | None = ANALYSIS_LIMIT) -> DataFrame:
     """L3: regex filters (F1), amount range (F3), day range (F4), newest
-    first, at most ``limit`` rows (``None``: all rows, for true totals)."""
+    first, at most ``limit`` rows. ``None``: all rows, unordered, for totals."""
     out = flt.regex_match(fraud, merchant=merchant, category=category, state=state)
     out = flt.amount_range(out, min_amount, max_amount)
     out = flt.date_range(out, start_date, end_date, end_mode="end_of_day")
-    out = out.orderBy(F.desc("trans_ts"), F.asc("trans_num"))
-    return out.limit(limit) if limit is not None else out
+    return out.orderBy(F.desc("trans_ts"), F.asc("trans_num")).limit(limit) if limit is not None else out
 
 
 def dashboard_pass(rows: DataFrame, merchant: str | None = None, category: str | None = None,

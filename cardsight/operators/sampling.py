@@ -25,7 +25,7 @@ def concat(frames: list[DataFrame]) -> DataFrame:
 
 def class_counts(df: DataFrame, label: str = LABEL) -> dict[int, int]:
     """Rows per class (a handful of numbers)."""
-    return {int(r[0]): int(r[1]) for r in df.groupBy(label).count().collect()}
+    return {int(r[0]): int(r[1]) for r in df.groupBy(label).count().collect() if r[0] is not None}
 
 
 def _hash(key: str, seed: int, salt: int = 0):
@@ -57,16 +57,27 @@ def oversample(df: DataFrame, ratio: float = OVERSAMPLE_RATIO, key: str = "trans
 def undersample(df: DataFrame, ratio: float = UNDERSAMPLE_RATIO, key: str = "trans_num", seed: int = TUNING_SEED,
                 label: str = LABEL, counts: dict[int, int] | None = None) -> DataFrame:
     """Random under-sampling without replacement of the majority class
-    to ``int(minority / ratio)`` rows: the first rows in seeded-hash order."""
+    to ``int(minority / ratio)`` rows: the first rows in seeded-hash order.
+    Rows whose class is null pass through."""
     counts = counts or class_counts(df, label)
     ordered = sorted(counts.items(), key=lambda kv: kv[1])
     (_, m), (maj_cls, big) = ordered[0], ordered[-1]
     keep = int(m / ratio)
     if keep >= big:
         return df
-    majority = df.filter(F.col(label) == maj_cls).withColumn("_h", _hash(key, seed, 2))
-    kept = global_row_number(majority, ["_h", key], name="_rn").filter(F.col("_rn") <= keep).drop("_rn", "_h")
-    return df.filter(F.col(label) != maj_cls).unionByName(kept.select(*df.columns))
+    # The first rows in hash order: a cutoff on the hash lets a little more than ``keep`` rows through, and
+    # only those near the cutoff are ranked.
+    u = _unit(key, seed, 2)
+    share, slack = keep / big, 10.0 * (keep ** 0.5 + 10.0) / big
+    majority = df.filter(F.col(label) == maj_cls).withColumn("_u", u)
+    sure = majority.filter(F.col("_u") < max(0.0, share - slack))
+    near = majority.filter((F.col("_u") >= max(0.0, share - slack)) & (F.col("_u") < share + slack))
+    n_sure, n_near = sure.count(), near.count()
+    if n_sure > keep or n_sure + n_near < keep:  # a vanishing chance: rank the whole class
+        sure, near, n_sure = majority.limit(0), majority, 0
+    last = global_row_number(near, ["_u", key], name="_rn").filter(F.col("_rn") <= keep - n_sure).drop("_rn")
+    kept = sure.unionByName(last.select(*sure.columns)).drop("_u")
+    return df.filter(~F.col(label).eqNullSafe(F.lit(maj_cls))).unionByName(kept.select(*df.columns))
 
 
 def rebalance(df: DataFrame, over: float = OVERSAMPLE_RATIO, under: float = UNDERSAMPLE_RATIO,
@@ -99,17 +110,19 @@ def per_group_sample(df: DataFrame, group: str = "state", n: int = TUNING_SAMPLE
     ``n`` rows whatever the group size. A group with too few candidates (a
     vanishing chance) is retried with a wider cutoff, so the result is
     exact."""
-    from cardsight.operators.features import join_lookup
     u = _unit(key, seed, 3)
-    counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("_g_n"))
+    counts = df.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_g_n"))
     want = float(n) + 10.0 * float(n) ** 0.5 + 100.0
     base = df.withColumn("_u", u)
     widen = 1.0
     while True:
         cut = counts.withColumn("_cut", F.least(F.lit(1.0), F.lit(want * widen) / F.col("_g_n")))
-        cand = join_lookup(base, cut, group, how="inner").filter(F.col("_u") < F.col("_cut"))
-        short = (cand.groupBy(group).agg(F.count(F.lit(1)).alias("_c"), F.first("_g_n").alias("_g_n"))
-                 .filter(F.col("_c") < F.least(F.col("_g_n"), F.lit(n))).limit(1).take(1))
+        # Rows without a group are a group of their own; a cutoff of 1 takes every row.
+        cand = (base.join(cut, base[group].eqNullSafe(cut["_g"]))
+                .filter((F.col("_cut") >= 1.0) | (F.col("_u") < F.col("_cut"))).drop("_g"))
+        got = cand.groupBy(F.col(group).alias("_got")).agg(F.count(F.lit(1)).alias("_c"))
+        short = (counts.join(got, counts["_g"].eqNullSafe(got["_got"]), "left")
+                 .filter(F.coalesce("_c", F.lit(0)) < F.least(F.col("_g_n"), F.lit(n))).limit(1).take(1))
         if not short:
             break
         widen *= 4.0

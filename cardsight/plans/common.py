@@ -34,6 +34,11 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases_cc(spark, sf_dir).drop("cc_num")
 
 
+def unnumbered_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cases without ids, for queries that do not read them."""
+    return tables.cases_view(txn(spark, sf_dir), numbered=False).drop("cc_num")
+
+
 def r6(col):
     return F.round(col, 6)
 

@@ -1,5 +1,4 @@
-"""Sampling, per-state models, ensemble, federated averaging (U1-U5, M2-M7,
-A18, A19). Model queries are random or iterative: checked by rows and by
+"""Sampling, per-state models and their ensemble (U1-U5, M2-M6, A18, A19). Model queries are random or iterative: checked by rows and by
 invariants in the tests; their deterministic parts have oracle SQL."""
 
 from __future__ import annotations
@@ -16,6 +15,7 @@ from cardsight.session import checkpoint_dir
 from cardsight.sources import tables
 
 SPLIT = "2000-01-01 00:00:00"
+SEARCH_TREES = 5   # trees of a forest in the settings search
 _MEMO: dict = {}
 
 
@@ -35,7 +35,7 @@ def _trained(spark, sf_dir):
         checkpoint_dir(spark)
         train_raw, test_raw = _split_text(spark, sf_dir)
         # Feature tables are written once (checkpoint folder) and reused by
-        # the model fits, the ensemble and the federated rounds.
+        # the model fits, and the ensemble.
         fm, train = fe.fit_transform(train_raw)
         train = train.checkpoint(eager=True)
         test = fe.transform(test_raw, fm).checkpoint(eager=True)
@@ -89,7 +89,7 @@ def u04_tuning_sample_counts(spark, sf_dir):
 
 @register("a18_ensemble_weights", with_txn("""
 SELECT state, round(n / sum(n) OVER (), 6) AS weight FROM (
-  SELECT state, least(count(*), 10000) AS n FROM txn
+  SELECT state, count(*) AS n FROM txn
   WHERE trans_ts < TIMESTAMP '2000-01-01 00:00:00' AND CAST(split_part(trans_num, '-', 1) AS BIGINT) % 50 <> 0
   GROUP BY state HAVING count(*) FILTER (WHERE is_fraud = 1) BETWEEN 1 AND count(*) - 1)"""))
 def a18_ensemble_weights(spark, sf_dir):
@@ -118,7 +118,13 @@ def m06_majority_baseline(spark, sf_dir):
     return out.select("majority", r6(F.col("accuracy")).alias("accuracy"))
 
 
-@register("m02_state_models")
+TRAIN_STATES_SQL = """
+SELECT state, count(*) AS n_rows, count(*) FILTER (WHERE is_fraud = 1) AS n_pos,
+       count(*) FILTER (WHERE is_fraud = 1) BETWEEN 1 AND count(*) - 1 AS {flag}
+FROM txn WHERE trans_ts < TIMESTAMP '2000-01-01 00:00:00' AND CAST(split_part(trans_num, '-', 1) AS BIGINT) % 50 <> 0
+GROUP BY state"""
+
+@register("m02_state_models", with_txn(TRAIN_STATES_SQL.format(flag="trained")))
 def m02_state_models(spark, sf_dir):
     """M2: one balanced forest per state on its (at most 10,000-row)
     training sample; one-class states skipped."""
@@ -160,18 +166,15 @@ def a19_feature_importance(spark, sf_dir):
     return ev.mean_importance(imp, 20)
 
 
-@register("m07_federated_logistic")
-def m07_federated_logistic(spark, sf_dir):
-    """M7: federated averaging of state-wise logistic coefficients, 10
-    rounds, half the states per round."""
-    _, train, _, _ = _trained(spark, sf_dir)
-    return ml.federated_logistic(train, rounds=10, fraction=0.5)
-
-
 @register("m03_tuning")
 def m03_tuning(spark, sf_dir):
-    """M3: per-state grid search (5 hash folds, precision of the fraud
-    class) on each state's at most 10,000-row training sample."""
+    """M3: the forest grid per state (27 settings, 5 hash folds, precision of
+    the fraud class) on each state's at most 10,000-row training sample, then
+    the fit of each state's choice. The search uses small forests; the fit
+    uses the full number of trees unless told otherwise."""
     _, train, _, _ = _trained(spark, sf_dir)
-    rows = ml.tune_per_state(train, parallelism=8)
-    return spark.createDataFrame(rows, "state string, best_params string, best_metric double, n_rows long")
+    tuned = ml.tune_per_state(train, parallelism=8, num_trees=SEARCH_TREES)
+    fitted = {m.state: m for m in ml.fit_tuned(train, tuned, parallelism=8, num_trees=SEARCH_TREES)}
+    rows = [(t["state"], t["setting"] and str(sorted(t["setting"].items())), t["metric"], t["n_rows"],
+             fitted[t["state"]].trained) for t in tuned]
+    return spark.createDataFrame(rows, "state string, best_params string, best_metric double, n_rows long, fitted boolean")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from cardsight.operators import filters as flt
 from cardsight.operators import reports as rep
 from cardsight.plans.catalog import register
-from cardsight.plans.common import AS_OF, CASE_TXN_ID, TXN_COLS, TXN_COLS_SQL, cases, r6, txn
+from cardsight.plans.common import (AS_OF, CASE_TXN_ID, TXN_COLS, TXN_COLS_SQL, cases, r6, txn,
+                                    unnumbered_cases)
 from cardsight.plans.oracle_views import with_cases, with_txn
 
 # ---------------------------------------------------------------- A1, A2
@@ -106,6 +107,16 @@ def a05_deciles_age(spark, sf_dir):
     return _deciles(spark, sf_dir, "age")
 
 
+def _register_coordinate(column: str):
+    @register(f"a05_deciles_{column}", _decile_sql(column))
+    def query(spark, sf_dir):
+        return _deciles(spark, sf_dir, column)
+
+
+for _column in ("lat", "long", "merch_lat", "merch_long"):
+    _register_coordinate(_column)
+
+
 # ---------------------------------------------------------------- A6, A7, A29 on cases
 
 def _series_sql(fmt):
@@ -118,17 +129,17 @@ FROM cases WHERE trans_ts IS NOT NULL GROUP BY 1""")
 
 @register("a06_case_timeseries_day", _series_sql("%Y-%m-%d"))
 def a06_case_timeseries_day(spark, sf_dir):
-    return rep.case_timeseries(cases(spark, sf_dir), "day")
+    return rep.case_timeseries(unnumbered_cases(spark, sf_dir), "day")
 
 
 @register("a06_case_timeseries_month", _series_sql("%Y-%m"))
 def a06_case_timeseries_month(spark, sf_dir):
-    return rep.case_timeseries(cases(spark, sf_dir), "month")
+    return rep.case_timeseries(unnumbered_cases(spark, sf_dir), "month")
 
 
 @register("a06_case_timeseries_year", _series_sql("%Y"))
 def a06_case_timeseries_year(spark, sf_dir):
-    return rep.case_timeseries(cases(spark, sf_dir), "year")
+    return rep.case_timeseries(unnumbered_cases(spark, sf_dir), "year")
 
 
 @register("a06_case_timeseries_text", with_cases("""
@@ -155,7 +166,7 @@ FROM (SELECT count(*) FILTER (WHERE is_fraud = 1) AS f, count(*) FILTER (WHERE i
 
 @register("a07_success_rate", with_cases(SUCCESS_SQL))
 def a07_success_rate(spark, sf_dir):
-    out = rep.success_rate(cases(spark, sf_dir))
+    out = rep.success_rate(unnumbered_cases(spark, sf_dir))
     return out.withColumn("fraud_percentage", r6(F.col("fraud_percentage"))) \
               .withColumn("non_fraud_percentage", r6(F.col("non_fraud_percentage")))
 
@@ -165,7 +176,7 @@ SELECT CAST(round(fraud_percentage * total_cases / 100) AS BIGINT) AS fraud_show
        CAST(round(non_fraud_percentage * total_cases / 100) AS BIGINT) AS clean_shown
 FROM ({SUCCESS_SQL.replace(', 6)', ', 12)')})"""))
 def a29_displayed_counts(spark, sf_dir):
-    return rep.displayed_counts(rep.success_rate(cases(spark, sf_dir)))
+    return rep.displayed_counts(rep.success_rate(unnumbered_cases(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------- L1, F7, F8 on cases
@@ -188,7 +199,7 @@ def l01_case_page(spark, sf_dir):
 SELECT count(*) AS total FROM cases
 WHERE status = 'investigating' OR (status = 'open' AND created_at < TIMESTAMP '{AS_OF_MIDNIGHT}')"""))
 def a12_case_total(spark, sf_dir):
-    _, total = rep.case_page(cases(spark, sf_dir), status="investigating", as_of=AS_OF)
+    _, total = rep.case_page(unnumbered_cases(spark, sf_dir), status="investigating", as_of=AS_OF)
     return total
 
 
@@ -196,7 +207,7 @@ def a12_case_total(spark, sf_dir):
 SELECT total, CAST(greatest(ceil(total / 20), 1) AS BIGINT) AS pages FROM (
   SELECT count(*) AS total FROM cases WHERE status = 'open' AND created_at >= TIMESTAMP '{AS_OF_MIDNIGHT}')"""))
 def l05_case_page_count(spark, sf_dir):
-    _, total = rep.case_page(cases(spark, sf_dir), status="open", as_of=AS_OF)
+    _, total = rep.case_page(unnumbered_cases(spark, sf_dir), status="open", as_of=AS_OF)
     return rep.page_count(total, 20)
 
 

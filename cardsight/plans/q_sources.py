@@ -10,7 +10,7 @@ from cardsight.functions import display
 from cardsight.operators import features as fe
 from cardsight.operators import filters as flt
 from cardsight.plans.catalog import register
-from cardsight.plans.common import cases, r2, r6, txn
+from cardsight.plans.common import cases, r2, r6, txn, unnumbered_cases
 from cardsight.plans.oracle_views import with_cases, with_txn
 from cardsight.sources import files, tables
 
@@ -81,17 +81,22 @@ def s06_csv_export(spark, sf_dir):
 @register("s08_lookup_round_trip", with_txn("""
 , te AS (SELECT merchant, count(*) AS n, avg(is_fraud) AS mean FROM txn GROUP BY merchant),
 p AS (SELECT avg(is_fraud) AS prior FROM txn)
-SELECT merchant, round(p.prior * (1 - 1 / (1 + exp(-(n - 20) / 10.0))) + mean * (1 / (1 + exp(-(n - 20) / 10.0))), 6)
-       AS encoding FROM te, p"""))
+SELECT 'merchant' AS lookup, merchant AS key,
+       round(p.prior * (1 - 1 / (1 + exp(-(n - 20) / 10.0))) + mean * (1 / (1 + exp(-(n - 20) / 10.0))), 6) AS value
+FROM te, p
+UNION ALL SELECT 'state', state, round(avg(is_fraud), 6) FROM txn GROUP BY state"""))
 def s08_lookup_round_trip(spark, sf_dir):
     """Fitted lookups (merchant encoding, state rates) saved as Parquet
-    and loaded back."""
+    and both loaded back."""
     t = txn(spark, sf_dir)
     enc, _ = fe.fit_target_encoder(t)
     paths = files.save_lookups(files.scratch_path(spark, "artifact"), merchant_te=enc,
                                state_rate=fe.rate_table(t, "state", name="state_rate"))
     loaded = files.load_lookups(spark, paths)
-    return loaded["merchant_te"].select("merchant", r6(F.col("encoding")).alias("encoding"))
+    te = loaded["merchant_te"].select(F.lit("merchant").alias("lookup"), F.col("merchant").alias("key"),
+                                      r6(F.col("encoding")).alias("value"))
+    return te.unionByName(loaded["state_rate"].select(F.lit("state").alias("lookup"), F.col("state").alias("key"),
+                                                      r6(F.col("state_rate")).alias("value")))
 
 
 # ---------------------------------------------------------------- T1
@@ -225,7 +230,7 @@ def x18_money_text(spark, sf_dir):
 @register("p03_two_fields", with_cases("SELECT trans_ts, is_fraud FROM cases"))
 def p03_two_fields(spark, sf_dir):
     """Include projection (the case series reads two fields only)."""
-    return cases(spark, sf_dir).select("trans_ts", "is_fraud")
+    return unnumbered_cases(spark, sf_dir).select("trans_ts", "is_fraud")
 
 
 @register("x19_stable_ids", with_txn("""
@@ -252,22 +257,23 @@ def f11_invalid_status(spark, sf_dir):
 
 
 @register("f14_nonzero_shares", with_cases("""
-, r AS (SELECT count(*) FILTER (WHERE is_fraud = 1) AS f, count(*) FILTER (WHERE is_fraud = 0) AS nf FROM cases
-        WHERE state = 'NATION_3' AND is_fraud = 1)
-SELECT name, value FROM (
-  SELECT 'fraud' AS name, round(CASE WHEN f + nf = 0 THEN 0.0 ELSE f / (f + nf) * 100 END, 6) AS value FROM r
-  UNION ALL SELECT 'non_fraud', round(CASE WHEN f + nf = 0 THEN 0.0 ELSE nf / (f + nf) * 100 END, 6) FROM r)
+, r AS (SELECT merchant, count(*) FILTER (WHERE is_fraud = 1) AS f, count(*) FILTER (WHERE is_fraud = 0) AS nf
+        FROM cases GROUP BY merchant)
+SELECT merchant, name, value FROM (
+  SELECT merchant, 'fraud' AS name, round(CASE WHEN f + nf = 0 THEN 0.0 ELSE f / (f + nf) * 100 END, 6) AS value FROM r
+  UNION ALL
+  SELECT merchant, 'non_fraud', round(CASE WHEN f + nf = 0 THEN 0.0 ELSE nf / (f + nf) * 100 END, 6) FROM r)
 WHERE value > 0"""))
 def f14_nonzero_shares(spark, sf_dir):
-    """pie slices of the success rate with zero shares dropped (here
-    a state's confirmed cases: the non-fraud share is zero)."""
-    from cardsight.operators import reports as rep
-    c = cases(spark, sf_dir).filter((F.col("state") == "NATION_3") & (F.col("is_fraud") == 1))
-    rate = rep.success_rate(c)
-    slices = rate.select(F.explode(F.array(
-        F.struct(F.lit("fraud").alias("name"), r6(F.col("fraud_percentage")).alias("value")),
-        F.struct(F.lit("non_fraud").alias("name"), r6(F.col("non_fraud_percentage")).alias("value")))).alias("s"))
-    return flt.drop_zero(slices.select("s.*"), "value")
+    """slices of every merchant's success rate with zero shares dropped."""
+    y = F.col("is_fraud")
+    counts = unnumbered_cases(spark, sf_dir).groupBy("merchant").agg(F.count_if(y == 1).alias("f"), F.count_if(y == 0).alias("nf"))
+    def share(c):
+        return F.coalesce(r6(F.try_divide(F.col(c).cast("double"), F.col("f") + F.col("nf")) * F.lit(100.0)), F.lit(0.0))
+    slices = counts.select("merchant", F.explode(F.array(
+        F.struct(F.lit("fraud").alias("name"), share("f").alias("value")),
+        F.struct(F.lit("non_fraud").alias("name"), share("nf").alias("value")))).alias("s"))
+    return flt.drop_zero(slices.select("merchant", "s.*"), "value")
 
 
 @register("f12_completeness", with_txn("""

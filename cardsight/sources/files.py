@@ -61,10 +61,9 @@ def write_parquet(df: DataFrame, path: str, compression: str = "snappy") -> str:
 
 
 def write_by_state(df: DataFrame, path: str, key: str = "state") -> str:
-    """One folder per state. Rows are clustered by state before the
-    write so each state lands in few files; a hot state is spread by
-    ``maxRecordsPerFile`` instead of one giant file."""
-    (df.repartition(key).write.mode("overwrite").option("maxRecordsPerFile", 5_000_000)
+    """One folder per state. Rows are rebalanced by state before the
+    write: AQE gathers small states and splits a hot one over several tasks."""
+    (df.hint("rebalance", F.col(key)).write.mode("overwrite").option("maxRecordsPerFile", 5_000_000)
        .partitionBy(key).parquet(path))
     return path
 
@@ -89,7 +88,7 @@ def export_csv(table: DataFrame, path: str, limit: int = 1000, order_col: str =
     if "trans_num" in rows.columns:
         rows = rows.withColumn("trans_num", normalise_id(F.col("trans_num")))
     if not rows.limit(1).take(1):
-        raise LookupError("No transactions found")
+        raise LookupError("nothing to export: the table has no rows")
     write_csv(rows, path)
     return table.sparkSession.read.option("header", True).schema(rows.schema).csv(path)
 

@@ -29,8 +29,7 @@ def txn_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     once, on the order key, right after its scan; supplier and part then
     join on lineitem's own keys and become broadcast joins whenever their
     measured size is under the broadcast threshold (AQE re-checks at
-    runtime). ``nation`` is a fixed 25-row domain table and is always
-    broadcast.
+    runtime), as ``nation`` does.
     """
     li = read_table(spark, sf_dir, "lineitem")
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
@@ -40,7 +39,7 @@ def txn_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand")
 
     buyer = (orders.join(customer, orders.o_custkey == customer.c_custkey)
-             .join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+             .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
              .select("o_orderkey", "o_custkey", "c_mktsegment", "n_name"))
 
     # The order-key join comes first: the fact rows are shuffled carrying
@@ -78,19 +77,23 @@ def txn_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def cases_view(txn: DataFrame, threshold: float = 0.64) -> DataFrame:
+def cases_view(txn: DataFrame, threshold: float = 0.64, numbered: bool = True) -> DataFrame:
     """Cases opened for transactions scored at or above ``threshold``.
 
     ``case_id`` is the 1-based position in (trans_ts, trans_num) order,
-    computed with the range-partitioned row number (no single-task window).
+    computed with the range-partitioned row number (no single-task window);
+    with ``numbered=False`` it is left out, and nothing is sorted.
     """
+    cc = F.col("cc_num")
     flagged = txn.filter(F.col("fraud_score") >= F.lit(threshold)).select(
         "trans_num", "trans_ts", "cc_num", "amt", "merchant", "category", "state",
         "is_fraud", "fraud_score")
-    numbered = global_row_number(flagged, ["trans_ts", "trans_num"], name="case_id")
-    cc = F.col("cc_num")
-    return numbered.select(
-        F.col("case_id").cast("bigint").alias("case_id"),
+    ids = []
+    if numbered:
+        flagged = global_row_number(flagged, ["trans_ts", "trans_num"], name="case_id")
+        ids = [F.col("case_id").cast("bigint").alias("case_id")]
+    return flagged.select(
+        *ids,
         F.array("trans_num").alias("txn_ids"),
         F.when(cc % 3 == 0, "open").when(cc % 3 == 1, "investigating").otherwise("closed").alias("status"),
         (F.col("trans_ts") + F.expr("INTERVAL 1 DAY")).alias("created_at"),
@@ -133,5 +136,5 @@ def bucket_tables(txn: DataFrame) -> dict[str, DataFrame]:
 def bucket(txn: DataFrame, name: str) -> DataFrame:
     """Bucket scan by name; any other name is an error."""
     if name not in ("all", "new", "fraud"):
-        raise ValueError(f"Invalid category: {name!r}")
+        raise ValueError(f"no such bucket: {name!r} (all, new or fraud)")
     return bucket_tables(txn)[name]

@@ -44,18 +44,59 @@ def test_state_models_ensemble_weights_sum_to_one(spark, feats):
     assert loaded.getNumTrees == first.model.getNumTrees
 
 
-def test_tuning_with_hash_folds(spark, feats):
+def test_weights_and_classes_are_counted_on_all_rows(spark, feats):
     _, out = feats
-    data = ml.assemble(sampling.per_group_sample(out, "state", 10000), ml.feature_columns(out)) \
-        .withColumn("weight", F.lit(1.0))
-    cv = ml.tune(data, kind="logistic", grid={"regParam": [0.0, 0.1]}, folds=3, metric="f1")
-    assert len(cv.avgMetrics) == 2
+    full = {r["state"]: (r["n"], r["p"]) for r in
+            out.groupBy("state").agg(F.count("*").alias("n"), F.sum("is_fraud").alias("p")).collect()}
+    models = ml.train_state_models(out, num_trees=2, max_depth=2, sample_rows=20, parallelism=4)
+    assert {m.state: (m.n_rows, m.n_pos) for m in models} == full
+    # A sample without a class gets a row of it: every state with both classes is trained.
+    assert all(m.trained == (0 < m.n_pos < m.n_rows) for m in models)
 
 
-def test_federated_average_has_all_coefficients(spark, feats):
+def test_null_state_is_a_state(spark, feats):
     _, out = feats
-    coef = ml.federated_logistic(out, rounds=2, fraction=0.5)
-    assert coef.count() == len(ml.feature_columns(out)) + 1
+    some = out.withColumn("state", F.when(F.col("state") == "NATION_3", None).otherwise(F.col("state"))) \
+        .filter("state is null or state in ('NATION_1', 'NATION_2')")
+    models = ml.train_state_models(some, num_trees=2, max_depth=2, parallelism=2)
+    assert [m.state for m in models] == ["NATION_1", "NATION_2", None]
+    assert sum(m.n_rows for m in models) == some.count()
+    assert sampling.per_group_sample(some, "state", 5).groupBy("state").count().count() == 3
+
+
+def test_ensemble_in_place_equals_model_by_model(spark, feats):
+    from pyspark.ml.functions import vector_to_array
+    _, out = feats
+    once = out.groupBy("trans_num").count().filter("count = 1").select("trans_num")  # the data repeat a few ids
+    out = out.join(once, "trans_num", "left_semi")
+    models = ml.train_state_models(out.filter("state in ('NATION_1', 'NATION_2', 'NATION_3')"), num_trees=3, max_depth=3)
+    w = ml.state_row_weights(models)
+    doubled = out.unionByName(out)  # repeated keys must not add up
+    got = {}
+    for r in ml.ensemble_scores(doubled, models).select("trans_num", "probability").collect():
+        got.setdefault(r["trans_num"], set()).add(round(r["probability"], 9))
+    want = {}
+    data = ml.assemble(out, ml.feature_columns(out))
+    for m in (m for m in models if m.trained):
+        for r in m.model.transform(data).select("trans_num", vector_to_array("probability")[1].alias("p")).collect():
+            want[r["trans_num"]] = want.get(r["trans_num"], 0.0) + w[m.state] * r["p"]
+    assert got == {k: {round(v, 9)} for k, v in want.items()}
+
+
+def test_more_than_a_thousand_levels(spark):
+    df = spark.range(1500).selectExpr("concat('c', id) as category")
+    assert len(fe.value_counts(df, ["category"])["category"][1]) == 1500
+
+
+def test_tuned_settings_are_fitted(spark, feats):
+    _, out = feats
+    some = out.filter("state in ('NATION_1', 'NATION_2')")
+    grid = {"max_depth": [1, 3], "ratio": [1.0]}
+    tuned = ml.tune_per_state(some, grid=grid, folds=2, num_trees=2)
+    assert all(t["setting"] in ({"max_depth": 1, "ratio": 1.0}, {"max_depth": 3, "ratio": 1.0}) for t in tuned if t["setting"])
+    for m, t in zip(ml.fit_tuned(some, tuned, num_trees=2), tuned):
+        assert m.trained == (t["setting"] is not None)
+        assert not m.trained or m.model.getOrDefault("maxDepth") == t["setting"]["max_depth"]
 
 
 def test_argument_checks():

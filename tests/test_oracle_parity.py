@@ -55,7 +55,6 @@ def test_entry_runs(spark):
 def test_every_query_has_oracle_or_is_declared_rows_only():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
-    rows_only = set(q) - set(o)
-    assert rows_only <= {"u05_fold_sizes", "m02_state_models", "m04_ensemble_scores", "m05_batch_detect",
-                         "a19_feature_importance", "m07_federated_logistic", "t01_stream_scoring",
-                         "s08_artifact_round_trip", "s04_parquet_sink", "m03_tuning"}
+    rows_only = {n for n in set(q) - set(o) if n != "pipeline" and not (n.startswith("op") and n[2].isdigit())}
+    assert rows_only <= {"u05_fold_sizes", "m04_ensemble_scores", "a19_feature_importance", "t01_stream_scoring",
+                         "m03_tuning"}
