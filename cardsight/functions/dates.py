@@ -166,19 +166,37 @@ def time_columns(df: DataFrame) -> dict[str, list[str]]:
     return spec
 
 
+def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with columns that are worked out once per row, whatever reads them.
+
+    A plain projection would be merged with the ones above it, and a filter on
+    a parsed column pushed below it, so that the parse runs again in both. A
+    one-element ``inline`` keeps its place."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def parse_times(df: DataFrame, mode: str = "column", votes: dict[str, FormatVote] | None = None) -> DataFrame:
     """X2 + X3 on a raw feed: ``trans_date_trans_time`` and ``dob`` text.
     In column mode both formats are voted in one pass unless ``votes`` are
-    given (e.g. from a fit on the same feed)."""
+    given (e.g. from a fit on the same feed). White space is collapsed and each
+    text parsed once per row."""
     spec = time_columns(df)
     if not spec:
         return df
+    if mode not in ("column", "row"):
+        raise ValueError(f"unknown mode {mode!r}")
     if mode == "column" and votes is None:
         votes = vote_formats(df, spec)
-    out = df
-    for column, formats in spec.items():
-        out = parse_column(out, column, formats, mode, vote=(votes or {}).get(column))
-    return out
+
+    def parsed(column: str, raw: Column) -> Column:
+        if mode == "row":
+            return F.coalesce(*[parse_with(raw, f) for f in spec[column]])
+        vote = votes[column]
+        return parse_feature_time(raw) if vote.fallback else parse_with(raw, vote.chosen)
+
+    out = computed_once(df, {f"_text_{c}": collapse_ws(c) for c in spec})
+    out = computed_once(out, {f"_time_{c}": parsed(c, F.col(f"_text_{c}")) for c in spec})
+    return out.select(*[F.col(f"_time_{c}").alias(c) if c in spec else F.col(c) for c in df.columns])
 
 
 def whole_days(later, earlier) -> Column:

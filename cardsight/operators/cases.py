@@ -13,6 +13,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cardsight.operators.filters import check_bucket, check_status, normalise_id
 from cardsight.operators.rank import global_row_number
 
 CASE_FIELDS = ["trans_num", "trans_ts", "amt", "merchant", "category", "state", "is_fraud", "fraud_score"]
@@ -50,23 +51,31 @@ def open_cases(fraud_rows: DataFrame, as_of, start_after: int = 0) -> DataFrame:
 def ingest(batch: DataFrame, tables: dict[str, DataFrame], cases: DataFrame, as_of,
            bucket: str = "all") -> tuple[dict[str, DataFrame], DataFrame]:
     """Every row goes to ``all`` and ``new`` whatever ``bucket`` says,
-    fraud-labelled rows also to ``fraud``, and each of those opens a case."""
-    from cardsight.operators.filters import check_bucket
+    fraud-labelled rows also to ``fraud``, and each of those opens a case. Tables
+    with a ``record_id`` number their new rows on from their own greatest one."""
     check_bucket(bucket)
     fraud = batch.filter(F.col("is_fraud") == 1)
-    out = {
-        "all": tables["all"].unionByName(batch),
-        "new": tables["new"].unionByName(batch),
-        "fraud": tables["fraud"].unionByName(fraud),
-    }
+    rows = {"all": batch, "new": batch, "fraud": fraud}
+    out = {name: table.unionByName(with_record_ids(rows[name], table).select(*table.columns))
+           for name, table in tables.items()}
     new_cases = open_cases(fraud, as_of, start_after=current_max(cases, "case_id"))
     return out, cases.unionByName(new_cases.select(*cases.columns))
 
 
+def with_record_ids(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """C5 for a bucket: the next record ids for rows that go to ``table``, where it has them."""
+    if "record_id" not in table.columns:
+        return rows
+    return next_ids(rows, ["trans_ts", "trans_num"], current_max(table, "record_id"), "record_id")
+
+
 def insert_if_absent(table: DataFrame, rows: DataFrame, key: str | list[str]) -> DataFrame:
-    """Append the rows whose key is not yet present (anti join)."""
+    """Append the rows whose key is not yet present (anti join); of rows that
+    share a key, the least by its other columns."""
     keys = [key] if isinstance(key, str) else list(key)
-    fresh = rows.dropDuplicates(keys).join(table.select(*keys), keys, "left_anti")
+    others = [c for c in rows.columns if c not in keys]
+    once = rows.groupBy(*keys).agg(F.min(F.struct(*others)).alias("_r")).select(*keys, "_r.*") if others else rows.distinct()
+    fresh = once.join(table.select(*keys), keys, "left_anti")
     return table.unionByName(fresh.select(*table.columns))
 
 
@@ -89,7 +98,8 @@ def case_decisions(cases: DataFrame, decisions: DataFrame) -> DataFrame:
     """(case_id, status, verdict) for cases holding a decided
     transaction id. The id array is exploded and equi-joined; a case with
     several decided ids takes the decision of its smallest id."""
-    ids = cases.select("case_id", F.explode("txn_ids").alias("txn_id"))
+    ids = cases.select("case_id", F.explode("txn_ids").alias("txn_id")) \
+               .withColumn("txn_id", normalise_id(F.col("txn_id")))
     hit = ids.join(decisions.select("txn_id", "status", "verdict"), "txn_id")
     return hit.groupBy("case_id").agg(F.min_by(F.struct("status", "verdict"), F.col("txn_id")).alias("_d")) \
               .select("case_id", F.col("_d.status").alias("_new_status"), F.col("_d.verdict").alias("_verdict"))
@@ -105,12 +115,15 @@ def apply_decisions(tables: dict[str, DataFrame], cases: DataFrame, decisions: D
     verdict ``status``: case gets the status only.
     Returns the four new tables plus ``unmatched``: decisions with no case.
     """
-    decisions = latest_decisions(decisions)
-    rollback_ids = decisions.filter(F.col("verdict") == "not_fraud").select(F.col("txn_id").alias(key)) \
+    decisions = latest_decisions(decisions.withColumn("txn_id", normalise_id(F.col("txn_id"))))
+    rollback_ids = decisions.filter(F.col("verdict") == "not_fraud").select(F.col("txn_id").alias("_id")) \
                             .withColumn("_rb", F.lit(True))
 
+    def keyed(t: DataFrame) -> DataFrame:
+        return t.withColumn("_id", normalise_id(F.col(key)))
+
     def relabel(t: DataFrame) -> DataFrame:
-        j = t.join(rollback_ids, key, "left")
+        j = keyed(t).join(rollback_ids, "_id", "left")
         return j.withColumn("is_fraud", F.when(F.col("_rb"), F.lit(0)).otherwise(F.col("is_fraud"))) \
                 .drop("_rb").select(*t.columns)
 
@@ -121,12 +134,12 @@ def apply_decisions(tables: dict[str, DataFrame], cases: DataFrame, decisions: D
                  .withColumn("is_fraud", F.when(F.col("_verdict") == "not_fraud", F.lit(0))
                              .otherwise(F.col("is_fraud")))
                  .select(*cases.columns))
-    case_ids = cases.select(F.explode("txn_ids").alias("txn_id"))
+    case_ids = cases.select(F.explode("txn_ids").alias("txn_id")).select(normalise_id(F.col("txn_id")).alias("txn_id"))
     unmatched = decisions.join(case_ids, "txn_id", "left_anti")
     return {
         "all": relabel(tables["all"]),
         "new": relabel(tables["new"]),
-        "fraud": tables["fraud"].join(rollback_ids.select(key), key, "left_anti"),
+        "fraud": keyed(tables["fraud"]).join(rollback_ids.select("_id"), "_id", "left_anti").drop("_id"),
         "cases": new_cases,
         "unmatched": unmatched,
     }
@@ -135,14 +148,14 @@ def apply_decisions(tables: dict[str, DataFrame], cases: DataFrame, decisions: D
 def set_case_status(cases: DataFrame, txn_ids: DataFrame, status: str) -> tuple[DataFrame, DataFrame]:
     """Set ``status`` on every case holding one of the ids in
     ``txn_ids(txn_id)``; returns (new cases, ids with no case)."""
-    from cardsight.operators.filters import check_status
     check_status(status)
-    d = txn_ids.select("txn_id").dropDuplicates().withColumn("status", F.lit(status)) \
+    d = txn_ids.select(normalise_id(F.col("txn_id")).alias("txn_id")).dropDuplicates().withColumn("status", F.lit(status)) \
                .withColumn("verdict", F.lit("status"))
     per_case = case_decisions(cases, d)
     out = cases.join(per_case, "case_id", "left") \
                .withColumn("status", F.coalesce(F.col("_new_status"), F.col("status"))).select(*cases.columns)
-    unmatched = d.join(cases.select(F.explode("txn_ids").alias("txn_id")), "txn_id", "left_anti")
+    known = cases.select(F.explode("txn_ids").alias("txn_id")).select(normalise_id(F.col("txn_id")).alias("txn_id"))
+    unmatched = d.join(known, "txn_id", "left_anti")
     return out, unmatched.select("txn_id")
 
 

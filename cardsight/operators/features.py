@@ -9,9 +9,10 @@ one projection of column expressions plus lookup joins: no Python UDF.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import asdict, dataclass, field, fields
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardsight.constants import HIGH_CARD_COLS, SAMPLER_DROP_COLS, TE_MIN_SAMPLES_LEAF, TE_SMOOTHING
@@ -95,50 +96,55 @@ def decode(df: DataFrame, codes: DataFrame, column: str, code: str | None = None
 
 # ---------------------------------------------------------------- statistics
 
-def exact_medians(df: DataFrame, columns: list[str],
-                  counts: dict[str, int] | None = None) -> dict[str, float | None]:
-    """Exact medians of several columns without sorting every value:
+def exact_medians(df: DataFrame, columns: list[str], counts: dict[str, int] | None = None,
+                  interactions: dict[str, str] | None = None) -> dict[str, float | None]:
+    """Exact medians of several columns without sorting every value.
+
     (feature, value) pairs are counted first (partial aggregation collapses
-    repeated values -- hours, ages, the many zeros of interaction columns),
-    then a range-partitioned running sum over the distinct values gives each
-    value's rank interval, and the one or two values covering the middle
-    ranks are averaged. Only ``2 x len(columns)`` values reach the driver.
-    ``counts`` (non-null values per column) saves a pass when known."""
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns
-    ])).alias("p")).select("p.*").filter(F.col("value").isNotNull())
+    repeated values), then a range-partitioned running sum over the distinct
+    values gives each value's rank interval, and the one or two values that
+    cover the middle ranks are averaged. Only ``2 x len(columns)`` values reach
+    the driver. ``counts`` (non-null values per column) saves a pass when known.
+    ``interactions``: feature -> category of the amount-by-category columns. A
+    row holds a value for one of them and zeros for the others, so one pair per row is
+    emitted, and the zeros are added from the counts."""
+    interactions = {f: v for f, v in (interactions or {}).items() if f in columns}
+    plain = [c for c in columns if c not in interactions]
     if counts is None:
         row = df.agg(*[F.count(c).alias(c) for c in columns]).first()
         counts = {c: int(row[c]) for c in columns}
+    pairs = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in plain]
+    if interactions:
+        prefix = next(iter(interactions)).removesuffix(interactions[next(iter(interactions))])
+        pairs.append(F.struct(F.concat(F.lit(prefix), F.col("_category")).alias("feature"),
+                              F.col("amt_log").cast("double").alias("value")))
+    long = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").filter("feature is not null and value is not null")
+    valued = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c"))
+    if interactions:
+        valued = valued.filter(F.col("feature").isin(list(columns)))
+        shown = {r["feature"]: r["n"] for r in valued.filter(F.col("feature").startswith(prefix))
+                 .groupBy("feature").agg(F.sum("c").alias("n")).collect()}
+        zeros = [(f, 0.0, counts[f] - shown.get(f, 0)) for f in interactions if counts[f] > shown.get(f, 0)]
+        valued = (valued.unionByName(df.sparkSession.createDataFrame(zeros, "feature string, value double, c long"))
+                  .groupBy("feature", "value").agg(F.sum("c").alias("c")))
     # Where each feature's ranks start in (feature, value) order: one
     # number per feature, computed here from the counts.
     start, acc = {}, 0
     for c in sorted(columns):
         start[c] = acc
         acc += counts[c]
-    valued = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c"))
-    cum = global_running_sums(valued, ["feature", "value"], ["c"])
-    wanted = []
-    for c in columns:
-        n = counts[c]
-        if n == 0:
-            continue
-        for r in {start[c] + (n + 1) // 2, start[c] + (n + 2) // 2}:
-            # the value whose rank run (c_cum - c, c_cum] holds global rank r
-            wanted.append((F.col("feature") == c) & (F.col("c_cum") - F.col("c") < r) & (F.col("c_cum") >= r))
+    wanted = [(c, r) for c in columns if counts[c]
+              for r in {start[c] + (counts[c] + 1) // 2, start[c] + (counts[c] + 2) // 2}]
     if not wanted:
         return {c: None for c in columns}
-    cond = wanted[0]
-    for w in wanted[1:]:
-        cond = cond | w
+    cum = global_running_sums(valued, ["feature", "value"], ["c"])
+    ranks = df.sparkSession.createDataFrame(wanted, "feature string, rank long")
+    # The value whose run of ranks (c_cum - c, c_cum] holds the wanted one.
     hits: dict[str, list[float]] = {}
-    for r in cum.filter(cond).select("feature", "value").collect():
+    for r in (cum.join(ranks, "feature").filter("c_cum - c < rank and rank <= c_cum")
+              .select("feature", "value").collect()):
         hits.setdefault(r["feature"], []).append(r["value"])
-    out = {}
-    for c in columns:
-        vals = sorted(hits.get(c, []))
-        out[c] = None if not vals else (vals[0] + vals[-1]) / 2.0
-    return out
+    return {c: (min(hits[c]) + max(hits[c])) / 2.0 if c in hits else None for c in columns}
 
 
 def approx_medians(df: DataFrame, columns: list[str], accuracy: int = 10000) -> dict[str, float | None]:
@@ -190,46 +196,52 @@ class FeatureModel:
         return names
 
 
+def _feature_list(columns: list[str], ts: str, categories: list[str], drop_cols) -> dict[str, Column]:
+    """What the engineered frame holds, in order: the passed columns that are
+    neither identifying nor used up, then the derived ones whose inputs exist."""
+    has = set(columns)
+    place = {"amt", "lat", "long", "merch_lat", "merch_long"}
+    with_place, with_merchant = place <= has, "merchant" in has
+    used = {ts, "dob", *(place if with_place else ()), *(["merchant"] if with_merchant else ())}
+    out = {c: F.col(c) for c in columns if c not in used and c not in drop_cols}
+    out |= {"age": dates.age_years(ts, "dob"), "txn_hour": dates.hour_of(ts), "txn_dow": dates.day_of_week(ts),
+            "txn_month": dates.month_of(ts)}
+    if with_merchant:
+        out["merchant_te"] = F.col("_merchant_te")
+    if with_place:
+        out["amt_log"] = F.log1p("amt")
+        out["distance"] = F.sqrt(F.pow(F.col("merch_lat") - F.col("lat"), 2) + F.pow(F.col("merch_long") - F.col("long"), 2))
+        if "category" in has:
+            out |= {f"amt_x_category_{v}": F.log1p("amt") * F.when(F.col("category") == v, 1.0).otherwise(0.0)
+                    for v in categories}
+    return out
+
+
 def engineered(df: DataFrame, te_table: DataFrame, prior: float, interaction_categories: list[str],
                parse: bool = True, mode: str = "column", drop_cols=HIGH_CARD_COLS,
                keep: tuple[str, ...] = ("trans_num", "state"), votes: dict | None = None) -> DataFrame:
-    """The hand-made part of M1 before imputation/scaling: parsed times
-    (A17, X2, X3), rows without times dropped (F10), age and time parts
-    (X5, X6), merchant encoding (J2), log amount and distance (X9, X10),
-    amount x category interactions (X12, X13), identifying columns dropped
-    (P1). ``keep`` columns travel along as keys, not features."""
-    out = df
-    if parse:
-        out = dates.parse_times(out, mode=mode, votes=votes)
+    """The hand-made part of M1 before imputation/scaling, as one projection
+    (see ``_feature_list``) over the rows whose times parse (A17, X2, X3, F10):
+    age and time parts (X5, X6), merchant encoding (J2), log amount and distance
+    (X9, X10), amount x category (X12, X13), identifying columns left out (P1).
+    ``keep`` columns travel along as keys, not features."""
+    out = dates.parse_times(df, mode=mode, votes=votes) if parse else df
     ts = "trans_date_trans_time" if "trans_date_trans_time" in out.columns else "trans_ts"
     out = require_parsed(out, [ts, "dob"], check_empty=False)
-    out = (out.withColumn("age", dates.age_years(ts, "dob"))
-              .withColumn("txn_hour", dates.hour_of(ts))
-              .withColumn("txn_dow", dates.day_of_week(ts))
-              .withColumn("txn_month", dates.month_of(ts))
-              .drop(ts, "dob"))
+    features = _feature_list(out.columns, ts, interaction_categories, drop_cols)
+    keys = {f"_key_{k}": F.col(k) for k in keep if k in out.columns}
+    if "category" in out.columns:
+        keys["_category"] = F.col("category")
     if "merchant" in out.columns:
-        out = apply_target_encoder(out, te_table, prior).drop("merchant")
-    if all(c in out.columns for c in ["amt", "merch_lat", "merch_long", "lat", "long"]):
-        out = (out.withColumn("amt_log", F.log1p("amt"))
-                  .withColumn("distance", F.sqrt(F.pow(F.col("merch_lat") - F.col("lat"), 2)
-                                                 + F.pow(F.col("merch_long") - F.col("long"), 2)))
-                  .drop("amt", "lat", "long", "merch_lat", "merch_long"))
-    if "category" in out.columns and "amt_log" in out.columns:
-        for v in interaction_categories:
-            out = out.withColumn(f"amt_x_category_{v}",
-                                 F.col("amt_log") * F.when(F.col("category") == v, 1.0).otherwise(0.0))
-    keys = [k for k in keep if k in out.columns]
-    for k in keys:
-        out = out.withColumn(f"_key_{k}", F.col(k))
-    return out.drop(*[c for c in drop_cols if c in out.columns])
+        out = apply_target_encoder(out, te_table, prior, out="_merchant_te")
+    return out.select(*[c.alias(name) for name, c in (features | keys).items()])
 
 
 def split_types(df: DataFrame, exclude=(LABEL,)) -> tuple[list[str], list[str]]:
     """Numeric and text columns of a frame, in column order."""
     num, cat = [], []
     for name, dtype in df.dtypes:
-        if name in exclude or name.startswith("_key_"):
+        if name in exclude or name.startswith("_"):
             continue
         if dtype == "string":
             cat.append(name)
@@ -244,33 +256,34 @@ def fit_features(raw: DataFrame, parse: bool = True, mode: str = "column", exact
     """Fit M1 on a raw training frame (unbalanced, with labels).
 
     Passes over the raw feed: one aggregation for the format votes and the
-    prior; one grouped pass for all lookups (merchant
-    encoder statistics, state rates, category levels); one to build the
-    engineered frame, which is then checkpointed (``keep_engineered``) or
-    persisted for one statistics pass, the exact medians and one grouped
-    count for modes and levels."""
+    prior; one that parses the times and writes the rows. From there one grouped
+    pass for all lookups (merchant encoder statistics, state rates, category
+    levels) and one to build the engineered frame, which is then checkpointed
+    (``keep_engineered``) or persisted for one statistics pass, the exact
+    medians and one grouped count for modes and levels."""
     from pyspark import StorageLevel
+    from cardsight.session import checkpoint_dir
+    checkpoint_dir(raw.sparkSession)
     raw = raw.drop(*[c for c in drop_first if c in raw.columns and c != "trans_num"], "fraud_score")
     # One pass: format votes and the prior.
-    extra = {"prior": F.avg(LABEL)}
     spec = dates.time_columns(raw) if parse and mode == "column" else {}
-    votes = dates.vote_formats(raw, spec, extra_aggs=extra)
-    ex = votes.pop("_extra")
-    prior = float(ex["prior"])
-    # The fitted lookups -- merchant encoder statistics, state rates and the
-    # category levels -- come from ONE grouped pass over (lookup, key) pairs,
-    # written once to the checkpoint folder (one row per merchant / state /
-    # category) instead of re-aggregating the raw feed for each of them.
-    from cardsight.session import checkpoint_dir
-    checkpoint_dir(raw.sparkSession)
+    votes = dates.vote_formats(raw, spec, extra_aggs={"prior": F.avg(LABEL)})
+    prior = float(votes.pop("_extra")["prior"] or 0.0)
+    # Parsed once; the lookups and the engineered frame both read this table.
+    if parse:
+        raw = dates.parse_times(raw, mode=mode, votes=votes or None).checkpoint(eager=True)
+    ts = "trans_date_trans_time" if "trans_date_trans_time" in raw.columns else "trans_ts"
+    has_times = F.col(ts).isNotNull() & F.col("dob").isNotNull()
+    # Merchant encoder statistics, state rates and category levels come from one grouped pass over
+    # (lookup, key) pairs; the levels are those of the rows with times.
     keyed = [k for k in ("merchant", "state", "category") if k in raw.columns]
     lookups = None
     if keyed:
-        pairs = raw.select(F.col(LABEL), F.explode(F.array(*[
+        pairs = raw.select(F.col(LABEL), has_times.alias("ok"), F.explode(F.array(*[
             F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("key")) for k in keyed])).alias("p")) \
-            .select("p.kind", "p.key", LABEL)
+            .select("p.kind", "p.key", LABEL, "ok")
         lookups = (pairs.groupBy("kind", "key")
-                   .agg(F.count(F.lit(1)).alias("n"), F.avg(LABEL).alias("mean"))
+                   .agg(F.count(F.lit(1)).alias("n"), F.avg(LABEL).alias("mean"), F.count_if("ok").alias("n_ok"))
                    .checkpoint(eager=True))
 
     def _lookup(kind: str) -> DataFrame:
@@ -284,16 +297,13 @@ def fit_features(raw: DataFrame, parse: bool = True, mode: str = "column", exact
         te_table, _ = fit_target_encoder(raw, prior=prior)
     state_rates = _lookup("state").select("state", F.col("mean").alias("state_rate")) if "state" in keyed else None
     if "category" in keyed:
-        cat_rows = _lookup("category").select("category").collect()
+        cat_rows = _lookup("category").filter("n_ok > 0").select("category").collect()
         cats = sorted(r["category"] for r in cat_rows)
     else:
         cats = []
-    if not (parse and mode == "column"):
-        votes = None
-    eng = engineered(raw, te_table, prior, cats, parse=parse, mode=mode, votes=votes)
+    eng = engineered(raw, te_table, prior, cats, parse=False)
     if keep_engineered:
-        # Written once to the shared checkpoint folder: the statistics below
-        # and ``fit_transform`` read it instead of parsing the feed again.
+        # Written once: the statistics below and ``fit_transform`` read it.
         eng = eng.checkpoint(eager=True)
     else:
         eng = eng.persist(StorageLevel.MEMORY_AND_DISK)
@@ -302,8 +312,11 @@ def fit_features(raw: DataFrame, parse: bool = True, mode: str = "column", exact
         row = eng.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(f"n_{c}") for c in num_cols],
                       *[F.avg(F.col(c).cast("double")).alias(f"m_{c}") for c in num_cols],
                       *[F.stddev_pop(F.col(c).cast("double")).alias(f"s_{c}") for c in num_cols]).first()
+        if not row["_n"]:
+            raise ValueError("no row of the feed has both times: nothing to fit")
         counts = {c: int(row[f"n_{c}"]) for c in num_cols}
-        medians = exact_medians(eng, num_cols, counts) if exact else approx_medians(eng, num_cols)
+        medians = exact_medians(eng, num_cols, counts, {f"amt_x_category_{v}": v for v in cats}) \
+            if exact else approx_medians(eng, num_cols)
         means = {c: row[f"m_{c}"] for c in num_cols}
         stds = {c: row[f"s_{c}"] for c in num_cols}
         with_nulls = [c for c in num_cols if counts[c] < row["_n"]]
@@ -321,12 +334,34 @@ def fit_features(raw: DataFrame, parse: bool = True, mode: str = "column", exact
         if not keep_engineered:
             eng.unpersist()
     model = FeatureModel(te_table, prior, state_rates, prior, cats, num_cols, cat_cols,
-                         medians, means, stds, cat_modes, levels, votes=votes or {})
+                         medians, means, stds, cat_modes, levels, votes=votes)
     if keep_engineered:
         model.engineered = eng
     return model
 
 
+def save_features(model: FeatureModel, path: str) -> None:
+    """The fitted model under ``path``: its two lookups as Parquet, its
+    values (a few per column) as one row of JSON."""
+    spark = model.te_table.sparkSession
+    model.te_table.write.mode("overwrite").parquet(f"{path}/merchant_te")
+    if model.state_rates is not None:
+        model.state_rates.write.mode("overwrite").parquet(f"{path}/state_rates")
+    values = {f.name: getattr(model, f.name) for f in fields(model)
+              if f.name not in ("te_table", "state_rates", "votes", "engineered")}
+    values["has_state_rates"] = model.state_rates is not None
+    values["votes"] = {c: asdict(v) for c, v in model.votes.items()}
+    spark.createDataFrame([(json.dumps(values),)], "value string").write.mode("overwrite").text(f"{path}/values")
+
+
+def load_features(spark: SparkSession, path: str) -> FeatureModel:
+    """A model written by ``save_features``."""
+    values = json.loads(spark.read.text(f"{path}/values").first()[0])
+    rates = spark.read.parquet(f"{path}/state_rates") if values.pop("has_state_rates") else None
+    votes = {c: dates.FormatVote(**v) for c, v in values.pop("votes").items()}
+    return FeatureModel(te_table=spark.read.parquet(f"{path}/merchant_te"), state_rates=rates, votes=votes, **values)
+
+
 def scale(col: str, model: FeatureModel) -> Column:
     """X11: impute the median, subtract the mean, divide by the population
     deviation (1 when the deviation is 0)."""
@@ -349,29 +384,29 @@ def one_hot(col: str, levels: list[str], fill: str | None, prefix: str = "cat__"
 
 
 def transform(df: DataFrame, model: FeatureModel, parse: bool = True, mode: str = "column",
-              with_label: bool = True, state_risk: bool = True, reuse_votes: bool = False) -> DataFrame:
+              with_label: bool = True, state_risk: bool = True, reuse_votes: bool = False,
+              carry: tuple[str, ...] = ()) -> DataFrame:
     """M1 (+ J1, P2): raw rows -> named feature columns ``num__*`` and
     ``cat__*``; ``trans_num`` and ``state`` kept as keys, the label kept when
     present. Columns the model expects but the input lacks are added as
-    null and imputed; unexpected columns are dropped. Formats are voted on
+    null and imputed; unexpected columns are dropped, but for those to ``carry``. Formats are voted on
     the frame being transformed unless ``reuse_votes`` (same feed as the
     fit)."""
-    votes = model.votes if reuse_votes else None
+    votes = (model.votes or None) if reuse_votes else None
     eng = engineered(df, model.te_table, model.prior, model.interaction_categories, parse=parse, mode=mode,
-                     votes=votes)
+                     votes=votes, keep=("trans_num", "state", *carry))
     return finish(eng, model, with_label, state_risk)
 
 
 def finish(eng: DataFrame, model: FeatureModel, with_label: bool = True, state_risk: bool = True) -> DataFrame:
     """Imputation, scaling, one-hot columns and the state risk on an
     engineered frame."""
-    for c in model.num_cols + model.cat_cols:
-        if c not in eng.columns:
-            eng = eng.withColumn(c, F.lit(None).cast("double" if c in model.num_cols else "string"))
+    eng = eng.withColumns({c: F.lit(None).cast("double" if c in model.num_cols else "string")
+                           for c in model.num_cols + model.cat_cols if c not in eng.columns})
     cols = [scale(c, model).alias(f"num__{c}") for c in model.num_cols]
     for c in model.cat_cols:
         cols += one_hot(c, model.cat_levels[c], model.cat_modes[c])
-    keys = [F.col(f"_key_{k}").alias(k) for k in ("trans_num", "state") if f"_key_{k}" in eng.columns]
+    keys = [F.col(k).alias(k.removeprefix("_key_")) for k in eng.columns if k.startswith("_key_")]
     label = [F.col(LABEL)] if with_label and LABEL in eng.columns else []
     out = eng.select(*keys, *cols, *label)
     if state_risk and model.state_rates is not None and "state" in out.columns:
@@ -405,8 +440,5 @@ def scaled_hour_interactions(df: DataFrame, levels: list[str], hour: str = "txn_
     stats = df.agg(F.avg(hour).alias("m"), F.stddev_samp(hour).alias("s")).first()
     s = stats["s"] if stats["s"] else 1.0
     z = (F.col(hour) - F.lit(stats["m"])) / F.lit(s)
-    out = df
-    for lv in levels:
-        out = out.withColumn(f"hour_x_{column}_{lv}", z * F.when(F.col(column) == lv, 1.0).otherwise(0.0))
-    return out
+    return df.withColumns({f"hour_x_{column}_{lv}": z * F.when(F.col(column) == lv, 1.0).otherwise(0.0) for lv in levels})
 

@@ -133,5 +133,6 @@ def per_group_sample(df: DataFrame, group: str = "state", n: int = TUNING_SAMPLE
 
 def with_folds(df: DataFrame, k: int, key: str = "trans_num", seed: int = TUNING_SEED,
                name: str = "fold") -> DataFrame:
-    """Fold number in [0, k) from a seeded hash of the key."""
-    return df.withColumn(name, F.pmod(_hash(key, seed, 4), F.lit(k)).cast("int"))
+    """Fold number in [0, k) from a seeded hash (MD5) of the key."""
+    digits = F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), 1, 8)
+    return df.withColumn(name, (F.conv(digits, 16, 10).cast("long") % F.lit(k)).cast("int"))

@@ -18,8 +18,10 @@ pr AS (SELECT *, tps / (tps + fps) AS precision, tps / P AS recall FROM c),
 prf AS (SELECT *, 2 * precision * recall / (precision + recall + 1e-9) AS f1 FROM pr)
 """
 
-CM_SQL = """
-, p AS (SELECT *, CAST(fraud_score >= 0.64 AS INT) AS pred FROM txn),
+# Decisions at the threshold with the greatest F1 (A24), as the evaluation takes them.
+CM_SQL = CURVE_SQL + """
+, best AS (SELECT score AS threshold FROM prf ORDER BY f1 DESC, score LIMIT 1),
+p AS (SELECT *, CAST(fraud_score >= threshold AS INT) AS pred FROM txn, best),
 cm AS (SELECT count(*) FILTER (WHERE is_fraud = 1 AND pred = 1) AS tp,
               count(*) FILTER (WHERE is_fraud = 0 AND pred = 1) AS fp,
               count(*) FILTER (WHERE is_fraud = 0 AND pred = 0) AS tn,
@@ -28,7 +30,8 @@ cm AS (SELECT count(*) FILTER (WHERE is_fraud = 1 AND pred = 1) AS tp,
 
 
 def _scored(spark, sf_dir):
-    return ev.predict(txn(spark, sf_dir))
+    t = txn(spark, sf_dir)
+    return ev.predict(t, threshold=ev.best_threshold(t).first()["threshold"])
 
 
 def _round_all(df, cols):
@@ -79,9 +82,11 @@ def a23_log_loss(spark, sf_dir):
 
 
 @register("a24_pr_curve", with_txn(CURVE_SQL + """
-SELECT score, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM prf"""))
+SELECT score, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM prf
+UNION ALL SELECT NULL, 1.0, 0.0, 0.0"""))
 def a24_pr_curve(spark, sf_dir):
-    pr = ev.pr_curve(txn(spark, sf_dir))
+    """Every threshold, and the end point (precision 1, recall 0) that has none."""
+    pr = ev.pr_curve(txn(spark, sf_dir), ends=True)
     return _round_all(pr.select("score", "precision", "recall", "f1"), ["precision", "recall", "f1"])
 
 
@@ -99,9 +104,11 @@ def a25_average_precision(spark, sf_dir):
 
 
 @register("a26_roc_curve", with_txn(CURVE_SQL + """
-SELECT score, round(fps / N, 6) AS fpr, round(tps / P, 6) AS tpr FROM c"""))
+SELECT score, round(fps / N, 6) AS fpr, round(tps / P, 6) AS tpr FROM c
+UNION ALL SELECT NULL, 0.0, 0.0"""))
 def a26_roc_curve(spark, sf_dir):
-    return _round_all(ev.roc_curve(txn(spark, sf_dir)), ["fpr", "tpr"])
+    """Every threshold, and the origin that has none."""
+    return _round_all(ev.roc_curve(txn(spark, sf_dir), ends=True), ["fpr", "tpr"])
 
 
 @register("a26_auroc", with_txn(CURVE_SQL + """

@@ -10,11 +10,13 @@ from cardsight.operators import features as fe
 from cardsight.plans.catalog import register
 from cardsight.plans.common import r6, txn
 from cardsight.plans.oracle_views import with_txn
-from cardsight.sources import tables
+from cardsight.sources import files, tables
 
 
 def _text(spark, sf_dir, spoil=50):
-    return tables.txn_text_view(txn(spark, sf_dir), spoil_mod=spoil)
+    """The raw text feed, written as the table that a feed is: the fits read it several times."""
+    path = files.scratch_path(spark, "feed")
+    return spark.read.parquet(files.write_parquet(tables.txn_text_view(txn(spark, sf_dir), spoil_mod=spoil), path))
 
 
 # ---------------------------------------------------------------- A17, X1-X8
@@ -257,7 +259,7 @@ eng AS (
          ln(1 + amt) AS amt_log,
          sqrt(pow(merch_lat - lat, 2) + pow(merch_long - long, 2)) AS distance
   FROM parsed p LEFT JOIN tee ON p.merchant = tee.merchant),
-cats AS (SELECT DISTINCT category AS v FROM txn),
+cats AS (SELECT DISTINCT category AS v FROM parsed),
 long AS (
   SELECT trans_num, 'city_pop' AS feature, city_pop AS value FROM eng
   UNION ALL SELECT trans_num, 'age', age FROM eng
@@ -335,6 +337,7 @@ def x14_hour_category_interaction(spark, sf_dir):
     levels = fe.value_counts(t, ["category"])["category"][1]
     out = fe.scaled_hour_interactions(t, levels)
     cols = [c for c in out.columns if c.startswith("hour_x_category_")]
-    long = out.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("z"))
-                                          for c in cols])).alias("p")).select("p.*")
-    return long.groupBy("feature").agg(F.round(F.sum("z"), 4).alias("total"), r6(F.max("z")).alias("max_value"))
+    wide = out.agg(*[F.sum(c).alias(f"s_{c}") for c in cols], *[F.max(c).alias(f"m_{c}") for c in cols])
+    long = wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"s_{c}").alias("s"),
+                                                    F.col(f"m_{c}").alias("m")) for c in cols])).alias("p")).select("p.*")
+    return long.select("feature", F.round("s", 4).alias("total"), r6(F.col("m")).alias("max_value"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cardsight.constants import TUNING_SEED
 from cardsight.operators import features as fe
 from cardsight.operators import models as ml
 from cardsight.operators import sampling
@@ -12,7 +13,7 @@ from cardsight.plans.catalog import register
 from cardsight.plans.common import r6, txn
 from cardsight.plans.oracle_views import with_txn
 from cardsight.session import checkpoint_dir
-from cardsight.sources import tables
+from cardsight.sources import files, tables
 
 SPLIT = "2000-01-01 00:00:00"
 SEARCH_TREES = 5   # trees of a forest in the settings search
@@ -23,7 +24,8 @@ def _split_text(spark, sf_dir):
     """Raw text feed split into training (before 2000) and held-out rows;
     the split flag is computed from the source time before it becomes text."""
     base = txn(spark, sf_dir).withColumn("_train", F.col("trans_ts") < F.lit(SPLIT).cast("timestamp_ntz"))
-    raw = tables.txn_text_view(base, spoil_mod=50)
+    path = files.scratch_path(spark, "feed")
+    raw = spark.read.parquet(files.write_parquet(tables.txn_text_view(base, spoil_mod=50), path))
     return raw.filter("_train").drop("_train"), raw.filter(~F.col("_train")).drop("_train")
 
 
@@ -101,7 +103,9 @@ def a18_ensemble_weights(spark, sf_dir):
         "state", r6(F.col("weight")).alias("weight"))
 
 
-@register("u05_fold_sizes")
+@register("u05_fold_sizes", with_txn(f"""
+SELECT CAST(CAST('0x' || substr(md5(trans_num || ':{TUNING_SEED}'), 1, 8) AS BIGINT) % 5 AS INT) AS fold, count(*) AS n
+FROM txn GROUP BY 1"""))
 def u05_fold_sizes(spark, sf_dir):
     """Fold column from a seeded hash; rows per fold."""
     return sampling.with_folds(txn(spark, sf_dir), 5).groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
@@ -142,18 +146,70 @@ def m04_ensemble_scores(spark, sf_dir):
     return scored.select("trans_num", "state", "is_fraud", "probability", "pred")
 
 
-@register("m05_batch_detect")
+HELD_OUT_SQL = """
+FROM txn WHERE trans_ts >= TIMESTAMP '2000-01-01 00:00:00' AND CAST(split_part(trans_num, '-', 1) AS BIGINT) % 50 <> 0"""
+
+
+def _saved(spark, sf_dir):
+    """The trained feature model, written and read back, and the state models."""
+    fm, _, models, test = _trained(spark, sf_dir)
+    path = files.scratch_path(spark, "features")
+    fe.save_features(fm, path)
+    return fe.load_features(spark, path), models, test
+
+
+def _detected(spark, sf_dir):
+    """Per-row decisions on the raw held-out feed with the reloaded feature model."""
+    fm, models, _ = _saved(spark, sf_dir)
+    _, test_raw = _split_text(spark, sf_dir)
+    expected = ["trans_num", "state", *fm.feature_names, "state_risk", "is_fraud"]
+    feats = fe.align(fe.transform(test_raw, fm, reuse_votes=True), expected)
+    return ml.decide(ml.ensemble_scores(feats, models))
+
+
+@register("m05_batch_detect", with_txn(f"""
+SELECT state, count(*) AS n_rows, count(*) FILTER (WHERE is_fraud = 1) AS n_fraud, count(*) AS n_decided
+{HELD_OUT_SQL} GROUP BY state"""))
 def m05_batch_detect(spark, sf_dir):
-    """M5: raw text batch -> features -> state risk -> alignment ->
-    ensemble -> decision, then the per-outcome counts with the quality of
-    the decision (A21 on the held-out batch)."""
+    """M5: raw text batch -> features (model saved and loaded) -> state risk ->
+    alignment -> ensemble -> decision; rows, frauds and decisions per state."""
+    return _detected(spark, sf_dir).groupBy("state").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("is_fraud") == 1).alias("n_fraud"),
+        F.count_if(F.col("pred").isin(0, 1)).alias("n_decided"))
+
+
+@register("m05_evaluation", with_txn(f"""
+SELECT count(*) AS n_rows, count(*) FILTER (WHERE is_fraud = 1) AS n_fraud,
+       count(*) FILTER (WHERE is_fraud = 0) AS n_clean, true AS best_beats_default {HELD_OUT_SQL}"""))
+def m05_evaluation(spark, sf_dir):
+    """The ensemble judged at its F1-best threshold (A24): the confusion
+    counts add up to the held-out rows, and its F1 is not below the default
+    threshold's."""
     from cardsight.operators import evaluate as ev
-    fm, _, models, _ = _trained(spark, sf_dir)
+    _, models, test = _saved(spark, sf_dir)
+    scored = ml.ensemble_scores(test, models).checkpoint(eager=True)
+    best = ev.best_threshold(scored, score="probability").first()
+    at_best = ev.confusion_counts(ml.decide(scored, threshold=best["threshold"]))
+    default = ev.threshold_metrics(ml.decide(scored)).first()["f1"]
+    return at_best.select(
+        (F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")).alias("n_rows"), (F.col("tp") + F.col("fn")).alias("n_fraud"),
+        (F.col("tn") + F.col("fp")).alias("n_clean"), F.lit(best["f1"] >= default - 1e-6).alias("best_beats_default"))
+
+
+@register("m01_reloaded_features", with_txn(f"""
+SELECT count(*) AS n_rows, 0 AS n_different {HELD_OUT_SQL}"""))
+def m01_reloaded_features(spark, sf_dir):
+    """The reloaded feature model gives the same features, row by row."""
+    fm, _, test = _saved(spark, sf_dir)
     _, test_raw = _split_text(spark, sf_dir)
-    feats = fe.transform(test_raw, fm)
-    expected = ["trans_num", "state", *fm.feature_names, "state_risk", "is_fraud"]
-    scored = ml.decide(ml.ensemble_scores(fe.align(feats, expected), models))
-    return ev.threshold_metrics(scored, "is_fraud", "pred")
+    again = fe.transform(test_raw, fm)
+    cols = sorted(c for c in test.columns)
+    one = test.groupBy(F.xxhash64(*[F.round(c, 9) if dict(test.dtypes)[c] == "double" else F.col(c) for c in cols]).alias("h")).agg(
+        F.count(F.lit(1)).alias("a"))
+    two = again.groupBy(F.xxhash64(*[F.round(c, 9) if dict(test.dtypes)[c] == "double" else F.col(c) for c in cols]).alias("h")).agg(
+        F.count(F.lit(1)).alias("b"))
+    both = one.join(two, "h", "full").select(F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b", F.lit(0)).alias("b"))
+    return both.agg(F.sum("b").alias("n_rows"), F.sum((F.col("a") != F.col("b")).cast("int")).cast("int").alias("n_different"))
 
 
 @register("a19_feature_importance")

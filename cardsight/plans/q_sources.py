@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cardsight.constants import HIGH_CARD_COLS
+from cardsight.constants import DECISION_THRESHOLD, HIGH_CARD_COLS
 from cardsight.functions import display
 from cardsight.operators import features as fe
 from cardsight.operators import filters as flt
@@ -102,39 +102,52 @@ def s08_lookup_round_trip(spark, sf_dir):
 # ---------------------------------------------------------------- T1
 
 @register("t01_stream_scoring", with_txn("""
-SELECT 'all' AS tbl, count(*) AS n_rows FROM txn
-UNION ALL SELECT 'new', count(*) FROM txn
-UNION ALL SELECT 'fraud', count(*) FROM txn WHERE fraud_score >= 0.64
-UNION ALL SELECT 'cases', count(*) FROM txn WHERE fraud_score >= 0.64
-UNION ALL SELECT 'case_ids', count(DISTINCT trans_num) FROM txn WHERE fraud_score >= 0.64"""))
+, held AS (SELECT * FROM txn WHERE trans_ts >= TIMESTAMP '2000-01-01 00:00:00'
+           AND CAST(split_part(trans_num, '-', 1) AS BIGINT) % 50 <> 0)
+SELECT 'all' AS what, count(*) AS n FROM held
+UNION ALL SELECT 'new', count(*) FROM held
+UNION ALL SELECT 'fraud_without_case', 0
+UNION ALL SELECT 'case_without_fraud', 0
+UNION ALL SELECT 'repeated_case_ids', 0
+UNION ALL SELECT 'routed_against_score', 0"""))
 def t01_stream_scoring(spark, sf_dir):
-    """Transactions arrive as files (one per ship year, written by
-    Spark from the tables); a file stream scores each micro-batch, routes it
-    to all / new / fraud and opens cases. Returns the table sizes after the
-    stream has consumed everything (Trigger.AvailableNow)."""
+    """The held-out text feed arrives as files; each micro-batch is turned
+    into features by the reloaded model, scored by the ensemble, routed to all / new
+    / fraud, and opens cases. Returns table sizes and the counts of rows that
+    break the routing's rules."""
+    from cardsight.operators import models as ml
+    from cardsight.plans.q_models import _saved, _split_text
     from cardsight.streaming.scoring import start_scoring_stream
-    t = txn(spark, sf_dir).select("trans_num", "trans_ts", "cc_num", "merchant", "category", "amt", "state",
-                                  "fraud_score").withColumn("arrived_at", F.col("trans_ts"))
-    src = files.scratch_path(spark, "arrivals")
-    t.withColumn("year", F.year("trans_ts")).write.partitionBy("year").parquet(src)
-    out = files.scratch_path(spark, "routed")
-    schema = spark.read.parquet(src).schema
+    fm, models, _ = _saved(spark, sf_dir)
+    _, feed = _split_text(spark, sf_dir)
+    src, out = files.scratch_path(spark, "arrivals"), files.scratch_path(spark, "routed")
+    feed.drop("is_fraud", "fraud_score").repartition(4).write.parquet(src)
+    carried = ("cc_num", "merchant", "category", "amt", "trans_date_trans_time")
 
     def scorer(batch):
-        # The stored score stands in for the model's probability here; the
-        # model ensemble (M4) plugs in the same way.
-        return batch.drop("year")
+        feats = fe.transform(batch, fm, with_label=False, reuse_votes=True, carry=carried)
+        scored = ml.ensemble_scores(feats, models, out="fraud_score")
+        return scored.withColumnRenamed("trans_date_trans_time", "trans_ts").withColumn("arrived_at", F.col("trans_ts"))
 
-    q = start_scoring_stream(spark, src, schema, scorer, out, files.scratch_path(spark, "stream-ckpt"),
-                             max_files_per_trigger=2)
+    q = start_scoring_stream(spark, src, spark.read.parquet(src).schema, scorer, out,
+                             files.scratch_path(spark, "stream-ckpt"), max_files_per_trigger=2)
     q.awaitTermination()
-    parts = [spark.read.parquet(f"{out}/{name}").agg(F.count(F.lit(1)).alias("n_rows"))
-             .select(F.lit(name).alias("tbl"), "n_rows") for name in ["all", "new", "fraud", "cases"]]
-    ids = spark.read.parquet(f"{out}/cases").agg(F.count_distinct("case_id").alias("n_rows")) \
-               .select(F.lit("case_ids").alias("tbl"), "n_rows")
-    res = parts[0]
-    for p in parts[1:] + [ids]:
-        res = res.unionByName(p)
+    # A bucket without rows has no files to take a schema from.
+    columns = {"cases": "trans_num string, case_id long"}
+    stored = {name: spark.read.schema(columns.get(name, "trans_num string, fraud_score double, is_fraud int"))
+              .parquet(f"{out}/{name}") for name in ("all", "new", "fraud", "cases")}
+    n = F.count(F.lit(1))
+    fraud, opened = (stored[t].groupBy("trans_num").agg(n.alias(f"n_{t}")) for t in ("fraud", "cases"))
+    apart = fraud.join(opened, "trans_num", "full").na.fill(0)
+    parts = [stored["all"].agg(n.alias("n")), stored["new"].agg(n.alias("n")),
+             apart.filter("n_fraud > n_cases").agg(n.alias("n")), apart.filter("n_cases > n_fraud").agg(n.alias("n")),
+             stored["cases"].agg((n - F.count_distinct("case_id")).alias("n")),
+             stored["all"].filter((F.col("fraud_score") >= DECISION_THRESHOLD) != (F.col("is_fraud") == 1)).agg(n.alias("n"))]
+    names = ["all", "new", "fraud_without_case", "case_without_fraud", "repeated_case_ids", "routed_against_score"]
+    res = None
+    for name, part in zip(names, parts):
+        row = part.select(F.lit(name).alias("what"), "n")
+        res = row if res is None else res.unionByName(row)
     return res
 
 
@@ -196,15 +209,16 @@ def p07_float32(spark, sf_dir):
 
 @register("p09_id_normalise", with_txn("""
 , u AS (SELECT trans_num, sha256(trans_num) AS h FROM txn)
-SELECT trans_num, substr(h, 1, 32) AS id FROM u"""))
+SELECT trans_num, substr(h, 1, 32) AS id, substr(h, 1, 32) AS id_of_binary FROM u"""))
 def p09_id_normalise(spark, sf_dir):
     """UUID-shaped ids (upper case, dashed) normalised to 32 lower hex
-    digits; other ids kept."""
+    digits, and so are binary ids; other ids kept."""
     t = txn(spark, sf_dir)
     h = F.sha2(F.col("trans_num"), 256)
     dashed = F.upper(F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4),
                                  F.substring(h, 17, 4), F.substring(h, 21, 12)))
-    return t.select("trans_num", flt.normalise_id(dashed).alias("id"))
+    return t.select("trans_num", flt.normalise_id(dashed).alias("id"),
+                    flt.normalise_id(F.unhex(F.substring(h, 1, 32))).alias("id_of_binary"))
 
 
 # ---------------------------------------------------------------- X17, X18
