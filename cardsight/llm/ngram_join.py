@@ -15,8 +15,8 @@ that cannot link.
    n-grams in which two linked sets of that size can differ, so some range is equal
    in both, and the next one differs by at most one n-gram (a sum of k terms below
    k has a term 0 that is followed by a term of 1 or less). A range's content, with
-   the next one's when it is sparse, is a signature. Sets that share one are joined
-   to the least of them, and components of these stars are the join's groups.
+   the next one's when it is sparse, is a signature. Sets that share one meet in the
+   group of the least set that has it.
 4. Trees. Within a group the ordered sets form a prefix tree. It is walked once
    for all probe sets together: a node holds its overlaps with the probes, shared
    by the sets below it, and probes whose overlap can no longer suffice, given what
@@ -285,7 +285,7 @@ class PrefixTree:
 
 def block_links(names: list[int], sets: list[np.ndarray], sides: list[int], t: Fraction) -> Iterator[tuple[int, int]]:
     """Links that join classes, within a block (one side) or between two blocks (sides 0 and 1)."""
-    if len(sets) < 2:
+    if len(sets) < 2 or 0 not in sides:  # a block of no sets may meet another one
         return
     order, flat = np.unique(np.concatenate(sets), return_inverse=True)
     flat = flat.astype(np.int64)
@@ -335,16 +335,13 @@ def links(docs: DataFrame, wanted: DataFrame, n: int, t: Fraction) -> DataFrame:
     signed = sets.select("set", F.explode("signatures").alias("sig"))
     meet = cut(signed.groupBy("sig").agg(F.min("set").alias("first"), F.max("set").alias("last"))
                .where("first < last").select("sig", "first"))
-    stars = signed.join(meet, "sig").where("set <> first").select(F.col("set").alias("u"), F.col("first").alias("v"))
-    groups = cut(components(stars))
-    sizes = (sets.select("set", "size").distinct().join(groups.withColumnRenamed("node", "set"), "set")
-             .groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS),
-                                             F.ceil(F.sum("size") / BLOCK_GRAMS)).cast("int").alias("blocks")))
-    placed = groups.join(cut(sizes), "root").select(
-        F.col("node").alias("set"), F.col("root").alias("grp"), "blocks",
-        F.expr("cast(pmod(xxhash64(node), blocks) as int)").alias("block"))
+    groups = cut(signed.join(meet, "sig").groupBy("set", F.col("first").alias("grp")).agg(F.lit(1).alias("one")).drop("one"))
+    sizes = (groups.join(sets.select("set", "size"), "set")
+             .groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS),
+                                            F.ceil(F.sum("size") / BLOCK_GRAMS)).cast("int").alias("blocks")))
+    placed = groups.join(cut(sizes), "grp").withColumn("block", F.expr("cast(pmod(xxhash64(set), blocks) as int)"))
     # A block meets itself and every other block of its group.
-    met = (sets.select("set", "grams").dropDuplicates(["set"]).join(placed, "set")
+    met = (sets.select("set", "grams").join(placed, "set")
            .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
            .select("grp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "set",
                    (F.col("block") > F.col("other")).cast("int").alias("side"), "grams"))

@@ -24,8 +24,10 @@ from __future__ import annotations
 
 import bisect
 import os
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -37,7 +39,7 @@ WINDOW = 4096
 OPEN_WINDOWS = 64      # open windows of a partition
 MAX_PAD = 8            # ids of padding that are accepted rather than cutting a document
 END_ID = 2
-CACHE_SIZE = 400_000   # words in each half of a worker's cache
+CACHE_SIZE = 300_000   # words in each half of a worker's cache
 
 PIECE_SCHEMA = ("doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, "
                 "part long, spot long")
@@ -46,10 +48,15 @@ PIECE_SCHEMA = ("doc_id long, start long, length long, ids binary, doc_tokens lo
 class WordIds:
     """Token ids (little-endian unsigned 32-bit) of texts, by a cache of whole words.
 
-    For tokenizers that drop white space and never merge across it. Texts that
-    hold a special string are encoded whole.
+    For tokenizers that lower-case, drop white space, and split letters from
+    punctuation, never merging across either. Words are looked up with A-Z lowered;
+    a miss that ends in a mark is made of its letters' ids and the mark's, and
+    unknown words of letters are encoded many at a time, cut where a token ends a
+    word. Texts that hold a special string are encoded whole.
     """
 
+    MARKS = b".,;:!?"
+    JOINED = 4096  # words of letters encoded at a time
     _open: dict[str, "WordIds"] = {}
 
     def __init__(self, path: str):
@@ -57,7 +64,10 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.specials = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.specials = [t.content.encode().lower() for t in self.tok.get_added_tokens_decoder().values()]
+        vocabulary = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -67,23 +77,59 @@ class WordIds:
             cls._open[path] = cls(path)
         return cls._open[path]
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [b"".join(i.to_bytes(4, "little") for i in e.ids)
-                for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _letters(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words of letters: each is one word to the tokenizer too."""
+        out = {}
+        for at in range(0, len(words), self.JOINED):
+            part = words[at:at + self.JOINED]
+            raw = self._whole([b" ".join(part).decode()])[0]
+            ends = np.flatnonzero(self.ends[np.frombuffer(raw, dtype="<u4")]) + 1
+            if len(ends) != len(part):  # not the words it was taken for
+                out |= zip(part, self._whole([w.decode() for w in part]))
+                continue
+            begin = 0
+            for word, end in zip(part, (4 * ends).tolist()):
+                out[word] = raw[begin:end]
+                begin = end
+        return out
+
+    @staticmethod
+    def _plain(word: bytes) -> bool:
+        text = word.decode()
+        return text.isalpha() and text == text.lower()
+
+    def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
+        stems, letters, rest = {}, set(), []
+        for w in words:
+            if w[-1] in self.MARKS and self._plain(w[:-1]):
+                stems[w] = w[:-1]
+                letters.add(w[:-1])
+            elif self._plain(w):
+                letters.add(w)
+            else:
+                rest.append(w)
+        known = {w: self.young.get(w) or self.old.get(w) for w in letters}
+        known |= self._letters([w for w, ids in known.items() if ids is None])
+        marks = {bytes([m]): self._whole([chr(m)])[0] for m in self.MARKS} if stems else {}
+        return (known | {w: known[stem] + marks[w[-1:]] for w, stem in stems.items()}
+                | dict(zip(rest, self._whole([w.decode() for w in rest]))))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [any(s in t for s in self.specials) for t in texts]
-        cut = [[] if w else t.encode().split() for t, w in zip(texts, whole)]
+        raw = [t.encode().lower() for t in texts]
+        whole = [any(s in r for s in self.specials) for r in raw]
+        cut = [[] if w else r.split() for r, w in zip(raw, whole)]
         misses = set().union(*cut).difference(self.young)
         if len(self.young) + len(misses) > CACHE_SIZE:
             self.old, self.young = self.young, {}
             misses = set().union(*cut)
         known = {w: self.old[w] for w in misses if w in self.old}
-        new = [w for w in misses if w not in known]
         self.young.update(known)
-        self.young.update(zip(new, self._encode([w.decode() for w in new])))
+        self.young.update(self._encode([w for w in misses if w not in known]))
         ids = self.young.__getitem__
-        return [self._encode([t])[0] if w else b"".join(map(ids, words)) for t, w, words in zip(texts, whole, cut)]
+        return [self._whole([t])[0] if w else b"".join(map(ids, words)) for t, w, words in zip(texts, whole, cut)]
 
 
 class OpenWindows:

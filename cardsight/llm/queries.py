@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardsight.llm import (mixing, near_vectors, ngram_join, packing, pii, quality, secrets, sharding, substrings,
-                           tokens)
+from cardsight.llm import (mixing, near_vectors, ngram_join, oracle, packing, pii, quality, secrets, sharding,
+                           substrings, tokens)
 from cardsight.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,7 +29,7 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-@register("op1_secret_scan")
+@register("op1_secret_scan", oracle.OP1)
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents; a source is an owner, its texts in one language a repository."""
     return secrets.scan(read_table(spark, sf_dir, "documents"), owner="source",
@@ -44,13 +44,13 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "offset")
 
 
-@register("op3_ngram_jaccard_join")
+@register("op3_ngram_jaccard_join", oracle.OP3)
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of all documents under links of their 3-word shingle sets at 90 of 100."""
     return ngram_join.classes(read_table(spark, sf_dir, "documents"), n=3, threshold=Fraction(90, 100))
 
 
-@register("op4_suffix_array_dedup")
+@register("op4_suffix_array_dedup", oracle.OP4)
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of all documents without the 50-byte strings that smaller ids hold."""
     return substrings.remove_repeats(read_table(spark, sf_dir, "documents"))
@@ -81,7 +81,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("row.doc_id", "domain", "lang", "source", "epoch", "n_tokens")
 
 
-@register("op7_embedding_near_dedup")
+@register("op7_embedding_near_dedup", oracle.OP7)
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings of one label at cosine 0.98."""
     return near_vectors.near_duplicates(read_table(spark, sf_dir, "embeddings"), threshold=0.98)
@@ -100,7 +100,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-@register("op10_quality_rules")
+@register("op10_quality_rules", oracle.op10(quality.RULES, quality.mask_of(quality.POLICIES["base-1"]),
+                                                quality.mask_of(quality.POLICIES["web-2"])))
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger of all documents with the verdicts of the base rules and of policy web-2."""
     led = quality.ledger(read_table(spark, sf_dir, "documents"))
