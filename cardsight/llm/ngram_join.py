@@ -68,7 +68,7 @@ def spread(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """Hashes of words, kept for the first ``WORDS_CACHED`` words of a worker."""
+    """Hashes of words, kept for the first ``WORDS_CACHED`` words of a task."""
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
@@ -80,6 +80,11 @@ class WordHashes(dict):
 _HASH_OF = WordHashes()
 
 
+def forget_words() -> None:
+    """Free the word hashes at the end of a task: its worker serves other stages next."""
+    _HASH_OF.clear()
+
+
 def gram_set(text: str, n: int) -> np.ndarray:
     """The hashed distinct n-grams of a text's words, ascending. Fewer words than n are one n-gram."""
     words = text.encode().lower().split()  # bytes: A-Z are lowered, ASCII white space separates
@@ -169,6 +174,7 @@ def _profiles(docs: DataFrame, n: int, t: Fraction) -> DataFrame:
                     pa.array([a for a, _ in names], pa.int64()), pa.array([b for _, b in names], pa.int64()),
                     pa.array([a & ~1 | (len(g) <= SMALL_SET) for (a, _), g in zip(names, sets)], pa.int64()),
                     _lists(counted)], names=["doc_id", "n_shingles", "d1", "d2", "set", "counted"])
+        forget_words()
 
     return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run,
                     "doc_id long, n_shingles long, d1 long, d2 long, set long, counted array<long>")
@@ -204,6 +210,7 @@ def _rebuilt(docs: DataFrame, wanted: DataFrame, n: int, t: Fraction) -> DataFra
                     pa.array([s for s, _ in got], pa.int64()), pa.array([len(g) for _, g in got], pa.int64()),
                     pa.array([g.tobytes() for _, g in got], pa.binary()), _lists([signatures(g, t) for _, g in got])],
                     names=["set", "size", "grams", "signatures"])
+        forget_words()
 
     rows = join_small(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"),
                       wanted.select("doc_id", "set", "d1", "d2"), ["doc_id"])
