@@ -1,9 +1,10 @@
 """Operator 5: format-preserving pseudonyms by keyed Feistel permutations.
 
 Numbers and dates that pass their checks (card numbers by Luhn, IBANs by their
-check digits, national phone and social-security numbers by their ranges, IPv4
-addresses, calendar dates) and mail addresses are replaced by others of the same
-format. Each kind has a keyed permutation of its valid values: a Feistel network
+check digits, social-security numbers by their ranges, IPv4 addresses, calendar
+dates), phone numbers and mail addresses are replaced by others of the same
+format. Phone numbers of the North American plan stay in it, those that it does
+not assign stay outside it. Each kind has a keyed permutation of its valid values: a Feistel network
 on the least even number of bits that holds the domain, walked on until it lands
 on a valid value again. Equal values get equal pseudonyms in every document, and
 different ones different pseudonyms, with no table of them to keep or share.
@@ -107,6 +108,24 @@ def _card(f: Feistel, found: str) -> str | None:
     return _refill(found, body + str(-luhn_sum(body + "0") % 10))
 
 
+_IBAN_LENGTHS = {country: int(n) for n, countries in (x.split(":") for x in (
+    "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA "
+    "23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM "
+    "28:AL,AZ,BY,CY,DO,GT,HN,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU").split())
+    for country in countries.split(",")}
+
+
+def _readings(kind: str, found: str) -> list[str]:
+    """What may be the value: an IBAN's match can hold words that follow it."""
+    if kind != "iban":
+        return [found]
+    whole_words = [found[:m.end()] for m in re.finditer("[A-Z0-9]+", found)][::-1]
+    length = _IBAN_LENGTHS.get(found[:2])
+    if length is None:
+        return whole_words
+    return [r for r in whole_words[1:] if len(r.replace(" ", "")) == length] + whole_words[:1]
+
+
 def _iban_rest(code: str) -> int:
     return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97
 
@@ -166,11 +185,12 @@ def _date(f: Feistel, found: str) -> str | None:
 def _phone(f: Feistel, found: str) -> str | None:
     digits = re.sub(r"\D", "", found)
     if not found.startswith("+") or digits[0] == "1" and len(digits) == 11:  # the North American plan
-        def valid(x: int) -> bool:
+        def assigned(x: int) -> bool:
             return x // 10 ** 9 >= 2 and x // 10 ** 6 % 10 >= 2
 
         x = int(digits[-10:])
-        return _refill(found, digits[:-10] + str(f.permute(x, 10 ** 10, "phone", valid)).zfill(10)) if valid(x) else None
+        y = f.permute(x, 10 ** 10, "phone", lambda y: assigned(y) == assigned(x))
+        return _refill(found, digits[:-10] + str(y).zfill(10))
     if not 8 <= len(digits) <= 15:
         return None
     n = len(digits) - 2  # the country's first digits stay
@@ -226,10 +246,14 @@ def pseudonyms(text: str, f: Feistel) -> tuple[str, dict[str, int]]:
         # What is not valid as the first kind that matches here may be valid as a later one.
         for kind in KINDS[KINDS.index(m.lastgroup):]:
             found = _EACH[kind].match(text, m.start())
-            new = _CHANGE[kind](f, found[0]) if found else None
+            new = None
+            for value in _readings(kind, found[0]) if found else []:
+                new = _CHANGE[kind](f, value)
+                if new is not None:
+                    break
             if new is not None:
                 out += [text[at:m.start()], new]
-                at = search = found.end()
+                at = search = m.start() + len(value)
                 counts[kind] = counts.get(kind, 0) + 1
                 break
     return "".join([*out, text[at:]]), counts

@@ -76,3 +76,32 @@ def test_pseudonyms_keep_format_and_links(spark):
     counts = pii.pseudonymize(docs.select("doc_id", "text"), b"key", counts=True).where("doc_id = 0").first()
     assert [counts[f"n_{k}"] for k in pii.KINDS] == [1, 1, 1, 1, 2, 1, 1]
     assert pii.pseudonymize(docs.limit(0), b"key").collect() == []
+
+
+def test_phones_outside_the_numbering_plan(spark):
+    f = pii.Feistel(b"k")
+    found = ["+1 (017) 555-7713", "+1 (132) 555-1352", "+1 (212) 055-1352", "+1.000.555.0934", "(117) 555-2028", "017-555-7713"]
+    for phone in found:
+        new, counts = pii.pseudonyms(f"call {phone} now", f)
+        assert phone not in new and counts == {"phone": 1}
+        assert re.sub(r"\d", "9", new) == re.sub(r"\d", "9", f"call {phone} now") and ("+1" in new) == ("+1" in phone)
+        area, exchange = re.sub(r"\D", "", new.removeprefix("call +1"))[0], re.sub(r"\D", "", new.removeprefix("call +1"))[3]
+        assert area < "2" or exchange < "2"
+    # The same number has the same pseudonym in either form.
+    digits = [re.sub(r"\D", "", pii.pseudonyms(found[i], f)[0])[-10:] for i in (0, 5, 1)]
+    assert digits[0] == digits[1] != digits[2]
+    texts = {r["doc_id"]: r["text"] for r in pii.pseudonymize(make_docs(spark, found[:2]), b"key").collect()}
+    assert all(old not in texts[i] for i, old in enumerate(found[:2]))
+
+
+def test_ibans_before_other_words():
+    f = pii.Feistel(b"k")
+    belgian, spanish, unknown = "BE68 5390 0754 7034", "ES9121000418450200051332", "ZZ59 1234 5678 9012 3456"
+    assert pii._iban_rest(unknown.replace(" ", "")) == 1
+    alone = {iban: pii.pseudonyms(iban, f)[0] for iban in (belgian, spanish, unknown)}
+    for iban, new in alone.items():
+        assert iban != new and pii._iban_rest(new.replace(" ", "")) == 1
+        for after in (" EUR 100", " I pay", " 100", " EURO 5 USD", ". Next", f" {belgian}"):
+            assert pii.pseudonyms(iban + after, f)[0] == new + after.replace(belgian, alone[belgian])
+    for left in ("BE69 5390 0754 7034 EUR 100", "ES9221000418450200051332 I"):
+        assert pii.pseudonyms(left, f) == (left, {})
