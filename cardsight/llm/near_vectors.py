@@ -8,9 +8,10 @@ in every shard of its label: greedily through the upper levels, by a beam on the
 lowest. What the beam finds is checked by cosine in double precision.
 
 Beams widen until they are wide enough: a shard's beam doubles until an audit of
-stored vectors against exact search passes, and a query whose beam holds
-nothing but links is asked again with a beam as wide as the shard, which scores
-every vector in it.
+stored vectors against exact search passes, and a query of whose beam half or
+more are links is asked again with a beam as wide as the shard, which scores
+every vector in it. Where no graph of the shard passes the audit, every query is
+asked that way.
 
 Equal vectors are one vertex with a count, so a vector repeated in a third of all
 rows costs one row per task. Queries are cut into chunks, graphs are built once and
@@ -207,25 +208,67 @@ class SmallWorld:
         return it
 
 
+def _many(ids: np.ndarray, links: np.ndarray) -> np.ndarray:
+    """Queries that may have more links than their beam holds: half of what it found or more."""
+    return 2 * links.sum(axis=1) >= (ids >= 0).sum(axis=1)
+
+
 def audited_beam(world: SmallWorld, unit: np.ndarray, names: np.ndarray, threshold: float) -> tuple[int, float]:
-    """(beam, recall): the first beam, doubled from ``BEAM``, that passes the audit; else the widest one tried."""
+    """(beam, recall): the first beam, doubled from ``BEAM``, that passes the audit; else the widest one tried.
+
+    The recall is the least of three: the nearest neighbours', and the links' of vectors with fewer links than
+    the beam and of the others, counted apart so that a large group does not hide the small ones. A beam as wide
+    as the shard is exact."""
     by_hash = np.argsort([xxhash.xxh3_64_intdigest(int(i).to_bytes(8, "little", signed=True), seed=1) for i in names])
     some = by_hash[:AUDITED]
     exact = unit[some] @ unit.T
     exact[np.arange(len(some)), some] = -2.0
-    wanted = [np.flatnonzero(row >= threshold) for row in exact]
+    wanted = exact >= threshold
+    n_wanted = wanted.sum(axis=1)
     nearest = np.argsort(-exact, axis=1, kind="stable")[:, :min(3, len(unit) - 1)]
-    beam, recall = min(BEAM, len(unit)), 0.0
-    while True:
-        found = [set(ids.tolist()) for ids in world.search(unit[some], beam)[0]]
-        full = [len(w) >= beam for w in wanted]  # these would be asked again, with the widest beam
-        hits = sum(sum(j in f for j in w.tolist()) for w, f, x in zip(wanted, found, full) if not x)
-        links = sum(len(w) for w, x in zip(wanted, full) if not x)
-        near = sum(sum(j in f for j in row.tolist()) for row, f in zip(nearest, found)) / max(1, nearest.size)
-        recall = min(hits / links if links else 1.0, near)
-        if recall >= RECALL or beam >= min(len(unit), 1024):
-            return beam, recall
+    beam = min(BEAM, len(unit))
+    while beam < len(unit):
+        ids, _ = world.search(unit[some], beam)
+        found = np.zeros(exact.shape, dtype=bool)
+        found[np.nonzero(ids >= 0)[0], ids[ids >= 0]] = True
+        near = np.take_along_axis(found, nearest, axis=1).mean()
+        own = np.arange(len(some))
+        linked = wanted.copy()
+        linked[own, some] = True  # a stored vector finds itself too when it asks
+        again = _many(ids, (ids >= 0) & np.take_along_axis(linked, np.maximum(ids, 0), axis=1))
+        hits = np.where(again, n_wanted, (wanted & found).sum(axis=1))
+        large = n_wanted >= beam
+        recall = min([near, *(hits[x].sum() / n_wanted[x].sum() for x in (large, ~large) if n_wanted[x].any())])
+        if recall >= RECALL or beam >= 1024:
+            return beam, float(recall)
         beam = min(2 * beam, len(unit))
+    return beam, 1.0
+
+
+def audited_world(unit: np.ndarray, names: np.ndarray, threshold: float) -> tuple[SmallWorld | None, int, float]:
+    """(graph, beam, recall) of a shard; no graph and a beam as wide as the shard where none passes the audit."""
+    for degree in (DEGREE, 2 * DEGREE, 4 * DEGREE) if len(names) > BEAM else ():
+        world = SmallWorld(unit, names, degree)
+        beam, recall = audited_beam(world, unit, names, threshold)
+        if recall >= RECALL:
+            return (world if beam < len(names) else None), beam, recall
+    return None, len(names), 1.0
+
+
+def links_in(world: SmallWorld | None, beam: int, unit: np.ndarray, part: np.ndarray, threshold: float) -> list[np.ndarray]:
+    """For each query of ``part``, the stored vectors ``unit`` that it links with."""
+    linked, wide = [np.empty(0, dtype=np.int64)] * len(part), np.arange(len(part))
+    if world:
+        ids, _ = world.search(part, beam)
+        exact = np.einsum("ad,akd->ak", part, unit[np.maximum(ids, 0)])
+        links = (ids >= 0) & (exact >= threshold)
+        linked = [i[x] for i, x in zip(ids, links)]
+        wide = np.flatnonzero(_many(ids, links))
+    for w in range(0, len(wide), 128):  # beams as wide as the shard
+        some = wide[w:w + 128]
+        for i, row in zip(some.tolist(), part[some] @ unit.T >= threshold):
+            linked[i] = np.flatnonzero(row)
+    return linked
 
 
 def _prepared(vectors: DataFrame) -> DataFrame:
@@ -261,24 +304,18 @@ def _built(vertices: DataFrame, threshold: float) -> DataFrame:
         members = members.sort_by("vertex")
         names = members.column("vertex").to_numpy()
         unit = _unit(_matrix(members))
-        world, beam, recall = None, 1, 1.0
-        if len(names) > 1:
-            for degree in (DEGREE, 2 * DEGREE, 4 * DEGREE):
-                world = SmallWorld(unit, names, degree)
-                beam, recall = audited_beam(world, unit, names, threshold)
-                if recall >= RECALL:
-                    break
+        world, beam, _ = audited_world(unit, names, threshold)
         return pa.table({"label": members.column("label")[:1], "size": members.column("size")[:1],
                          "shard": members.column("shard")[:1], "chunks": members.column("chunks")[:1],
                          "names": pa.array([names.tobytes()], pa.binary()),
                          "copies": pa.array([members.column("copies").to_numpy().tobytes()], pa.binary()),
                          "raw": pa.array([_matrix(members).tobytes()], pa.binary()),
                          "world": pa.array([world.dump() if world else b""], pa.binary()),
-                         "beam": pa.array([beam], pa.int64()), "recall": pa.array([recall], pa.float64())})
+                         "beam": pa.array([beam], pa.int64())})
 
     return vertices.groupBy("label", "size", "shard").applyInArrow(
         run, "label long, size int, shard int, chunks int, names binary, copies binary, raw binary, world binary, "
-             "beam long, recall double")
+             "beam long")
 
 
 def _asked(graphs: DataFrame, queries: DataFrame, threshold: float) -> DataFrame:
@@ -293,20 +330,7 @@ def _asked(graphs: DataFrame, queries: DataFrame, threshold: float) -> DataFrame
             who, q = asked.column("vertex").to_numpy(), _unit(_matrix(asked))
             label = np.arange(len(names))  # classes of stored vectors known so far
             for at in range(0, len(who), BATCH):
-                part = q[at:at + BATCH]
-                linked = []
-                if world:
-                    ids, _ = world.search(part, g["beam"])
-                    exact = np.einsum("ad,akd->ak", part, unit[np.maximum(ids, 0)])
-                    links = (ids >= 0) & (exact >= threshold)
-                    linked = [i[x] for i, x in zip(ids, links)]
-                    wide = np.flatnonzero(links.all(axis=1) | (len(names) <= g["beam"]))
-                else:
-                    linked, wide = [np.empty(0, dtype=np.int64)] * len(part), np.arange(len(part))
-                for w in range(0, len(wide), 128):  # beams as wide as the shard
-                    some = wide[w:w + 128]
-                    for i, row in zip(some.tolist(), part[some] @ unit.T >= threshold):
-                        linked[i] = np.flatnonzero(row)
+                linked = links_in(world, g["beam"], unit, q[at:at + BATCH], threshold)
                 for vertex, found in zip(who[at:at + BATCH].tolist(), linked):
                     found = found[names[found] != vertex]
                     if not len(found):

@@ -79,3 +79,55 @@ def test_graph_recall():
     assert np.mean([np.isin(n, f).mean() for n, f in zip(nearest, found)]) > 0.9
     beam, recall = near_vectors.audited_beam(world, x, names, 0.98)
     assert recall >= near_vectors.RECALL or beam >= 1024
+
+
+def _clusters(n_clusters, size, dim, noise, seed=3):
+    rng = np.random.default_rng(seed)
+    x = np.repeat(rng.normal(size=(n_clusters, dim)), size, axis=0)
+    return near_vectors._unit(x + noise * rng.normal(size=x.shape))
+
+
+def test_shard_whose_graphs_fail_the_audit_is_searched_whole(monkeypatch):
+    unit = _clusters(60, 20, 16, 0.01)
+    names = np.arange(len(unit))
+    monkeypatch.setattr(near_vectors.SmallWorld, "_link_back", lambda *a: None)  # graphs that do not hang together
+    world = near_vectors.SmallWorld(unit, names)
+    assert near_vectors.audited_beam(world, unit, names, 0.98)[1] < near_vectors.RECALL
+    world, beam, recall = near_vectors.audited_world(unit, names, 0.98)
+    assert beam == len(unit) and recall == 1.0
+    found = near_vectors.links_in(world, beam, unit, unit[:100], 0.98)
+    assert all(f.tolist() == np.flatnonzero(row >= 0.98).tolist() for f, row in zip(found, unit[:100] @ unit.T))
+
+
+class _Beam:
+    """A graph whose beam holds ``ids`` for every query."""
+
+    def __init__(self, ids):
+        self.ids = np.array(ids)
+
+    def search(self, q, beam):
+        return np.repeat(self.ids[None, :beam], len(q), axis=0), None
+
+
+def test_beam_of_links_but_one_is_asked_again():
+    unit = _clusters(2, 100, 16, 0.01)
+    world = _Beam([*range(31), 150])
+    assert near_vectors.links_in(world, 32, unit, unit[:1], 0.98)[0].tolist() == list(range(100))
+    few = near_vectors.links_in(_Beam([*range(3), *range(150, 179)]), 32, unit, unit[:1], 0.98)
+    assert few[0].tolist() == [0, 1, 2]
+
+
+def test_audit_counts_large_groups():
+    # Every vector has 99 links; beams of any width hold its three nearest and no more than 10 links.
+    unit = _clusters(20, 100, 16, 0.01)
+    names = np.arange(len(unit))
+
+    class Poor:
+        def search(self, q, beam):
+            ids = np.full((len(q), beam), -1)
+            for i, row in enumerate(q @ unit.T):
+                by = np.argsort(-row, kind="stable")
+                ids[i] = np.concatenate([by[:10], by[200:]])[:beam]
+            return ids, None
+
+    assert near_vectors.audited_beam(Poor(), unit, names, 0.98)[1] < near_vectors.RECALL
