@@ -16,7 +16,6 @@ from cardsight.session import checkpoint_dir
 from cardsight.sources import files, tables
 
 SPLIT = "2000-01-01 00:00:00"
-SEARCH_TREES = 5   # trees of a forest in the settings search
 _MEMO: dict = {}
 
 
@@ -226,11 +225,10 @@ def a19_feature_importance(spark, sf_dir):
 def m03_tuning(spark, sf_dir):
     """M3: the forest grid per state (27 settings, 5 hash folds, precision of
     the fraud class) on each state's at most 10,000-row training sample, then
-    the fit of each state's choice. The search uses small forests; the fit
-    uses the full number of trees unless told otherwise."""
+    the fit of each state's choice, both with the full number of trees."""
     _, train, _, _ = _trained(spark, sf_dir)
-    tuned = ml.tune_per_state(train, parallelism=8, num_trees=SEARCH_TREES)
-    fitted = {m.state: m for m in ml.fit_tuned(train, tuned, parallelism=8, num_trees=SEARCH_TREES)}
+    tuned = ml.tune_per_state(train, parallelism=8)
+    fitted = {m.state: m for m in ml.fit_tuned(train, tuned, parallelism=8)}
     rows = [(t["state"], t["setting"] and str(sorted(t["setting"].items())), t["metric"], t["n_rows"],
              fitted[t["state"]].trained) for t in tuned]
     return spark.createDataFrame(rows, "state string, best_params string, best_metric double, n_rows long, fitted boolean")

@@ -99,6 +99,17 @@ def test_tuned_settings_are_fitted(spark, feats):
         assert not m.trained or m.model.getOrDefault("maxDepth") == t["setting"]["max_depth"]
 
 
+def test_tuning_query_uses_whole_forests(spark, feats, monkeypatch):
+    from cardsight.plans import q_models
+    some = feats[1].filter("state in ('NATION_1', 'NATION_2')")
+    trees, make = [], ml.make_classifier
+    monkeypatch.setattr(ml, "make_classifier", lambda kind, num_trees=None, **more: trees.append(num_trees) or make(kind, 2, **more))
+    monkeypatch.setattr(ml, "FOREST_GRID", {"max_depth": [2], "subsamplingRate": [1.0], "ratio": [1.0]})
+    monkeypatch.setattr(q_models, "_trained", lambda spark, sf_dir: (None, some, None, None))
+    assert q_models.m03_tuning(spark, "").filter("fitted").count() == 2
+    assert trees == [200] * (2 * 5 + 2)
+
+
 def test_argument_checks():
     with pytest.raises(ValueError):
         flt.check_bucket("archive")
