@@ -113,3 +113,13 @@ SELECT d.doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coale
        sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans, coalesce(ex, 0) AS n_example,
        coalesce(live, 0) AS n_live
 FROM d LEFT JOIN per ON per.doc_id = d.doc_id""".replace("{{", "{").replace("}}", "}")
+
+
+OP13 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+k AS (SELECT page_id, CAST(octet_length(body) AS BIGINT) AS payload_bytes, sha256(body) AS payload_digest FROM p),
+f AS (SELECT *, first_value(page_id) OVER w AS first_id, payload_bytes >= 100 AND row_number() OVER w > 1 AS again
+      FROM k WINDOW w AS (PARTITION BY payload_digest ORDER BY page_id NULLS LAST))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN first_id END AS refers_to
+FROM f"""

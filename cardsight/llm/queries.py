@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardsight.llm import (mixing, near_vectors, ngram_join, oracle, packing, pii, quality, secrets, sharding,
-                           substrings, tokens)
+                           substrings, tokens, warc)
 from cardsight.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                       quality.fails("base-1").alias("base_failed"), (~quality.fails("web-2")).alias("kept"),
                       "fail_bits")
+
+
+@register("op13_warc_archive", oracle.OP13)
+def op13_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to a content-addressed archive and read back from it."""
+    return warc.read_back(spark, warc.archive(read_table(spark, sf_dir, "pages")))
