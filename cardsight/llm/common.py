@@ -8,7 +8,9 @@ import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,3 +96,14 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The batch's texts, with null as the empty text."""
     return [t or "" for t in batch.column(name).to_pylist()]
+
+
+def text_slices(batch: pa.RecordBatch, name: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``most`` bytes of text (of one row at least), in order."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    at, before = 0, 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(at, to - at)
+        at, before = to, int(ends[to - 1])

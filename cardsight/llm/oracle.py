@@ -123,3 +123,37 @@ f AS (SELECT *, first_value(page_id) OVER w AS first_id, payload_bytes >= 100 AN
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN again THEN first_id END AS refers_to
 FROM f"""
+
+
+# CRC-32 by bytes: its table follows from the polynomial. Letters from U+00C0 to U+00FF are two bytes of UTF-8, the
+# other characters of a key (digits, colon, minus, a-z) are one. Edit distances are taken over one-byte stand-ins.
+_WIDE_LETTERS = "".join(map(chr, range(0xC0, 0x100)))
+_STAND_INS = "".join(map(chr, range(0x21, 0x61))).replace("'", "''")
+
+OP11 = f"""
+WITH RECURSIVE tbl AS (SELECT list(t ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS t FROM range(256) r(i))),
+d AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}',
+    '{_LOWER}'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+u AS (SELECT id, run, count(*) AS k FROM d WHERE length(run) >= 5 GROUP BY id, run),
+b AS (SELECT run, k, flatten(list_transform(string_split(id || ':' || run, ''),
+        lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [195, unicode(c) - 64] END)) AS b FROM u),
+h AS (SELECT run, k, xor(list_reduce(list_prepend(4294967295, b),
+        lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)])), 4294967295) AS h FROM b, tbl),
+s AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k
+      FROM h),
+w AS (SELECT word, CAST(sum(k) AS BIGINT) AS n, translate(word, '{_WIDE_LETTERS}', '{_STAND_INS}') AS c FROM s
+      WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+cutw AS (SELECT word, n, c, c AS sig FROM w
+         UNION ALL SELECT word, n, c, substr(c, 1, i) || substr(c, i + 2) FROM (SELECT *, unnest(range(0, length(c))) AS i FROM w)),
+near AS (SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS other_n FROM cutw a JOIN cutw b ON a.sig = b.sig AND a.word <> b.word
+         WHERE levenshtein(a.c, b.c) = 1),
+best AS (SELECT word, count(*) AS n_near, max(other_n) AS m FROM near GROUP BY word),
+top AS (SELECT near.word, min(other) AS other FROM near JOIN best ON near.word = best.word AND other_n = m GROUP BY near.word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * w.n THEN other END AS form,
+        CASE WHEN m >= 2 * w.n THEN m END AS form_n
+      FROM w LEFT JOIN best ON best.word = w.word LEFT JOIN top ON top.word = w.word),
+way(word, at_word) AS (SELECT word, form FROM f WHERE form IS NOT NULL
+  UNION ALL SELECT way.word, f.form FROM way JOIN f ON f.word = at_word WHERE f.form IS NOT NULL),
+ends AS (SELECT way.word, at_word AS root FROM way JOIN f ON f.word = at_word WHERE f.form IS NULL)
+SELECT f.word, n, form, coalesce(root, f.word) AS root, n_near, form_n FROM f LEFT JOIN ends ON ends.word = f.word"""

@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardsight.llm import (mixing, near_vectors, ngram_join, oracle, packing, pii, quality, secrets, sharding,
-                           substrings, tokens, warc)
+from cardsight.llm import (alignment, mixing, near_vectors, ngram_join, oracle, packing, pii, quality, secrets,
+                           sharding, spelling, substrings, tokens, warc)
 from cardsight.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,6 +110,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "fail_bits")
 
 
+@register("op11_spelling_variants", oracle.OP11)
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of all documents with their near words, forms and roots."""
+    return spelling.variants(read_table(spark, sf_dir, "documents"))
+
+
+@register("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the byte-level and the sentencepiece tokens of all documents."""
+    return alignment.aligned(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                             public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @register("op13_warc_archive", oracle.OP13)
 def op13_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to a content-addressed archive and read back from it."""
