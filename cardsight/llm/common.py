@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 import cardsight
 from cardsight.session import checkpoint_dir
 
-# Rows of (at most a few dozen bytes) that a broadcast side may hold; beyond it the join is left to the optimizer.
-BROADCAST_ROWS = 1_000_000
+# Bytes that a broadcast side may take as rows of numbers; beyond them the join is left to the optimizer.
+BROADCAST_BYTES = 16 << 20
+
+# Bytes of the Arrow batches that a worker is given (of one row at least), however long the rows are.
+BATCH_BYTES = 2 << 20
 
 # ASCII white space: what separates words in every operator here.
 WORD_GAP = " \t\n\x0b\x0c\r"
@@ -46,12 +49,13 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def join_small(left: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
-               max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with a side that is usually small: broadcast when it is counted at ``max_rows`` or fewer.
+               max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Join with a side of numbers that is usually small: broadcast when its counted rows take ``max_bytes`` or less.
 
     ``small`` should be a written or checkpointed table, as it is counted first.
     Beyond the bound the join shuffles, and AQE splits skewed keys.
     """
+    max_rows = max_bytes // (8 * len(small.columns) + 32)  # a hashed row: its numbers, its header, its place in the table
     if small.limit(max_rows + 1).count() <= max_rows:
         small = F.broadcast(small)
     return left.join(small, on, how)
@@ -77,10 +81,16 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def arrow_ready(spark: SparkSession) -> None:
+    """What a plan with Arrow workers needs: this package on the executors, and batches bounded by bytes."""
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str,
              ) -> DataFrame:
-    """``mapInArrow`` with this package at hand on the executors."""
-    ship_package(df.sparkSession)
+    """``mapInArrow`` with this package at hand on the executors, over batches of bounded bytes."""
+    arrow_ready(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

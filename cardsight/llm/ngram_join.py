@@ -24,9 +24,11 @@ that cannot link.
    subtree without probes is skipped. Links found join classes, and only the links that
    join two classes are passed on.
 
-Groups larger than ``BLOCK_SETS`` sets are cut into blocks, and every pair of
-blocks is a task of its own, so a group holding a third of all rows is never in
-one task. Copies are collapsed before anything is compared, counts are
+Groups larger than ``BLOCK_SETS`` sets are cut into blocks. First each block meets the
+group's first block, a task per pair, and the links found are followed to classes. Only the
+sets outside a group's main class then meet its other blocks: sets that already share a
+class need not be compared. A group of near copies that holds a third of all rows thus takes work in
+proportion to its size, and is never in one task. Copies are collapsed before anything is compared, counts are
 pre-aggregated, and no pairs are listed.
 
 Defined results: documents without words have an empty set and stay alone; null
@@ -44,11 +46,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardsight.llm.common import cut, in_arrow, join_small, shared_table, texts_of
+from cardsight.llm.common import cut, in_arrow, join_small, shared_table, text_slices
 from cardsight.llm.graph import components
+from cardsight.llm.words import spread, word_hashes
 
 BLOCK_SETS = 512          # sets of a group in one block
 BLOCK_GRAMS = 400_000     # n-grams in one block, on average
@@ -56,46 +59,25 @@ MATRIX_BYTES = 32 << 20   # probe matrix of one walk
 SMALL_SET = 64            # sets up to this size have all their n-grams counted
 SAMPLE = 1.6              # share of the n-grams counted, in multiples of 1 - t
 SPARSE = 2                # ranges with as many n-grams or fewer are told by the next range as well
+SLICE_BYTES = 1 << 19     # text whose sets are built at once
 CLASS_RATIO = 1.5         # sizes of one class of signatures
-WORDS_CACHED = 500_000
 
 
-def spread(x: np.ndarray) -> np.ndarray:
-    """A bijective mix of 64-bit values."""
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ (x >> np.uint64(33))
+def gram_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
+    """The hashed distinct n-grams of each text's words, ascending. Fewer words than n are one n-gram."""
+    words, first = word_hashes(texts)
+    grams = _grams(words, n) if len(words) >= n else np.empty(0, dtype=np.uint64)
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+        yield np.unique(grams[a:b - n + 1] if b - a >= n else _grams(words[a:b], b - a))
 
 
-class WordHashes(dict):
-    """Hashes of words, kept for the first ``WORDS_CACHED`` words of a task."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < WORDS_CACHED:
-            self[word] = value
-        return value
-
-
-_HASH_OF = WordHashes()
-
-
-def forget_words() -> None:
-    """Free the word hashes at the end of a task: its worker serves other stages next."""
-    _HASH_OF.clear()
-
-
-def gram_set(text: str, n: int) -> np.ndarray:
-    """The hashed distinct n-grams of a text's words, ascending. Fewer words than n are one n-gram."""
-    words = text.encode().lower().split()  # bytes: A-Z are lowered, ASCII white space separates
-    if not words:
+def _grams(words: np.ndarray, width: int) -> np.ndarray:
+    if not len(words):
         return np.empty(0, dtype=np.uint64)
-    h = spread(np.fromiter(map(_HASH_OF.__getitem__, words), dtype=np.uint64, count=len(words)))
-    width = min(n, len(words))
     grams = np.full(len(words) - width + 1, width, dtype=np.uint64)
     for i in range(width):
-        grams = spread(grams * np.uint64(0x9E3779B97F4A7C15) + h[i:i + len(grams)])
-    return np.unique(grams)
+        grams = spread(grams * np.uint64(0x9E3779B97F4A7C15) + words[i:i + len(grams)])
+    return grams
 
 
 def digest(grams: np.ndarray) -> tuple[int, int]:
@@ -158,26 +140,30 @@ def _lists(rows: list[np.ndarray]) -> pa.ListArray:
 
 
 def _profiles(docs: DataFrame, n: int, t: Fraction) -> DataFrame:
-    """doc_id, n_shingles, digest (d1, d2), set (id, odd for small sets), counted (n-grams to count)."""
+    """doc_id, body (its text's hash), n_shingles, digest (d1, d2), set (id, odd for small sets), counted (n-grams to count)."""
     limit = np.uint64(_sample_limit(t))
     all_up_to = int(SMALL_SET / t) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column("doc_id"), texts_of(batch)
-            for at in range(0, len(texts), 1000):
-                sets = [gram_set(x, n) for x in texts[at:at + 1000]]
-                names = [digest(g) for g in sets]
-                counted = [g if len(g) <= all_up_to else g[:np.searchsorted(g, limit)] for g in sets]
+            for some in text_slices(batch, most=SLICE_BYTES):
+                names, sizes, counted = [], [], []
+                for g in gram_sets(some.column("text"), n):
+                    names.append(digest(g))
+                    sizes.append(len(g))
+                    counted.append(g if len(g) <= all_up_to else g[:np.searchsorted(g, limit)].copy())
                 yield pa.RecordBatch.from_arrays([
-                    ids.slice(at, 1000), pa.array([len(g) for g in sets], pa.int64()),
+                    some.column("doc_id"), some.column("body"), pa.array(sizes, pa.int64()),
                     pa.array([a for a, _ in names], pa.int64()), pa.array([b for _, b in names], pa.int64()),
-                    pa.array([a & ~1 | (len(g) <= SMALL_SET) for (a, _), g in zip(names, sets)], pa.int64()),
-                    _lists(counted)], names=["doc_id", "n_shingles", "d1", "d2", "set", "counted"])
-        forget_words()
+                    pa.array([a & ~1 | (size <= SMALL_SET) for (a, _), size in zip(names, sizes)], pa.int64()),
+                    _lists(counted)], names=["doc_id", "body", "n_shingles", "d1", "d2", "set", "counted"])
+
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _body().alias("body"), "text"), run,
+                    "doc_id long, body long, n_shingles long, d1 long, d2 long, set long, counted array<long>")
+
 
-    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run,
-                    "doc_id long, n_shingles long, d1 long, d2 long, set long, counted array<long>")
+def _body() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
 def _sample_limit(t: Fraction) -> int:
@@ -201,16 +187,14 @@ def _rebuilt(docs: DataFrame, wanted: DataFrame, n: int, t: Fraction) -> DataFra
     """The wanted sets from their documents' texts: set, size, grams (bytes), signatures."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            want = list(zip(batch.column("d1").to_pylist(), batch.column("d2").to_pylist()))
-            sets, texts = batch.column("set").to_pylist(), texts_of(batch)
-            for at in range(0, len(texts), 1000):
-                got = [(s, g) for s, x, w in zip(sets[at:at + 1000], texts[at:at + 1000], want[at:at + 1000])
-                       if digest(g := gram_set(x, n)) == w]
+            for some in text_slices(batch, most=SLICE_BYTES):
+                want = zip(some.column("d1").to_pylist(), some.column("d2").to_pylist())
+                got = [(s, g) for s, g, w in zip(some.column("set").to_pylist(), gram_sets(some.column("text"), n), want)
+                       if digest(g) == w]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([s for s, _ in got], pa.int64()), pa.array([len(g) for _, g in got], pa.int64()),
                     pa.array([g.tobytes() for _, g in got], pa.binary()), _lists([signatures(g, t) for _, g in got])],
                     names=["set", "size", "grams", "signatures"])
-        forget_words()
 
     rows = join_small(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"),
                       wanted.select("doc_id", "set", "d1", "d2"), ["doc_id"])
@@ -347,17 +331,41 @@ def links(docs: DataFrame, wanted: DataFrame, n: int, t: Fraction) -> DataFrame:
              .groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS),
                                             F.ceil(F.sum("size") / BLOCK_GRAMS)).cast("int").alias("blocks")))
     placed = groups.join(cut(sizes), "grp").withColumn("block", F.expr("cast(pmod(xxhash64(set), blocks) as int)"))
-    # A block meets itself and every other block of its group.
-    met = (sets.select("set", "grams").join(placed, "set")
-           .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-           .select("grp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "set",
-                   (F.col("block") > F.col("other")).cast("int").alias("side"), "grams"))
-    return _tree_links(met, t)
-
-
-def classes(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(90, 100)) -> DataFrame:
-    """doc_id, n_shingles and component_id (the least doc_id reachable by links), one row per row of ``docs``."""
-    t = Fraction(threshold)
+    # Each block meets the first one of its group, which also meets itself.
+    first = _blocks(sets, placed.withColumn("other", F.explode(F.expr(
+        "case when block = 0 then sequence(0, blocks - 1) else array(0) end"))).select(
+        "grp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "set",
+        (F.col("block") > F.col("other")).cast("int").alias("side")))
+    found = shared_table(_tree_links(first, t))
+    large = cut(placed.where("blocks > 1"))
+    if not large.limit(1).count():
+        return found
+    # In a large group only sets that are not in its main class can still join classes: they meet all other blocks.
+    roots = components(found)
+    classed = cut(large.join(roots, large["set"] == roots["node"], "left").select(
+        "grp", "set", "block", "blocks", F.coalesce("root", "set").alias("root")))
+    main = (classed.groupBy("grp", "root").agg(F.count("*").alias("n"))
+            .groupBy("grp").agg(F.max_by("root", F.struct("n", "root")).alias("main")))
+    rest = cut(classed.join(main, "grp").where("root <> main").select("grp", "set", "blocks"))
+    if not rest.limit(1).count():
+        return found
+    size = cut(rest.join(sets.select("set", "size"), "set").groupBy("grp").agg(
+        F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("size") / BLOCK_GRAMS)).cast("int").alias("rests")))
+    asked = rest.join(size, "grp").select(
+        "grp", "set", F.expr("cast(pmod(xxhash64(set, 1), rests) as int)").alias("lo"),
+        F.explode(F.expr("sequence(1, blocks - 1)")).alias("hi"), F.lit(1).alias("side"))
+    others = large.where("block > 0").join(size, "grp").select(
+        "grp", "set", F.explode(F.expr("sequence(0, rests - 1)")).alias("lo"), F.col("block").alias("hi"), F.lit(0).alias("side"))
+    return found.unionByName(_tree_links(_blocks(sets, asked.unionByName(others)), t))
+
+
+def _blocks(sets: DataFrame, placed: DataFrame) -> DataFrame:
+    """The sets at their places: grp, lo, hi, set, side, grams."""
+    return sets.select("set", "grams").join(placed, "set").select("grp", "lo", "hi", "set", "side", "grams")
+
+
+def _members(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, DataFrame]:
+    """(rows with words: doc_id, body, n_shingles, class, component_id; the other rows)."""
     profiles = shared_table(_profiles(docs, n, t))
     known = profiles.where("doc_id is not null and n_shingles > 0")
     sets = cut(known.groupBy("d1", "d2", "set", "n_shingles").agg(F.min("doc_id").alias("doc_id")))
@@ -365,30 +373,37 @@ def classes(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(90, 100)
     roots = components(links(docs, wanted, n, t)).withColumnRenamed("node", "set")
     member = cut(sets.join(roots, "set"))
     least = member.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = cut(sets.select("d1", "d2", "doc_id").withColumnRenamed("doc_id", "alone").join(
-        member.join(cut(least), "root").select("d1", "d2", "component_id"), ["d1", "d2"], "left")
-        .select("d1", "d2", F.coalesce("component_id", "alone").alias("component_id")))
-    some = known.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"]).select(
-        "doc_id", "n_shingles", "component_id")
-    rest = profiles.where("doc_id is null or n_shingles = 0").select(
-        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return some.unionByName(rest)
+    named = cut(sets.select("d1", "d2", "set", F.col("doc_id").alias("alone")).join(
+        member.join(cut(least), "root").select("d1", "d2", "root", "component_id"), ["d1", "d2"], "left")
+        .select("d1", "d2", F.coalesce("root", "set").alias("class"), F.coalesce("component_id", "alone").alias("component_id")))
+    some = known.select("doc_id", "body", "n_shingles", "d1", "d2").join(named, ["d1", "d2"]).drop("d1", "d2")
+    return some, profiles.where("doc_id is null or n_shingles = 0")
+
+
+def classes(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(90, 100)) -> DataFrame:
+    """doc_id, n_shingles and component_id (the least doc_id reachable by links), one row per row of ``docs``."""
+    some, others = _members(docs, n, Fraction(threshold))
+    return some.select("doc_id", "n_shingles", "component_id").unionByName(
+        others.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(80, 100)) -> DataFrame:
-    """The documents without all but the least id of each class, with all their columns.
+    """One document of each class, with all its columns: the one with the least id.
 
-    Rows that repeat an id and its text are one document. Rows with a null id stay.
+    A document is an id with a text: rows that share an id but not a text are told apart
+    by their texts (and of those in one class one stays), and rows that repeat both are one
+    document. Rows with a null id or without words stay.
     """
-    found = cut(classes(docs, n, threshold))
-    dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
-    again = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
-    kept = join_small(rows, cut(dropped), ["doc_id"], "left_anti")
-    again = cut(again)
+    some, _ = _members(docs, n, Fraction(threshold))
+    found = cut(some.select("doc_id", "body", "class"))
+    kept = cut(found.groupBy("class").agg(F.min(F.struct("doc_id", "body")).alias("k")).select("class", "k.doc_id", "k.body"))
+    dropped = cut(found.join(kept, ["class", "doc_id", "body"], "left_anti").select("doc_id", "body").distinct())
+    again = cut(found.groupBy("doc_id", "body").count().where("count > 1").join(dropped, ["doc_id", "body"], "left_anti")
+                .select("doc_id", "body"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _body().alias("body"))
+    left = join_small(rows, dropped, ["doc_id", "body"], "left_anti")
     if again.limit(1).count():
-        text = F.sha2(F.coalesce("row.text", F.lit("")).cast("binary"), 256)
-        once = (join_small(kept, again, ["doc_id"], "left_semi").groupBy("doc_id", text.alias("text"))
-                .agg(F.first("row").alias("row")).select("row", "doc_id"))
-        kept = join_small(kept, again, ["doc_id"], "left_anti").unionByName(once)
-    return kept.select("row.*")
+        once = (join_small(left, again, ["doc_id", "body"], "left_semi").groupBy("doc_id", "body")
+                .agg(F.first("row").alias("row")).select("row", "doc_id", "body"))
+        left = join_small(left, again, ["doc_id", "body"], "left_anti").unionByName(once)
+    return left.select("row.*")

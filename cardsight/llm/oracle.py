@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-WORDS = "list_filter(regexp_split_to_array({text}, '[\\x20\\x09-\\x0D]+'), x -> x <> '')"
+WORDS = "list_filter(regexp_split_to_array({text}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
 _CLOSURE = """
-both AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
-reach(a, b) AS (SELECT id, id FROM ids UNION SELECT r.a, e.y FROM reach r JOIN both e ON r.b = e.x),
+each_way AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(a, b) AS (SELECT id, id FROM ids UNION SELECT r.a, e.y FROM reach r JOIN each_way e ON r.b = e.x),
 least AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a)
 """
 
@@ -16,7 +16,7 @@ OP3 = f"""
 WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format(text=f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')")} AS w
                      FROM documents),
 sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-         ELSE list_transform(range(1, len(w) - 1), i -> array_to_string(w[i:i + 2], ' ')) END) AS g FROM w),
+         ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS g FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
 p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both_have FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id
       GROUP BY 1, 2),
@@ -26,31 +26,34 @@ ids AS (SELECT doc_id AS id FROM documents), {_CLOSURE}
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id
 FROM documents d JOIN least ON d.doc_id = id LEFT JOIN n ON n.doc_id = d.doc_id"""
 
+# Windows are compared by their MD5; what is removed is told from the gaps between the windows' starts.
 OP4 = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-b AS (SELECT doc_id, h, length(h) // 2 AS n FROM d),
-w AS (SELECT doc_id, unnest(range(0, n - 49)) AS i, h FROM b WHERE n >= 50),
-s AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM w),
-f AS (SELECT s, min(doc_id) AS f FROM s GROUP BY s),
-hit AS (SELECT s.doc_id, s.i FROM s JOIN f ON s.s = f.s WHERE f.f < s.doc_id),
-gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM hit),
-spans AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE before IS DISTINCT FROM i - 1) AS n_spans
-          FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM gone) GROUP BY doc_id),
-left_ AS (SELECT b.doc_id, string_agg(substr(h, 2 * x.i + 1, 2), '' ORDER BY x.i) AS kept
-          FROM (SELECT doc_id, h, unnest(range(0, n)) AS i FROM b WHERE doc_id IN (SELECT doc_id FROM spans)) x
-          JOIN b USING (doc_id, h) ANTI JOIN gone g ON g.doc_id = x.doc_id AND g.i = x.i GROUP BY b.doc_id)
-SELECT b.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
-       sha256(unhex(CASE WHEN n_removed IS NULL THEN h ELSE coalesce(kept, '') END)) AS kept_sha256
-FROM b LEFT JOIN spans ON spans.doc_id = b.doc_id LEFT JOIN left_ ON left_.doc_id = b.doc_id"""
+s AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 100)) AS s
+      FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d WHERE length(h) >= 100)),
+f AS (SELECT s, min(doc_id) AS f FROM s GROUP BY s HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT s.doc_id, s.i, lag(s.i) OVER (PARTITION BY s.doc_id ORDER BY s.i) AS before,
+               lead(s.i) OVER (PARTITION BY s.doc_id ORDER BY s.i) AS after
+        FROM s JOIN f ON s.s = f.s WHERE f.f < s.doc_id),
+edge AS (SELECT hit.doc_id, i, before, after, coalesce(before + 50, 0) AS free FROM hit
+         WHERE before IS NULL OR after IS NULL OR i - before > 50),
+gone AS (SELECT doc_id, CAST(sum(least(50, coalesce(after - i, 50))) AS BIGINT) AS n_removed,
+                count(*) FILTER (WHERE before IS NULL OR i - before > 50) AS n_spans FROM hit GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(CASE WHEN i > free THEN substr(h, 2 * free + 1, 2 * (i - free)) ELSE '' END
+                || CASE WHEN after IS NULL THEN substr(h, 2 * (i + 50) + 1) ELSE '' END, '' ORDER BY i) AS kept
+         FROM edge JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN gone ON gone.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id"""
 
 OP7 = f"""
 WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL
-  AND len(embedding) > 0 AND list_sum(list_transform(embedding, x -> CASE WHEN x IS NULL OR NOT isfinite(x) THEN 1 ELSE 0 END)) = 0
-  AND list_sum(list_transform(embedding, x -> CASE WHEN x <> 0 THEN 1 ELSE 0 END)) > 0),
+  AND len(embedding) > 0 AND list_sum(list_transform(embedding, lambda x: CASE WHEN x IS NULL OR NOT isfinite(x) THEN 1 ELSE 0 END)) = 0
+  AND list_sum(list_transform(embedding, lambda x: CASE WHEN x <> 0 THEN 1 ELSE 0 END)) > 0),
 links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id
           AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98),
 ids AS (SELECT vec_id AS id FROM embeddings), {_CLOSURE},
-deg AS (SELECT x, count(*) AS n FROM both GROUP BY x)
+deg AS (SELECT x, count(*) AS n FROM each_way GROUP BY x)
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
 FROM embeddings JOIN least ON vec_id = id LEFT JOIN deg ON x = vec_id"""
 
@@ -60,9 +63,9 @@ win AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, w FROM w WHERE len(w)
 s AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS s FROM win),
 often AS (SELECT doc_id, i FROM s QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
 rep AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS j FROM often) GROUP BY doc_id),
-m AS (SELECT w.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, x -> length(x))), 0) AS word_chars,
+m AS (SELECT w.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
         length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
-        list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines,
         coalesce(rep.n, 0) AS n_repeat_words, len(list_distinct(w)) AS n_distinct_words,
         length(regexp_replace(t, '[^\\p{{Lu}}]', '', 'g')) AS n_upper,
         length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) AS n_alpha,
@@ -84,8 +87,8 @@ def op10(rules: dict[str, str], base: int, web: int) -> str:
 def _found(kind: int, pattern: str, group: int, least: int) -> str:
     """doc_id, source, start, kind, end, value of one pattern's matches."""
     return f"""
-SELECT doc_id, source, {kind} AS kind, unnest(list_transform(range(1, len(m) + 1), i -> {{{{
-    'a': CAST(list_sum(list_transform(g[1:i], x -> length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], x -> length(x))), 0) AS BIGINT),
+SELECT doc_id, source, {kind} AS kind, unnest(list_transform(range(1, len(m) + 1), lambda i: {{{{
+    'a': CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT),
     'n': length(m[i]), 'v': v[i]}}}})) AS s, {least} AS least
 FROM (SELECT doc_id, source, string_split_regex(t, {pattern}) AS g, regexp_extract_all(t, {pattern}) AS m,
              regexp_extract_all(t, {pattern}, {group}) AS v FROM d)"""

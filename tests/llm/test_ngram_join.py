@@ -1,11 +1,13 @@
+import random
 import re
 from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from cardsight.llm import graph, ngram_join
+from cardsight.llm import graph, ngram_join, words
 
 from llm_corpora import make_docs, near_copies
 
@@ -45,7 +47,7 @@ def test_classes_equal_brute_force(spark, odd_texts, monkeypatch, n, num, den, b
 
 def test_no_signature_misses_a_link():
     for n, t in ((3, Fraction(9, 10)), (5, Fraction(4, 5))):
-        sets = [ngram_join.gram_set(x, n) for x in near_copies(9, 60)]
+        sets = list(ngram_join.gram_sets(pa.array(near_copies(9, 60)), n))
         signed = [set(ngram_join.signatures(g, t).tolist()) for g in sets]
         for i, a in enumerate(sets):
             for j in range(i):
@@ -76,3 +78,62 @@ def test_components(spark):
     roots = dict(graph.components(spark.createDataFrame(edges, "u long, v long")).collect())
     assert roots == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8, 10: 10, 11: 10, 20: 10, 30: 10, 40: 10, 50: 10}
     assert graph.components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+@pytest.mark.parametrize("part, long", [(1 << 20, 1024), (16, 6), (5, 3), (64, 1 << 30)])
+def test_word_hashes(monkeypatch, odd_texts, part, long):
+    """Equal words have equal hashes, other words others, wherever parts and texts end."""
+    monkeypatch.setattr(words, "PART", part)
+    monkeypatch.setattr(words, "LONG", long)
+    texts = [*odd_texts, "AbC aBc abc", "ÀB àb", "\x0bx\x0cy\x1cz", "w" * 40 + " " + "w" * 41, "W" * 40, None, "", "end "]
+    texts = [t if t is None else t[:3000] for t in texts]
+    column = pa.array(["cut", *texts])[1:]
+    hashes, first = words.word_hashes(column)
+    plain = [(t or "").encode().lower().split() for t in texts]
+    assert np.diff(first).tolist() == list(map(len, plain))
+    seen = {}
+    for w, h in zip((w for p in plain for w in p), hashes.tolist()):
+        assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen)
+    assert words.word_hashes(pa.array([], pa.string()))[1].tolist() == [0]
+
+
+def test_keep_one_of_ids_with_several_texts(spark):
+    """An id over two texts: only the text that has a partner goes; of one class one document stays."""
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    rows = [(1, a), (5, a), (5, b), (6, c), (6, c + " more"), (6, c), (None, a), (7, ""), (7, None)]
+    kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted(((r[0], r[1]) for r in kept.collect()), key=str)
+    one_c = [r for r in got if r[0] == 6]
+    assert len(one_c) == 1 and one_c[0][1] in (c, c + " more")
+    assert sorted((r for r in got if r[0] != 6), key=str) == sorted([(1, a), (5, b), (None, a), (7, ""), (7, None)], key=str)
+
+
+def test_large_group_of_near_copies(spark, monkeypatch):
+    """Groups of many blocks: near copies of several bases that share a passage give brute force's classes."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 8)
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(40)]
+    texts = []
+    for base in range(4):
+        words_of = [f"w{base}x{i}" for i in range(14)] + passage
+        for _ in range(40):
+            w = list(words_of)
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(len(w))] = f"new{rng.random()}"
+            texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [{tuple(t.split()[i:i + 3]) for i in range(len(t.split()) - 2)} for t in texts]
+    up = list(range(len(texts)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.classes(docs, 3, Fraction(80, 100)).collect()}
+    assert got == {i: find(i) for i in range(len(texts))} and len(set(got.values())) > 4
