@@ -111,6 +111,15 @@ def case_status(cases: DataFrame, status: str | None, as_of: _dt.datetime | str)
     return cases.filter(st == status)
 
 
+def case_bucket(as_of: _dt.datetime | str) -> Column:
+    """F8 as a column: the status under which a case is listed on ``as_of``'s day (null: under none)."""
+    if isinstance(as_of, str):
+        as_of = _dt.datetime.fromisoformat(as_of)
+    today = _lit_ts(as_of.replace(hour=0, minute=0, second=0, microsecond=0))
+    st, created = F.col("status"), F.col("created_at")
+    return F.when(st != "open", st).when(created >= today, st).when(created < today, F.lit("investigating"))
+
+
 def normalise_id(column: Column) -> Column:
     """Canonical text id. UUID text loses its dashes and is lower-cased
     (32 hex digits); binary ids become lower hex; other text is kept."""

@@ -206,15 +206,22 @@ def state_weights(df: DataFrame, key: str = "state") -> DataFrame:
 
 # ---------------------------------------------------------------- listings
 
+def case_filter(cases: DataFrame, txn_id: str | None = None, status: str | None = None,
+                as_of: _dt.datetime | str | None = None) -> DataFrame:
+    """The cases that a page shows or its total counts; their ids are not read."""
+    filtered = flt.txn_ids_contain(cases, txn_id)
+    if not status:
+        return filtered
+    if as_of is None:
+        raise ValueError("as_of is required for the status filter")
+    return flt.case_status(filtered, status, as_of)
+
+
 def case_page(cases: DataFrame, txn_id: str | None = None, status: str | None = None,
               as_of: _dt.datetime | str | None = None, limit: int = CASE_PAGE_SIZE,
               offset: int = 0) -> tuple[DataFrame, DataFrame]:
     """L1: (page rows, total) of cases, newest first, ties by case id."""
-    filtered = flt.txn_ids_contain(cases, txn_id)
-    if status:
-        if as_of is None:
-            raise ValueError("as_of is required for the status filter")
-        filtered = flt.case_status(filtered, status, as_of)
+    filtered = case_filter(cases, txn_id, status, as_of)
     page = filtered.orderBy(F.desc("created_at"), F.asc("case_id")).offset(offset).limit(limit)
     return page, total_count(filtered)
 

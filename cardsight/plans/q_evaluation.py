@@ -160,4 +160,4 @@ def a28_state_metrics(spark, sf_dir):
 SELECT CAST(fraud_score >= 0.64 AS INT) AS pred, count(*) AS n FROM txn GROUP BY 1"""))
 def p08_decisions(spark, sf_dir):
     """Decision at the fixed 0.64 threshold, counted per outcome."""
-    return _scored(spark, sf_dir).groupBy("pred").agg(F.count(F.lit(1)).alias("n"))
+    return ev.predict(txn(spark, sf_dir)).groupBy("pred").agg(F.count(F.lit(1)).alias("n"))

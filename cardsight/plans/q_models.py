@@ -28,7 +28,7 @@ def _split_text(spark, sf_dir):
     return raw.filter("_train").drop("_train"), raw.filter(~F.col("_train")).drop("_train")
 
 
-def _trained(spark, sf_dir):
+def trained(spark, sf_dir):
     """Feature model and state models fitted on the training split (kept
     for the session: the driver holds fitted models, not data)."""
     key = (spark.sparkContext.applicationId, sf_dir)
@@ -96,7 +96,7 @@ SELECT state, round(n / sum(n) OVER (), 6) AS weight FROM (
 def a18_ensemble_weights(spark, sf_dir):
     """Ensemble weight of each trained state model = its
     training rows over all trained models' rows."""
-    _, _, models, _ = _trained(spark, sf_dir)
+    _, _, models, _ = trained(spark, sf_dir)
     w = ml.state_row_weights(models)
     return spark.createDataFrame(sorted(w.items()), "state string, weight double").select(
         "state", r6(F.col("weight")).alias("weight"))
@@ -131,7 +131,7 @@ GROUP BY state"""
 def m02_state_models(spark, sf_dir):
     """M2: one balanced forest per state on its (at most 10,000-row)
     training sample; one-class states skipped."""
-    _, _, models, _ = _trained(spark, sf_dir)
+    _, _, models, _ = trained(spark, sf_dir)
     return spark.createDataFrame([(m.state, m.n_rows, m.n_pos, m.trained) for m in models],
                                  "state string, n_rows long, n_pos long, trained boolean")
 
@@ -140,7 +140,7 @@ def m02_state_models(spark, sf_dir):
 def m04_ensemble_scores(spark, sf_dir):
     """M4 + A18 + P8 on the held-out rows: weighted sum of the state models'
     fraud probabilities, decision at 0.64."""
-    _, _, models, test = _trained(spark, sf_dir)
+    _, _, models, test = trained(spark, sf_dir)
     scored = ml.decide(ml.ensemble_scores(test, models))
     return scored.select("trans_num", "state", "is_fraud", "probability", "pred")
 
@@ -151,7 +151,7 @@ FROM txn WHERE trans_ts >= TIMESTAMP '2000-01-01 00:00:00' AND CAST(split_part(t
 
 def _saved(spark, sf_dir):
     """The trained feature model, written and read back, and the state models."""
-    fm, _, models, test = _trained(spark, sf_dir)
+    fm, _, models, test = trained(spark, sf_dir)
     path = files.scratch_path(spark, "features")
     fe.save_features(fm, path)
     return fe.load_features(spark, path), models, test
@@ -215,7 +215,7 @@ def m01_reloaded_features(spark, sf_dir):
 def a19_feature_importance(spark, sf_dir):
     """Mean importance per feature over the state models, top 20."""
     from cardsight.operators import evaluate as ev
-    fm, train, models, _ = _trained(spark, sf_dir)
+    fm, train, models, _ = trained(spark, sf_dir)
     rows = ml.feature_importances(models, ml.feature_columns(train))
     imp = spark.createDataFrame(rows, "model string, feature string, importance double")
     return ev.mean_importance(imp, 20)
@@ -226,7 +226,7 @@ def m03_tuning(spark, sf_dir):
     """M3: the forest grid per state (27 settings, 5 hash folds, precision of
     the fraud class) on each state's at most 10,000-row training sample, then
     the fit of each state's choice, both with the full number of trees."""
-    _, train, _, _ = _trained(spark, sf_dir)
+    _, train, _, _ = trained(spark, sf_dir)
     tuned = ml.tune_per_state(train, parallelism=8)
     fitted = {m.state: m for m in ml.fit_tuned(train, tuned, parallelism=8)}
     rows = [(t["state"], t["setting"] and str(sorted(t["setting"].items())), t["metric"], t["n_rows"],

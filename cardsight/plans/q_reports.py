@@ -199,16 +199,15 @@ def l01_case_page(spark, sf_dir):
 SELECT count(*) AS total FROM cases
 WHERE status = 'investigating' OR (status = 'open' AND created_at < TIMESTAMP '{AS_OF_MIDNIGHT}')"""))
 def a12_case_total(spark, sf_dir):
-    _, total = rep.case_page(unnumbered_cases(spark, sf_dir), status="investigating", as_of=AS_OF)
-    return total
+    return rep.total_count(rep.case_filter(unnumbered_cases(spark, sf_dir), status="investigating", as_of=AS_OF))
 
 
 @register("l05_case_page_count", with_cases(f"""
 SELECT total, CAST(greatest(ceil(total / 20), 1) AS BIGINT) AS pages FROM (
   SELECT count(*) AS total FROM cases WHERE status = 'open' AND created_at >= TIMESTAMP '{AS_OF_MIDNIGHT}')"""))
 def l05_case_page_count(spark, sf_dir):
-    _, total = rep.case_page(unnumbered_cases(spark, sf_dir), status="open", as_of=AS_OF)
-    return rep.page_count(total, 20)
+    shown = rep.case_filter(unnumbered_cases(spark, sf_dir), status="open", as_of=AS_OF)
+    return rep.page_count(rep.total_count(shown), 20)
 
 
 @register("f08_status_counts", with_cases(f"""
@@ -218,10 +217,10 @@ UNION ALL SELECT 'investigating', count(*) FROM cases
   WHERE status = 'investigating' OR (status = 'open' AND created_at < TIMESTAMP '{AS_OF_MIDNIGHT}')
 UNION ALL SELECT 'closed', count(*) FROM cases WHERE status = 'closed'"""))
 def f08_status_counts(spark, sf_dir):
-    c = cases(spark, sf_dir)
-    parts = [flt.case_status(c, s, AS_OF).agg(F.count(F.lit(1)).alias("n")).select(F.lit(s).alias("bucket"), "n")
-             for s in ["open", "investigating", "closed"]]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """F8: cases listed under each status, from one grouped count; a status without cases counts 0."""
+    shown = unnumbered_cases(spark, sf_dir).groupBy(flt.case_bucket(AS_OF).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    names = spark.createDataFrame([("open",), ("investigating",), ("closed",)], "bucket string")
+    return names.join(shown, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @register("f07_case_by_txn", with_cases(f"""

@@ -11,7 +11,7 @@ from cardsight.operators import sampling
 from cardsight.plans.common import txn
 from cardsight.sources import tables
 
-from conftest import SF_SMALL
+from testdata_paths import SF_SMALL
 
 
 def test_global_row_number_matches_window(spark):

@@ -10,7 +10,7 @@ from cardsight.operators import sampling
 from cardsight.plans.common import txn
 from cardsight.sources import files, tables
 
-from conftest import SF_SMALL
+from testdata_paths import SF_SMALL
 
 
 @pytest.fixture(scope="module")
@@ -105,7 +105,7 @@ def test_tuning_query_uses_whole_forests(spark, feats, monkeypatch):
     trees, make = [], ml.make_classifier
     monkeypatch.setattr(ml, "make_classifier", lambda kind, num_trees=None, **more: trees.append(num_trees) or make(kind, 2, **more))
     monkeypatch.setattr(ml, "FOREST_GRID", {"max_depth": [2], "subsamplingRate": [1.0], "ratio": [1.0]})
-    monkeypatch.setattr(q_models, "_trained", lambda spark, sf_dir: (None, some, None, None))
+    monkeypatch.setattr(q_models, "trained", lambda spark, sf_dir: (None, some, None, None))
     assert q_models.m03_tuning(spark, "").filter("fitted").count() == 2
     assert trees == [200] * (2 * 5 + 2)
 

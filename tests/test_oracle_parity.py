@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as E
 from cardsight.sources.tables import TABLES
 
-from conftest import SF_SMALL
+from testdata_paths import SF_SMALL
 
 FAST = ["l03_fraud_analysis", "a08_kpis", "a09_fraud_by_month", "a10_top_categories", "a03_factor_ranking",
         "a05_deciles_amt", "a06_case_timeseries_year", "a07_success_rate", "l01_case_page", "c02_rollback_cases",
