@@ -8,15 +8,15 @@ cut the tokens into groups, and tokens whose bytes overlap are linked.
 Run skipping. Where A and B agree token by token, the end arrays are equal at a fixed
 shift between their indexes. From the current pair of indexes the stretches
 ``ea[i:i+w]`` and ``eb[j:j+w]`` are compared with doubled width as long as they are
-equal; a width that fails is halved until the run's end is known. The whole run becomes
+equal (from ``FIRST_WIDTH`` on); a width that fails is halved until the run's end is known. The whole run becomes
 one-to-one groups at once. The group behind it is irregular: both arrays are walked until
 they meet again, each step of the walk is a link, and the shift becomes the difference of
 the indexes behind the group.
 
-Tokens. Neither tokenizer merges across a single space or line feed between two other
-characters, so a text is cut there, and the ids of short pieces are kept in a cache of bounded
-size; what the cache lacks is encoded. The models are checked for this when they
-are opened; for models that do not keep to it texts are encoded whole.
+Tokens. Texts are encoded whole. Where the byte-level model's merges are in the order of
+their ids, which is checked, its vocabulary is handed to tiktoken, which gives the same ids
+several times faster; texts with a stretch of ``LONG_RUN`` characters without or of white space
+are left to the slower library, whose time does not grow with the square of the stretch.
 
 Counts. How often an id pair is linked in the corpus is summed up within each task and
 then by Spark. Counts go back to the documents in two tiers: the most frequent pairs, at
@@ -32,11 +32,10 @@ result; columns other than ``doc_id`` and ``text`` are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -48,13 +47,14 @@ from cardsight.llm.common import in_arrow, shared_table, text_slices, texts_of
 TABLE_PAIRS = 1 << 18    # id pairs in the broadcast table
 TASK_PAIRS = 400_000     # id pairs that a task sums up before it passes them on
 TASK_LINKS = 1_000_000   # links that a task gathers before it sums them up
-CACHE_SIZE = 120_000     # pieces in each half of a worker's cache
-CACHED_LENGTH = 48       # code points of the longest piece that is kept
+WRITTEN = 60_000         # one-to-one groups that a worker keeps in writing
+
+FIRST_WIDTH = 8          # ends that are compared first
+LONG_RUN = 4000          # characters
 
 MARK = "▁"
 
-_ODD = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
-_CUTS = re.compile(r"(?<=\S)(?=[ \n]\S)")
+_GAP_RUN = re.compile(rf"\s{{{LONG_RUN}}}")
 
 
 def byte_decoder() -> dict[str, int]:
@@ -64,29 +64,26 @@ def byte_decoder() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-def runs(ea: list[int], eb: list[int]) -> Iterator[tuple[int, int, int, list[tuple[int, int]]]]:
-    """(i, j, length, links) along two end arrays with the same last end.
-
-    ``length`` one-to-one groups start at the indexes i and j; behind them lies an irregular
-    group with the given links (none at the very end).
-    """
+def runs(ea: list[int], eb: list[int]) -> list[tuple[int, int, int, int, int]]:
+    """(i, j, length, k, m) along two end arrays that have the same last end: a run of ``length`` one-to-one
+    groups from the indexes i and j, and the irregular group behind it, which ends before k and m (empty at the end)."""
     i = j = 0
     n = len(ea)
+    out = []
     while i < n:
-        at, to, w = i, j, 1
-        while (part := ea[i:i + w]) and part == eb[j:j + w]:
-            i += len(part)
-            j += len(part)
+        at, to, w = i, j, FIRST_WIDTH
+        while i + w <= n and ea[i:i + w] == eb[j:j + w]:
+            i += w
+            j += w
             w *= 2
         while w > 1:
             w //= 2
-            if (part := ea[i:i + w]) and part == eb[j:j + w]:
-                i += len(part)
-                j += len(part)
-        links: list[tuple[int, int]] = []
+            if i + w <= n and ea[i:i + w] == eb[j:j + w]:
+                i += w
+                j += w
+        length = i - at
         if i < n:
             x, y = ea[i], eb[j]
-            links.append((i, j))
             while x != y:
                 if x < y:
                     i += 1
@@ -94,10 +91,43 @@ def runs(ea: list[int], eb: list[int]) -> Iterator[tuple[int, int, int, list[tup
                 else:
                     j += 1
                     y = eb[j]
-                links.append((i, j))
             i += 1
             j += 1
-        yield at, to, i - at if not links else links[0][0] - at, links
+        out.append((at, to, length, i, j))
+    return out
+
+
+def _walked(ea: list[int], eb: list[int], i: int, k: int, j: int, m: int) -> Iterator[tuple[int, int]]:
+    """The links of the group of A's tokens i to k and B's tokens j to m: the steps of its walk."""
+    while True:
+        yield i, j
+        if ea[i] < eb[j]:
+            i += 1
+        elif ea[i] > eb[j]:
+            j += 1
+        else:
+            return
+
+
+def linked(found: list[tuple[int, int, int, int, int]], ea: list[int], eb: list[int]) -> tuple[np.ndarray, np.ndarray, int]:
+    """(A's and B's indexes of all links, how many of them are the runs': these come first, in order)."""
+    at, to, length, k, m = np.array(found, dtype=np.int64).T
+    i, j = at + length, to + length
+    # In a group with one token on one side every token of the other side is linked to it.
+    na, nb = k - i, m - j
+    simple = (np.minimum(na, nb) == 1)
+    many = np.where(simple, np.maximum(na, nb), 0)
+    first_a, first_b, counts = np.concatenate([at, i]), np.concatenate([to, j]), np.concatenate([length, many])
+    moves_a, moves_b = np.concatenate([length > 0, na > 1]), np.concatenate([length > 0, nb > 1])
+    step = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    ia = np.repeat(first_a, counts) + step * np.repeat(moves_a, counts)
+    ib = np.repeat(first_b, counts) + step * np.repeat(moves_b, counts)
+    others = [x for g in np.flatnonzero((na > 1) & (nb > 1)).tolist()
+              for x in _walked(ea, eb, int(i[g]), int(k[g]), int(j[g]), int(m[g]))]
+    if others:
+        more = np.array(others, dtype=np.int64)
+        ia, ib = np.concatenate([ia, more[:, 0]]), np.concatenate([ib, more[:, 1]])
+    return ia, ib, int(length.sum())
 
 
 class Aligner:
@@ -107,8 +137,6 @@ class Aligner:
 
     def __init__(self, byte_path: str, piece_path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import json
-
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -123,14 +151,23 @@ class Aligner:
                         for i, p in enumerate(pieces)]
         self.a_sizes = np.array([len(t) for t in self.a_bytes], dtype=np.int64)
         self.b_sizes = np.array([len(t) for t in self.b_bytes], dtype=np.int64)
-        self.mark = self.b.piece_to_id(MARK)
-        spec = json.loads(self.a.to_str())
-        cut_a = (spec["normalizer"] is None and spec["pre_tokenizer"] == {
-            "type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True})
-        cut_b = not any(MARK in p.lstrip(MARK) or "\n" in p or " " in p for p in pieces) and len(self.b.encode("a  b")) == 3
-        self.cuts = cut_a and cut_b
-        self.young: dict[str, tuple] = {}
-        self.old: dict[str, tuple] = {}
+        self.fast = self._fast(json.loads(self.a.to_str()), of)
+        self.written = Written()
+
+    def _fast(self, spec: dict, of: dict[str, int]):
+        """The byte-level model as tiktoken's, if its merges give ids in ascending order; else nothing."""
+        import public_tokenizers
+        import tiktoken
+
+        ids = spec["model"]["vocab"]
+        merged = [ids["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in spec["model"]["merges"]]
+        plain = spec["normalizer"] is None and spec["pre_tokenizer"] == {
+            "type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        special = {t["content"] for t in spec["added_tokens"]}
+        ranks = {bytes(of[c] for c in t): i for t, i in ids.items() if t not in special and all(c in of for c in t)}
+        if not plain or merged != sorted(merged) or len(ranks) != len(merged) + 256:
+            return None
+        return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     @classmethod
     def at(cls, byte_path: str, piece_path: str) -> "Aligner":
@@ -139,27 +176,18 @@ class Aligner:
             cls._open[key] = cls(byte_path, piece_path)
         return cls._open[key]
 
-    def pieces(self, text: str) -> list[str]:
-        """The pieces of a text that is not empty. One that follows a space is written without it."""
-        if not self.cuts:
-            return [text]
-        if not _ODD.search(text) and MARK not in text:
-            return text.replace("\n", " \n").split(" ")
-        first, *others = _CUTS.split(" " + text)
-        # Only the first piece may start with more white space; it is then kept whole, and told by its space.
-        return [first[1:] if not first[1:2].isspace() else first, *(p[1:] if p[0] == " " else p for p in others)]
-
-    def encoded(self, pieces: list[str]) -> list[tuple]:
-        """(A's ids, B's ids, whether both spell the piece) of pieces."""
-        spelled = [p if p[0] in " \n" and self.cuts else " " + p for p in pieces]
-        a_ids = [e.ids for e in self.a.encode_batch(spelled, add_special_tokens=False)]
-        b_ids = self.b.encode([s[1:] if s[0] == " " else s for s in spelled], num_threads=1)
-        out = []
-        for s, a, b in zip(spelled, a_ids, b_ids):
-            if s[0] == "\n" and b and b[0] == self.mark:
-                b = b[1:]  # the space that the model adds stands for nothing here
-            whole = s.encode()
-            out.append((a, b, self.spell(self.a_bytes, a) == whole and self.spell(self.b_bytes, b) == whole))
+    def a_ids(self, texts: list[str]) -> list[list[int]]:
+        """A's ids of texts."""
+        slow = [k for k, t in enumerate(texts) if self.fast is None or len(t) > LONG_RUN and (
+            max(map(len, t.split()), default=0) > LONG_RUN or _GAP_RUN.search(t))]
+        out = [None if self.fast is None else self.fast.encode_ordinary(t) for t in texts] if not slow else [None] * len(texts)
+        if slow:
+            left = set(slow)
+            for k, e in zip(slow, self.a.encode_batch_fast([texts[k] for k in slow], add_special_tokens=False)):
+                out[k] = e.ids
+            for k, t in enumerate(texts):
+                if k not in left:
+                    out[k] = self.fast.encode_ordinary(t)
         return out
 
     @staticmethod
@@ -168,50 +196,48 @@ class Aligner:
 
     def tokens(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
         """A's and B's ids of each text; none where they do not spell the text behind a space."""
-        cut = [self.pieces(t) if t else [] for t in texts]
-        wanted = set().union(*cut)
-        misses = wanted.difference(self.young)
-        if len(self.young) + len(misses) > CACHE_SIZE:
-            self.old, self.young = self.young, {}
-            misses = wanted
-        known = {p: self.old[p] for p in misses if p in self.old}
-        new = [p for p in misses if p not in known]
-        here = known | dict(zip(new, self.encoded(new))) if new else known
-        self.young.update((p, x) for p, x in here.items() if len(p) <= CACHED_LENGTH)
-        young = self.young
-        out = []
-        for text, pieces in zip(texts, cut):
-            parts = [young.get(p) or here[p] for p in pieces]
-            a = list(chain.from_iterable(map(itemgetter(0), parts)))
-            b = list(chain.from_iterable(map(itemgetter(1), parts)))
-            if not all(map(itemgetter(2), parts)):
-                whole = (" " + text).encode()
-                if self.spell(self.a_bytes, a) != whole or self.spell(self.b_bytes, b) != whole:
-                    a, b = [], []
-            out.append((a, b))
-        return out
-
-    def align(self, a: list[int], b: list[int]) -> tuple[int, str, list[int], list[int]]:
-        """Number of groups, their digest, and the linked ids of A and B, link by link."""
+        spelled = [" " + t if t else "" for t in texts]
+        out = list(zip(self.a_ids(spelled), self.b.encode(texts, num_threads=1)))
+        # tiktoken's ids spell their text: every byte is a token, and nothing is normalized.
+        return [(a, b) if s and self.spell(self.b_bytes, b) == (whole := s.encode())
+                and (self.fast is not None or self.spell(self.a_bytes, a) == whole)
+                else ([], []) for s, (a, b) in zip(spelled, out)]
+
+    def align(self, a: list[int], b: list[int]) -> tuple[int, str, np.ndarray]:
+        """Number of groups, their digest, and the linked pairs (A's id << 32 | B's id), in no fixed order."""
         if not a:
-            return 0, "", [], []
-        ea, eb = np.cumsum(self.a_sizes[a]).tolist(), np.cumsum(self.b_sizes[b]).tolist()
-        sa, sb = list(map(str, a)), list(map(str, b))
+            return 0, "", np.empty(0, dtype=np.int64)
+        aa, bb = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+        ea, eb = np.cumsum(self.a_sizes[aa]).tolist(), np.cumsum(self.b_sizes[bb]).tolist()
+        found = runs(ea, eb)
+        ia, ib, n_runs = linked(found, ea, eb)
+        pairs = aa[ia] << 32 | bb[ib]
+        one_to_one = list(map(self.written.__getitem__, pairs[:n_runs].tolist()))
         groups: list[str] = []
-        la: list[int] = []
-        lb: list[int] = []
-        for i, j, length, links in runs(ea, eb):
-            if length:
-                groups.extend(map("|".join, zip(sa[i:i + length], sb[j:j + length])))
-                la += a[i:i + length]
-                lb += b[j:j + length]
-            if links:
-                i, j = links[0]
-                k, m = links[-1]
-                groups.append(f"{','.join(sa[i:k + 1])}|{','.join(sb[j:m + 1])}")
-                la += [a[x] for x, _ in links]
-                lb += [b[y] for _, y in links]
-        return len(groups), hashlib.sha256(";".join(groups).encode()).hexdigest(), la, lb
+        seen = 0
+        for i, j, n, k, m in found:
+            if n:
+                groups += one_to_one[seen:seen + n]
+                seen += n
+                i += n
+                j += n
+            if k - i == 1 and m - j == 2:
+                groups.append(f"{a[i]}|{b[j]},{b[j + 1]}")
+            elif k - i == 2 and m - j == 1:
+                groups.append(f"{a[i]},{a[i + 1]}|{b[j]}")
+            elif i < k:
+                groups.append(f"{','.join(map(str, a[i:k]))}|{','.join(map(str, b[j:m]))}")
+        return len(groups), hashlib.sha256(";".join(groups).encode()).hexdigest(), pairs
+
+
+class Written(dict):
+    """One-to-one groups in writing, the first ``WRITTEN`` of them kept."""
+
+    def __missing__(self, pair: int) -> str:
+        text = f"{pair >> 32}|{pair & 0xFFFFFFFF}"
+        if len(self) < WRITTEN:
+            self[pair] = text
+        return text
 
 
 class PairSums:
@@ -262,12 +288,11 @@ def _linked(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
             for some in text_slices(batch):
                 tokens = aligner.tokens(texts_of(some))
                 found = [aligner.align(a, b) for a, b in tokens]
-                pairs = [np.array(la, dtype=np.int64) << 32 | np.array(lb, dtype=np.int64) for _, _, la, lb in found]
-                for p in pairs:
-                    sums.add(p)
+                for *_, pairs in found:
+                    sums.add(pairs)
                 yield rows("doc", some.num_rows, doc_id=some.column("doc_id"), n_a=[len(a) for a, _ in tokens],
                            n_b=[len(b) for _, b in tokens], n_groups=[g for g, *_ in found],
-                           groups_sha256=[d for _, d, *_ in found], linked=[_packed(p) for p in pairs])
+                           groups_sha256=[d for _, d, _ in found], linked=[_packed(p) for *_, p in found])
                 if len(sums.pairs) > TASK_PAIRS:
                     pair, n = sums.taken()
                     yield rows("pair", len(pair), pair=pa.array(pair), n=pa.array(n))

@@ -114,13 +114,21 @@ def test_runs_walk_equals_sets():
         if rng.random() < 0.4:
             eb = sorted({*ea, *eb}) if rng.random() < 0.5 else list(ea)
         at_a = at_b = 0
-        links = []
-        for i, j, length, more in alignment.runs(ea, eb):
+        found = alignment.runs(ea, eb)
+        for i, j, length, k, m in found:
             assert (i, j) == (at_a, at_b)
-            links += [(i + k, j + k) for k in range(length)] + more
-            at_a, at_b = (more[-1][0] + 1, more[-1][1] + 1) if more else (i + length, j + length)
-            if more:
-                assert len(more) > 1  # else it would have been part of the run
+            assert (k - i - length) + (m - j - length) != 2  # else it would have been part of the run
+            at_a, at_b = k, m
+        ia, ib, n_runs = alignment.linked(found, ea, eb)
+        assert n_runs == sum(f[2] for f in found)
+        links = sorted(zip(ia.tolist(), ib.tolist()))
         starts = [[0, *e[:-1]] for e in (ea, eb)]
         assert links == sorted((i, j) for i in range(len(ea)) for j in range(len(eb))
                                if starts[0][i] < eb[j] and starts[1][j] < ea[i])
+
+
+def test_long_stretches_are_left_to_the_slower_library():
+    aligner = alignment.Aligner.at(BYTES, PIECES)
+    assert aligner.fast is not None
+    texts = ["short words", "q" * 50_000, "a" + " " * 50_000 + "b", "many short words " * 900, ""]
+    assert aligner.a_ids(texts) == [aligner.a.encode(t, add_special_tokens=False).ids for t in texts]
