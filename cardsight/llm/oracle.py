@@ -66,7 +66,7 @@ rep AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(
 m AS (SELECT w.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
         length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines,
-        coalesce(rep.n, 0) AS n_repeat_words, len(list_distinct(w)) AS n_distinct_words,
+        coalesce(rep.n, 0) AS n_repeat_words, coalesce(list_sum(list_transform(range(0, len(w), 100), lambda i: len(list_distinct(w[i + 1:i + 100])))), 0) AS n_distinct_words,
         length(regexp_replace(t, '[^\\p{{Lu}}]', '', 'g')) AS n_upper,
         length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) AS n_alpha,
         length(t) - length(replace(t, '!', '')) AS n_marks
@@ -100,7 +100,7 @@ _ASSIGN = ("'((?i:password|passwd|secret|token|api_?key))[\"''']?\\x20*[:=]\\x20
 OP1 = f"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
 found AS ({_found(0, _ASSIGN, 2, 12)} UNION ALL {_found(1, "'AKIA[A-Z0-9]+'", 0, 18)}
-  UNION ALL {_found(2, "'[0-9a-f]+'", 0, 16)} UNION ALL {_found(3, "'[A-Za-z0-9_-]{{{{20,}}}}'", 0, 20)}),
+  UNION ALL {_found(2, "'[0-9a-f]+'", 0, 16)} UNION ALL {_found(3, "'[A-Za-z0-9+/_=-]{{{{20,}}}}'", 0, 20)}),
 spans AS (SELECT doc_id, source, kind, s.a AS a, s.a + s.n AS b, s.v AS v FROM found WHERE length(s.v) >= least
   AND (kind < 3 OR (regexp_matches(s.v, '[0-9]') AND regexp_matches(s.v, '[a-z]') AND regexp_matches(s.v, '[A-Z]')))),
 used AS (SELECT * FROM spans WHERE kind < 3 UNION ALL SELECT * FROM spans w WHERE kind = 3 AND NOT EXISTS (
@@ -110,8 +110,8 @@ judged AS (SELECT used.*, owners, ['assign', 'access', 'hex', 'owned'][kind + 1]
   FROM used JOIN own ON own.v = used.v),
 per AS (SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n0, count(*) FILTER (WHERE kind = 1) AS n1,
     count(*) FILTER (WHERE kind = 2) AS n2, string_agg(span, ',' ORDER BY a, kind) FILTER (WHERE kind < 3) AS base,
-    string_agg(span, ',' ORDER BY a, kind) FILTER (WHERE kind < 3 OR owners = 1) AS every,
-    count(*) FILTER (WHERE owners >= 3) AS ex, count(*) FILTER (WHERE owners = 1) AS live FROM judged GROUP BY doc_id)
+    string_agg(span, ',' ORDER BY a, kind) FILTER (WHERE kind < 3 OR owners < 3) AS every,
+    count(*) FILTER (WHERE owners >= 3) AS ex, count(*) FILTER (WHERE owners < 3) AS live FROM judged GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans, coalesce(ex, 0) AS n_example,
        coalesce(live, 0) AS n_live

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from cardsight.llm.common import WORD_GAP, map_batches, texts_of
 
 SYMBOLS = "#*$%&|<>"
+STRETCH = 100  # words in which distinct words are counted
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_distinct_words",
             "n_upper", "n_alpha", "n_marks")
@@ -59,15 +60,18 @@ def _spread(x: np.ndarray) -> np.ndarray:
 
 
 def repeated_words(words: list[bytes], width: int = 5) -> tuple[int, int]:
-    """(words that lie in a ``width``-word window found at least twice, distinct words).
+    """(words that lie in a ``width``-word window found at least twice, distinct words in stretches).
 
-    Windows are compared by a 64-bit hash of their words' numbers in this text.
+    Windows are compared by a 64-bit hash of their words' numbers in this text. Distinct words are counted in
+    stretches of ``STRETCH`` words, one after another, and summed: their share does not fall with a text's length.
     """
     numbers: dict[bytes, int] = {}
     ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), dtype=np.uint64, count=len(words))
+    stretch = np.arange(len(words), dtype=np.uint64) // np.uint64(STRETCH)
+    distinct = len(np.unique(stretch * np.uint64(len(numbers) + 1) + ids)) if len(words) > STRETCH else len(numbers)
     n = len(words) - width + 1
     if n < 2:
-        return 0, len(numbers)
+        return 0, distinct
     spread = _spread(ids + np.uint64(1))
     key = np.zeros(n, dtype=np.uint64)
     for i in range(width):
@@ -75,7 +79,7 @@ def repeated_words(words: list[bytes], width: int = 5) -> tuple[int, int]:
     order = np.argsort(key, kind="stable")
     same = key[order[1:]] == key[order[:-1]]
     if not same.any():
-        return 0, len(numbers)
+        return 0, distinct
     twice = np.zeros(n, dtype=bool)
     twice[order[1:][same]] = True
     twice[order[:-1][same]] = True
@@ -83,7 +87,7 @@ def repeated_words(words: list[bytes], width: int = 5) -> tuple[int, int]:
     edge = np.zeros(len(words) + 1, dtype=np.int64)
     np.add.at(edge, starts, 1)
     np.add.at(edge, starts + width, -1)
-    return int((np.cumsum(edge)[:-1] > 0).sum()), len(numbers)
+    return int((np.cumsum(edge)[:-1] > 0).sum()), distinct
 
 
 def measure(text: str) -> tuple[int, ...]:

@@ -90,7 +90,7 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op8_sharding")
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 8 shards by the hash tree, and where each goes with a ninth."""
-    placed = sharding.place(read_table(spark, sf_dir, "documents"), sharding.tree(8), sharding.tree(9))
+    placed = sharding.place(read_table(spark, sf_dir, "documents"), 8, grown=9)
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 

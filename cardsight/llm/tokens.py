@@ -5,13 +5,13 @@ hold the space mark only at their start) never merges across a space mark that
 follows another character, nor across a line feed that no piece holds. A text is
 therefore cut into pre-tokens, each counted by itself:
 
-* first tier: a compact table of the corpus's frequent pre-tokens and their
-  lengths, at most ``TABLE_SIZE`` entries, broadcast to the workers;
+* first tier: a compact table of frequent pre-tokens and their lengths, at most
+  ``TABLE_SIZE`` entries, broadcast to the workers;
 * second tier: a bounded cache in each worker, filled by encoding misses.
 
-No pre-token is ever shuffled: to fill the table each task keeps a bounded
-summary of its most frequent pre-tokens, and only those summaries are added up.
-The table changes the speed, never the counts.
+All texts are read once, and no pre-token is shuffled. The table is filled from a
+bounded sample: ``SAMPLE_ROWS`` rows of the table, the first ``SAMPLE_CHARS`` characters of each. The sample
+decides which pre-tokens the table holds, and so the speed, never the counts.
 
 Defined results: null and empty texts have 0 tokens; repeated rows are counted
 each; null ids stay null; an empty table gives an empty result; columns other
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from cardsight.llm.common import in_arrow, texts_of
 
 TABLE_SIZE = 65_536      # entries of the broadcast table (a few MB)
-TASK_SUMMARY = 16_384    # frequent pre-tokens that one task reports
-TASK_COUNTER = 200_000   # pre-tokens that one task counts before it drops the rarest
+SAMPLE_ROWS = 4_000      # rows from which the table is filled
+SAMPLE_CHARS = 20_000    # characters of each of them
 CACHE_SIZE = 400_000     # entries of each half of a worker's cache
 
 MARK = "\u2581"          # the model's space mark
@@ -103,27 +103,17 @@ class PieceCounter:
 
 
 def frequent_pieces(docs: DataFrame, model_path: str, size: int = TABLE_SIZE) -> dict[str, int]:
-    """The corpus's frequent pre-tokens with their token lengths, at most ``size``.
-
-    Each task counts all its texts in a bounded summary (the rarest half is
-    dropped when it is full) and reports its ``TASK_SUMMARY`` most frequent
-    pre-tokens; the reports are added up and the top ``size`` taken.
-    """
+    """The sample's most frequent pre-tokens with their token lengths, at most ``size``: one small task."""
     def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
         for batch in batches:
             for text in texts_of(batch):
                 seen.update(pre_tokens(text))
-                if len(seen) > TASK_COUNTER:
-                    seen = Counter(dict(seen.most_common(TASK_COUNTER // 2)))
-        top = [x for x in seen.most_common(TASK_SUMMARY) if x[1] > 1]
-        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in top], pa.string()),
-                                          pa.array([n for _, n in top], pa.int64())], names=["piece", "n"])
-
-    top = (in_arrow(docs.select("text"), summary, "piece string, n long")
-           .groupBy("piece").agg(F.sum("n").alias("n"))
-           .orderBy(F.col("n").desc(), "piece").limit(size))
-    pieces = [r["piece"] for r in top.collect()]
+        top = [p for p, n in seen.most_common(size) if n > 1]
+        yield pa.RecordBatch.from_arrays([pa.array(top, pa.string())], names=["piece"])
+
+    some = docs.limit(SAMPLE_ROWS).select(F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    pieces = [r["piece"] for r in in_arrow(some.coalesce(1), summary, "piece string").collect()]
     return dict(zip(pieces, PieceCounter.at(model_path).lengths(pieces))) if pieces else {}
 
 

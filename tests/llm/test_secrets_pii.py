@@ -40,6 +40,27 @@ def test_secret_spans(spark):
     assert rows[14]["n_assign"] == 1 and rows[14]["n_example"] == 1
 
 
+def test_wide_candidates(spark):
+    """Two owners look live, three make an example; base-64 keys are one run; runs that base spans touch are left out."""
+    two, b64 = "Ab3" * 8, "aB3+/x9Qz0==TyU7+/kLmN8w"
+    texts = [f"x {two}", f"y {two}", f"key {b64}.", f"password={two}Q", f"{two}password=abcdefghijklmnop{two}", "Ab3/" * 5]
+    rows = {r["doc_id"]: r for r in secrets.scan(make_docs(spark, texts, sources=["o1", "o2", "o1", "o3", "o4", "o1"])).collect()}
+    assert rows[0]["spans"] == f"owned:2:{2 + len(two)}" and rows[0]["n_live"] == 1 and rows[0]["n_example"] == 0
+    assert rows[2]["spans"] == f"owned:4:{4 + len(b64)}"
+    assert "owned" not in rows[3]["spans"] and rows[4]["spans"] == base_spans(texts[4])
+    assert rows[5]["spans"] == "owned:0:20"
+
+
+def test_many_matches_in_one_text(spark):
+    """Work grows with the number of matches: 200,000 in one text."""
+    import time
+    text = " ".join(hashlib.md5(str(i).encode()).hexdigest() for i in range(200_000))
+    began = time.time()
+    r = secrets.scan(make_docs(spark, [text])).first()
+    assert r["n_hex"] == 200_000 and r["base_sha256"] == hashlib.sha256(base_spans(text).encode()).hexdigest()
+    assert time.time() - began < 120
+
+
 def test_secrets_of_nothing_and_repeats(spark):
     docs = make_docs(spark, ["password=abcdefghijkl"] * 2 + [None], ids=[1, 1, None])
     assert secrets.scan(docs.limit(0)).collect() == []
