@@ -2,9 +2,10 @@
 P1, P2, P6, P7).
 
 ``fit_features`` computes small fitted tables and scalars -- per-merchant
-encodings and per-state rates stay DataFrames; medians, means, deviations,
-modes and the category lists are a few values each. ``transform`` is then
-one projection of column expressions plus lookup joins: no Python UDF.
+encodings, per-state rates and the levels of the text columns stay DataFrames;
+medians, means, deviations and modes are a few values each. ``transform`` is then
+column expressions plus lookup joins: no Python UDF. A row's features are one sparse
+vector: a level takes no column, and no list of levels reaches the driver.
 """
 
 from __future__ import annotations
@@ -12,8 +13,10 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field, fields
 
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cardsight.constants import HIGH_CARD_COLS, SAMPLER_DROP_COLS, TE_MIN_SAMPLES_LEAF, TE_SMOOTHING
 from cardsight.functions import dates
@@ -83,6 +86,22 @@ def label_codes(df: DataFrame, column: str, code: str | None = None) -> DataFram
         column, (F.col("_rn") - 1).cast("int").alias(code))
 
 
+def codes_of(df: DataFrame, columns: list[str]) -> DataFrame:
+    """X15 for several columns at once: column, value, code. One grouped pass over (column, value) pairs and one
+    numbering of them, segmented by column; nulls have no code."""
+    counts = level_counts(df, columns)
+    return level_codes(counts.select("column", "value"), columns)[0]
+
+
+def encode_columns(df: DataFrame, codes: DataFrame, columns: list[str]) -> DataFrame:
+    """X15 applied: each column replaced by its code."""
+    out = df
+    for c in columns:
+        mine = codes.filter(F.col("column") == c).select(F.col("value").alias(c), F.col("code").alias(f"_code_{c}"))
+        out = join_lookup(out, mine, c).drop(c).withColumnRenamed(f"_code_{c}", c)
+    return out.select(*df.columns)
+
+
 def encode(df: DataFrame, codes: DataFrame, column: str, code: str | None = None) -> DataFrame:
     code = code or f"{column}_code"
     return join_lookup(df, codes, column)
@@ -96,37 +115,22 @@ def decode(df: DataFrame, codes: DataFrame, column: str, code: str | None = None
 
 # ---------------------------------------------------------------- statistics
 
-def exact_medians(df: DataFrame, columns: list[str], counts: dict[str, int] | None = None,
-                  interactions: dict[str, str] | None = None) -> dict[str, float | None]:
+def exact_medians(df: DataFrame, columns: list[str], counts: dict[str, int] | None = None) -> dict[str, float | None]:
     """Exact medians of several columns without sorting every value.
 
     (feature, value) pairs are counted first (partial aggregation collapses
     repeated values), then a range-partitioned running sum over the distinct
     values gives each value's rank interval, and the one or two values that
     cover the middle ranks are averaged. Only ``2 x len(columns)`` values reach
-    the driver. ``counts`` (non-null values per column) saves a pass when known.
-    ``interactions``: feature -> category of the amount-by-category columns. A
-    row holds a value for one of them and zeros for the others, so one pair per row is
-    emitted, and the zeros are added from the counts."""
-    interactions = {f: v for f, v in (interactions or {}).items() if f in columns}
-    plain = [c for c in columns if c not in interactions]
+    the driver. ``counts`` (non-null values per column) saves a pass when known."""
+    if not columns:
+        return {}
     if counts is None:
         row = df.agg(*[F.count(c).alias(c) for c in columns]).first()
         counts = {c: int(row[c]) for c in columns}
-    pairs = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in plain]
-    if interactions:
-        prefix = next(iter(interactions)).removesuffix(interactions[next(iter(interactions))])
-        pairs.append(F.struct(F.concat(F.lit(prefix), F.col("_category")).alias("feature"),
-                              F.col("amt_log").cast("double").alias("value")))
-    long = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").filter("feature is not null and value is not null")
+    pairs = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns]
+    long = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").filter("value is not null")
     valued = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c"))
-    if interactions:
-        valued = valued.filter(F.col("feature").isin(list(columns)))
-        shown = {r["feature"]: r["n"] for r in valued.filter(F.col("feature").startswith(prefix))
-                 .groupBy("feature").agg(F.sum("c").alias("n")).collect()}
-        zeros = [(f, 0.0, counts[f] - shown.get(f, 0)) for f in interactions if counts[f] > shown.get(f, 0)]
-        valued = (valued.unionByName(df.sparkSession.createDataFrame(zeros, "feature string, value double, c long"))
-                  .groupBy("feature", "value").agg(F.sum("c").alias("c")))
     # Where each feature's ranks start in (feature, value) order: one
     # number per feature, computed here from the counts.
     start, acc = {}, 0
@@ -152,51 +156,97 @@ def approx_medians(df: DataFrame, columns: list[str], accuracy: int = 10000) ->
     return {c: row[c] for c in columns}
 
 
-def value_counts(df: DataFrame, columns: list[str]) -> dict[str, tuple]:
-    """(mode, sorted levels) of category columns from one grouped count over the
-    unpivoted columns. As many levels come back as the one-hot columns need."""
-    if not columns:
-        return {}
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in columns
-    ])).alias("p")).select("p.*").filter(F.col("value").isNotNull())
-    rows = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")).collect()
-    out = {}
-    for c in columns:
-        mine = [(r["value"], r["n"]) for r in rows if r["feature"] == c]
-        mode = min(mine, key=lambda t: (-t[1], t[0]))[0] if mine else None
-        out[c] = (mode, sorted(v for v, _ in mine))
-    return out
+def level_counts(df: DataFrame, columns: list[str], amount: str | None = None) -> DataFrame:
+    """column, value, n and, over the rows' ``amount``, n_amount, mean_amount, var_amount: one grouped pass over
+    the unpivoted text columns."""
+    x = F.col(amount).cast("double") if amount else F.lit(None).cast("double")
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
+    long = df.select(F.explode(pairs).alias("p"), x.alias("x")).filter("p.value is not null")
+    return long.groupBy("p.column", "p.value").agg(
+        F.count(F.lit(1)).alias("n"), F.count("x").alias("n_amount"), F.avg("x").alias("mean_amount"),
+        F.var_pop("x").alias("var_amount"))
+
+
+def level_codes(counts: DataFrame, columns: list[str]) -> tuple[DataFrame, dict[str, int]]:
+    """(``counts`` with each level's code, from 0 in sorted order within its column; the number of levels of each column)."""
+    numbered = global_row_number(counts, ["column", "value"], name="_rn")
+    seen = {r["column"]: (r["first"], r["size"]) for r in numbered.groupBy("column").agg(
+        F.min("_rn").alias("first"), F.count(F.lit(1)).alias("size")).collect()}
+    first = F.lit(None).cast("bigint")
+    for c, (at, _) in seen.items():
+        first = F.when(F.col("column") == c, F.lit(at)).otherwise(first)
+    return (numbered.withColumn("code", (F.col("_rn") - first).cast("int")).drop("_rn"),
+            {c: seen[c][1] if c in seen else 0 for c in columns})
+
+
+def level_modes(counts: DataFrame) -> dict[str, str]:
+    """The most frequent level of each column (ties: the smallest)."""
+    best = F.min(F.struct((-F.col("n")).alias("k"), F.col("value").alias("v")))
+    return {r["column"]: r["best"]["v"] for r in counts.groupBy("column").agg(best.alias("best")).collect()}
 
 
 # ---------------------------------------------------------------- fitted model (M1)
 
 @dataclass
 class FeatureModel:
+    """What M1 fits. ``levels`` has a row per level of a text column: column, value, code and,
+    for the column that is crossed with the amount, the mean, deviation and median of
+    that interaction. ``heavy`` are the (at most two) levels whose interaction's median is not 0."""
+
     te_table: DataFrame
     prior: float
-    state_rates: DataFrame
+    state_rates: DataFrame | None
     global_rate: float
-    interaction_categories: list[str]
     num_cols: list[str]
     cat_cols: list[str]
     medians: dict[str, float]
     means: dict[str, float]
     stds: dict[str, float]
     cat_modes: dict[str, str]
-    cat_levels: dict[str, list[str]]
+    levels: DataFrame
+    sizes: dict[str, int]
+    crossed: str | None = None
+    heavy: list[tuple[int, float, float]] = field(default_factory=list)
     votes: dict = field(default_factory=dict)
     engineered: DataFrame | None = None
 
     @property
-    def feature_names(self) -> list[str]:
-        names = [f"num__{c}" for c in self.num_cols]
+    def offsets(self) -> dict[str, int]:
+        """Where each block of the vector starts: plain numbers at 0, then the interactions, each text column, state risk."""
+        at = len(self.num_cols)
+        out = {"amount": at}
+        at += self.sizes[self.crossed] if self.crossed else 0
         for c in self.cat_cols:
-            names += [f"cat__{c}_{v}" for v in self.cat_levels[c]]
-        return names
+            out[c] = at
+            at += self.sizes[c]
+        return out | {"state_risk": at}
 
+    @property
+    def size(self) -> int:
+        return self.offsets["state_risk"] + (self.state_rates is not None)
 
-def _feature_list(columns: list[str], ts: str, categories: list[str], drop_cols) -> dict[str, Column]:
+    @property
+    def feature_names(self) -> DataFrame:
+        """idx, feature, base: the vector's places with their names and the value that a place left out stands for
+        (not 0 for a scaled interaction)."""
+        at, spark = self.offsets, self.levels.sparkSession
+        plain = [(i, f"num__{c}", 0.0) for i, c in enumerate(self.num_cols)]
+        if self.state_rates is not None:
+            plain.append((at["state_risk"], "state_risk", 0.0))
+        out = spark.createDataFrame(plain, "idx int, feature string, base double")
+        for c in self.cat_cols:
+            out = out.unionByName(self.levels.filter(F.col("column") == c).select(
+                (F.col("code") + at[c]).cast("int").alias("idx"), F.concat(F.lit(f"cat__{c}_"), "value").alias("feature"),
+                F.lit(0.0).alias("base")))
+        if self.crossed:
+            out = out.unionByName(self.levels.filter(F.col("column") == self.crossed).select(
+                (F.col("code") + at["amount"]).cast("int").alias("idx"),
+                F.concat(F.lit(f"num__amt_x_{self.crossed}_"), "value").alias("feature"),
+                (-F.col("mean") / _divisor("std")).alias("base")))
+        return out
+
+
+def _feature_list(columns: list[str], ts: str, drop_cols) -> dict[str, Column]:
     """What the engineered frame holds, in order: the passed columns that are
     neither identifying nor used up, then the derived ones whose inputs exist."""
     has = set(columns)
@@ -211,27 +261,22 @@ def _feature_list(columns: list[str], ts: str, categories: list[str], drop_cols)
     if with_place:
         out["amt_log"] = F.log1p("amt")
         out["distance"] = F.sqrt(F.pow(F.col("merch_lat") - F.col("lat"), 2) + F.pow(F.col("merch_long") - F.col("long"), 2))
-        if "category" in has:
-            out |= {f"amt_x_category_{v}": F.log1p("amt") * F.when(F.col("category") == v, 1.0).otherwise(0.0)
-                    for v in categories}
     return out
 
 
-def engineered(df: DataFrame, te_table: DataFrame, prior: float, interaction_categories: list[str],
+def engineered(df: DataFrame, te_table: DataFrame, prior: float,
                parse: bool = True, mode: str = "column", drop_cols=HIGH_CARD_COLS,
                keep: tuple[str, ...] = ("trans_num", "state"), votes: dict | None = None) -> DataFrame:
     """The hand-made part of M1 before imputation/scaling, as one projection
     (see ``_feature_list``) over the rows whose times parse (A17, X2, X3, F10):
     age and time parts (X5, X6), merchant encoding (J2), log amount and distance
-    (X9, X10), amount x category (X12, X13), identifying columns left out (P1).
-    ``keep`` columns travel along as keys, not features."""
+    (X9, X10), identifying columns left out (P1). The interaction of amount and category
+    (X13) follows from these two. ``keep`` columns travel along as keys, not features."""
     out = dates.parse_times(df, mode=mode, votes=votes) if parse else df
     ts = "trans_date_trans_time" if "trans_date_trans_time" in out.columns else "trans_ts"
     out = require_parsed(out, [ts, "dob"], check_empty=False)
-    features = _feature_list(out.columns, ts, interaction_categories, drop_cols)
+    features = _feature_list(out.columns, ts, drop_cols)
     keys = {f"_key_{k}": F.col(k) for k in keep if k in out.columns}
-    if "category" in out.columns:
-        keys["_category"] = F.col("category")
     if "merchant" in out.columns:
         out = apply_target_encoder(out, te_table, prior, out="_merchant_te")
     return out.select(*[c.alias(name) for name, c in (features | keys).items()])
@@ -257,10 +302,9 @@ def fit_features(raw: DataFrame, parse: bool = True, mode: str = "column", exact
 
     Passes over the raw feed: one aggregation for the format votes and the
     prior; one that parses the times and writes the rows. From there one grouped
-    pass for all lookups (merchant encoder statistics, state rates, category
-    levels) and one to build the engineered frame, which is then checkpointed
-    (``keep_engineered``) or persisted for one statistics pass, the exact
-    medians and one grouped count for modes and levels."""
+    pass for the lookups (merchant encoder statistics, state rates) and one to build the
+    engineered frame, which is then checkpointed (``keep_engineered``) or persisted
+    for one statistics pass, the exact medians and one grouped count of all levels."""
     from pyspark import StorageLevel
     from cardsight.session import checkpoint_dir
     checkpoint_dir(raw.sparkSession)
@@ -272,18 +316,13 @@ def fit_features(raw: DataFrame, parse: bool = True, mode: str = "column", exact
     # Parsed once; the lookups and the engineered frame both read this table.
     if parse:
         raw = dates.parse_times(raw, mode=mode, votes=votes or None).checkpoint(eager=True)
-    ts = "trans_date_trans_time" if "trans_date_trans_time" in raw.columns else "trans_ts"
-    has_times = F.col(ts).isNotNull() & F.col("dob").isNotNull()
-    # Merchant encoder statistics, state rates and category levels come from one grouped pass over
-    # (lookup, key) pairs; the levels are those of the rows with times.
-    keyed = [k for k in ("merchant", "state", "category") if k in raw.columns]
+    # Merchant encoder statistics and state rates come from one grouped pass over (lookup, key) pairs.
+    keyed = [k for k in ("merchant", "state") if k in raw.columns]
     lookups = None
     if keyed:
-        pairs = raw.select(F.col(LABEL), has_times.alias("ok"), F.explode(F.array(*[
-            F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("key")) for k in keyed])).alias("p")) \
-            .select("p.kind", "p.key", LABEL, "ok")
-        lookups = (pairs.groupBy("kind", "key")
-                   .agg(F.count(F.lit(1)).alias("n"), F.avg(LABEL).alias("mean"), F.count_if("ok").alias("n_ok"))
+        pairs = raw.select(F.col(LABEL), F.explode(F.array(*[
+            F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("key")) for k in keyed])).alias("p"))
+        lookups = (pairs.groupBy("p.kind", "p.key").agg(F.count(F.lit(1)).alias("n"), F.avg(LABEL).alias("mean"))
                    .checkpoint(eager=True))
 
     def _lookup(kind: str) -> DataFrame:
@@ -296,12 +335,7 @@ def fit_features(raw: DataFrame, parse: bool = True, mode: str = "column", exact
     else:
         te_table, _ = fit_target_encoder(raw, prior=prior)
     state_rates = _lookup("state").select("state", F.col("mean").alias("state_rate")) if "state" in keyed else None
-    if "category" in keyed:
-        cat_rows = _lookup("category").filter("n_ok > 0").select("category").collect()
-        cats = sorted(r["category"] for r in cat_rows)
-    else:
-        cats = []
-    eng = engineered(raw, te_table, prior, cats, parse=False)
+    eng = engineered(raw, te_table, prior, parse=False)
     if keep_engineered:
         # Written once: the statistics below and ``fit_transform`` read it.
         eng = eng.checkpoint(eager=True)
@@ -315,8 +349,18 @@ def fit_features(raw: DataFrame, parse: bool = True, mode: str = "column", exact
         if not row["_n"]:
             raise ValueError("no row of the feed has both times: nothing to fit")
         counts = {c: int(row[f"n_{c}"]) for c in num_cols}
-        medians = exact_medians(eng, num_cols, counts, {f"amt_x_category_{v}": v for v in cats}) \
-            if exact else approx_medians(eng, num_cols)
+        crossed = "category" if "category" in cat_cols and "amt_log" in num_cols else None
+        found = level_counts(eng, cat_cols, "amt_log" if crossed else None).checkpoint(eager=True)
+        levels, sizes = level_codes(found, cat_cols)
+        heavy = _heavy_levels(found, crossed, counts["amt_log"]) if crossed else []
+        # The interactions of heavy levels need their medians taken; all others' are 0.
+        named = {f"_heavy_{i}": F.col("amt_log") * F.when(F.col(crossed) == v, 1.0).otherwise(0.0)
+                 for i, v in enumerate(heavy)}
+        wide = eng.withColumns(named) if named else eng
+        medians = exact_medians(wide, [*num_cols, *named], counts | dict.fromkeys(named, counts.get("amt_log", 0))) \
+            if exact else approx_medians(wide, [*num_cols, *named])
+        at_heavy = {v: medians.pop(f"_heavy_{i}") or 0.0 for i, v in enumerate(heavy)}
+        levels = _interaction_stats(levels, crossed, row["_n"], counts.get("amt_log", 0), at_heavy).checkpoint(eager=True)
         means = {c: row[f"m_{c}"] for c in num_cols}
         stds = {c: row[f"s_{c}"] for c in num_cols}
         with_nulls = [c for c in num_cols if counts[c] < row["_n"]]
@@ -327,28 +371,58 @@ def fit_features(raw: DataFrame, parse: bool = True, mode: str = "column", exact
                              *[F.stddev_pop(c).alias(f"s_{c}") for c in with_nulls]).first()
             means.update({c: r2[f"m_{c}"] for c in with_nulls})
             stds.update({c: r2[f"s_{c}"] for c in with_nulls})
-        vc = value_counts(eng, cat_cols)
-        cat_modes = {c: vc[c][0] for c in cat_cols}
-        levels = {c: vc[c][1] for c in cat_cols}
+        modes = level_modes(found) if cat_cols else {}
     finally:
         if not keep_engineered:
             eng.unpersist()
-    model = FeatureModel(te_table, prior, state_rates, prior, cats, num_cols, cat_cols,
-                         medians, means, stds, cat_modes, levels, votes=votes)
+    model = FeatureModel(te_table, prior, state_rates, prior, num_cols, cat_cols, medians, means, stds,
+                         {c: modes.get(c) for c in cat_cols}, levels, sizes, crossed, votes=votes)
+    if heavy:
+        model.heavy = [(r["code"], r["median"], r["std"] or 1.0) for r in levels.filter(
+            (F.col("column") == crossed) & F.col("value").isin(heavy)).orderBy("code").collect()]
     if keep_engineered:
         model.engineered = eng
     return model
 
 
+def _heavy_levels(found: DataFrame, crossed: str, n_amounts: int) -> list[str]:
+    """The levels that half or more of the rows with an amount have (two at most): elsewhere zeros hold the median."""
+    rows = found.filter((F.col("column") == crossed) & (F.col("n_amount") * 2 >= n_amounts) & (F.col("n_amount") > 0))
+    return sorted(r["value"] for r in rows.select("value").collect())
+
+
+def _interaction_stats(levels: DataFrame, crossed: str | None, n: int, n_amounts: int, medians: dict[str, float]) -> DataFrame:
+    """``levels`` with median, mean and deviation of each level's amount interaction over all rows: the
+    level's amounts, zeros elsewhere, the median where the amount is missing."""
+    if not crossed:
+        return levels.select("column", "value", "code", *[F.lit(None).cast("double").alias(c) for c in ("median", "mean", "std")])
+    med = F.lit(0.0)
+    for v, m in medians.items():
+        med = F.when((F.col("column") == crossed) & (F.col("value") == v), F.lit(float(m))).otherwise(med)
+    own, missing = F.col("n_amount"), F.lit(float(n - n_amounts))
+    mean_in, var_in = (F.coalesce(c, F.lit(0.0)) for c in ("mean_amount", "var_amount"))
+    mean = (own * mean_in + missing * F.col("median")) / F.lit(float(n))
+    spread = (own * (var_in + F.pow(mean_in - F.col("mean"), 2)) + (F.lit(float(n_amounts)) - own) * F.pow("mean", F.lit(2))
+              + missing * F.pow(F.col("median") - F.col("mean"), 2)) / F.lit(float(n))
+    return (levels.withColumn("median", med).withColumn("mean", mean).withColumn("std", F.sqrt(spread))
+            .select("column", "value", "code", "median", "mean", "std"))
+
+
+def _divisor(std: str) -> Column:
+    """X11: a deviation of 0 divides by 1."""
+    return F.when(F.col(std) > 0, F.col(std)).otherwise(1.0)
+
+
 def save_features(model: FeatureModel, path: str) -> None:
     """The fitted model under ``path``: its two lookups as Parquet, its
     values (a few per column) as one row of JSON."""
     spark = model.te_table.sparkSession
     model.te_table.write.mode("overwrite").parquet(f"{path}/merchant_te")
+    model.levels.write.mode("overwrite").parquet(f"{path}/levels")
     if model.state_rates is not None:
         model.state_rates.write.mode("overwrite").parquet(f"{path}/state_rates")
     values = {f.name: getattr(model, f.name) for f in fields(model)
-              if f.name not in ("te_table", "state_rates", "votes", "engineered")}
+              if f.name not in ("te_table", "state_rates", "levels", "votes", "engineered")}
     values["has_state_rates"] = model.state_rates is not None
     values["votes"] = {c: asdict(v) for c, v in model.votes.items()}
     spark.createDataFrame([(json.dumps(values),)], "value string").write.mode("overwrite").text(f"{path}/values")
@@ -359,7 +433,8 @@ def load_features(spark: SparkSession, path: str) -> FeatureModel:
     values = json.loads(spark.read.text(f"{path}/values").first()[0])
     rates = spark.read.parquet(f"{path}/state_rates") if values.pop("has_state_rates") else None
     votes = {c: dates.FormatVote(**v) for c, v in values.pop("votes").items()}
-    return FeatureModel(te_table=spark.read.parquet(f"{path}/merchant_te"), state_rates=rates, votes=votes, **values)
+    return FeatureModel(te_table=spark.read.parquet(f"{path}/merchant_te"), state_rates=rates,
+                        levels=spark.read.parquet(f"{path}/levels"), votes=votes, **values)
 
 
 def scale(col: str, model: FeatureModel) -> Column:
@@ -375,51 +450,129 @@ def scale(col: str, model: FeatureModel) -> Column:
     return (x - F.lit(mean)) / F.lit(std)
 
 
-def one_hot(col: str, levels: list[str], fill: str | None, prefix: str = "cat__") -> list[Column]:
-    """One 0/1 column per known level; unknown values give all zeros."""
-    v = F.col(col)
-    if fill is not None:
-        v = F.coalesce(v, F.lit(fill))
-    return [F.when(v == lv, 1.0).otherwise(0.0).alias(f"{prefix}{col}_{lv}") for lv in levels]
-
-
 def transform(df: DataFrame, model: FeatureModel, parse: bool = True, mode: str = "column",
-              with_label: bool = True, state_risk: bool = True, reuse_votes: bool = False,
-              carry: tuple[str, ...] = ()) -> DataFrame:
-    """M1 (+ J1, P2): raw rows -> named feature columns ``num__*`` and
-    ``cat__*``; ``trans_num`` and ``state`` kept as keys, the label kept when
-    present. Columns the model expects but the input lacks are added as
-    null and imputed; unexpected columns are dropped, but for those to ``carry``. Formats are voted on
-    the frame being transformed unless ``reuse_votes`` (same feed as the
-    fit)."""
+              with_label: bool = True, reuse_votes: bool = False, carry: tuple[str, ...] = (),
+              parts: bool = False) -> DataFrame:
+    """M1 (+ J1, P2): raw rows -> ``features``, a sparse vector whose places ``model.feature_names``
+    names; ``trans_num`` and ``state`` kept as keys, the label kept when present.
+    Columns the model expects but the input lacks are added as null and imputed;
+    unexpected columns are dropped, but for those to ``carry``. Formats are voted on
+    the frame being transformed unless ``reuse_votes`` (same feed as the fit).
+    With ``parts`` also what the vector is made of (see ``finish``)."""
     votes = (model.votes or None) if reuse_votes else None
-    eng = engineered(df, model.te_table, model.prior, model.interaction_categories, parse=parse, mode=mode,
-                     votes=votes, keep=("trans_num", "state", *carry))
-    return finish(eng, model, with_label, state_risk)
+    eng = engineered(df, model.te_table, model.prior, parse=parse, mode=mode, votes=votes,
+                     keep=("trans_num", "state", *carry))
+    return finish(eng, model, with_label, parts)
 
 
-def finish(eng: DataFrame, model: FeatureModel, with_label: bool = True, state_risk: bool = True) -> DataFrame:
-    """Imputation, scaling, one-hot columns and the state risk on an
-    engineered frame."""
+def finish(eng: DataFrame, model: FeatureModel, with_label: bool = True, parts: bool = False) -> DataFrame:
+    """Imputation, scaling, level codes, interactions and the state risk on an
+    engineered frame, put together as the vector ``features``.
+
+    X12: a level's code (joined by key; unknown levels have none) is the place of its 1.
+    X13: a row's interaction with its own level is the only one that is not at its
+    base value; the vector holds the difference from that base, ``amt_log`` over the
+    deviation. ``parts``: also the columns ``num__*`` (scaled), ``code__*``, ``crossed``
+    ((place, difference) pairs) and ``state_risk``."""
     eng = eng.withColumns({c: F.lit(None).cast("double" if c in model.num_cols else "string")
                            for c in model.num_cols + model.cat_cols if c not in eng.columns})
-    cols = [scale(c, model).alias(f"num__{c}") for c in model.num_cols]
     for c in model.cat_cols:
-        cols += one_hot(c, model.cat_levels[c], model.cat_modes[c])
+        levels = model.levels.filter(F.col("column") == c).select(
+            F.col("value").alias(f"_fill_{c}"), F.col("code").alias(f"code__{c}"),
+            *([_divisor("std").alias("_x_std")] if c == model.crossed else []))
+        eng = join_lookup(eng.withColumn(f"_fill_{c}", F.coalesce(F.col(c), F.lit(model.cat_modes[c]))), levels, f"_fill_{c}")
     keys = [F.col(k).alias(k.removeprefix("_key_")) for k in eng.columns if k.startswith("_key_")]
     label = [F.col(LABEL)] if with_label and LABEL in eng.columns else []
-    out = eng.select(*keys, *cols, *label)
-    if state_risk and model.state_rates is not None and "state" in out.columns:
+    pair = "array<struct<idx:int,value:double>>"
+    crossed = F.array().cast(pair)
+    if model.crossed:
+        own = F.array(F.struct(F.col(f"code__{model.crossed}").alias("idx"), (F.col("amt_log") / F.col("_x_std")).alias("value")))
+        # Without an amount every interaction is at its median: 0 but for the heavy levels.
+        unknown = F.array(*[F.struct(F.lit(code).alias("idx"), F.lit(med / std).alias("value"))
+                            for code, med, std in model.heavy]).cast(pair)
+        known = F.col(model.crossed).isNotNull() & F.col(f"code__{model.crossed}").isNotNull()
+        crossed = F.when(F.col("amt_log").isNull(), unknown).when(known, own.cast(pair)).otherwise(F.array().cast(pair))
+    out = eng.select(*keys, *[scale(c, model).alias(f"num__{c}") for c in model.num_cols],
+                     *[f"code__{c}" for c in model.cat_cols], crossed.alias("crossed"), *label)
+    if model.state_rates is not None and "state" in out.columns:
         out = with_rate(out, model.state_rates, "state", "state_rate", model.global_rate, out="state_risk")
+    out = out.withColumn("features", _vector(model, "state_risk" in out.columns))
+    if not parts:
+        out = out.drop(*[f"num__{c}" for c in model.num_cols], *[f"code__{c}" for c in model.cat_cols], "crossed", "state_risk")
     return out
 
 
+def _vector(model: FeatureModel, with_risk: bool) -> Column:
+    """The sparse vector of a finished row, from (place, value) pairs in ascending order of places."""
+    at = model.offsets
+
+    def place(idx: Column, value: Column) -> Column:
+        return F.struct(idx.cast("int").alias("idx"), value.cast("double").alias("value"))
+
+    pairs = [F.array(*[place(F.lit(i), F.coalesce(F.col(f"num__{c}"), F.lit(float("nan")))) for i, c in enumerate(model.num_cols)]),
+             F.transform("crossed", lambda p: place(p["idx"] + at["amount"], p["value"]))]
+    pairs += [F.when(F.col(f"code__{c}").isNotNull(), F.array(place(F.col(f"code__{c}") + at[c], F.lit(1.0))))
+              .otherwise(F.array().cast("array<struct<idx:int,value:double>>")) for c in model.cat_cols]
+    if with_risk:
+        pairs.append(F.array(place(F.lit(at["state_risk"]), F.col("state_risk"))))
+    flat = F.concat(*pairs)
+    return sparse_vector(F.lit(model.size), F.transform(flat, lambda p: p["idx"]), F.transform(flat, lambda p: p["value"]))
+
+
+def sparse_vector(size: Column, indices: Column, values: Column) -> Column:
+    """A ``VectorUDT`` column of (index, value) pairs, made by Spark's own functions. (A struct cannot be cast to the
+    vector type; the JSON reader takes the type that it is told.)"""
+    parts = F.struct(F.struct(F.lit(0).cast("tinyint").alias("type"), size.cast("int").alias("size"), indices.alias("indices"),
+                              values.alias("values")).alias("v"))
+    return F.from_json(F.to_json(parts), T.StructType([T.StructField("v", VectorUDT())]))["v"]
+
+
+def feature_summary(out: DataFrame, model: FeatureModel) -> DataFrame:
+    """feature, lo, hi, sq (mean square) and n of every feature, from a frame with ``parts``.
+
+    Plain numbers take one aggregation; for levels and interactions the rows that
+    hold them are grouped by code, and all other rows count with the base value."""
+    at = model.offsets
+    plain = [f"num__{c}" for c in model.num_cols] + (["state_risk"] if "state_risk" in out.columns else [])
+    z = {c: F.col(c).cast("double") for c in plain}
+    wide = out.agg(F.count(F.lit(1)).alias("n"), *[F.min(z[c]).alias(f"a{i}") for i, c in enumerate(plain)],
+                   *[F.max(z[c]).alias(f"b{i}") for i, c in enumerate(plain)],
+                   *[F.avg(z[c] * z[c]).alias(f"q{i}") for i, c in enumerate(plain)]).persist()
+    n = wide.first()["n"]
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"a{i}").alias("lo"), F.col(f"b{i}").alias("hi"),
+                               F.col(f"q{i}").alias("sq")) for i, c in enumerate(plain)])
+    res = wide.select(F.explode(cells).alias("p"), "n").select("p.*", "n")
+    one_place = [F.struct((F.col(f"code__{c}") + at[c]).alias("idx"), F.lit(1.0).alias("value")) for c in model.cat_cols]
+    held = out.select(F.explode(F.concat(
+        F.transform("crossed", lambda p: F.struct((p["idx"] + at["amount"]).alias("idx"), p["value"].alias("value"))),
+        F.array(*one_place) if one_place else F.array().cast("array<struct<idx:int,value:double>>"))).alias("p"))
+    sums = (held.select("p.*").filter("idx is not null").groupBy("idx")
+            .agg(F.count(F.lit(1)).alias("k"), F.min("value").alias("lo"), F.max("value").alias("hi"),
+                 F.sum("value").alias("s1"), F.sum(F.col("value") * F.col("value")).alias("s2")))
+    names = model.feature_names.filter((F.col("idx") >= len(model.num_cols)) & (F.col("idx") < at["state_risk"]))
+    b, k = F.col("base"), F.coalesce(F.col("k"), F.lit(0))
+    outside = F.when(k < n, b)
+    level = names.join(sums, "idx", "left").select(
+        "feature", F.least(b + F.col("lo"), outside).alias("lo"), F.greatest(b + F.col("hi"), outside).alias("hi"),
+        (b * b + (F.lit(2.0) * b * F.coalesce("s1", F.lit(0.0)) + F.coalesce("s2", F.lit(0.0))) / F.lit(n)).alias("sq"),
+        F.lit(n).cast("bigint").alias("n"))
+    return res.unionByName(level)
+
+
 def fit_transform(raw: DataFrame, parse: bool = True, mode: str = "column",
-                  exact: bool = True) -> tuple[FeatureModel, DataFrame]:
+                  exact: bool = True, parts: bool = False) -> tuple[FeatureModel, DataFrame]:
     """M1 in training mode: fit, and the training rows' features from the
     same (checkpointed) engineered frame."""
     model = fit_features(raw, parse=parse, mode=mode, exact=exact, keep_engineered=True)
-    return model, finish(model.engineered, model)
+    return model, finish(model.engineered, model, parts=parts)
+
+
+def drop_columns(df: DataFrame, columns, strict: bool = False) -> DataFrame:
+    """Without the given columns. ``strict``: each of them has to be there; else the missing ones are passed over."""
+    missing = [c for c in columns if c not in df.columns]
+    if strict and missing:
+        raise KeyError(f"no such columns: {missing}")
+    return df.drop(*[c for c in columns if c in df.columns])
 
 
 def align(df: DataFrame, expected: list[str], fill_type: str = "double") -> DataFrame:
@@ -433,12 +586,9 @@ def downcast(df: DataFrame, prefix: str = "num__") -> DataFrame:
     return df.select(*[F.col(c).cast("float").alias(c) if c.startswith(prefix) else F.col(c) for c in df.columns])
 
 
-def scaled_hour_interactions(df: DataFrame, levels: list[str], hour: str = "txn_hour",
-                             column: str = "category") -> DataFrame:
-    """X14 (as intended): hour standardised with the sample deviation times
-    each category indicator."""
+def scaled_hour_interaction(df: DataFrame, hour: str = "txn_hour", column: str = "category") -> DataFrame:
+    """X14 (as intended): hour standardised with the sample deviation, as the value that the row has at its own
+    level of ``column`` (``hour_x``); its values at all other levels are 0."""
     stats = df.agg(F.avg(hour).alias("m"), F.stddev_samp(hour).alias("s")).first()
     s = stats["s"] if stats["s"] else 1.0
-    z = (F.col(hour) - F.lit(stats["m"])) / F.lit(s)
-    return df.withColumns({f"hour_x_{column}_{lv}": z * F.when(F.col(column) == lv, 1.0).otherwise(0.0) for lv in levels})
-
+    return df.withColumn(f"hour_x_{column}", (F.col(hour) - F.lit(stats["m"])) / F.lit(s))

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardsight.constants import OVERSAMPLE_RATIO, TUNING_SAMPLE_ROWS, TUNING_SEED, UNDERSAMPLE_RATIO
 from cardsight.operators.rank import global_row_number
 
 LABEL = "is_fraud"
+DRAWS_IN_CHUNK = 100_000  # repeated draws that one row of the plan is expanded to at once
 
 
 def concat(frames: list[DataFrame]) -> DataFrame:
@@ -93,6 +94,69 @@ def rebalance(df: DataFrame, over: float = OVERSAMPLE_RATIO, under: float = UNDE
     return undersample(grown, under, key, seed, label, after)
 
 
+def _plans(df: DataFrame, by: str, over: float, under: float, label: str) -> DataFrame:
+    """Per group: its minority class (small_cls) with m rows, and how many rows of either class U2 and U3 leave."""
+    y = F.col(label)
+    counts = df.groupBy(F.col(by).alias("_g")).agg(F.count_if(y == 1).alias("p"), F.count_if(y == 0).alias("q"))
+    m, big = F.least("p", "q"), F.greatest("p", "q")
+    grown = F.when(m == 0, m).otherwise(F.greatest(F.floor(F.lit(float(over)) * big), m))
+    left = F.when(m == 0, big).otherwise(F.least(big, F.floor(grown / F.lit(float(under)))))
+    return counts.select("_g", F.when(F.col("p") <= F.col("q"), 1).otherwise(0).alias("small_cls"), m.alias("m"),
+                         grown.cast("long").alias("grown"), left.cast("long").alias("kept"), big.alias("big"))
+
+
+def rebalance_by(df: DataFrame, by: str = "state", over: float = OVERSAMPLE_RATIO, under: float = UNDERSAMPLE_RATIO,
+                 key: str = "trans_num", seed: int = TUNING_SEED, label: str = LABEL) -> DataFrame:
+    """U2 then U3 within every group, with ``draw`` (0 for a row itself, from 1 on for repeated draws of it).
+
+    In a group with M and m rows of its classes the minority grows to int(over * M) by
+    draws with replacement, then the majority shrinks to int(that / under); groups with one class
+    stay as they are. A group may hold any share of the rows: draws are made and joined
+    by (group, index), and of the majority only rows near the hash cutoff are ranked."""
+    plans = _plans(df, by, over, under, label).checkpoint(eager=True)
+    rows = df.join(plans, df[by].eqNullSafe(plans["_g"])).withColumn("draw", F.lit(0).cast("long"))
+    small = rows.filter(F.col(label) == F.col("small_cls"))
+    big = rows.filter(F.col(label) != F.col("small_cls"))
+    # Draws: chunks of numbers first, so that no task makes all draws of a large group.
+    chunks = (plans.filter("grown > m").select("_g", "m", (F.col("grown") - F.col("m")).alias("k"))
+              .withColumn("chunk", F.explode(F.expr(f"sequence(0, (k - 1) div {DRAWS_IN_CHUNK})"))))
+    draws = (chunks.repartition("_g", "chunk").withColumn("draw", F.explode(F.expr(
+        f"sequence(chunk * {DRAWS_IN_CHUNK} + 1, least((chunk + 1) * {DRAWS_IN_CHUNK}, k))")))
+        .select(F.col("_g").alias("_dg"), F.pmod(F.xxhash64("_g", "draw", F.lit(seed)), F.col("m")).alias("_i"),
+                F.col("draw").alias("_draw")))
+    order = [F.col(by).asc_nulls_first(), F.xxhash64(key, F.lit(seed)), F.col(key)]
+    numbered = global_row_number(small.filter("grown > m"), order, name="_rn")
+    first = numbered.groupBy(F.col(by).alias("_fg")).agg(F.min("_rn").alias("_first"))
+    indexed = (numbered.join(first, numbered[by].eqNullSafe(first["_fg"]))
+               .withColumn("_i", F.col("_rn") - F.col("_first")).drop("_rn", "_first", "_fg"))
+    extra = (indexed.join(draws, (indexed["_i"] == draws["_i"]) & indexed[by].eqNullSafe(draws["_dg"]))
+             .withColumn("draw", F.col("_draw")))
+    columns = [*df.columns, "draw"]
+    return concat([small.select(*columns), extra.select(*columns),
+                   _first_by_hash(big, by, F.col("kept"), F.col("big"), key, seed).select(*columns)])
+
+
+def _first_by_hash(rows: DataFrame, by: str, keep: Column, size: Column, key: str, seed: int) -> DataFrame:
+    """The first ``keep`` of each group's ``size`` rows in seeded-hash order."""
+    slack = 1.0
+    while True:
+        gap = F.lit(10.0 * slack) * (F.sqrt(keep.cast("double")) + 10.0) / size
+        share = keep / size
+        placed = rows.withColumn("_u", _unit(key, seed, 2)).withColumn("_part", F.when((keep >= size) | (
+            F.col("_u") < share - gap), 0).when(F.col("_u") < share + gap, 1).otherwise(2)).filter("_part < 2")
+        seen = placed.groupBy(F.col(by).alias("_sg")).agg(
+            F.count_if(F.col("_part") == 0).alias("_sure"), F.count(F.lit(1)).alias("_seen"), F.max(keep).alias("_keep"),
+            F.max(size).alias("_size")).checkpoint(eager=True)
+        if not seen.filter("_keep < _size and (_sure > _keep or _seen < _keep)").limit(1).count():
+            break
+        slack *= 4.0  # a vanishing chance: look further around the cutoff
+    near = placed.filter("_part = 1")
+    near = near.join(seen.select("_sg", "_sure"), near[by].eqNullSafe(seen["_sg"])).drop("_sg")
+    w = Window.partitionBy(by).orderBy("_u", key)
+    last = near.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= keep - F.col("_sure"))
+    return placed.filter("_part = 0").unionByName(last.drop("_rn", "_sure"))
+
+
 def _unit(key: str, seed: int, salt: int):
     """A seeded hash of the key mapped monotonically to [0, 1)."""
     return (_hash(key, seed, salt).cast("double") + F.lit(9.223372036854776e18)) / F.lit(1.8446744073709552e19)

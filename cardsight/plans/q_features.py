@@ -283,8 +283,10 @@ def a16_feature_stats(spark, sf_dir):
     feature (imputer and scaler fit)."""
     model = fe.fit_features(_text(spark, sf_dir, 50))
     rows = [(c, model.medians[c], model.means[c], model.stds[c]) for c in model.num_cols]
-    # The fitted statistics are a few values per feature; returned as a table.
-    df = spark.createDataFrame(rows, "feature string, median double, mean double, std double")
+    # The plain features' statistics are a few values per feature; those of the interactions lie in the level table.
+    df = spark.createDataFrame(rows, "feature string, median double, mean double, std double").unionByName(
+        model.levels.filter(F.col("column") == model.crossed).select(
+            F.concat(F.lit(f"amt_x_{model.crossed}_"), "value").alias("feature"), "median", "mean", "std"))
     return df.select("feature", r6(F.col("median")).alias("median"), r6(F.col("mean")).alias("mean"),
                      r6(F.col("std")).alias("std"))
 
@@ -307,19 +309,8 @@ FROM allf GROUP BY feature"""))
 def m01_feature_summary(spark, sf_dir):
     """M1 end to end on a raw feed with text times: fit, transform, then per
     output column min, max, mean square and row count."""
-    raw = _text(spark, sf_dir, 50)
-    _, out = fe.fit_transform(raw)
-    cols = [c for c in out.columns if c.startswith(("num__", "cat__")) or c == "state_risk"]
-    # One wide aggregation over the feature table (three statistics per
-    # column), then the single result row is unpivoted: no per-value explode.
-    aggs = []
-    for i, c in enumerate(cols):
-        z = F.col(c).cast("double")
-        aggs += [F.min(z).alias(f"a{i}"), F.max(z).alias(f"b{i}"), F.avg(z * z).alias(f"q{i}")]
-    wide = out.agg(F.count(F.lit(1)).alias("n"), *aggs)
-    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"a{i}").alias("lo"), F.col(f"b{i}").alias("hi"),
-                               F.col(f"q{i}").alias("sq")) for i, c in enumerate(cols)])
-    long = wide.select("n", F.explode(cells).alias("p")).select("n", "p.*")
+    model, out = fe.fit_transform(_text(spark, sf_dir, 50), parts=True)
+    long = fe.feature_summary(out.drop("features"), model)
     return long.select("feature", r6(F.col("lo")).alias("min_value"), r6(F.col("hi")).alias("max_value"),
                        r6(F.col("sq")).alias("mean_square"), "n")
 
@@ -334,10 +325,9 @@ def x14_hour_category_interaction(spark, sf_dir):
     """X14 as intended: hour standardised with the sample deviation, times
     each category indicator."""
     t = txn(spark, sf_dir).withColumn("txn_hour", F.hour("trans_ts"))
-    levels = fe.value_counts(t, ["category"])["category"][1]
-    out = fe.scaled_hour_interactions(t, levels)
-    cols = [c for c in out.columns if c.startswith("hour_x_category_")]
-    wide = out.agg(*[F.sum(c).alias(f"s_{c}") for c in cols], *[F.max(c).alias(f"m_{c}") for c in cols])
-    long = wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"s_{c}").alias("s"),
-                                                    F.col(f"m_{c}").alias("m")) for c in cols])).alias("p")).select("p.*")
-    return long.select("feature", F.round("s", 4).alias("total"), r6(F.col("m")).alias("max_value"))
+    crossed = fe.scaled_hour_interaction(t).groupBy("category").agg(
+        F.sum("hour_x_category").alias("s"), F.max("hour_x_category").alias("m"), F.count(F.lit(1)).alias("n"))
+    others = F.lit(t.count()) > F.col("n")  # rows of other levels have 0 here
+    return crossed.filter("category is not null").select(
+        F.concat(F.lit("hour_x_category_"), "category").alias("feature"), F.round("s", 4).alias("total"),
+        r6(F.when(others, F.greatest("m", F.lit(0.0))).otherwise(F.col("m"))).alias("max_value"))
