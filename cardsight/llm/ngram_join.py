@@ -46,7 +46,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardsight.llm.common import cut, in_arrow, join_small, shared_table, text_slices
@@ -60,6 +60,8 @@ SMALL_SET = 64            # sets up to this size have all their n-grams counted
 SAMPLE = 1.6              # share of the n-grams counted, in multiples of 1 - t
 SPARSE = 2                # ranges with as many n-grams or fewer are told by the next range as well
 SLICE_BYTES = 1 << 19     # text whose sets are built at once
+HOT_SAMPLE = 64           # one set in so many is looked at for frequent signatures
+HOT_SAMPLED = 32          # sets of the sample that a frequent signature is in, at least
 CLASS_RATIO = 1.5         # sizes of one class of signatures
 
 
@@ -320,13 +322,32 @@ def _tree_links(grouped: DataFrame, t: Fraction) -> DataFrame:
     return in_arrow(dealt, run, "u long, v long")
 
 
+def _groups(sets: DataFrame) -> DataFrame:
+    """(set, grp): the groups that each set is in, by the least set that shares a signature with it.
+
+    Signatures are shuffled once and put in order by a window. Those that a sample of the sets shows to be
+    in more than a thousandth of them are dealt with by themselves: their least sets are counted in each
+    task first and joined back, so no task holds all sets of a frequent signature."""
+    signed = sets.select("set", F.explode("signatures").alias("sig"))
+    least = max(HOT_SAMPLED, sets.count() // (HOT_SAMPLE * 1000))
+    hot = cut(signed.where(F.pmod(F.xxhash64("set"), F.lit(HOT_SAMPLE)) == 0).groupBy("sig").agg(F.count("*").alias("n"))
+              .where(F.col("n") > least).select("sig"))
+    some_hot = hot.limit(1).count() > 0
+    cold = join_small(signed, hot, ["sig"], "left_anti") if some_hot else signed
+    alike = Window.partitionBy("sig")
+    met = cold.select("set", F.min("set").over(alike).alias("grp"), F.max("set").over(alike).alias("last")).where(
+        "grp < last").select("set", "grp")
+    if some_hot:
+        warm = join_small(signed, hot, ["sig"], "left_semi")
+        firsts = cut(warm.groupBy("sig").agg(F.min("set").alias("grp"), F.max("set").alias("last")).where("grp < last"))
+        met = met.unionByName(join_small(warm, firsts.select("sig", "grp"), ["sig"]).select("set", "grp"))
+    return met.distinct()
+
+
 def links(docs: DataFrame, wanted: DataFrame, n: int, t: Fraction) -> DataFrame:
     """Edges (u, v) between sets that generate the classes of linked sets."""
     sets = shared_table(_rebuilt(docs, wanted, n, t))
-    signed = sets.select("set", F.explode("signatures").alias("sig"))
-    meet = cut(signed.groupBy("sig").agg(F.min("set").alias("first"), F.max("set").alias("last"))
-               .where("first < last").select("sig", "first"))
-    groups = cut(signed.join(meet, "sig").groupBy("set", F.col("first").alias("grp")).agg(F.lit(1).alias("one")).drop("one"))
+    groups = cut(_groups(sets))
     sizes = (groups.join(sets.select("set", "size"), "set")
              .groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS),
                                             F.ceil(F.sum("size") / BLOCK_GRAMS)).cast("int").alias("blocks")))

@@ -112,6 +112,8 @@ def test_keep_one_of_ids_with_several_texts(spark):
 def test_large_group_of_near_copies(spark, monkeypatch):
     """Groups of many blocks: near copies of several bases that share a passage give brute force's classes."""
     monkeypatch.setattr(ngram_join, "BLOCK_SETS", 8)
+    monkeypatch.setattr(ngram_join, "HOT_SAMPLE", 2)
+    monkeypatch.setattr(ngram_join, "HOT_SAMPLED", 4)
     rng = random.Random(4)
     passage = [f"p{i}" for i in range(40)]
     texts = []
