@@ -151,9 +151,13 @@ def parse_column(df: DataFrame, column: str, formats=TS_FORMATS, mode: str = "co
         return df.withColumn(target, F.coalesce(*[parse_with(raw, f) for f in formats]))
     if mode != "column":
         raise ValueError(f"unknown mode {mode!r}")
-    vote = vote or vote_format(df, column, formats)
-    expr = parse_feature_time(raw) if vote.fallback else parse_with(raw, vote.chosen)
-    return df.withColumn(target, expr)
+    return df.withColumn(target, parsed_text(column, vote or vote_format(df, column, formats)))
+
+
+def parsed_text(column: str, vote: FormatVote) -> Column:
+    """A text column's time under a vote's format, null where it does not parse."""
+    raw = collapse_ws(column)
+    return parse_feature_time(raw) if vote.fallback else parse_with(raw, vote.chosen)
 
 
 def time_columns(df: DataFrame) -> dict[str, list[str]]:

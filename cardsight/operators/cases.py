@@ -1,8 +1,8 @@
 """Commands on the transaction buckets and the case table (S9, S10, C1-C6,
 J4-J6, W4).
 
-Tables are immutable: every command returns new ``DataFrame``s (to be
-written to a new version path). Commands work in bulk -- one decisions
+Tables are immutable: every command returns new ``DataFrame``s, which
+``sources.versions`` writes and makes current together (``run_decisions``). Commands work in bulk -- one decisions
 table drives all four outputs -- and join on keys; nothing is collected.
 """
 
@@ -10,15 +10,44 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardsight.operators.filters import check_bucket, check_status, normalise_id
 from cardsight.operators.rank import global_row_number
+from cardsight.sources import versions
 
 CASE_FIELDS = ["trans_num", "trans_ts", "amt", "merchant", "category", "state", "is_fraud", "fraud_score"]
 
 
+# Alias -> field name of incoming rows.
+ALIASES = {"txn_id": "trans_num", "card_id": "cc_num", "amount": "amt", "trans_time": "trans_ts"}
+
+
+def to_fields(rows: DataFrame) -> DataFrame:
+    """Alias names to field names; a field that is there under both names keeps its own, filled from the alias."""
+    out = rows
+    for alias, name in ALIASES.items():
+        if alias in out.columns and name in out.columns:
+            out = out.withColumn(name, F.coalesce(F.col(name), F.col(alias))).drop(alias)
+        elif alias in out.columns:
+            out = out.withColumnRenamed(alias, name)
+    return out
+
+
+def to_aliases(rows: DataFrame) -> DataFrame:
+    """Field names to their aliases."""
+    return rows.withColumnsRenamed({name: alias for alias, name in ALIASES.items()})
+
+
+def with_defaults(rows: DataFrame, as_of=None) -> DataFrame:
+    """P5: an absent label is 0; of case rows (``as_of`` given) an absent status is open and an absent time ``as_of``."""
+    kinds = {"is_fraud": "int", **({"status": "string", "created_at": "timestamp_ntz"} if as_of is not None else {})}
+    values = {"is_fraud": F.lit(0), "status": F.lit("open"), "created_at": _ts(as_of) if as_of is not None else None}
+    return rows.withColumns({c: F.coalesce(F.col(c) if c in rows.columns else F.lit(None).cast(kind), values[c]).cast(kind)
+                             for c, kind in kinds.items()})
+
+
 def _ts(value: _dt.datetime | str):
     if isinstance(value, _dt.datetime):
         value = value.strftime("%Y-%m-%d %H:%M:%S")
@@ -51,9 +80,11 @@ def open_cases(fraud_rows: DataFrame, as_of, start_after: int = 0) -> DataFrame:
 def ingest(batch: DataFrame, tables: dict[str, DataFrame], cases: DataFrame, as_of,
            bucket: str = "all") -> tuple[dict[str, DataFrame], DataFrame]:
     """Every row goes to ``all`` and ``new`` whatever ``bucket`` says,
-    fraud-labelled rows also to ``fraud``, and each of those opens a case. Tables
-    with a ``record_id`` number their new rows on from their own greatest one."""
+    fraud-labelled rows also to ``fraud``, and each of those opens a case. Rows may come under
+    alias names (P4) and without a label (P5). Tables with a ``record_id`` number their
+    new rows on from their own greatest one."""
     check_bucket(bucket)
+    batch = with_defaults(to_fields(batch))
     fraud = batch.filter(F.col("is_fraud") == 1)
     rows = {"all": batch, "new": batch, "fraud": fraud}
     out = {name: table.unionByName(with_record_ids(rows[name], table).select(*table.columns))
@@ -145,6 +176,16 @@ def apply_decisions(tables: dict[str, DataFrame], cases: DataFrame, decisions: D
     }
 
 
+def run_decisions(spark: SparkSession, root: str, decisions: DataFrame) -> DataFrame:
+    """C2 on stored tables: ``apply_decisions`` to the current version of all, new, fraud and cases under ``root``;
+    the four outputs are published as one new version. Returns the decisions with no case."""
+    now = versions.current(spark, root)
+    out = apply_decisions({k: now[k] for k in ("all", "new", "fraud")}, now["cases"], decisions)
+    unmatched = out.pop("unmatched").checkpoint(eager=True)
+    versions.publish(spark, root, out)
+    return unmatched
+
+
 def set_case_status(cases: DataFrame, txn_ids: DataFrame, status: str) -> tuple[DataFrame, DataFrame]:
     """Set ``status`` on every case holding one of the ids in
     ``txn_ids(txn_id)``; returns (new cases, ids with no case)."""

@@ -234,6 +234,41 @@ def x15_state_codes(spark, sf_dir):
     return fe.label_codes(txn(spark, sf_dir), "state")
 
 
+# The coded columns; the view's street is null, and a null has no code.
+CODED = ["merchant", "category", "gender", "job", "city", "state", "street"]
+CODES_SQL = """
+, v AS (SELECT * FROM (""" + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", {c if c != 'street' else 'CAST(NULL AS VARCHAR)'} AS value FROM txn" for c in CODED) + """)
+        WHERE value IS NOT NULL),
+codes AS (SELECT "column", value, CAST(row_number() OVER (PARTITION BY "column" ORDER BY value) - 1 AS INT) AS code
+          FROM (SELECT DISTINCT "column", value FROM v))"""
+
+
+def _with_street(spark, sf_dir):
+    t = txn(spark, sf_dir)
+    return t if "street" in t.columns else t.withColumn("street", F.lit(None).cast("string"))
+
+
+@register("x15_codes", with_txn(CODES_SQL + 'SELECT "column", value, code FROM codes'))
+def x15_codes(spark, sf_dir):
+    """Label codes of all seven columns from one grouped pass and one segmented numbering."""
+    return fe.codes_of(_with_street(spark, sf_dir), CODED)
+
+
+@register("x15_encoded_csv", with_txn(CODES_SQL + """
+SELECT v."column", count(*) AS n, CAST(sum(code) AS BIGINT) AS code_sum FROM v JOIN codes ON codes."column" = v."column"
+  AND codes.value = v.value GROUP BY 1"""))
+def x15_encoded_csv(spark, sf_dir):
+    """The table with its seven columns coded, written as CSV and read back; per column, codes and their sum."""
+    t = _with_street(spark, sf_dir).select("trans_num", *CODED)
+    coded = fe.encode_columns(t, fe.codes_of(t, CODED), CODED)
+    path = files.write_csv(coded, files.scratch_path(spark, "coded"))
+    back = files.read_csv(spark, path, coded.schema)
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("code")) for c in CODED])
+    return (back.select(F.explode(pairs).alias("p")).select("p.*").filter("code is not null").groupBy("column")
+            .agg(F.count(F.lit(1)).alias("n"), F.sum("code").cast("bigint").alias("code_sum")))
+
+
 @register("x16_code_round_trip", with_txn("""
 SELECT state, count(*) AS n FROM txn GROUP BY state"""))
 def x16_code_round_trip(spark, sf_dir):

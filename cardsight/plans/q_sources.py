@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cardsight.constants import DECISION_THRESHOLD, HIGH_CARD_COLS
 from cardsight.functions import display
+from cardsight.operators import cases as cmd
 from cardsight.operators import features as fe
 from cardsight.operators import filters as flt
 from cardsight.plans.catalog import register
@@ -101,26 +102,39 @@ def s08_lookup_round_trip(spark, sf_dir):
 
 # ---------------------------------------------------------------- T1
 
+STREAM_FIELDS = ["trans_num", "merchant", "category", "amt", "state", "trans_date_trans_time", "dob"]
+
+
 @register("t01_stream_scoring", with_txn("""
-, held AS (SELECT * FROM txn WHERE trans_ts >= TIMESTAMP '2000-01-01 00:00:00'
-           AND CAST(split_part(trans_num, '-', 1) AS BIGINT) % 50 <> 0)
-SELECT 'all' AS what, count(*) AS n FROM held
+, feed AS (SELECT *, CAST(split_part(trans_num, '-', 1) AS BIGINT) % 50 = 0 AS bad_time,
+             coalesce(merchant, '') = '' OR coalesce(category, '') = '' OR coalesce(amt, 0) = 0 OR cc_num % 23 = 0 OR state IS NULL
+               OR state = '' AS hollow
+           FROM txn WHERE trans_ts >= TIMESTAMP '2000-01-01 00:00:00'),
+held AS (SELECT * FROM feed WHERE NOT bad_time AND NOT hollow)
+SELECT 'arrived' AS what, count(*) AS n FROM feed
+UNION ALL SELECT 'all', count(*) FROM held
 UNION ALL SELECT 'new', count(*) FROM held
+UNION ALL SELECT 'rejected: incomplete', count(*) FROM feed WHERE hollow
+UNION ALL SELECT 'rejected: time', count(*) FROM feed WHERE bad_time AND NOT hollow
 UNION ALL SELECT 'fraud_without_case', 0
 UNION ALL SELECT 'case_without_fraud', 0
-UNION ALL SELECT 'repeated_case_ids', 0
+UNION ALL SELECT 'gaps_in_case_ids', 0
+UNION ALL SELECT 'gaps_in_all_ids', 0
+UNION ALL SELECT 'gaps_in_new_ids', 0
+UNION ALL SELECT 'gaps_in_fraud_ids', 0
 UNION ALL SELECT 'routed_against_score', 0"""))
 def t01_stream_scoring(spark, sf_dir):
-    """The held-out text feed arrives as files; each micro-batch is turned
-    into features by the reloaded model, scored by the ensemble, routed to all / new
-    / fraud, and opens cases. Returns table sizes and the counts of rows that
-    break the routing's rules."""
+    """The held-out text feed arrives as files (a part of its merchants blank); each micro-batch is checked (F12,
+    F10), its accepted rows turned into features by the reloaded model, scored by the ensemble and
+    routed to all / new / fraud with record ids, and opens cases; rejected rows go to a table of their own with
+    the reason. Returns table sizes and the counts of rows that break the routing's rules."""
     from cardsight.operators import models as ml
     from cardsight.plans.q_models import _saved, _split_text
-    from cardsight.streaming.scoring import start_scoring_stream
+    from cardsight.streaming.scoring import reject_reasons, start_scoring_stream
     fm, models, _ = _saved(spark, sf_dir)
     _, feed = _split_text(spark, sf_dir)
     src, out = files.scratch_path(spark, "arrivals"), files.scratch_path(spark, "routed")
+    feed = feed.withColumn("merchant", F.when(F.col("cc_num") % 23 == 0, F.lit("")).otherwise(F.col("merchant")))
     feed.drop("is_fraud", "fraud_score").repartition(4).write.parquet(src)
     carried = ("cc_num", "merchant", "category", "amt", "trans_date_trans_time")
 
@@ -130,22 +144,33 @@ def t01_stream_scoring(spark, sf_dir):
         return scored.withColumnRenamed("trans_date_trans_time", "trans_ts").withColumn("arrived_at", F.col("trans_ts"))
 
     q = start_scoring_stream(spark, src, spark.read.parquet(src).schema, scorer, out,
-                             files.scratch_path(spark, "stream-ckpt"), max_files_per_trigger=2)
+                             files.scratch_path(spark, "stream-ckpt"), max_files_per_trigger=2,
+                             checker=lambda batch: reject_reasons(batch, STREAM_FIELDS, fm.votes))
     q.awaitTermination()
     # A bucket without rows has no files to take a schema from.
-    columns = {"cases": "trans_num string, case_id long"}
-    stored = {name: spark.read.schema(columns.get(name, "trans_num string, fraud_score double, is_fraud int"))
-              .parquet(f"{out}/{name}") for name in ("all", "new", "fraud", "cases")}
+    columns = {"cases": "trans_num string, case_id long", "rejected": "trans_num string, reason string"}
+    stored = {name: spark.read.schema(columns.get(name, "trans_num string, fraud_score double, is_fraud int, record_id long"))
+              .parquet(f"{out}/{name}") for name in ("all", "new", "fraud", "cases", "rejected")}
     n = F.count(F.lit(1))
     fraud, opened = (stored[t].groupBy("trans_num").agg(n.alias(f"n_{t}")) for t in ("fraud", "cases"))
     apart = fraud.join(opened, "trans_num", "full").na.fill(0)
-    parts = [stored["all"].agg(n.alias("n")), stored["new"].agg(n.alias("n")),
-             apart.filter("n_fraud > n_cases").agg(n.alias("n")), apart.filter("n_cases > n_fraud").agg(n.alias("n")),
-             stored["cases"].agg((n - F.count_distinct("case_id")).alias("n")),
-             stored["all"].filter((F.col("fraud_score") >= DECISION_THRESHOLD) != (F.col("is_fraud") == 1)).agg(n.alias("n"))]
-    names = ["all", "new", "fraud_without_case", "case_without_fraud", "repeated_case_ids", "routed_against_score"]
+
+    def gaps(table, column):  # ids are 1 to the number of rows, each once
+        c = F.col(column)
+        return table.agg((n - F.count_distinct(c) + F.coalesce(F.max(c) - n, F.lit(0)) + F.coalesce(F.min(c) - 1, F.lit(0))).alias("n"))
+
+    parts = {"arrived": spark.read.parquet(src).agg(n.alias("n")), "all": stored["all"].agg(n.alias("n")),
+             "new": stored["new"].agg(n.alias("n")),
+             "rejected: incomplete": stored["rejected"].filter("reason = 'incomplete'").agg(n.alias("n")),
+             "rejected: time": stored["rejected"].filter("reason = 'time'").agg(n.alias("n")),
+             "fraud_without_case": apart.filter("n_fraud > n_cases").agg(n.alias("n")),
+             "case_without_fraud": apart.filter("n_cases > n_fraud").agg(n.alias("n")),
+             "gaps_in_case_ids": gaps(stored["cases"], "case_id"),
+             **{f"gaps_in_{b}_ids": gaps(stored[b], "record_id") for b in ("all", "new", "fraud")},
+             "routed_against_score": stored["all"].filter((F.col("fraud_score") >= DECISION_THRESHOLD) != (F.col("is_fraud") == 1))
+             .agg(n.alias("n"))}
     res = None
-    for name, part in zip(names, parts):
+    for name, part in parts.items():
         row = part.select(F.lit(name).alias("what"), "n")
         res = row if res is None else res.unionByName(row)
     return res
@@ -161,8 +186,14 @@ DROPPED = [c for c in HIGH_CARD_COLS]
 def p01_drop_identifying(spark, sf_dir):
     """P1 (tolerant): identifying / high-cardinality columns dropped when
     present."""
+    return fe.drop_columns(txn(spark, sf_dir), DROPPED)
+
+
+@register("p01_drop_strict", with_txn("SELECT * EXCLUDE (cc_num, city, job, trans_num) FROM txn"))
+def p01_drop_strict(spark, sf_dir):
+    """P1 (strict): the same columns, each of which has to be there."""
     t = txn(spark, sf_dir)
-    return t.drop(*[c for c in DROPPED if c in t.columns])
+    return fe.drop_columns(t, [c for c in DROPPED if c in t.columns], strict=True)
 
 
 @register("p02_align_columns", with_txn("""
@@ -177,9 +208,7 @@ def p02_align_columns(spark, sf_dir):
 SELECT trans_num AS txn_id, cc_num AS card_id, amt AS amount, trans_ts AS trans_time FROM txn"""))
 def p04_alias_names(spark, sf_dir):
     """Field names to their aliases."""
-    t = txn(spark, sf_dir)
-    return t.withColumnsRenamed({"trans_num": "txn_id", "cc_num": "card_id", "amt": "amount",
-                                 "trans_ts": "trans_time"}).select("txn_id", "card_id", "amount", "trans_time")
+    return cmd.to_aliases(txn(spark, sf_dir)).select("txn_id", "card_id", "amount", "trans_time")
 
 
 @register("p05_defaults", with_txn("""
@@ -190,12 +219,7 @@ def p05_defaults(spark, sf_dir):
     """P5: absent label -> 0, absent status -> open, absent time -> as_of."""
     t = txn(spark, sf_dir)
     incoming = t.withColumn("is_fraud", F.when(F.col("cc_num") % 4 == 0, F.lit(None)).otherwise(F.col("is_fraud")))
-    filled = (incoming.withColumn("is_fraud", F.coalesce(F.col("is_fraud"), F.lit(0)))
-              .withColumn("status", F.lit(None).cast("string"))
-              .withColumn("created_at", F.lit(None).cast("timestamp_ntz"))
-              .withColumn("status", F.coalesce(F.col("status"), F.lit("open")))
-              .withColumn("created_at", F.coalesce(F.col("created_at"),
-                                                   F.lit("2001-12-01 00:00:00").cast("timestamp_ntz"))))
+    filled = cmd.with_defaults(incoming.withColumn("status", F.lit(None).cast("string")), "2001-12-01 00:00:00")
     return filled.groupBy("is_fraud", "status", "created_at").agg(F.count(F.lit(1)).alias("n"))
 
 
