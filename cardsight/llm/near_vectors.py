@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardsight.llm.common import cut, in_arrow, shared_table, ship_package
+from cardsight.llm.common import cut, in_arrow, shared_table, arrow_ready
 from cardsight.llm.graph import components
 
 SHARD = 16_384       # distinct vectors of one graph
@@ -304,56 +304,118 @@ def _built(vertices: DataFrame, threshold: float) -> DataFrame:
         members = members.sort_by("vertex")
         names = members.column("vertex").to_numpy()
         unit = _unit(_matrix(members))
-        world, beam, _ = audited_world(unit, names, threshold)
+        world, beam, recall = audited_world(unit, names, threshold)
         return pa.table({"label": members.column("label")[:1], "size": members.column("size")[:1],
                          "shard": members.column("shard")[:1], "chunks": members.column("chunks")[:1],
                          "names": pa.array([names.tobytes()], pa.binary()),
                          "copies": pa.array([members.column("copies").to_numpy().tobytes()], pa.binary()),
                          "raw": pa.array([_matrix(members).tobytes()], pa.binary()),
                          "world": pa.array([world.dump() if world else b""], pa.binary()),
-                         "beam": pa.array([beam], pa.int64())})
+                         "beam": pa.array([beam], pa.int64()), "recall": pa.array([recall], pa.float64())})
 
     return vertices.groupBy("label", "size", "shard").applyInArrow(
         run, "label long, size int, shard int, chunks int, names binary, copies binary, raw binary, world binary, "
-             "beam long")
+             "beam long, recall double")
 
 
-def _asked(graphs: DataFrame, queries: DataFrame, threshold: float) -> DataFrame:
-    """kind 0: (vertex, links found in the shard); kind 1: an edge that joins two classes."""
+def _pair_hash(vertex: int, others: np.ndarray) -> np.ndarray:
+    """A hash of each unordered pair of names."""
+    least, most = np.minimum(others, vertex).astype(np.uint64), np.maximum(others, vertex).astype(np.uint64)
+    x = least * np.uint64(0x9E3779B97F4A7C15) ^ (most * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9))
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    return x ^ (x >> np.uint64(29))
+
+
+_ANSWER = "kind int, a long, b long, h long"
+
+
+def _answers(kind: list, a: list, b: list, h: list) -> pa.Table:
+    return pa.table({"kind": pa.array(kind, pa.int32()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()),
+                     "h": pa.array(h, pa.int64())})
+
+
+def _signed(x: np.uint64) -> int:
+    return int(np.array([x], dtype=np.uint64).view(np.int64)[0])
+
+
+def _asked(graphs: DataFrame, queries: DataFrame, threshold: float, again: bool = False) -> DataFrame:
+    """kind 0: (vertex, links found in the shard, the xor of their pairs' hashes); kind 1: an edge that joins two
+    classes; kind 2: (stored vertex, the xor of the hashes of the pairs in which it was found).
+
+    ``again``: the queries are compared with all vectors of the shard; kind 2 is left out, and kind 3 is (stored vertex,
+    copies of the query) for each link that the query did not find before."""
     def run(key, graph: pa.Table, asked: pa.Table) -> pa.Table:
-        kind, a, b = [], [], []
+        kind, a, b, h = [], [], [], []
         if graph.num_rows and asked.num_rows:
             g = graph.to_pylist()[0]
             names, copies = np.frombuffer(g["names"], dtype=np.int64), np.frombuffer(g["copies"], dtype=np.int64)
             unit = _unit(np.frombuffer(g["raw"], dtype=np.float64).reshape(len(names), -1))
             world = SmallWorld.load(g["world"]) if g["world"] else None
-            who, q = asked.column("vertex").to_numpy(), _unit(_matrix(asked))
+            who, own, q = asked.column("vertex").to_numpy(), asked.column("copies").to_numpy(), _unit(_matrix(asked))
             label = np.arange(len(names))  # classes of stored vectors known so far
+            found_by = np.zeros(len(names), dtype=np.uint64)
             for at in range(0, len(who), BATCH):
-                linked = links_in(world, g["beam"], unit, q[at:at + BATCH], threshold)
-                for vertex, found in zip(who[at:at + BATCH].tolist(), linked):
+                part = q[at:at + BATCH]
+                before = links_in(world, g["beam"], unit, part, threshold)
+                linked = links_in(None, len(names), unit, part, threshold) if again else before
+                for vertex, mine, found, seen in zip(who[at:at + BATCH].tolist(), own[at:at + BATCH].tolist(), linked, before):
                     found = found[names[found] != vertex]
+                    if again:
+                        new = np.setdiff1d(found, seen)
+                        kind += [3] * len(new)
+                        a += names[new].tolist()
+                        b += [mine] * len(new)
+                        h += [0] * len(new)
                     if not len(found):
                         continue
-                    kind.append(0)
-                    a.append(vertex)
-                    b.append(int(copies[found].sum()))
+                    pairs = _pair_hash(vertex, names[found])
+                    found_by[found] ^= pairs
                     classes, first = np.unique(label[found], return_index=True)
-                    for i in found[first].tolist():
-                        kind.append(1)
-                        a.append(vertex)
-                        b.append(int(names[i]))
+                    kind += [0, *[1] * len(first)]
+                    a += [vertex] * (1 + len(first))
+                    b += [int(copies[found].sum()), *names[found[first]].tolist()]
+                    h += [_signed(np.bitwise_xor.reduce(pairs)), *[0] * len(first)]
                     if len(classes) > 1:
                         label[np.isin(label, classes)] = classes[0]
-        return pa.table({"kind": pa.array(kind, pa.int32()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            if not again:
+                hit = np.flatnonzero(found_by)
+                kind += [2] * len(hit)
+                a += names[hit].tolist()
+                b += [0] * len(hit)
+                h += found_by[hit].view(np.int64).tolist()
+        return _answers(kind, a, b, h)
 
     key = ["label", "size", "shard", "chunk"]
-    return graphs.groupBy(*key).cogroup(queries.groupBy(*key)).applyInArrow(run, "kind int, a long, b long")
-
-
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, shard_size: int = SHARD) -> DataFrame:
-    """vec_id, n_links, component_id and kept, one row per row of ``vectors``."""
-    ship_package(vectors.sparkSession)
+    return graphs.groupBy(*key).cogroup(queries.groupBy(*key)).applyInArrow(run, _ANSWER)
+
+
+def _settled(graphs: DataFrame, queries: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(vertex, links), counted alike from both ends of every link, and the edges that join classes.
+
+    A vertex finds the same vertices that find it, or the xor of its pairs' hashes tells. Those for
+    which it does are compared with all vectors; a link that this adds also counts for its other end."""
+    asked = shared_table(_asked(graphs, queries, threshold))
+    counted = asked.where("kind = 0").groupBy(F.col("a").alias("vertex")).agg(F.sum("b").alias("links"))
+    edges = asked.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    uneven = cut(asked.where("kind in (0, 2)").groupBy(F.col("a").alias("vertex")).agg(F.bit_xor("h").alias("h"))
+                 .where("h <> 0").select("vertex"))
+    if not uneven.limit(1).count():
+        return counted, edges
+    exact = shared_table(_asked(graphs, queries.join(uneven, "vertex", "left_semi"), threshold, again=True))
+    whole = exact.where("kind = 0").groupBy(F.col("a").alias("vertex")).agg(F.sum("b").alias("links"))
+    more = (exact.where("kind = 3").select(F.col("a").alias("vertex"), F.col("b").alias("links"))
+            .join(uneven, "vertex", "left_anti"))
+    kept = counted.join(uneven, "vertex", "left_anti").unionByName(more).groupBy("vertex").agg(F.sum("links").alias("links"))
+    return kept.unionByName(whole), edges.unionByName(
+        exact.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, shard_size: int = SHARD, recall: bool = False) -> DataFrame:
+    """vec_id, n_links, component_id and kept, one row per row of ``vectors``.
+
+    ``recall`` adds the recall that the audit of the vector's shard measured (1 where the shard is searched
+    whole, null for vectors that link with nothing by rule)."""
+    arrow_ready(vectors.sparkSession)
     prepared = shared_table(_prepared(vectors))
     # A vertex is a distinct vector of a label; its name is its least id.
     same = ["label", "size", "d1", "d2"]
@@ -369,17 +431,21 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, shard_size: int
                         F.expr("cast(pmod(xxhash64(vec_id, 2), chunks) as int)").alias("chunk")))
     vertices = shared_table(vertices)
     graphs = shared_table(_built(vertices.drop("shards", "chunk"), threshold))
-    asked = shared_table(_asked(
+    links, edges = _settled(
         graphs.withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)"))),
-        vertices.select("label", "size", "vertex", "raw", "chunk", F.explode(F.expr("sequence(0, shards - 1)")).alias("shard")),
-        threshold))
-    links = asked.where("kind = 0").groupBy(F.col("a").alias("vertex")).agg(F.sum("b").alias("links"))
-    roots = components(asked.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v")))
+        vertices.select("label", "size", "vertex", "copies", "raw", "chunk",
+                        F.explode(F.expr("sequence(0, shards - 1)")).alias("shard")), threshold)
+    links, roots = cut(links), components(edges)
     known = cut(alike.join(links, "vertex", "left").join(roots.withColumnRenamed("node", "vertex"), "vertex", "left")
                 .select(*same, (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
                         F.coalesce("root", "vertex").alias("component_id")))
     able = prepared.select("vec_id", *same).join(known, same).select("vec_id", "label", "n_links", "component_id")
-    return _with_the_rest(vectors, able)
+    out = _with_the_rest(vectors, able)
+    if not recall:
+        return out
+    audited = vertices.join(graphs.select("label", "size", "shard", "recall"), ["label", "size", "shard"]).select("vertex", "recall")
+    of = prepared.select("vec_id", *same).distinct().join(alike.select(*same, "vertex"), same).join(audited, "vertex")
+    return out.join(of.groupBy("vec_id").agg(F.min("recall").alias("recall")), "vec_id", "left")
 
 
 def _with_the_rest(vectors: DataFrame, able: DataFrame) -> DataFrame:

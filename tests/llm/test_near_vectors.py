@@ -131,3 +131,43 @@ def test_audit_counts_large_groups():
             return ids, None
 
     assert near_vectors.audited_beam(Poor(), unit, names, 0.98)[1] < near_vectors.RECALL
+
+
+def test_links_count_from_both_ends(spark):
+    """A narrow beam finds some links from one end only; they count for both ends all the same."""
+    near_vectors.arrow_ready(spark)
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(400, 12))
+    x = np.repeat(base, 2, axis=0) + rng.normal(scale=0.02, size=(800, 12))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    names = np.arange(800, dtype=np.int64)
+    world = near_vectors.SmallWorld(unit, names, 4)
+    beam = 5
+    before = near_vectors.links_in(world, beam, unit, unit, 0.98)
+    pairs = {(i, int(j)) for i, found in enumerate(before) for j in found if i != j}
+    one_sided = {p for p in pairs if p[::-1] not in pairs}
+    assert one_sided
+    graph = [(1, 12, 0, 0, bytearray(names.tobytes()), bytearray(np.ones(800, np.int64).tobytes()), bytearray(x.tobytes()),
+              bytearray(world.dump()), beam)]
+    graphs = spark.createDataFrame(graph, "label long, size int, shard int, chunk int, names binary, copies binary, raw binary, "
+                                          "world binary, beam long")
+    rows = [(1, 12, int(i), 1, bytearray(x[i].tobytes()), 0, 0) for i in names]
+    queries = spark.createDataFrame(rows, "label long, size int, vertex long, copies long, raw binary, chunk int, shard int")
+    links, edges = near_vectors._settled(graphs, queries, 0.98)
+    got = {r["vertex"]: r["links"] for r in links.collect()}
+    exact = unit @ unit.T >= 0.98
+    uneven = {i for p in one_sided for i in p}
+    want = {}
+    for i, j in pairs | {p[::-1] for p in pairs} | {(i, int(j)) for i in uneven for j in np.flatnonzero(exact[i]) if j != i} | {
+            (int(j), i) for i in uneven for j in np.flatnonzero(exact[i]) if j != i}:
+        want[i] = want.get(i, 0) + 1
+    assert got == want
+    joined = {(r["u"], r["v"]) for r in edges.collect()}
+    assert all((i, j) in joined or (j, i) in joined for i, j in pairs if want[i] == 1)
+
+
+def test_recall_is_reported(spark):
+    rows = [(i, 1, [float(i % 5 + 1), 1.0]) for i in range(30)] + [(99, 1, None)]
+    got = {r["vec_id"]: r["recall"] for r in near_vectors.near_duplicates(
+        spark.createDataFrame(rows, "vec_id long, label long, embedding array<double>"), recall=True).collect()}
+    assert got.pop(99) is None and set(got.values()) == {1.0}
