@@ -38,11 +38,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardsight.llm.common import cut, in_arrow, join_small, shared_table, ship_package
+from cardsight.llm.common import cut, in_arrow, join_small, shared_table, arrow_ready
 
 LENGTH = 50               # bytes of a string
 GRAM = 20                 # bytes that name a window
 CHUNK = 2 << 20           # bytes of text in a chunk; a longer text is a chunk of its own
+BLOCK = 4 << 20           # bytes of a chunk whose windows are named at once
 NAMES_OF = 32 << 20       # bytes of text whose windows' names are counted in one task
 STRETCHES_OF = 4 << 20    # bytes of text whose stretches are dealt to one shard
 SHARD = 4 << 20           # bytes of one suffix array
@@ -98,15 +99,21 @@ class Chunk:
 
     def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(first window, windows, text, mixed name) of each run; windows lie within a text."""
-        names = window_names(self.data)
-        text = np.repeat(np.arange(len(self.sizes)), self.sizes)[:len(names)]
-        at = np.flatnonzero(np.arange(len(names)) + LENGTH <= self.ends[text])
+        found = [self._runs_in(at, min(at + BLOCK, len(self.data))) for at in range(0, max(len(self.data), 1), BLOCK)]
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def _runs_in(self, begin: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The runs of the windows that start in a block. Its end cuts a run in two, which changes no window's name."""
+        names = window_names(self.data[begin:end + LENGTH - 1])
+        place = np.arange(begin, begin + len(names))
+        text = np.searchsorted(self.ends, place, side="right")
+        of = place + LENGTH <= self.ends[text]
+        name, text, at = names[of], text[of], place[of]
         if not len(at):
             none = np.empty(0, dtype=np.int64)
             return none, none, none, np.empty(0, dtype=np.uint64)
-        name, text = names[at], text[at]
         new = np.ones(len(at), dtype=bool)
-        new[1:] = (name[1:] != name[:-1]) | (text[1:] != text[:-1])
+        new[1:] = (name[1:] != name[:-1]) | (text[1:] != text[:-1]) | (at[1:] != at[:-1] + 1)
         first = np.flatnonzero(new)
         return at[first], np.diff(np.append(first, len(at))), text[first], _spread(name[first])
 
@@ -442,7 +449,7 @@ def _removed(chunks: DataFrame, replies: DataFrame, n_names: int, n_shards: int)
             entries, entry, first, text = it.stretches(_shared_of(replies), n_names, n_shards)
             shard = np.array([s for s, _ in entries], dtype=np.int64)
             place = {s: np.flatnonzero(shard == s) for s in np.unique(shard).tolist()}
-            edge = np.zeros(len(it.data) + 1, dtype=np.int64)
+            edge = np.zeros(len(it.data) + 1, dtype=np.int32)
             by_entry = np.argsort(entry, kind="stable")
             ends = np.searchsorted(entry[by_entry], np.arange(len(entries) + 1))
             for r in replies.to_pylist():
@@ -459,7 +466,7 @@ def _removed(chunks: DataFrame, replies: DataFrame, n_names: int, n_shards: int)
                 begin = (first[stretch] + at[which])[gone]
                 np.add.at(edge, begin, 1)
                 np.add.at(edge, begin + n[which][gone] + LENGTH - 1, -1)
-            gone = np.cumsum(edge)[:-1] > 0
+            gone = np.cumsum(edge, dtype=np.int32)[:-1] > 0
             data = np.frombuffer(it.data, dtype=np.uint8)
             for doc_id, a, b in zip(it.ids.tolist(), it.starts.tolist(), it.ends.tolist()):
                 off = gone[a:b]
@@ -476,7 +483,7 @@ def _removed(chunks: DataFrame, replies: DataFrame, n_names: int, n_shards: int)
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256, one row per row of ``docs``."""
-    ship_package(docs.sparkSession)
+    arrow_ready(docs.sparkSession)
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw.alias("text"))
     base = cut(rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"),

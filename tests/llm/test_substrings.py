@@ -74,3 +74,17 @@ def test_window_names_depend_on_the_window_only():
         assert names[i] == substrings.window_names(text[i:i + 50])[0]
     assert len(substrings.window_names(text[:49])) == 0
     assert np.array_equal(substrings._unpack6(substrings._pack6(names >> np.uint64(16))), names >> np.uint64(16))
+
+
+def test_blocks_cut_runs_but_lose_no_window(monkeypatch):
+    """A chunk's windows have the same names however it is cut into blocks, texts of any length included."""
+    rng = random.Random(6)
+    texts = [bytes(rng.choice(b"abc") for _ in range(n)) for n in (0, 10, 49, 50, 51, 400, 0, 3000, 60)]
+
+    def named(block):
+        monkeypatch.setattr(substrings, "BLOCK", block)
+        it = substrings.Chunk(np.arange(len(texts)), np.array([len(t) for t in texts]), b"".join(texts))
+        return {(int(a) + i, int(t), int(x)) for a, n, t, x in zip(*it.runs()) for i in range(n)}
+    whole = named(1 << 20)
+    assert len(whole) == sum(max(0, len(t) - 49) for t in texts)
+    assert named(64) == named(7) == named(1000) == whole
