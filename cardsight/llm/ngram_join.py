@@ -24,10 +24,11 @@ that cannot link.
    subtree without probes is skipped. Links found join classes, and only the links that
    join two classes are passed on.
 
-Groups larger than ``BLOCK_SETS`` sets are cut into blocks. First each block meets the
-group's first block, a task per pair, and the links found are followed to classes. Only the
-sets outside a group's main class then meet its other blocks: sets that already share a
-class need not be compared. A group of near copies that holds a third of all rows thus takes work in
+A set is in several groups, and groups larger than ``BLOCK_SETS`` sets are cut into blocks, a
+task per pair of blocks. First each set takes part in one group, whose blocks meet its first
+block, and the links found are followed to classes. Of all groups only those with several classes are
+left then, and in them only the sets outside the main class meet the others: sets that already
+share a class need not be compared. A group of near copies that holds a third of all rows thus takes work in
 proportion to its size, and is never in one task. Copies are collapsed before anything is compared, counts are
 pre-aggregated, and no pairs are listed.
 
@@ -344,39 +345,51 @@ def _groups(sets: DataFrame) -> DataFrame:
     return met.distinct()
 
 
+def _n_blocks(n: Column, grams: Column) -> Column:
+    return F.greatest(F.ceil(n / BLOCK_SETS), F.ceil(grams / BLOCK_GRAMS)).cast("int")
+
+
+def _block_of(blocks: str, seed: int = 42) -> Column:
+    return F.expr(f"cast(pmod(xxhash64(set, {seed}), {blocks}) as int)")
+
+
 def links(docs: DataFrame, wanted: DataFrame, n: int, t: Fraction) -> DataFrame:
-    """Edges (u, v) between sets that generate the classes of linked sets."""
+    """Edges (u, v) between sets that generate the classes of linked sets.
+
+    First every set takes part in one of its groups, that of the least set of all, where each block meets the
+    group's first block. The links found are followed to classes. Then all groups are looked at: only those with
+    members of several classes are left, and in them the members outside the main class meet all others."""
     sets = shared_table(_rebuilt(docs, wanted, n, t))
-    groups = cut(_groups(sets))
-    sizes = (groups.join(sets.select("set", "size"), "set")
-             .groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS),
-                                            F.ceil(F.sum("size") / BLOCK_GRAMS)).cast("int").alias("blocks")))
-    placed = groups.join(cut(sizes), "grp").withColumn("block", F.expr("cast(pmod(xxhash64(set), blocks) as int)"))
-    # Each block meets the first one of its group, which also meets itself.
+    groups = shared_table(_groups(sets).join(sets.select("set", "size"), "set"))
+    one = cut(groups.groupBy("set").agg(F.min("grp").alias("grp"), F.first("size").alias("size")))
+    sizes = cut(one.groupBy("grp").agg(F.count("*").alias("n"), _n_blocks(F.count("*"), F.sum("size")).alias("blocks"))
+                .where("n > 1").select("grp", "blocks"))
+    placed = one.join(sizes, "grp").withColumn("block", _block_of("blocks"))
     first = _blocks(sets, placed.withColumn("other", F.explode(F.expr(
         "case when block = 0 then sequence(0, blocks - 1) else array(0) end"))).select(
         "grp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "set",
         (F.col("block") > F.col("other")).cast("int").alias("side")))
     found = shared_table(_tree_links(first, t))
-    large = cut(placed.where("blocks > 1"))
-    if not large.limit(1).count():
-        return found
-    # In a large group only sets that are not in its main class can still join classes: they meet all other blocks.
     roots = components(found)
-    classed = cut(large.join(roots, large["set"] == roots["node"], "left").select(
-        "grp", "set", "block", "blocks", F.coalesce("root", "set").alias("root")))
-    main = (classed.groupBy("grp", "root").agg(F.count("*").alias("n"))
-            .groupBy("grp").agg(F.max_by("root", F.struct("n", "root")).alias("main")))
-    rest = cut(classed.join(main, "grp").where("root <> main").select("grp", "set", "blocks"))
-    if not rest.limit(1).count():
+    # Members that have all met in the step above need not meet again.
+    met = placed.where("blocks = 1").select("set", "grp", F.lit(True).alias("met"))
+    classed = cut(groups.join(roots.withColumnRenamed("node", "set"), "set", "left").join(met, ["set", "grp"], "left").select(
+        "grp", "set", "size", F.coalesce("root", "set").alias("root"), F.coalesce("met", F.lit(False)).alias("met")))
+    per_class = cut(classed.groupBy("grp", "root").agg(F.count("*").alias("n"), F.sum("size").alias("grams"),
+                                                       F.min("met").alias("met")))
+    size = F.struct("n", "root")
+    opened = cut(per_class.groupBy("grp").agg(
+        F.max_by("root", size).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"), F.sum("grams").alias("grams"),
+        F.max_by("grams", size).alias("main_grams"), F.min("met").alias("met")).where("n > n_main and not met").select(
+        "grp", "main", _n_blocks(F.col("n"), F.col("grams")).alias("blocks"),
+        _n_blocks(F.col("n") - F.col("n_main"), F.col("grams") - F.col("main_grams")).alias("rests")))
+    if not opened.limit(1).count():
         return found
-    size = cut(rest.join(sets.select("set", "size"), "set").groupBy("grp").agg(
-        F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("size") / BLOCK_GRAMS)).cast("int").alias("rests")))
-    asked = rest.join(size, "grp").select(
-        "grp", "set", F.expr("cast(pmod(xxhash64(set, 1), rests) as int)").alias("lo"),
-        F.explode(F.expr("sequence(1, blocks - 1)")).alias("hi"), F.lit(1).alias("side"))
-    others = large.where("block > 0").join(size, "grp").select(
-        "grp", "set", F.explode(F.expr("sequence(0, rests - 1)")).alias("lo"), F.col("block").alias("hi"), F.lit(0).alias("side"))
+    members = classed.join(opened, "grp")
+    asked = members.where("root <> main").select("grp", "set", _block_of("rests", 1).alias("lo"), F.explode(
+        F.expr("sequence(0, blocks - 1)")).alias("hi"), F.lit(1).alias("side"))
+    others = members.select("grp", "set", F.explode(F.expr("sequence(0, rests - 1)")).alias("lo"),
+                            _block_of("blocks").alias("hi"), F.lit(0).alias("side"))
     return found.unionByName(_tree_links(_blocks(sets, asked.unionByName(others)), t))
 
 
