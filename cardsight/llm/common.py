@@ -18,7 +18,7 @@ import cardsight
 from cardsight.session import checkpoint_dir
 
 # Bytes that a broadcast side may take as rows of numbers; beyond them the join is left to the optimizer.
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 8 << 20
 
 # Bytes of the Arrow batches that a worker is given (of one row at least), however long the rows are.
 BATCH_BYTES = 2 << 20

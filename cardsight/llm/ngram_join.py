@@ -21,8 +21,8 @@ that cannot link.
    for all probe sets together: a node holds its overlaps with the probes, shared
    by the sets below it, and probes whose overlap can no longer suffice, given what
    is left of the probe and of the longest set below the node, leave the walk; a
-   subtree without probes is skipped. Links found join classes, and only the links that
-   join two classes are passed on.
+   subtree without probes is skipped. Links found join classes, and a class is passed on as
+   one edge from its least set to each other one.
 
 A set is in several groups, and groups larger than ``BLOCK_SETS`` sets are cut into blocks, a
 task per pair of blocks. First each set takes part in one group, whose blocks meet its first
@@ -206,7 +206,7 @@ def _rebuilt(docs: DataFrame, wanted: DataFrame, n: int, t: Fraction) -> DataFra
 
 
 class Unions:
-    """Union-find over positions; tells which unions joined two classes."""
+    """Union-find over positions."""
 
     def __init__(self, n: int):
         self.up = list(range(n))
@@ -216,10 +216,9 @@ class Unions:
             self.up[x] = x = self.up[self.up[x]]
         return x
 
-    def join(self, a: int, b: int) -> bool:
+    def join(self, a: int, b: int) -> None:
         a, b = self.find(a), self.find(b)
         self.up[max(a, b)] = min(a, b)
-        return a != b
 
 
 class PrefixTree:
@@ -277,10 +276,10 @@ class PrefixTree:
             todo += [(a, b, end, active, overlap) for a, b in zip(cuts, cuts[1:])]
 
 
-def block_links(names: list[int], sets: list[np.ndarray], sides: list[int], t: Fraction) -> Iterator[tuple[int, int]]:
-    """Links that join classes, within a block (one side) or between two blocks (sides 0 and 1)."""
+def block_links(names: list[int], sets: list[np.ndarray], sides: list[int], t: Fraction) -> list[tuple[int, int]]:
+    """The classes within a block (one side) or between two blocks (sides 0 and 1), as edges (least name, name)."""
     if len(sets) < 2 or 0 not in sides:  # a block of no sets may meet another one
-        return
+        return []
     order, flat = np.unique(np.concatenate(sets), return_inverse=True)
     flat = flat.astype(np.int64)
     sets = np.split(flat, np.cumsum([len(s) for s in sets])[:-1])
@@ -292,8 +291,12 @@ def block_links(names: list[int], sets: list[np.ndarray], sides: list[int], t: F
         some = probing[at:at + width]
         for i, linked in tree.walk([sets[p] for p in some], len(order)):
             for p in linked.tolist():
-                if stored[i] != some[p] and unions.join(stored[i], some[p]):
-                    yield names[stored[i]], names[some[p]]
+                unions.join(stored[i], some[p])
+    least: dict[int, int] = {}
+    roots = [unions.find(i) for i in range(len(sets))]
+    for root, name in zip(roots, names):
+        least[root] = min(least.get(root, name), name)
+    return [(least[root], name) for root, name in zip(roots, names) if name != least[root]]
 
 
 def _tree_links(grouped: DataFrame, t: Fraction) -> DataFrame:
@@ -302,7 +305,7 @@ def _tree_links(grouped: DataFrame, t: Fraction) -> DataFrame:
         key, names, sets, sides = None, [], [], []
 
         def links() -> pa.RecordBatch:
-            found = list(block_links(names, sets, sides, t))
+            found = block_links(names, sets, sides, t)
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()),
                                                pa.array([b for _, b in found], pa.int64())], names=["u", "v"])
 
@@ -370,7 +373,9 @@ def links(docs: DataFrame, wanted: DataFrame, n: int, t: Fraction) -> DataFrame:
         "grp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "set",
         (F.col("block") > F.col("other")).cast("int").alias("side")))
     found = shared_table(_tree_links(first, t))
-    roots = components(found)
+    # A group of one block has its classes at once; blocks' classes are put together where there are several.
+    several = sizes.where("blocks > 1").limit(1).count() > 0
+    roots = components(found) if several else found.select(F.col("v").alias("node"), F.col("u").alias("root"))
     # Members that have all met in the step above need not meet again.
     met = placed.where("blocks = 1").select("set", "grp", F.lit(True).alias("met"))
     classed = cut(groups.join(roots.withColumnRenamed("node", "set"), "set", "left").join(met, ["set", "grp"], "left").select(
