@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from cardsight.llm.common import in_arrow, texts_of
 
 TABLE_SIZE = 65_536      # entries of the broadcast table (a few MB)
-SAMPLE_ROWS = 4_000      # rows from which the table is filled
-SAMPLE_CHARS = 20_000    # characters of each of them
+SAMPLE_ROWS = 2_000      # rows from which the table is filled
+SAMPLE_CHARS = 4_000     # characters of each of them
 CACHE_SIZE = 400_000     # entries of each half of a worker's cache
 
 MARK = "\u2581"          # the model's space mark
@@ -103,17 +103,12 @@ class PieceCounter:
 
 
 def frequent_pieces(docs: DataFrame, model_path: str, size: int = TABLE_SIZE) -> dict[str, int]:
-    """The sample's most frequent pre-tokens with their token lengths, at most ``size``: one small task."""
-    def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
-        for batch in batches:
-            for text in texts_of(batch):
-                seen.update(pre_tokens(text))
-        top = [p for p, n in seen.most_common(size) if n > 1]
-        yield pa.RecordBatch.from_arrays([pa.array(top, pa.string())], names=["piece"])
-
-    some = docs.limit(SAMPLE_ROWS).select(F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    pieces = [r["piece"] for r in in_arrow(some.coalesce(1), summary, "piece string").collect()]
+    """The sample's most frequent pre-tokens with their token lengths, at most ``size``. The sample (8 million characters
+    at most) is taken from the first partitions that hold enough rows, and counted here."""
+    seen: Counter[str] = Counter()
+    for row in docs.select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(SAMPLE_ROWS).collect():
+        seen.update(pre_tokens(row["text"] or ""))
+    pieces = [p for p, n in seen.most_common(size) if n > 1]
     return dict(zip(pieces, PieceCounter.at(model_path).lengths(pieces))) if pieces else {}
 
 
