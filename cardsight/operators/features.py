@@ -34,6 +34,13 @@ def join_lookup(df: DataFrame, lookup: DataFrame, key: str, how: str = "left") -
     return df.join(lookup, key, how)
 
 
+def _written(lookup: DataFrame, name: str) -> DataFrame:
+    """A lookup table written and read back. Spark knows a file's bytes before it plans (a checkpoint's it does not, and
+    would deal the rows out by a key of a few values), so a small table is broadcast and the rows stay where they are."""
+    from cardsight.sources import files
+    return lookup.sparkSession.read.schema(lookup.schema).parquet(files.write_parquet(lookup, files.scratch_path(lookup.sparkSession, name)))
+
+
 def rate_table(df: DataFrame, key: str, label: str = LABEL, name: str | None = None) -> DataFrame:
     """A1 as a lookup table: key -> mean label."""
     return df.groupBy(key).agg(F.avg(label).alias(name or f"{key}_rate"))
@@ -322,8 +329,7 @@ def fit_features(raw: DataFrame, parse: bool = True, mode: str = "column", exact
     if keyed:
         pairs = raw.select(F.col(LABEL), F.explode(F.array(*[
             F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("key")) for k in keyed])).alias("p"))
-        lookups = (pairs.groupBy("p.kind", "p.key").agg(F.count(F.lit(1)).alias("n"), F.avg(LABEL).alias("mean"))
-                   .checkpoint(eager=True))
+        lookups = _written(pairs.groupBy("p.kind", "p.key").agg(F.count(F.lit(1)).alias("n"), F.avg(LABEL).alias("mean")), "lookups")
 
     def _lookup(kind: str) -> DataFrame:
         return lookups.filter((F.col("kind") == kind) & F.col("key").isNotNull()).withColumnRenamed("key", kind)
@@ -360,7 +366,7 @@ def fit_features(raw: DataFrame, parse: bool = True, mode: str = "column", exact
         medians = exact_medians(wide, [*num_cols, *named], counts | dict.fromkeys(named, counts.get("amt_log", 0))) \
             if exact else approx_medians(wide, [*num_cols, *named])
         at_heavy = {v: medians.pop(f"_heavy_{i}") or 0.0 for i, v in enumerate(heavy)}
-        levels = _interaction_stats(levels, crossed, row["_n"], counts.get("amt_log", 0), at_heavy).checkpoint(eager=True)
+        levels = _written(_interaction_stats(levels, crossed, row["_n"], counts.get("amt_log", 0), at_heavy), "levels")
         means = {c: row[f"m_{c}"] for c in num_cols}
         stds = {c: row[f"s_{c}"] for c in num_cols}
         with_nulls = [c for c in num_cols if counts[c] < row["_n"]]
