@@ -17,6 +17,7 @@ from cardsight.operators.rank import global_row_number
 
 LABEL = "is_fraud"
 DRAWS_IN_CHUNK = 100_000  # repeated draws that one row of the plan is expanded to at once
+DRAWS_IN_TASK = 200_000   # repeated draws that a task puts in order of their rows, on average
 
 
 def concat(frames: list[DataFrame]) -> DataFrame:
@@ -29,6 +30,12 @@ def class_counts(df: DataFrame, label: str = LABEL) -> dict[int, int]:
     return {int(r[0]): int(r[1]) for r in df.groupBy(label).count().collect() if r[0] is not None}
 
 
+def _draw_tasks(k: int) -> int:
+    """Partitions for ``k`` draws. Their number is given, as draws are a few bytes each: dealt by bytes, one task
+    would get tens of millions of them to sort."""
+    return k // DRAWS_IN_TASK + 1
+
+
 def _hash(key: str, seed: int, salt: int = 0):
     return F.xxhash64(F.col(key), F.lit(seed), F.lit(salt))
 
@@ -39,8 +46,9 @@ def oversample(df: DataFrame, ratio: float = OVERSAMPLE_RATIO, key: str = "trans
     it has ``int(ratio * majority)`` rows; originals are kept.
 
     Minority rows are numbered 0..m-1 in seeded-hash order; ``k`` draws are
-    generated with ``range(k)`` and hashed to an index, then equi-joined.
-    Every step is distributed; ``k`` grows with the data, not the driver."""
+    generated with ``range(k)``, hashed to an index and counted by it; each row is
+    joined to its count and repeated. Every step is distributed, in tasks of a bounded
+    number of draws; ``k`` grows with the data, not the driver."""
     counts = counts or class_counts(df, label)
     (min_cls, m), (_, big) = sorted(counts.items(), key=lambda kv: kv[1])[0], \
         sorted(counts.items(), key=lambda kv: kv[1])[-1]
@@ -50,8 +58,13 @@ def oversample(df: DataFrame, ratio: float = OVERSAMPLE_RATIO, key: str = "trans
     minority = df.filter(F.col(label) == min_cls).withColumn("_h", _hash(key, seed))
     numbered = global_row_number(minority, ["_h", key], name="_idx").withColumn("_idx", F.col("_idx") - 1)
     spark = df.sparkSession
-    draws = spark.range(k).select(F.pmod(F.xxhash64(F.col("id"), F.lit(seed), F.lit(1)), F.lit(m)).alias("_idx"))
-    extra = numbered.join(draws, "_idx").drop("_idx", "_h")
+    tasks = _draw_tasks(k)
+    draws = spark.range(0, k, 1, tasks).select(F.pmod(F.xxhash64(F.col("id"), F.lit(seed), F.lit(1)), F.lit(m)).alias("_idx"))
+    times = draws.repartition(tasks, "_idx").groupBy("_idx").agg(F.count(F.lit(1)).alias("_n"))
+    # A row that is drawn very often is repeated chunk by chunk.
+    extra = (numbered.join(times, "_idx")
+             .withColumn("_chunk", F.explode(F.expr(f"sequence(0, (_n - 1) div {DRAWS_IN_CHUNK})")))
+             .withColumn("_draw", F.explode(F.expr(f"sequence(1, least({DRAWS_IN_CHUNK}, _n - _chunk * {DRAWS_IN_CHUNK}))"))))
     return df.unionByName(extra.select(*df.columns))
 
 
@@ -117,20 +130,19 @@ def rebalance_by(df: DataFrame, by: str = "state", over: float = OVERSAMPLE_RATI
     rows = df.join(plans, df[by].eqNullSafe(plans["_g"])).withColumn("draw", F.lit(0).cast("long"))
     small = rows.filter(F.col(label) == F.col("small_cls"))
     big = rows.filter(F.col(label) != F.col("small_cls"))
-    # Draws: chunks of numbers first, so that no task makes all draws of a large group.
-    chunks = (plans.filter("grown > m").select("_g", "m", (F.col("grown") - F.col("m")).alias("k"))
-              .withColumn("chunk", F.explode(F.expr(f"sequence(0, (k - 1) div {DRAWS_IN_CHUNK})"))))
-    draws = (chunks.repartition("_g", "chunk").withColumn("draw", F.explode(F.expr(
-        f"sequence(chunk * {DRAWS_IN_CHUNK} + 1, least((chunk + 1) * {DRAWS_IN_CHUNK}, k))")))
-        .select(F.col("_g").alias("_dg"), F.pmod(F.xxhash64("_g", "draw", F.lit(seed)), F.col("m")).alias("_i"),
-                F.col("draw").alias("_draw")))
     order = [F.col(by).asc_nulls_first(), F.xxhash64(key, F.lit(seed)), F.col(key)]
     numbered = global_row_number(small.filter("grown > m"), order, name="_rn")
     first = numbered.groupBy(F.col(by).alias("_fg")).agg(F.min("_rn").alias("_first"))
-    indexed = (numbered.join(first, numbered[by].eqNullSafe(first["_fg"]))
-               .withColumn("_i", F.col("_rn") - F.col("_first")).drop("_rn", "_first", "_fg"))
-    extra = (indexed.join(draws, (indexed["_i"] == draws["_i"]) & indexed[by].eqNullSafe(draws["_dg"]))
-             .withColumn("draw", F.col("_draw")))
+    # Draws: chunks of numbers first, so that no task makes all draws of a large group.
+    more = plans.filter("grown > m").select("_g", "m", (F.col("grown") - F.col("m")).alias("k"))
+    tasks = _draw_tasks(int(more.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]))
+    chunks = (more.join(first, more["_g"].eqNullSafe(first["_fg"]))
+              .withColumn("chunk", F.explode(F.expr(f"sequence(0, (k - 1) div {DRAWS_IN_CHUNK})"))))
+    # A draw names the row by its number among all rows: the group's first and the index within the group.
+    draws = (chunks.repartition("_g", "chunk").withColumn("_draw", F.explode(F.expr(
+        f"sequence(chunk * {DRAWS_IN_CHUNK} + 1, least((chunk + 1) * {DRAWS_IN_CHUNK}, k))")))
+        .select((F.col("_first") + F.pmod(F.xxhash64("_g", "_draw", F.lit(seed)), F.col("m"))).alias("_rn"), "_draw"))
+    extra = numbered.join(draws.repartition(tasks, "_rn"), "_rn").withColumn("draw", F.col("_draw"))
     columns = [*df.columns, "draw"]
     return concat([small.select(*columns), extra.select(*columns),
                    _first_by_hash(big, by, F.col("kept"), F.col("big"), key, seed).select(*columns)])
