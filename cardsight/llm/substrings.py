@@ -105,10 +105,12 @@ class Chunk:
     def _runs_in(self, begin: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The runs of the windows that start in a block. Its end cuts a run in two, which changes no window's name."""
         names = window_names(self.data[begin:end + LENGTH - 1])
-        place = np.arange(begin, begin + len(names))
-        text = np.searchsorted(self.ends, place, side="right")
-        of = place + LENGTH <= self.ends[text]
-        name, text, at = names[of], text[of], place[of]
+        # Of each text, the windows that start in the block.
+        low = np.clip(self.starts, begin, begin + len(names))
+        n = np.maximum(np.minimum(self.ends - LENGTH + 1, begin + len(names)) - low, 0)
+        text = np.repeat(np.arange(len(n)), n)
+        at = np.arange(len(text)) + np.repeat(low - np.cumsum(n) + n, n)
+        name = names[at - begin]
         if not len(at):
             none = np.empty(0, dtype=np.int64)
             return none, none, none, np.empty(0, dtype=np.uint64)
@@ -180,6 +182,12 @@ def suffix_array(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndar
 
     Every position of ``data`` is ranked, as if zeros followed the end.
     """
+    return _refined(data, length)[:2]
+
+
+def _refined(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The suffix array, and bytes that each slot is known to share with the one before it: those that the two were
+    ranked by when they came apart."""
     n = len(data)
     words = _words(data + b"\0" * 8, big=True)
     order = np.argsort(words, kind="stable")
@@ -187,6 +195,7 @@ def suffix_array(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndar
     sorted_words = words[order]
     head = np.ones(n, dtype=bool)
     head[1:] = sorted_words[1:] != sorted_words[:-1]
+    shared = np.where(head, 0, length)
     rank = np.empty(n, dtype=np.int64)
     rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
     while known < length:
@@ -205,28 +214,38 @@ def suffix_array(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndar
         key = key[again]
         split = np.ones(len(slots), dtype=bool)
         split[1:] = key[1:] != key[:-1]
+        shared[slots[split & ~head[slots]]] = known
         head[slots] = split
-        rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+        rank[order[slots]] = np.maximum.accumulate(np.where(split, slots, 0))
         known += step
-    return order, rank
+    return order, rank, shared
 
 
-def neighbours_in_common(data: bytes, order: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Bytes that each position of a suffix array has in common with the one before it, up to ``length``."""
+def neighbours_in_common(data: bytes, order: np.ndarray, length: int = LENGTH, shared: np.ndarray | None = None) -> np.ndarray:
+    """Bytes that each position of a suffix array has in common with the one before it, up to ``length``.
+
+    Those that are known to be ``shared`` are not compared again."""
     words = _words(data + b"\0" * (length + 8), big=True)
-    common = np.zeros(len(order), dtype=np.int64)
-    going = np.arange(1, len(order))
+    common = np.zeros(len(order), dtype=np.int64) if shared is None else shared.copy()
     for at in range(0, length, 8):
-        a, b = words[order[going] + at], words[order[going - 1] + at]
-        same = a == b
-        common[going[same]] += 8
-        x = (a ^ b)[~same]
-        # Leading equal bytes of two different words.
-        common[going[~same]] += (x[:, None] < (np.uint64(1) << np.arange(56, 0, -8, dtype=np.uint64))).sum(axis=1)
-        going = going[same]
+        going = np.flatnonzero(common[1:] == at) + 1
+        x = words[order[going] + at] ^ words[order[going - 1] + at]
+        # Leading equal bytes of two words: 8, or 7 less the place of the highest byte that differs.
+        common[going] += np.where(x == 0, 8, 7 - _high_byte(x))
+    common[:1] = 0
     return np.minimum(common, length)
 
 
+def _high_byte(x: np.ndarray) -> np.ndarray:
+    """The place, from 0 at the low end, of the highest byte that is not 0."""
+    place = np.zeros(len(x), dtype=np.int64)
+    for step in (32, 16, 8):
+        more = (x >> np.uint64(step)) > 0
+        x = np.where(more, x >> np.uint64(step), x)
+        place += more * np.int64(step // 8)
+    return place
+
+
 class Shard:
     """Stretches with the least id that holds each, and the least id of each of their windows."""
 
@@ -237,24 +256,23 @@ class Shard:
         self.starts = self.ends - sizes
         self.part = part = np.repeat(np.arange(len(parts)), sizes)
         self.is_window = np.arange(len(self.data)) + LENGTH <= self.ends[part]
-        order, _ = suffix_array(self.data)
-        apart = neighbours_in_common(self.data, order) < LENGTH
+        order, _, shared = _refined(self.data)
+        apart = neighbours_in_common(self.data, order, shared=shared) < LENGTH
         # Groups of equal strings; what runs over a stretch's end is no window and counts for nothing.
         group = np.cumsum(apart) - 1
-        of = np.where(self.is_window[order], least[part][order], np.iinfo(np.int64).max)
+        of = np.where(self.is_window, least[part], np.iinfo(np.int64).max)[order]
         heads = np.flatnonzero(apart)
         self.group_of = np.empty(len(order), dtype=np.int64)
         self.group_of[order] = group
         self.least = np.minimum.reduceat(of, heads)
-        holder = np.zeros(len(heads), dtype=np.int64)
-        windows = order[self.is_window[order]]
-        holder[self.group_of[windows]] = windows
         self.real = self.least < np.iinfo(np.int64).max
-        self.holder = holder
 
     def strings(self) -> np.ndarray:
         """The shard's distinct windows, in order."""
-        at = self.holder[self.real]
+        windows = np.flatnonzero(self.is_window)
+        holder = np.zeros(len(self.least), dtype=np.int64)
+        holder[self.group_of[windows]] = windows
+        at = holder[self.real]
         grid = np.ndarray((max(0, len(self.data) - LENGTH + 1),), dtype=f"V{LENGTH}", buffer=self.data, strides=(1,))
         return np.frombuffer(grid[at].tobytes(), dtype=f"S{LENGTH}") if len(at) else np.empty(0, dtype=f"S{LENGTH}")
 

@@ -88,3 +88,15 @@ def test_blocks_cut_runs_but_lose_no_window(monkeypatch):
     whole = named(1 << 20)
     assert len(whole) == sum(max(0, len(t) - 49) for t in texts)
     assert named(64) == named(7) == named(1000) == whole
+
+
+def test_what_the_ranks_share_is_not_compared_again():
+    rng = random.Random(8)
+    for trial in range(12):
+        data = bytes(rng.choice([b"ab", b"abcdefgh \n", b"a\0"][trial % 3]) for _ in range(rng.choice([0, 60, 900])))
+        data = data[:len(data) // 3] * 3 if trial % 4 == 0 else data
+        order, rank, shared = substrings._refined(data)
+        whole = substrings.neighbours_in_common(data, order)
+        assert np.array_equal(substrings.neighbours_in_common(data, order, shared=shared), whole)
+        assert (shared <= np.where(np.arange(len(order)) == 0, 0, whole)).all()
+        assert np.array_equal(shared[1:] == 50, rank[order][1:] == rank[order][:-1])
