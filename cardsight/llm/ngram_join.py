@@ -28,7 +28,8 @@ A set is in several groups, and groups larger than ``BLOCK_SETS`` sets are cut i
 task per pair of blocks. First each set takes part in one group, whose blocks meet its first
 block, and the links found are followed to classes. Of all groups only those with several classes are
 left then, and in them only the sets outside the main class meet the others: sets that already
-share a class need not be compared. A group of near copies that holds a third of all rows thus takes work in
+share a class need not be compared. They meet by their outlines first, 16 bits of each n-gram, whose overlap is
+never less than the sets'; whole sets follow only where outlines of two classes overlap enough. A group of near copies that holds a third of all rows thus takes work in
 proportion to its size, and is never in one task. Copies are collapsed before anything is compared, counts are
 pre-aggregated, and no pairs are listed.
 
@@ -40,7 +41,7 @@ gives an empty result; columns other than ``doc_id`` and ``text`` are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 from functools import lru_cache
 
@@ -299,31 +300,82 @@ def block_links(names: list[int], sets: list[np.ndarray], sides: list[int], t: F
     return [(least[root], name) for root, name in zip(roots, names) if name != least[root]]
 
 
-def _tree_links(grouped: DataFrame, t: Fraction) -> DataFrame:
-    """Links of blocks: rows of one (grp, lo, hi) are next to each other in their partition."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, names, sets, sides = None, [], [], []
+def outline(grams: np.ndarray) -> np.ndarray:
+    """The leading 16 bits of each n-gram, in order. Two outlines share, value by value, at least as many n-grams as their sets."""
+    return (grams >> np.uint64(48)).astype(np.uint16)
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """An outline as a set: each value with its number among the equal ones."""
+    starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.empty(0, dtype=np.int64)
+    number = np.arange(len(values)) - np.repeat(starts, np.diff(np.append(starts, len(values))))
+    return values.astype(np.uint64) << np.uint64(32) | number.astype(np.uint64)
+
 
-        def links() -> pa.RecordBatch:
-            found = block_links(names, sets, sides, t)
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()),
-                                               pa.array([b for _, b in found], pa.int64())], names=["u", "v"])
+def may_link(names: list[int], roots: list[int], sets: list[np.ndarray], sides: list[int], t: Fraction) -> list[int]:
+    """The sets (by name) that, by their outlines, may be linked into a class of another root within their blocks."""
+    least = {name: name for name in names} | {b: a for a, b in block_links(names, sets, sides, t)}
+    found: dict[int, set[int]] = {}
+    for name, root in zip(names, roots):
+        found.setdefault(least[name], set()).add(root)
+    return sorted(name for name in least if len(found[least[name]]) > 1)
 
+
+def _by_block(grouped: DataFrame, columns: list[str], result: Callable[[list, list[list]], pa.RecordBatch], schema: str) -> DataFrame:
+    """``result`` of the key and the columns of each (grp, lo, hi), whose rows are next to each other in their partition."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, [[] for _ in columns]
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("grp", "lo", "hi", "set", "side")]
-            for (*here, name, side), grams in zip(zip(*cols), batch.column("grams")):
+            keys = zip(*(batch.column(c).to_pylist() for c in ("grp", "lo", "hi")))
+            values = [[v.as_buffer() for v in batch.column(c)] if c in ("grams", "outline") else batch.column(c).to_pylist()
+                      for c in columns]
+            for here, row in zip(keys, zip(*values)):
                 if here != key:
-                    if names:
-                        yield links()
-                    key, names, sets, sides = here, [], [], []
-                names.append(name)
-                sets.append(np.frombuffer(grams.as_buffer(), dtype=np.uint64))
-                sides.append(side)
-        if names:
-            yield links()
+                    if key is not None:
+                        yield result(key, held)
+                    key, held = here, [[] for _ in columns]
+                for column, value in zip(held, row):
+                    column.append(value)
+        if key is not None:
+            yield result(key, held)
 
     dealt = grouped.repartition("grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi", "side", "set")
-    return in_arrow(dealt, run, "u long, v long")
+    return in_arrow(dealt, run, schema)
+
+
+def _tree_links(grouped: DataFrame, t: Fraction) -> DataFrame:
+    """Links of blocks."""
+    def result(key: tuple, held: list[list]) -> pa.RecordBatch:
+        names, sides, grams = held
+        found = block_links(names, [np.frombuffer(g, dtype=np.uint64) for g in grams], sides, t)
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()),
+                                           pa.array([b for _, b in found], pa.int64())], names=["u", "v"])
+
+    return _by_block(grouped, ["set", "side", "grams"], result, "u long, v long")
+
+
+def _outlined(sets: DataFrame) -> DataFrame:
+    """set, outline (bytes)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            short = [outline(np.frombuffer(g.as_buffer(), dtype=np.uint64)).tobytes() for g in batch.column("grams")]
+            yield pa.RecordBatch.from_arrays([batch.column("set"), pa.array(short, pa.binary())], names=["set", "outline"])
+
+    return in_arrow(sets.select("set", "grams"), run, "set long, outline binary")
+
+
+def _in_doubt(sets: DataFrame, placed: DataFrame, t: Fraction) -> DataFrame:
+    """Of the places (grp, lo, hi, set, side, root) those of sets that may link another class there: the rest's outlines
+    share too few n-grams. Outlines take a quarter of the sets' bytes, so whole sets go only where a link is likely."""
+    def result(key: tuple, held: list[list]) -> pa.RecordBatch:
+        names, sides, roots, short = held
+        found = may_link(names, roots, [_distinct(np.frombuffer(o, dtype=np.uint16)) for o in short], sides, t)
+        return pa.RecordBatch.from_arrays([*(pa.array([k] * len(found), kind) for k, kind in zip(key, (pa.int64(), pa.int32(), pa.int32()))),
+                                           pa.array(found, pa.int64())], names=["grp", "lo", "hi", "set"])
+
+    grouped = _outlined(sets).join(placed, "set").select("grp", "lo", "hi", "set", "side", "root", "outline")
+    kept = cut(_by_block(grouped, ["set", "side", "root", "outline"], result, "grp long, lo int, hi int, set long"))
+    return placed.drop("root").join(kept, ["grp", "lo", "hi", "set"], "left_semi")
 
 
 def _groups(sets: DataFrame) -> DataFrame:
@@ -391,11 +443,12 @@ def links(docs: DataFrame, wanted: DataFrame, n: int, t: Fraction) -> DataFrame:
     if not opened.limit(1).count():
         return found
     members = classed.join(opened, "grp")
-    asked = members.where("root <> main").select("grp", "set", _block_of("rests", 1).alias("lo"), F.explode(
+    asked = members.where("root <> main").select("grp", "set", "root", _block_of("rests", 1).alias("lo"), F.explode(
         F.expr("sequence(0, blocks - 1)")).alias("hi"), F.lit(1).alias("side"))
-    others = members.select("grp", "set", F.explode(F.expr("sequence(0, rests - 1)")).alias("lo"),
+    others = members.select("grp", "set", "root", F.explode(F.expr("sequence(0, rests - 1)")).alias("lo"),
                             _block_of("blocks").alias("hi"), F.lit(0).alias("side"))
-    return found.unionByName(_tree_links(_blocks(sets, asked.unionByName(others)), t))
+    doubtful = _in_doubt(sets, cut(asked.unionByName(others)), t)
+    return found.unionByName(_tree_links(_blocks(sets, doubtful), t))
 
 
 def _blocks(sets: DataFrame, placed: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@ import random
 import re
 from collections import Counter, defaultdict
 from fractions import Fraction
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from cardsight.llm import graph, ngram_join, words
 
@@ -139,3 +142,40 @@ def test_large_group_of_near_copies(spark, monkeypatch):
                 up[max(a, b)] = min(a, b)
     got = {r["doc_id"]: r["component_id"] for r in ngram_join.classes(docs, 3, Fraction(80, 100)).collect()}
     assert got == {i: find(i) for i in range(len(texts))} and len(set(got.values())) > 4
+
+
+def mixed_passages(n=60, words_each=40, seed=5):
+    """Texts of 5 of 12 passages each: none links with another, yet nearly all their n-grams are in several."""
+    rng = random.Random(seed)
+    passages = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(words_each)) for _ in range(12)]
+    chosen = rng.sample([c for c in combinations(range(12), 5)], n)
+    return [" ".join(passages[i] for i in c) for c in chosen]
+
+
+def test_whole_sets_go_only_where_a_link_is_likely(spark, monkeypatch):
+    texts = mixed_passages()
+    texts += [t + " and one more word" for t in texts[:3]]
+    rows = []
+    links = ngram_join._tree_links
+    monkeypatch.setattr(ngram_join, "_tree_links", lambda grouped, t: (rows.append(grouped.count()), links(grouped, t))[1])
+    monkeypatch.setattr(ngram_join, "_groups", _every_group)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.classes(make_docs(spark, texts), 5, Fraction(4, 5)).collect()}
+    assert got == {i: c for i, (_, c) in brute(texts, 5, 4, 5).items()}
+    assert len(rows) == 2 and rows[1] <= 40 < rows[0]
+
+
+def _every_group(sets):
+    """Each set in the groups of two others, so that every group holds several classes."""
+    order = sets.select("set", F.row_number().over(Window.orderBy("set")).alias("i"))
+    return order.select("set", F.explode(F.expr("array(i % 3L, 7L)")).alias("grp"))
+
+
+def test_outlines_never_share_less():
+    rng = np.random.default_rng(3)
+    for bits in (64, 52):  # with 52 bits the leading 16 have many equal values
+        pool = np.unique(rng.integers(0, 2 ** bits - 1, 400, dtype=np.uint64))
+        for _ in range(20):
+            a, b = (np.sort(rng.choice(pool, 200, replace=False)) for _ in "ab")
+            short = [ngram_join._distinct(ngram_join.outline(x)) for x in (a, b)]
+            assert [len(np.unique(x)) for x in short] == [200, 200]
+            assert len(np.intersect1d(*short)) >= len(np.intersect1d(a, b))
