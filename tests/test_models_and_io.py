@@ -265,3 +265,13 @@ def test_export_of_empty_bucket_is_an_error(spark):
     t = txn(spark, SF_SMALL).filter("false")
     with pytest.raises(LookupError):
         files.export_csv(t, files.scratch_path(spark, "empty"))
+
+
+def test_forests_keep_node_ids_and_stay_the_same(spark, table):
+    rows = ml.with_weights(ml.state_rows(table, "NATION_1", 500, *ml.state_counts(table)["NATION_1"]).coalesce(1).cache())
+    trees = {}
+    for kept in (True, False):
+        model = ml.make_classifier(num_trees=12, max_depth=6, **({} if kept else {"cacheNodeIds": False})).fit(rows)
+        assert model.getCacheNodeIds() == kept
+        trees[kept] = model.toDebugString.split("\n", 1)[1]
+    assert trees[True] == trees[False]
